@@ -20,7 +20,7 @@ _TAIL = {"diagnoses_icd": 1, "drgcodes": 2}
 def order_within(df: DataFrame, partition: list[str], order: list, pos_col: str = "pos") -> DataFrame:
     """Generic B1-B4 helper: dense position per partition under a total order."""
     w = Window.partitionBy(*partition).orderBy(*order)
-    return df.withColumn(pos_col, F.row_number().over(w))
+    return df.withColumn(pos_col, F.row_number().over(w).cast("bigint"))
 
 
 def order_timeline(rows: DataFrame, spec: TimelineSpec = DEFAULT, partitions: int | None = None) -> DataFrame:
@@ -49,7 +49,7 @@ def order_timeline(rows: DataFrame, spec: TimelineSpec = DEFAULT, partitions: in
               .withColumn("_tail", F.when(timed, F.lit(0)).otherwise(tail)))
     w = Window.partitionBy(s.subject).orderBy(
         F.col("_grp"), F.col("_anchor"), F.col("_tail"), F.col(s.row_key), kind)
-    return placed.withColumn(s.pos, F.row_number().over(w)).drop("_anchor", "_grp", "_tail")
+    return placed.withColumn(s.pos, F.row_number().over(w).cast("bigint")).drop("_anchor", "_grp", "_tail")
 
 
 def mark_runs(timeline: DataFrame, spec: TimelineSpec = DEFAULT, split_on_visit: bool = False) -> DataFrame:

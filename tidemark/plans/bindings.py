@@ -163,3 +163,24 @@ def stay_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
                      F.lit(0).cast("bigint").alias("l_partkey"), F.lit(0).cast("bigint").alias("l_suppkey"))
     triage = heads.withColumn("file_name", F.lit("triage")).withColumn("ts_us", F.lit(None).cast("bigint"))
     return heads.unionByName(triage).unionByName(sub), stays
+
+
+# Decision tasks whose target key the bound rows carry (in ``target_text``).
+BOUND_TASKS = ("admissions", "labevents", "diagnoses_icd", "discharge")
+
+
+def task_index_parts(spark: SparkSession, sf_dir: str):
+    """(prepared events, per-event targets) for the C/L/D queries."""
+    from tidemark.operators import labels as lb
+    from tidemark.operators.timeline import eventize, mark_runs
+    tl = timeline(spark, sf_dir)
+    ev = eventize(tl, extra_first=("end_us", "dod_us"))
+    prepared = lb.prepare(ev)
+    targets = lb.extract_targets(mark_runs(tl), lb.task_event_map(spark), BOUND_TASKS)
+    return prepared, targets
+
+
+def task_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators import labels as lb
+    prepared, targets = task_index_parts(spark, sf_dir)
+    return lb.task_index(prepared, targets)

@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.plans.registry import REGISTRY
 
-_MODULES = ["q_timeline"]
+_MODULES = ["q_timeline", "q_context"]
 
 
 def _load():

@@ -104,8 +104,8 @@ cte("o_timeline", ("o_tpos",), """
         FROM o_tpos)""")
 
 cte("o_marked", ("o_timeline",), """
-  SELECT *, sum(CASE WHEN prev_kind IS NULL OR prev_kind <> file_name THEN 1 ELSE 0 END)
-              OVER (PARTITION BY subject_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS event_idx
+  SELECT *, CAST(sum(CASE WHEN prev_kind IS NULL OR prev_kind <> file_name THEN 1 ELSE 0 END)
+              OVER (PARTITION BY subject_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) - 1 AS event_idx
   FROM (SELECT *, lag(file_name) OVER (PARTITION BY subject_id ORDER BY pos) AS prev_kind FROM o_timeline)""")
 
 cte("o_events", ("o_marked",), """
@@ -118,3 +118,133 @@ cte("o_events", ("o_marked",), """
                count(*) AS n_items, min(pos) AS first_pos,
                first(end_us ORDER BY pos) AS end_us, first(dod_us ORDER BY pos) AS dod_us
         FROM o_marked GROUP BY subject_id, event_idx)""")
+
+# --- C family: written as correlated look-ups (an independent formulation) ---
+cte("o_ev", ("o_events",), """
+  SELECT e.*, max(dod_us) OVER (PARTITION BY subject_id) AS dod,
+         CASE WHEN file_name = 'diagnoses_icd'
+              THEN lag(starttime_us) OVER (PARTITION BY subject_id ORDER BY event_idx) ELSE starttime_us END AS t_back,
+         starttime_us AS t_fwd
+  FROM o_events e""")
+
+cte("o_prep0", ("o_ev",), """
+  SELECT a.*,
+    (SELECT min(b.event_idx) FROM o_ev b WHERE b.subject_id = a.subject_id AND b.event_idx >= 1
+        AND b.event_idx < a.event_idx AND b.hadm_id IS NOT DISTINCT FROM a.hadm_id
+        AND a.t_back - b.t_back < 86400000000) AS ctx_begin,
+    (SELECT max(b.event_idx) FROM o_ev b WHERE b.subject_id = a.subject_id AND b.event_idx > a.event_idx
+        AND b.hadm_id IS NOT DISTINCT FROM a.hadm_id AND b.t_fwd - a.t_fwd < 86400000000) AS ctx_last,
+    (SELECT max(b.event_idx) FROM o_ev b WHERE b.subject_id = a.subject_id AND b.event_idx > a.event_idx
+        AND b.hadm_id = a.hadm_id AND b.t_fwd - a.t_fwd < 86400000000) AS ctx_last_icu,
+    (SELECT max(b.event_idx) FROM o_ev b WHERE b.subject_id = a.subject_id AND b.event_idx > a.event_idx
+        AND b.t_fwd < a.end_us) AS ctx_until,
+    (SELECT min(b.event_idx) FROM o_ev b WHERE b.subject_id = a.subject_id AND b.event_idx > a.event_idx
+        AND b.file_name = 'admissions' AND b.hadm_id = a.hadm_id) AS adm_next_same,
+    (SELECT min(b.event_idx) FROM o_ev b WHERE b.subject_id = a.subject_id AND b.event_idx > a.event_idx
+        AND b.file_name = 'icustays' AND b.hadm_id = a.hadm_id) AS icu_next_same,
+    (SELECT min(b.event_idx) FROM o_ev b WHERE b.subject_id = a.subject_id AND b.event_idx > a.event_idx
+        AND b.file_name = 'edstays') AS ed_next,
+    (SELECT min(b.event_idx) FROM o_ev b WHERE b.subject_id = a.subject_id AND b.event_idx > a.event_idx
+        AND b.file_name = 'admissions') AS adm_next,
+    (SELECT max(b.event_idx) FROM o_ev b WHERE b.subject_id = a.subject_id AND b.event_idx > a.event_idx
+        AND b.hadm_id = a.hadm_id AND b.t_fwd IS NOT NULL) AS liv_idx,
+    (SELECT max(b.event_idx) FROM o_ev b WHERE b.subject_id = a.subject_id AND b.event_idx <= a.event_idx
+        AND b.file_name = 'admissions') AS adm_asof,
+    (SELECT max(b.event_idx) FROM o_ev b WHERE b.subject_id = a.subject_id AND b.event_idx <= a.event_idx
+        AND b.file_name = 'discharge') AS dis_asof
+  FROM o_ev a""")
+
+cte("o_prep", ("o_prep0",), """
+  SELECT p.*,
+    cl.t_fwd AS ctx_last_us, ci.t_fwd AS ctx_last_icu_us, an.t_fwd AS adm_next_same_us,
+    inx.t_fwd AS icu_next_same_us, en.t_fwd AS ed_next_us, ax.t_fwd AS adm_next_us, lv.t_fwd AS last_in_visit_us,
+    CASE WHEN aa.hadm_id = p.hadm_id THEN p.adm_asof END AS admissions_id,
+    CASE WHEN p.dis_asof IS NOT NULL AND (p.hadm_id IS NULL OR dd.hadm_id IS NULL OR dd.hadm_id <> p.hadm_id)
+         THEN p.dis_asof END AS last_discharge_id
+  FROM o_prep0 p
+  LEFT JOIN o_ev cl ON cl.subject_id = p.subject_id AND cl.event_idx = p.ctx_last
+  LEFT JOIN o_ev ci ON ci.subject_id = p.subject_id AND ci.event_idx = p.ctx_last_icu
+  LEFT JOIN o_ev an ON an.subject_id = p.subject_id AND an.event_idx = p.adm_next_same
+  LEFT JOIN o_ev inx ON inx.subject_id = p.subject_id AND inx.event_idx = p.icu_next_same
+  LEFT JOIN o_ev en ON en.subject_id = p.subject_id AND en.event_idx = p.ed_next
+  LEFT JOIN o_ev ax ON ax.subject_id = p.subject_id AND ax.event_idx = p.adm_next
+  LEFT JOIN o_ev lv ON lv.subject_id = p.subject_id AND lv.event_idx = p.liv_idx
+  LEFT JOIN o_ev aa ON aa.subject_id = p.subject_id AND aa.event_idx = p.adm_asof
+  LEFT JOIN o_ev dd ON dd.subject_id = p.subject_id AND dd.event_idx = p.dis_asof""")
+
+cte("o_targets", ("o_marked",), """
+  SELECT subject_id, event_idx, task, target FROM (
+    SELECT subject_id, event_idx, file_name AS task,
+           CASE WHEN file_name = 'discharge'
+                THEN CASE WHEN count(*) FILTER (WHERE target_text IS NOT NULL AND target_text <> '') = 1
+                          THEN first(target_text ORDER BY pos) FILTER (WHERE target_text IS NOT NULL AND target_text <> '') END
+                ELSE string_agg(DISTINCT trim(target_text), '|' ORDER BY trim(target_text))
+                       FILTER (WHERE trim(target_text) <> '') END AS target
+    FROM o_marked WHERE file_name IN ('admissions', 'labevents', 'diagnoses_icd', 'discharge')
+    GROUP BY subject_id, event_idx, file_name)
+  WHERE target IS NOT NULL""")
+
+_SAMPLE = "subject_id, hadm_id, {task} AS task, file_name AS event, event_idx, {b} AS context_begin, {e} AS context_end, {y} AS target, admissions_id, last_discharge_id"
+
+
+def _yn(cond: str) -> str:
+    return f"CASE WHEN {cond} THEN 'yes' ELSE 'no' END"
+
+
+def _risk(task: str, cond: str, where: str, b: str, e: str, guard: str = "TRUE") -> str:
+    return (f"SELECT {_SAMPLE.format(task=repr(task), b=b, e=e, y=_yn(cond))} FROM o_prep "
+            f"WHERE {where} AND {guard}")
+
+
+_ED = "file_name = 'edstays' AND ctx_until IS NOT NULL"
+_ED_MORT = "(dod IS NOT NULL AND last_in_visit_us IS NOT NULL AND NOT (last_in_visit_us < dod))"
+_ED_ICU = "(icu_next_same IS NOT NULL AND icu_next_same_us - end_us < 43200000000)"
+_ADM = "file_name = 'admissions' AND ctx_last IS NOT NULL"
+_ICU = "file_name = 'icustays' AND ctx_last_icu IS NOT NULL"
+_DIS = "file_name = 'discharge' AND ctx_begin IS NOT NULL"
+_H = 3600000000
+
+_RISK_PARTS = [
+    _risk("ED_Hospitalization", "adm_next_same IS NOT NULL", _ED, "event_idx", "ctx_until + 1"),
+    _risk("ED_Inpatient_Mortality", _ED_MORT, _ED, "event_idx", "ctx_until + 1"),
+    _risk("ED_ICU_Tranfer_12hour", _ED_ICU, _ED, "event_idx", "ctx_until + 1"),
+    _risk("ED_Reattendance_3day", f"ed_next IS NOT NULL AND ed_next_us - end_us < {72 * _H}", _ED, "event_idx",
+          "ctx_until + 1"),
+    _risk("ED_Critical_Outcomes", f"{_ED_ICU} OR {_ED_MORT}", _ED, "event_idx", "ctx_until + 1"),
+    _risk("LengthOfStay_3day", f"end_us - t_fwd > {72 * _H}", _ADM, "event_idx", "ctx_last + 1",
+          "ctx_last_us < end_us"),
+    _risk("LengthOfStay_7day", f"end_us - t_fwd > {168 * _H}", _ADM, "event_idx", "ctx_last + 1",
+          "ctx_last_us < end_us"),
+    _risk("Inpatient_Mortality", "dod IS NOT NULL AND NOT (end_us < dod)", _ADM, "event_idx", "ctx_last + 1"),
+] + [
+    _risk(f"ICU_Mortality_{d}day", f"dod IS NOT NULL AND dod - ctx_last_icu_us < {d * 24 * _H}", _ICU, "event_idx",
+          "ctx_last_icu + 1") for d in (1, 2, 3, 7, 14)
+] + [
+    _risk(f"ICU_Stay_{d}day", f"NOT coalesce(end_us - t_fwd < {d * 24 * _H}, FALSE)", _ICU, "event_idx",
+          "ctx_last_icu + 1") for d in (7, 14)
+] + [
+    _risk("ICU_Readmission", "icu_next_same IS NOT NULL", _ICU, "event_idx", "ctx_last_icu + 1"),
+    _risk("Readmission_30day", f"adm_next IS NOT NULL AND adm_next_us - t_fwd < {720 * _H}", _DIS, "ctx_begin",
+          "event_idx + 1"),
+    _risk("Readmission_60day", f"adm_next IS NOT NULL AND adm_next_us - t_fwd < {1440 * _H}", _DIS, "ctx_begin",
+          "event_idx + 1"),
+]
+
+cte("o_risk", ("o_prep",), "\n  UNION ALL\n  ".join(_RISK_PARTS))
+
+_CONFIGURED = ("'patients', 'omr', 'pharmacy', 'poe', 'procedures_icd', 'prescriptions', 'services', 'labevents', "
+               "'microbiologyevents', 'admissions', 'transfers', 'emar', 'diagnoses_icd', 'radiology', 'discharge', "
+               "'edstays', 'triage', 'medrecon', 'pyxis', 'vitalsign', 'diagnosis', 'icustays', 'chartevents', "
+               "'ingredientevents', 'datetimeevents', 'procedureevents', 'inputevents', 'outputevents'")
+
+cte("o_decision", ("o_prep", "o_targets"), f"""
+  SELECT p.subject_id, p.hadm_id, t.task, p.file_name AS event, p.event_idx, p.ctx_begin AS context_begin,
+         p.event_idx AS context_end, t.target, p.admissions_id, p.last_discharge_id
+  FROM o_prep p JOIN o_targets t USING (subject_id, event_idx)
+  WHERE p.ctx_begin IS NOT NULL
+  UNION ALL
+  SELECT subject_id, hadm_id, 'next_event', file_name, event_idx, ctx_begin, event_idx, file_name,
+         admissions_id, last_discharge_id
+  FROM o_prep WHERE ctx_begin IS NOT NULL AND t_back IS NOT NULL AND file_name IN ({_CONFIGURED})""")
+
+cte("o_index", ("o_decision", "o_risk"), "SELECT * FROM o_decision UNION ALL SELECT * FROM o_risk")
