@@ -66,26 +66,25 @@ def context_forward(events: DataFrame, hours: float = 24, time_col: str = "t_fwd
 
 def context_until(events: DataFrame, probe_kind: str, limit_col: str, out: str = "context_until",
                   time_col: str = "t_fwd", spec: TimelineSpec = S) -> DataFrame:
-    """For events of ``probe_kind``, the largest j > i (any visit) whose start is
-    strictly before the event's own ``limit_col`` time.
+    """The events of ``probe_kind``, each with the largest j > i (any visit)
+    whose start is strictly before the event's own ``limit_col`` time.
 
-    Probe rows (the limit time) are merged into the event order and a running max
-    of the event index is taken, so this is one window, not a range join."""
+    Probe rows (keeping all their columns, timed at the limit) are merged into the
+    subject's event order and a running max of the event index is taken: one window
+    over the subject partitioning, no range join and no join back."""
     t = F.col(time_col)
     idx = F.col(spec.event_idx)
-    probes = events.where(F.col(spec.kind) == probe_kind).select(
-        spec.subject, F.col(limit_col).alias("_t"), F.lit(0).alias("_probe_first"), idx.alias("_probe_idx"),
-        F.lit(None).cast("bigint").alias("_cand"))
+    probes = (events.where(F.col(spec.kind) == probe_kind)
+              .withColumn("_t", F.col(limit_col)).withColumn("_probe_first", F.lit(0))
+              .withColumn("_cand", F.lit(None).cast("bigint")))
     cands = events.where(t.isNotNull()).select(
-        spec.subject, t.alias("_t"), F.lit(1).alias("_probe_first"), F.lit(None).cast("bigint").alias("_probe_idx"),
-        idx.cast("bigint").alias("_cand"))
+        spec.subject, t.alias("_t"), F.lit(1).alias("_probe_first"), idx.cast("bigint").alias("_cand"))
     w = (Window.partitionBy(spec.subject).orderBy(F.col("_t").asc_nulls_last(), "_probe_first", "_cand")
          .rowsBetween(Window.unboundedPreceding, 0))
-    merged = probes.unionByName(cands).withColumn("_best", F.max("_cand").over(w))
-    found = (merged.where(F.col("_probe_idx").isNotNull())
-             .select(spec.subject, F.col("_probe_idx").alias(spec.event_idx),
-                     F.when(F.col("_t").isNotNull() & (F.col("_best") > F.col("_probe_idx")), F.col("_best")).alias(out)))
-    return events.join(found, [spec.subject, spec.event_idx], "left")
+    merged = probes.unionByName(cands, allowMissingColumns=True).withColumn("_best", F.max("_cand").over(w))
+    found = merged.where(F.col("_probe_first") == 0)
+    res = F.when(F.col("_t").isNotNull() & (F.col("_best") > idx), F.col("_best"))
+    return found.withColumn(out, res).drop("_t", "_probe_first", "_cand", "_best")
 
 
 def next_of_kind(events: DataFrame, kind: str, out: str, same_visit: bool = False,

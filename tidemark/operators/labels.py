@@ -52,7 +52,6 @@ def prepare(events: DataFrame) -> DataFrame:
     ev = cx.last_in_visit(ev, "last_in_visit_us")
     ev = cx.asof_admission(ev)
     ev = cx.asof_prev_discharge(ev)
-    ev = cx.context_until(ev, "edstays", "end_us", out="ctx_until")
     return ev
 
 
@@ -68,7 +67,8 @@ def _unpivot(df: DataFrame, labels: dict[str, object], begin, end) -> DataFrame:
 
 def ed_labels(prepared: DataFrame) -> DataFrame:
     """L1-L5 for ED stays (context = the stay through the last event before ED out)."""
-    e = prepared.where((F.col("file_name") == "edstays") & F.col("ctx_until").isNotNull())
+    e = cx.context_until(prepared, "edstays", "end_us", out="ctx_until")
+    e = e.where(F.col("ctx_until").isNotNull())
     out, dod = F.col("end_us"), F.col("dod_us")
     mort = dod.isNotNull() & F.col("last_in_visit_us").isNotNull() & ~(F.col("last_in_visit_us") < dod)
     icu12 = F.col("icu_next_same").isNotNull() & _lt_hours(out, F.col("icu_next_same_us"), 12)

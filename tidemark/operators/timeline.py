@@ -70,16 +70,19 @@ def mark_runs(timeline: DataFrame, spec: TimelineSpec = DEFAULT, split_on_visit:
 
 
 def eventize(timeline: DataFrame, spec: TimelineSpec = DEFAULT, extra_first: tuple[str, ...] = (),
-             split_on_visit: bool = False) -> DataFrame:
+             split_on_visit: bool = False, marked: bool = False) -> DataFrame:
     """One row per event (run) with times, visit, item count.
 
     ``starttime`` = time of the first row, else the first non-null time; ``endtime`` =
     max time; both NULL for demographics/diagnoses/drg. The visit is the first row's.
     ``extra_first`` columns are taken from the run's first row (the reference's
     ``items[0]``). Items themselves stay in the row table (see :func:`run_items`).
+    ``marked=True`` means the input already carries ``event_idx`` (:func:`mark_runs`).
     """
     s = spec
-    marked = mark_runs(timeline, s, split_on_visit)
+    # a materialized input has lost its partitioning: hash it by subject once, which
+    # serves this aggregation and every subject-keyed window downstream
+    marked = timeline.repartition(s.subject) if marked else mark_runs(timeline, s, split_on_visit)
     pos = F.col(s.pos)
     t = F.col(s.time_us)
     first = lambda c: F.min_by(F.col(c), pos)

@@ -170,17 +170,23 @@ BOUND_TASKS = ("admissions", "labevents", "diagnoses_icd", "discharge")
 
 
 def task_index_parts(spark: SparkSession, sf_dir: str):
-    """(prepared events, per-event targets) for the C/L/D queries."""
+    """(prepared events, per-event targets) for the C/L/D queries.
+
+    Stage boundaries are materialized: the run-marked row table (read by both the
+    event aggregation and the target extraction) and the prepared event table
+    (read by the five extractors)."""
     from tidemark.operators import labels as lb
     from tidemark.operators.timeline import eventize, mark_runs
-    tl = timeline(spark, sf_dir)
-    ev = eventize(tl, extra_first=("end_us", "dod_us"))
-    prepared = lb.prepare(ev)
-    targets = lb.extract_targets(mark_runs(tl), lb.task_event_map(spark), BOUND_TASKS)
+    from tidemark.session import materialize
+    marked = materialize(mark_runs(timeline(spark, sf_dir)))
+    ev = eventize(marked, extra_first=("end_us", "dod_us"), marked=True)
+    prepared = materialize(lb.prepare(ev))
+    targets = lb.extract_targets(marked, lb.task_event_map(spark), BOUND_TASKS)
     return prepared, targets
 
 
 def task_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.operators import labels as lb
+    from tidemark.session import materialize
     prepared, targets = task_index_parts(spark, sf_dir)
-    return lb.task_index(prepared, targets)
+    return materialize(lb.task_index(prepared, targets))

@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.plans.registry import REGISTRY
 
-_MODULES = ["q_timeline", "q_context"]
+_MODULES = ["q_timeline", "q_context", "q_sampling"]
 
 
 def _load():

@@ -38,7 +38,14 @@ def _ctx_query(key, cols, where=None):
 
 _ctx_query("c_context_back", ["ctx_begin"])
 _ctx_query("c_context_fwd", ["ctx_last", "ctx_last_us", "ctx_last_icu", "ctx_last_icu_us"])
-_ctx_query("c_context_until", ["ctx_until"], (F.col("file_name") == "edstays", "file_name = 'edstays'"))
+
+
+@query("c_context_until", ctes("o_prep") + "SELECT subject_id, event_idx, ctx_until FROM o_prep WHERE file_name = 'edstays'")
+def c_context_until(spark, sf):
+    from tidemark.operators import context as cx
+    return cx.context_until(_prepared(spark, sf), "edstays", "end_us", out="ctx_until").select(*KEY, "ctx_until")
+
+
 _ctx_query("c_carry_time", ["t_back", "t_fwd"])
 _ctx_query("c_next_of_kind", ["adm_next_same", "adm_next_same_us", "icu_next_same", "icu_next_same_us", "ed_next",
                               "ed_next_us", "adm_next", "adm_next_us"])

@@ -61,3 +61,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="tidemark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Stage boundary: reliable checkpoint into ``spark.checkpoint.dir``.
+
+    Cuts lineage (later plans start from the written files, so a lost executor
+    does not replay the upstream stages) and keeps downstream plans small.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
