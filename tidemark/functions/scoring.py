@@ -81,9 +81,9 @@ def reward_format(completion: Column | str) -> Column:
     """-1 unless both think tags, the three headings in the reasoning and no
     repeated answer lines; otherwise 1."""
     comp = _c(completion)
-    n = F.size(F.split(comp, "</think>"))
-    reasoning = F.substring_index(comp, "</think>", n - 1)
-    answer_lines = nonblank_lines(F.substring_index(comp, "</think>", -1))
+    tail = F.substring_index(comp, "</think>", -1)
+    reasoning = F.left(comp, F.greatest(F.lit(0), F.length(comp) - F.length(tail) - F.lit(len("</think>"))))
+    answer_lines = nonblank_lines(tail)
     headings_ok = F.lit(True)
     for h in FORMAT_HEADINGS:
         headings_ok = headings_ok & reasoning.contains(h)

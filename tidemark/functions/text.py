@@ -67,12 +67,13 @@ def split_thinking(text: Column | str) -> Column:
     t = _c(text)
     n_close = F.size(F.split(t, "</think>")) - 1
     think_reason = F.concat(F.substring_index(t, "</think>", 1), F.lit("</think>"))
-    think_answer = F.trim(F.substring_index(t, "</think>", -1))
+    ws = F.lit(" \t\n\r")
+    think_answer = F.btrim(F.substring_index(t, "</think>", -1), ws)
     final_pat = r"(?s)<\|channel\|>final<\|message\|>(.*?)<\|return\|>"
     anal_pat = r"(?s)<\|channel\|>analysis<\|message\|>(.*?)<\|end\|>"
     has_chan = t.rlike(final_pat) & t.rlike(anal_pat)
     answer = (F.when(n_close == 1, think_answer)
-              .when(has_chan, F.trim(F.regexp_extract(t, final_pat, 1)))
+              .when(has_chan, F.btrim(F.regexp_extract(t, final_pat, 1), ws))
               .otherwise(t))
     reasoning = (F.when(n_close == 1, think_reason)
                  .when(has_chan, F.regexp_extract(t, anal_pat, 1)))
