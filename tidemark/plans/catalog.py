@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.plans.registry import REGISTRY
 
-_MODULES = ["q_timeline", "q_context", "q_sampling", "q_scoring"]
+_MODULES = ["q_timeline", "q_context", "q_sampling", "q_scoring", "q_concepts"]
 
 
 def _load():
