@@ -146,6 +146,9 @@ def ordered_prefix(df: DataFrame, group: list[str], order: str, value: str, out:
     """Exclusive prefix sum of ``value`` in ``order`` within ``group`` without one
     sort per group: equi-depth bucket bounds from ``percentile_approx``, bucket
     totals (small) cumulated per group, then a window inside each bucket only."""
+    if not group:  # one global order: a constant key keeps every join an equi-join
+        df = df.withColumn("_g0", F.lit(0))
+        return ordered_prefix(df, ["_g0"], order, value, out, buckets).drop("_g0")
     qs = [i / buckets for i in range(1, buckets)]
     bounds = df.groupBy(*group).agg(F.percentile_approx(order, qs, 10000).alias("_bounds"))
     d = df.join(bounded_broadcast(bounds), group)
