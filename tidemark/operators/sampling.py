@@ -217,8 +217,8 @@ def random_split(df: DataFrame, seed: int, key: list[str], test_size: float = 0.
 def make_candidates(index: DataFrame, vocab: DataFrame, similar: DataFrame, seed: int = 42, limit: int = 100,
                     key: list[str] = SAMPLE_KEY) -> DataFrame:
     """Candidate answers per sample. Risk tasks: [no, yes]. Tasks with at most
-    ``limit`` known items: all of them. Otherwise up to ``limit`` keyed-sampled
-    neighbours of each label, plus the labels; sorted, distinct.
+    ``limit`` known items: all of them. Otherwise ``limit`` keyed-sampled entries of
+    the pooled neighbour lists of the labels, plus the labels; sorted, distinct.
 
     ``vocab``: (task, item); ``similar``: (item, neighbour)."""
     sizes = vocab.groupBy("task").agg(F.count(F.lit(1)).alias("_nv"))
@@ -231,10 +231,10 @@ def make_candidates(index: DataFrame, vocab: DataFrame, similar: DataFrame, seed
         *key, F.when(risk, F.array(F.lit("no"), F.lit("yes"))).otherwise(F.col("_all")).alias("candidates"))
     big = idx.where(~risk & F.col("_all").isNull())
     lab = big.select(*key, F.explode("target").alias("item"))
-    nb = (lab.join(similar, "item")
-          .withColumn("_u", uniform(seed, *key, "item", "neighbour"))
-          .withColumn("_lim", F.lit(limit)))
-    picked = keyed_top_n(nb, [*key, "item"], "_u", "_lim", ["neighbour"])
-    pool = picked.select(*key, F.col("neighbour").alias("c")).unionByName(lab.select(*key, F.col("item").alias("c")))
-    sampled = pool.groupBy(*key).agg(F.array_sort(F.collect_set("c")).alias("candidates"))
+    # pooled neighbours of all labels of a sample, then up to ``limit`` of the pool
+    pool = (lab.join(similar, "item").withColumn("_u", uniform(seed, *key, "item", "neighbour"))
+            .withColumn("_lim", F.lit(limit)))
+    picked = keyed_top_n(pool, key, "_u", "_lim", ["item", "neighbour"])
+    cands = picked.select(*key, F.col("neighbour").alias("c")).unionByName(lab.select(*key, F.col("item").alias("c")))
+    sampled = cands.groupBy(*key).agg(F.array_sort(F.collect_set("c")).alias("candidates"))
     return direct.unionByName(sampled)

@@ -169,24 +169,31 @@ def stay_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 BOUND_TASKS = ("admissions", "labevents", "diagnoses_icd", "discharge")
 
 
-def task_index_parts(spark: SparkSession, sf_dir: str):
+def marked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with position and event id, materialized (a stage boundary)."""
+    from tidemark.operators.timeline import mark_runs
+    from tidemark.session import materialize
+    return materialize(mark_runs(timeline(spark, sf_dir)))
+
+
+def task_index_parts(spark: SparkSession, sf_dir: str, marked: DataFrame | None = None):
     """(prepared events, per-event targets) for the C/L/D queries.
 
     Stage boundaries are materialized: the run-marked row table (read by both the
     event aggregation and the target extraction) and the prepared event table
     (read by the five extractors)."""
     from tidemark.operators import labels as lb
-    from tidemark.operators.timeline import eventize, mark_runs
+    from tidemark.operators.timeline import eventize
     from tidemark.session import materialize
-    marked = materialize(mark_runs(timeline(spark, sf_dir)))
+    marked = marked if marked is not None else marked_rows(spark, sf_dir)
     ev = eventize(marked, extra_first=("end_us", "dod_us"), marked=True)
     prepared = materialize(lb.prepare(ev))
     targets = lb.extract_targets(marked, lb.task_event_map(spark), BOUND_TASKS)
     return prepared, targets
 
 
-def task_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+def task_index(spark: SparkSession, sf_dir: str, marked: DataFrame | None = None) -> DataFrame:
     from tidemark.operators import labels as lb
     from tidemark.session import materialize
-    prepared, targets = task_index_parts(spark, sf_dir)
+    prepared, targets = task_index_parts(spark, sf_dir, marked)
     return materialize(lb.task_index(prepared, targets))
