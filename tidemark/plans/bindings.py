@@ -197,3 +197,43 @@ def task_index(spark: SparkSession, sf_dir: str, marked: DataFrame | None = None
     from tidemark.session import materialize
     prepared, targets = task_index_parts(spark, sf_dir, marked)
     return materialize(lb.task_index(prepared, targets))
+
+
+class Pipeline:
+    """The staged pipeline of one query: each stage built once, on first use."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self._marked = self._parts = self._index = None
+
+    @property
+    def marked(self) -> DataFrame:
+        if self._marked is None:
+            self._marked = marked_rows(self.spark, self.sf_dir)
+        return self._marked
+
+    @property
+    def prepared(self) -> DataFrame:
+        return self._get_parts()[0]
+
+    @property
+    def targets(self) -> DataFrame:
+        from tidemark.operators import labels as lb
+        return lb.extract_targets(self.marked, lb.task_event_map(self.spark), BOUND_TASKS)
+
+    def _get_parts(self):
+        if self._parts is None:
+            self._parts = task_index_parts(self.spark, self.sf_dir, self.marked)
+        return self._parts
+
+    @property
+    def index(self) -> DataFrame:
+        if self._index is None:
+            from tidemark.operators import labels as lb
+            from tidemark.session import materialize
+            self._index = materialize(lb.task_index(self.prepared, self.targets))
+        return self._index
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> Pipeline:
+    return Pipeline(spark, sf_dir)

@@ -21,8 +21,8 @@ MIN_SUPPORT, THRESHOLD, TOPK, MAX_HOPS = 5, 5.0, 20, 4
 
 def parts(spark, sf):
     """(samples, targets_long, history, concept table) with the history materialized."""
-    _, targets = b.task_index_parts(spark, sf)
-    idx = b.task_index(spark, sf)
+    pl = b.pipeline(spark, sf)
+    targets, idx = pl.targets, pl.index
     samples = idx.where(F.col("task").isin(*SAMPLE_TASKS))
     concepts = cc.event_concepts(targets, LIST_TASKS)
     history = materialize(cc.history_concepts(samples, concepts))
@@ -78,7 +78,7 @@ cte("o_related", ("o_tlong", "o_hist", "o_lift"), f"""
 
 @query("f_event_concepts", ctes("o_concepts") + "SELECT subject_id, h_idx AS event_idx, concept FROM o_concepts")
 def f_event_concepts(spark, sf):
-    _, targets = b.task_index_parts(spark, sf)
+    targets = b.pipeline(spark, sf).targets
     return cc.event_concepts(targets, LIST_TASKS).select("subject_id", F.col("h_idx").alias("event_idx"), "concept")
 
 

@@ -89,7 +89,7 @@ def c_task_map(spark, sf):
 
 @query("c_decision_targets", ctes("o_targets") + "SELECT subject_id, event_idx, task, target FROM o_targets")
 def c_decision_targets(spark, sf):
-    _, t = b.task_index_parts(spark, sf)
+    t = b.pipeline(spark, sf).targets
     return t.select(*KEY, "task", F.array_join("target", "|").alias("target"))
 
 

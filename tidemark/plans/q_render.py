@@ -206,9 +206,9 @@ cte("o_ctx", ("o_index", "o_etext"), f"""
 
 
 def contexts(spark, sf):
-    marked = b.marked_rows(spark, sf)
-    idx = b.task_index(spark, sf, marked)
-    texts = materialize(_etext(spark, sf, marked=marked))
+    pl = b.pipeline(spark, sf)
+    idx = pl.index
+    texts = materialize(_etext(spark, sf, marked=pl.marked))
     hidden = task_frame(spark).select("task", "bid_event")
     ctx = rd.context_text(idx, texts, hidden)
     return idx, ctx
