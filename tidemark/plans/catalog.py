@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.plans.registry import REGISTRY
 
-_MODULES = ["q_timeline", "q_context", "q_sampling", "q_scoring", "q_concepts", "q_sources", "q_render", "q_omop"]
+_MODULES = ["q_timeline", "q_context", "q_sampling", "q_scoring", "q_concepts", "q_sources", "q_render", "q_omop", "q_cases"]
 
 
 def _load():
