@@ -223,3 +223,38 @@ def f_evidence(spark, sf):
     j = rel.join(p, (rel.target_concept == p.src) & (rel.history_concept == p.dst), "left")
     agg = j.groupBy(*cc.SAMPLE).agg(F.count(F.lit(1)).alias("n_related"), F.count("hops").alias("n_paths"))
     return agg.withColumn("n_paths", F.when(F.col("n_paths") > 0, F.col("n_paths")))
+
+
+def _tmpl_sql(kind):
+    from tidemark.operators.render import REASON_TEMPLATES
+    return "'" + REASON_TEMPLATES[kind].replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query("e_reason_prompt", ctes("o_related", "o_fsamples") + f"""
+SELECT subject_id, event_idx, task, kind, md5(prompt) AS prompt_md5, length(prompt) AS prompt_len FROM (
+  SELECT s.subject_id, s.event_idx, s.task, 'graph' AS kind,
+         replace(replace(replace({_tmpl_sql('graph')}, '{{task}}', s.task), '{{answer}}', replace(s.target, '|', chr(10))),
+                 '{{graph}}', g.graph) AS prompt
+  FROM o_fsamples s JOIN (
+    SELECT subject_id, event_idx, task, string_agg(target_concept || ' -> ' || history_concept, chr(10)
+                                                   ORDER BY target_concept, rank) AS graph
+    FROM o_related GROUP BY ALL) g USING (subject_id, event_idx, task)
+  UNION ALL
+  SELECT subject_id, event_idx, task, 'nograph',
+         replace(replace({_tmpl_sql('nograph')}, '{{task}}', task), '{{answer}}', replace(target, '|', chr(10)))
+  FROM o_fsamples WHERE task IN ({LT_SQL}))""")
+def e_reason_prompt(spark, sf):
+    from tidemark.operators.render import reasoning_request
+    samples, tl_, hist, lf = lifts(spark, sf)
+    rel = cc.related_concepts(tl_, hist, lf, THRESHOLD, TOPK)
+    graph = (rel.groupBy(*cc.SAMPLE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+        "target_concept", "rank", F.concat("target_concept", F.lit(" -> "), "history_concept").alias("l")))),
+        lambda x: x["l"]), "\n").alias("graph")))
+    s = samples.where(F.col("task").isin(*LIST_TASKS)).join(graph, cc.SAMPLE, "left")
+    ans = F.array_join("target", "\n")
+    g = s.select(*cc.SAMPLE, F.lit("graph").alias("kind"), reasoning_request(F.col("task"), ans, F.col("graph"), "graph")
+                 .alias("prompt")).where(F.col("prompt").isNotNull())
+    n = s.select(*cc.SAMPLE, F.lit("nograph").alias("kind"), reasoning_request(F.col("task"), ans, None, "nograph")
+                 .alias("prompt"))
+    return g.unionByName(n).select(*cc.SAMPLE, "kind", F.md5("prompt").alias("prompt_md5"),
+                                   F.length("prompt").cast("bigint").alias("prompt_len"))
