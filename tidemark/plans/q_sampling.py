@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import uniform_sql
@@ -237,7 +238,7 @@ SELECT subject_id, event_idx, task FROM (
 def d_split_filter(spark, sf):
     idx = _index(spark, sf)
     subj = _split_subjects(spark, sf).withColumn("_val", F.lit(True))
-    d = idx.join(F.broadcast(subj) if False else subj, "subject_id", "left").withColumn(
+    d = idx.join(subj, "subject_id", "left").withColumn(
         "split", F.when(F.col("_val"), F.lit("val")).when(F.col("event") == "labevents", F.lit(None))
         .otherwise(F.lit("train")))
     return sm.split_filter(d).select(*KEY)
@@ -262,9 +263,11 @@ def d_candidates(spark, sf):
     idx = _index(spark, sf).join(F.broadcast(task_frame(spark).select("task", "task_type")), "task")
     vocab = (idx.where(F.col("task_type") == "decision_making")
              .select("task", F.explode("target").alias("item")).distinct())
-    # neighbours of an item: the other items of the same task (the bound 'similar items' table)
-    similar = vocab.alias("x").join(vocab.alias("y"), "task").where(F.col("x.item") != F.col("y.item")) \
-        .select(F.col("x.item").alias("item"), F.col("y.item").alias("neighbour")) if False else \
-        vocab.select("item", F.col("item").alias("neighbour")).where(F.lit(False))
+    # the bound 'similar items' table: the next five items of the task in name order
+    # (a bounded neighbour list per item, not all pairs)
+    w = Window.partitionBy("task").orderBy("item")
+    nb = F.array(*[F.lead("item", k).over(w) for k in range(1, 6)])
+    similar = (vocab.select("item", nb.alias("_nb"))
+               .select("item", F.explode(F.filter("_nb", lambda x: x.isNotNull())).alias("neighbour")).distinct())
     c = sm.make_candidates(idx, vocab, similar, SEED)
     return c.select(*KEY, F.array_join("candidates", "|").alias("candidates"))
