@@ -379,8 +379,9 @@ def g_leaderboard(spark, sf):
 
 @query("g_auroc", """
 SELECT lang, count(*) FILTER (WHERE quality = 1) AS n_pos, count(*) FILTER (WHERE quality = 0) AS n_neg,
-       round((SELECT (count(*) FILTER (WHERE p.n_chars > q.n_chars) + 0.5 * count(*) FILTER (WHERE p.n_chars = q.n_chars))
-                     / (count(*))
+       round((SELECT CASE WHEN count(*) > 0 THEN
+                       (count(*) FILTER (WHERE p.n_chars > q.n_chars) + 0.5 * count(*) FILTER (WHERE p.n_chars = q.n_chars))
+                       / count(*) END
               FROM (SELECT * FROM labels JOIN documents USING (doc_id)) p
               JOIN (SELECT * FROM labels JOIN documents USING (doc_id)) q ON p.lang = q.lang
               WHERE p.lang = g.lang AND p.quality = 1 AND q.quality = 0), 6) AS auroc
