@@ -86,8 +86,9 @@ def filter_paths(paths: DataFrame, related: DataFrame) -> DataFrame:
     """keep paths whose two ends are one target and one history concept of the
     sample, in either direction."""
     pairs = related.select(*SAMPLE, "target_concept", "history_concept")
-    fwd = pairs.join(paths, (pairs.target_concept == paths.src) & (pairs.history_concept == paths.dst))
-    rev = pairs.join(paths, (pairs.target_concept == paths.dst) & (pairs.history_concept == paths.src))
+    p = paths.select("src", "dst", "hops")
+    fwd = pairs.join(p, (F.col("target_concept") == F.col("src")) & (F.col("history_concept") == F.col("dst")))
+    rev = pairs.join(p, (F.col("target_concept") == F.col("dst")) & (F.col("history_concept") == F.col("src")))
     cols = [*SAMPLE, "src", "dst", "hops"]
     return fwd.select(*cols).unionByName(rev.select(*cols)).distinct()
 

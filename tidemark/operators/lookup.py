@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.joins import lookup
@@ -24,9 +24,11 @@ def ndc_key(ndc) -> object:
 
 
 def dedup_last(dim: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key; the last duplicate (highest ``order``) wins."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return dim.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
+    """One row per key; the last duplicate (highest ``order``) wins. A partial
+    aggregation (``max_by``), so a heavily duplicated key is combined map-side."""
+    cols = [c for c in dim.columns if c != key]
+    best = dim.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(order)).alias("_b"))
+    return best.select(key, *[F.col(f"_b.{c}").alias(c) for c in cols])
 
 
 def lookup_ndc(df: DataFrame, dim: DataFrame, ndc: str = "ndc", out: str = "atc_name") -> DataFrame:

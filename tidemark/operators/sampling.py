@@ -91,9 +91,9 @@ def exclude_known(index: DataFrame, known: DataFrame, keys=("task", "subject_id"
 def in_label_filter(index: DataFrame, reference: DataFrame) -> DataFrame:
     """Keep samples whose whole target was seen for the task in ``reference``;
     tasks absent from the reference pass unchanged."""
-    ref = reference.select("task", F.col("target").alias("_t")).distinct()
+    ref = reference.select(F.col("task").alias("_rtask"), F.col("target").alias("_t")).distinct()
     ref_tasks = reference.select("task").distinct()
-    seen = index.join(ref, (index["task"] == ref["task"]) & (index["target"] == ref["_t"]), "left_semi")
+    seen = index.join(ref, (F.col("task") == F.col("_rtask")) & (F.col("target") == F.col("_t")), "left_semi")
     unseen_task = index.join(ref_tasks, "task", "left_anti")
     return seen.unionByName(unseen_task)
 

@@ -75,9 +75,11 @@ def majority_vote(df: DataFrame, group: list[str], pos: str, answer: str, correc
     mean and any-correct accuracy, and the positions of right / wrong outputs."""
     counts = df.groupBy(*group, answer).agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_first"),
                                             F.max(F.col(correct).cast("int")).alias("_ok"))
-    w = Window.partitionBy(*group).orderBy(F.desc("_n"), F.asc("_first"))
-    vote = (counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
-            .select(*group, F.col(answer).alias("vote_answer"), F.col("_ok").cast("double").alias("vote_acc")))
+    # most frequent answer, earliest first occurrence on ties: a max over a struct
+    # (partial aggregation; no window over all answers of a group)
+    best = counts.groupBy(*group).agg(F.max(F.struct(F.col("_n"), (-F.col("_first")).alias("_nf"),
+                                                     F.col(answer).alias("_a"), F.col("_ok").alias("_o"))).alias("_b"))
+    vote = best.select(*group, F.col("_b._a").alias("vote_answer"), F.col("_b._o").cast("double").alias("vote_acc"))
     stats = df.groupBy(*group).agg(
         F.avg(F.col(correct).cast("double")).alias("avg_acc"),
         F.max(F.col(correct).cast("double")).alias("least_acc"),

@@ -17,8 +17,18 @@ from tidemark.spec import DEFAULT, DEMOGRAPHICS_KIND, UNTIMED_KINDS, TimelineSpe
 _TAIL = {"diagnoses_icd": 1, "drgcodes": 2}
 
 
-def order_within(df: DataFrame, partition: list[str], order: list, pos_col: str = "pos") -> DataFrame:
-    """Generic B1-B4 helper: dense position per partition under a total order."""
+def order_within(df: DataFrame, partition: list[str], order: list, pos_col: str = "pos",
+                 max_group_rows: int | None = None) -> DataFrame:
+    """Generic B1-B4 helper: dense position per partition under a total order.
+
+    A window when the largest group fits one task (checked with one partial
+    aggregation), otherwise the segmented ordering that spreads a hot group."""
+    from tidemark.operators.ordering import dense_positions
+    limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
+    biggest = df.groupBy(*partition).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if biggest > limit:
+        cols = [F.col(c) if isinstance(c, str) else c for c in order]
+        return dense_positions(df, list(partition), cols, pos_col)
     w = Window.partitionBy(*partition).orderBy(*order)
     return df.withColumn(pos_col, F.row_number().over(w).cast("bigint"))
 
@@ -52,6 +62,50 @@ def order_timeline(rows: DataFrame, spec: TimelineSpec = DEFAULT, partitions: in
     return placed.withColumn(s.pos, F.row_number().over(w).cast("bigint")).drop("_anchor", "_grp", "_tail")
 
 
+def order_and_mark(rows: DataFrame, spec: TimelineSpec = DEFAULT, partitions: int | None = None) -> DataFrame:
+    """B5-B9 without subject-keyed windows: same ``pos`` and ``event_idx`` as
+    :func:`order_timeline` + :func:`mark_runs`, but a subject with a huge number of
+    rows is spread over many tasks (see :mod:`tidemark.operators.ordering`).
+
+    The untimed-row anchor is an aggregate per (subject, visit) joined back with a
+    NULL-safe visit match."""
+    from tidemark.operators.ordering import positions_and_runs
+    s = spec
+    t = F.col(s.time_us)
+    kind = F.col(s.kind)
+    is_demo = kind == F.lit(DEMOGRAPHICS_KIND)
+    timed = t.isNotNull() & ~kind.isin(*UNTIMED_KINDS)
+    sort_key = F.struct(t.alias("t"), F.col(s.source_rank).alias("sr"), kind.alias("k"), F.col(s.row_key).alias("r"))
+    anchors = (rows.where(timed).groupBy(s.subject, s.visit).agg(F.max(sort_key).alias("_va"))
+               .withColumnRenamed(s.subject, "_as").withColumnRenamed(s.visit, "_av"))
+    j = rows.join(anchors, (F.col(s.subject) == F.col("_as")) & F.col(s.visit).eqNullSafe(F.col("_av")), "left")
+    tail = F.coalesce(*[F.when(kind == F.lit(k), F.lit(v)) for k, v in _TAIL.items()], F.lit(3))
+    placed = (j.withColumn("_anchor", F.when(timed, sort_key).otherwise(F.when(kind.isin(*_TAIL), F.col("_va"))))
+              .withColumn("_grp", F.when(is_demo, F.lit(0)).when(F.col("_anchor").isNotNull(), F.lit(1)).otherwise(F.lit(2)))
+              .withColumn("_tail", F.when(timed, F.lit(0)).otherwise(tail))
+              .drop("_as", "_av", "_va"))
+    order = [F.col("_grp"), F.col("_anchor.t"), F.col("_anchor.sr"), F.col("_anchor.k"), F.col("_anchor.r"),
+             F.col("_tail"), F.col(s.row_key), kind]
+    out = positions_and_runs(placed, [s.subject], order, s.kind, s.pos, s.event_idx, partitions)
+    return out.drop("_anchor", "_grp", "_tail")
+
+
+# Largest per-subject row count we let a single task sort (windows path).
+MAX_GROUP_ROWS = 2_000_000
+
+
+def order_and_mark_auto(rows: DataFrame, spec: TimelineSpec = DEFAULT, max_group_rows: int = MAX_GROUP_ROWS,
+                        partitions: int | None = None) -> DataFrame:
+    """B5-B9 choosing the plan from one statistic: the largest subject's row count
+    (a partial aggregation reading only the subject column). Subject-keyed windows
+    when every subject fits one task, the segmented path otherwise."""
+    s = spec
+    biggest = rows.groupBy(s.subject).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if biggest > max_group_rows:
+        return order_and_mark(rows, s, partitions)
+    return mark_runs(order_timeline(rows, s, partitions), s)
+
+
 def mark_runs(timeline: DataFrame, spec: TimelineSpec = DEFAULT, split_on_visit: bool = False) -> DataFrame:
     """B9 gaps-and-islands: consecutive rows of equal kind share ``event_idx`` (0-based).
 

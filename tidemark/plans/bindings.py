@@ -173,10 +173,12 @@ BOUND_TASKS = ("admissions", "labevents", "diagnoses_icd", "discharge")
 
 
 def marked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with position and event id, materialized (a stage boundary)."""
-    from tidemark.operators.timeline import mark_runs
+    """Rows with position and event id, materialized (a stage boundary). The plan
+    (subject windows or the skew-safe segmented ordering) is chosen from the
+    largest subject's row count."""
+    from tidemark.operators.timeline import order_and_mark_auto
     from tidemark.session import materialize
-    return materialize(mark_runs(timeline(spark, sf_dir)))
+    return materialize(order_and_mark_auto(decoded_rows(spark, sf_dir)))
 
 
 def task_index_parts(spark: SparkSession, sf_dir: str, marked: DataFrame | None = None):

@@ -9,7 +9,6 @@ the sorted distinct part names.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import cases as cs
@@ -23,10 +22,18 @@ def cases(spark, sf):
     c = table(spark, sf, "customer")
     p = table(spark, sf, "part").select("p_partkey", "p_name")
     li = table(spark, sf, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"), "left")
-    # a repeated key keeps its last entry (dict semantics): last line number wins
-    w = Window.partitionBy("l_orderkey", "l_partkey").orderBy(
-        F.desc("l_linenumber"), F.desc("l_quantity"), F.desc("l_linestatus"))
-    li = li.withColumn("_last_part", F.row_number().over(w) == 1)
+    # a repeated key keeps its last entry (dict semantics): last line number wins,
+    # found by a partial aggregation per (order, part)
+    last = (li.groupBy("l_orderkey", "l_partkey")
+            .agg(F.max(F.struct("l_linenumber", "l_quantity", "l_linestatus")).alias("_k"))
+            .select(F.col("l_orderkey").alias("_lo"), F.col("l_partkey").alias("_lp"),
+                    F.col("_k.l_linenumber").alias("_ln"), F.col("_k.l_quantity").alias("_lq"),
+                    F.col("_k.l_linestatus").alias("_ls"), F.lit(True).alias("_last_part")))
+    cond = ((F.col("l_orderkey") == F.col("_lo")) & (F.col("l_partkey") == F.col("_lp"))
+            & (F.col("l_linenumber") == F.col("_ln")) & (F.col("l_quantity") == F.col("_lq"))
+            & (F.col("l_linestatus") == F.col("_ls")))
+    li = (li.join(last, cond, "left").drop("_lo", "_lp", "_ln", "_lq", "_ls")
+          .withColumn("_last_part", F.coalesce("_last_part", F.lit(False))))
     f = F.col("l_linestatus") == "F"
     lab_val = F.when(f, F.format_string("%.1f mg", F.col("l_quantity"))).otherwise(F.format_string("%.1f", F.col("l_quantity")))
     per = li.groupBy("l_orderkey").agg(

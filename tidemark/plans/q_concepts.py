@@ -220,7 +220,8 @@ GROUP BY subject_id, event_idx, task""")
 def f_evidence(spark, sf):
     rel = related(spark, sf)
     p = _paths(spark, sf, rel)
-    j = rel.join(p, (rel.target_concept == p.src) & (rel.history_concept == p.dst), "left")
+    p = p.select("src", "dst", "hops")
+    j = rel.join(p, (F.col("target_concept") == F.col("src")) & (F.col("history_concept") == F.col("dst")), "left")
     agg = j.groupBy(*cc.SAMPLE).agg(F.count(F.lit(1)).alias("n_related"), F.count("hops").alias("n_paths"))
     return agg.withColumn("n_paths", F.when(F.col("n_paths") > 0, F.col("n_paths")))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.time import epoch_us
 from tidemark.operators import omop as om
+from tidemark.operators.timeline import order_within
 from tidemark.plans.oracle import cte, ctes
 from tidemark.plans.registry import query
 from tidemark.session import materialize
@@ -47,9 +48,9 @@ def rows(spark, sf):
         F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("unit"),
         epoch_us("o_orderdate").alias("start_us"), F.col("o_orderkey").alias("k1"), F.lit(0).alias("k2"))
     allr = person.unionByName(items).unionByName(notes)
-    w = Window.partitionBy("patient_id").orderBy("start_us", "omop_table", "code", F.col("value").asc_nulls_first(),
-                                                 "k1", "k2")
-    return allr.withColumn("pos", F.row_number().over(w).cast("bigint") - 1)
+    order = [F.col("start_us"), F.col("omop_table"), F.col("code"), F.col("value").asc_nulls_first(), F.col("k1"),
+             F.col("k2")]
+    return order_within(allr, ["patient_id"], order).withColumn("pos", F.col("pos") - 1)
 
 
 def samples(spark, sf, prow):
