@@ -155,10 +155,12 @@ def eventize(timeline: DataFrame, spec: TimelineSpec = DEFAULT, extra_first: tup
             .drop("_start", "_end"))
 
 
-def run_items(timeline: DataFrame, value_cols: list[str], spec: TimelineSpec = DEFAULT) -> DataFrame:
-    """The ordered item list of every event, ``array<struct>`` sorted by position."""
+def run_items(timeline: DataFrame, value_cols: list[str], spec: TimelineSpec = DEFAULT,
+              marked: bool = False) -> DataFrame:
+    """The ordered item list of every event, ``array<struct>`` sorted by position.
+    ``marked=True``: the input already carries ``event_idx``."""
     s = spec
-    marked = mark_runs(timeline, s)
+    marked = timeline if marked else mark_runs(timeline, s)
     item = F.struct(F.col(s.pos).alias("pos"), *[F.col(c) for c in value_cols])
     return (marked.groupBy(s.subject, s.event_idx)
             .agg(F.array_sort(F.collect_list(item)).alias(s.items)))

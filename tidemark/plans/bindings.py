@@ -133,7 +133,7 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table (one row per run) with first-row payload."""
     from tidemark.operators.timeline import eventize
-    return eventize(timeline(spark, sf_dir), extra_first=("end_us", "dod_us"))
+    return eventize(marked_rows(spark, sf_dir), extra_first=("end_us", "dod_us"), marked=True)
 
 
 def stay_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -61,9 +61,9 @@ SELECT subject_id, event_idx,
 FROM o_events""")
 def c_hours_between(spark, sf):
     ev = b.events(spark, sf)
-    w = Window.partitionBy("subject_id").orderBy("event_idx")
-    return ev.select(*KEY, F.round(hours_between(F.lag("starttime_us").over(w), F.col("starttime_us")), 6)
-                     .alias("gap_hours"))
+    prev = ev.select("subject_id", (F.col("event_idx") + 1).alias("event_idx"), F.col("starttime_us").alias("_prev"))
+    j = ev.join(prev, KEY, "left")
+    return j.select(*KEY, F.round(hours_between(F.col("_prev"), F.col("starttime_us")), 6).alias("gap_hours"))
 
 
 @query("c_task_map", ctes("o_events") + f"""

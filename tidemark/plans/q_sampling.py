@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import uniform_sql
 from tidemark.operators import sampling as sm
+from tidemark.operators.timeline import order_within
 from tidemark.plans import bindings as b
 from tidemark.plans.oracle import cte, ctes
 from tidemark.plans.registry import query
@@ -265,9 +265,9 @@ def d_candidates(spark, sf):
              .select("task", F.explode("target").alias("item")).distinct())
     # the bound 'similar items' table: the next five items of the task in name order
     # (a bounded neighbour list per item, not all pairs)
-    w = Window.partitionBy("task").orderBy("item")
-    nb = F.array(*[F.lead("item", k).over(w) for k in range(1, 6)])
-    similar = (vocab.select("item", nb.alias("_nb"))
-               .select("item", F.explode(F.filter("_nb", lambda x: x.isNotNull())).alias("neighbour")).distinct())
+    ranked = order_within(vocab, ["task"], [F.col("item")], "vpos")
+    nxt = ranked.select("task", F.col("vpos").alias("_p"), F.col("item").alias("neighbour"))
+    similar = (ranked.select("task", "item", F.explode(F.sequence(F.col("vpos") + 1, F.col("vpos") + 5)).alias("_p"))
+               .join(nxt, ["task", "_p"]).select("item", "neighbour").distinct())
     c = sm.make_candidates(idx, vocab, similar, SEED)
     return c.select(*KEY, F.array_join("candidates", "|").alias("candidates"))

@@ -30,7 +30,7 @@ SELECT subject_id, event_idx, count(*) AS n_items,
        first(coalesce(target_text, '') ORDER BY pos) AS first_text
 FROM o_marked GROUP BY subject_id, event_idx""")
 def a_items_roundtrip(spark, sf):
-    items = tl.run_items(b.timeline(spark, sf), ["row_id", "target_text"])
+    items = tl.run_items(b.marked_rows(spark, sf), ["row_id", "target_text"], marked=True)
     as_maps = items.select("subject_id", "event_idx", F.transform("items", lambda i: F.create_map(
         F.lit("row_id"), i["row_id"].cast("string"),
         F.lit("target_text"), F.coalesce(i["target_text"], F.lit(""))

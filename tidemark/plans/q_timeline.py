@@ -22,7 +22,7 @@ def a_event_union(spark, sf):
 
 @query("b_timeline_order", ctes("o_timeline") + "SELECT subject_id, row_id, file_name, pos FROM o_timeline")
 def b_timeline_order(spark, sf):
-    return b.timeline(spark, sf).select("subject_id", "row_id", "file_name", "pos")
+    return b.marked_rows(spark, sf).select("subject_id", "row_id", "file_name", "pos")
 
 
 @query("b_place_untimed", ctes("o_timeline") + """
@@ -30,11 +30,11 @@ SELECT subject_id, row_id, file_name, pos, prev_kind FROM (
   SELECT *, lag(file_name) OVER (PARTITION BY subject_id ORDER BY pos) AS prev_kind FROM o_timeline)
 WHERE file_name IN ('diagnoses_icd', 'drgcodes')""")
 def b_place_untimed(spark, sf):
-    from pyspark.sql import Window
-    t = b.timeline(spark, sf)
-    w = Window.partitionBy("subject_id").orderBy("pos")
-    return (t.withColumn("prev_kind", F.lag("file_name").over(w))
-            .where(F.col("file_name").isin("diagnoses_icd", "drgcodes"))
+    # the previous row by position: an equi-join on (subject, pos - 1), no subject window
+    t = b.marked_rows(spark, sf)
+    prev = t.select("subject_id", (F.col("pos") + 1).alias("pos"), F.col("file_name").alias("prev_kind"))
+    return (t.where(F.col("file_name").isin("diagnoses_icd", "drgcodes"))
+            .join(prev, ["subject_id", "pos"], "left")
             .select("subject_id", "row_id", "file_name", "pos", "prev_kind"))
 
 
@@ -43,6 +43,7 @@ def b_runs(spark, sf):
     return b.events(spark, sf).select("subject_id", "event_idx", "file_name", "n_items", "first_pos")
 
 
+
 @query("b_run_times", ctes("o_events") + """
 SELECT subject_id, event_idx, hadm_id, starttime_us, endtime_us, end_us, dod_us FROM o_events""")
 def b_run_times(spark, sf):
@@ -55,7 +56,7 @@ SELECT subject_id, event_idx, string_agg(CAST(row_id AS VARCHAR), '|' ORDER BY p
        string_agg(coalesce(target_text, ''), '|' ORDER BY pos) AS item_texts
 FROM o_marked GROUP BY subject_id, event_idx""")
 def b_run_items(spark, sf):
-    items = tl.run_items(b.timeline(spark, sf), ["row_id", "target_text"])
+    items = tl.run_items(b.marked_rows(spark, sf), ["row_id", "target_text"], marked=True)
     return items.select(
         "subject_id", "event_idx",
         F.array_join(F.transform("items", lambda i: i["row_id"].cast("string")), "|").alias("item_rows"),
