@@ -10,7 +10,6 @@ part / supplier / customer.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.time import epoch_us
@@ -54,8 +53,11 @@ def rows(spark, sf):
 
 
 def samples(spark, sf, prow):
-    """Orders as samples; period_end = rows at or before the order date, minus one
-    (a running count over the merged time order, not a range join)."""
+    """Orders as samples; period_end = (rows at or before the order date) - 1.
+
+    In the merged time order (rows before probes at equal times) a probe's position
+    is (rows at or before it) + (probes before it) + 1, so the row count is the
+    difference of two positions - both from the adaptive, skew-safe ordering."""
     o = table(spark, sf, "orders")
     probes = o.select(F.col("o_custkey").alias("patient_id"), epoch_us("o_orderdate").alias("t"),
                       F.lit(1).alias("probe"), F.col("o_orderkey").alias("sample_id"),
@@ -63,17 +65,18 @@ def samples(spark, sf, prow):
                       .when(F.col("o_orderstatus") == "O", F.lit("guo_readmission")).otherwise(F.lit("new_pancan"))
                       .alias("task_name"),
                       F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("prio"))
-    cands = prow.select("patient_id", F.col("start_us").alias("t"), F.lit(0).alias("probe"))
-    w = Window.partitionBy("patient_id").orderBy("t", "probe").rowsBetween(Window.unboundedPreceding, 0)
-    merged = probes.unionByName(cands, allowMissingColumns=True).withColumn(
-        "_n", F.sum(1 - F.col("probe")).over(w))
+    cands = prow.select("patient_id", F.col("start_us").alias("t"), F.lit(0).alias("probe"),
+                        (-F.col("pos") - 1).alias("sample_id"))
+    merged = order_within(probes.unionByName(cands, allowMissingColumns=True), ["patient_id"],
+                          [F.col("t"), F.col("probe"), F.col("sample_id")], "_mpos").where(F.col("probe") == 1)
+    ranked = order_within(merged, ["patient_id"], [F.col("t"), F.col("sample_id")], "_ppos")
     lab = F.col("task_name").startswith("lab_")
     low = F.col("price") < 150000
-    return merged.where(F.col("probe") == 1).select(
+    return ranked.select(
         "sample_id", "patient_id", "task_name",
         F.when(lab, F.when(low, F.lit("normal")).otherwise(F.lit("abnormal")))
          .otherwise(F.when(low, F.lit("True")).otherwise(F.lit("False"))).alias("label"),
-        F.lit(0).cast("bigint").alias("period_begin"), (F.col("_n") - 1).cast("bigint").alias("period_end"),
+        F.lit(0).cast("bigint").alias("period_begin"), (F.col("_mpos") - F.col("_ppos") - 1).cast("bigint").alias("period_end"),
         F.when(F.col("prio") == "5-LOW", F.lit("val")).when(F.col("prio") == "4-NOT SPECIFIED", F.lit(None))
          .otherwise(F.lit("train")).alias("split"))
 
