@@ -12,6 +12,9 @@ QUERIES = catalog.queries()
 ORACLES = catalog.oracle_sql()
 
 
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def _norm(v):
     if v is None:
         return "NULL"
@@ -36,5 +39,8 @@ def test_query_matches_oracle(spark, duck, key):
     drows = res.fetchall()
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
+    spark_types = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    duck_types = {d[0]: str(d[1]) for d in res.description}
+    assert spark_types == duck_types
     assert len(rows) == len(drows)
     assert _digest(rows, df.columns) == _digest(drows, dcols)

@@ -56,7 +56,8 @@ cte("o_weighted", ("o_freq",), """
     JOIN o_freq f USING (task, target_value) GROUP BY subject_id, event_idx, task) w
   USING (subject_id, event_idx, task)""")
 cte("o_quota", ("o_index",), f"""
-  SELECT task, n_available, quota, CASE WHEN quota > 0 AND quota < n_available THEN quota END AS n_take
+  SELECT task, n_available, CAST(quota AS BIGINT) AS quota,
+         CAST(CASE WHEN quota > 0 AND quota < n_available THEN quota END AS BIGINT) AS n_take
   FROM (SELECT task, count(*) AS n_available FROM o_index GROUP BY task) c JOIN {CONFIG_SQL} USING (task)""")
 
 

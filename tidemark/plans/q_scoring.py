@@ -93,7 +93,7 @@ def g_set_prf(spark, sf):
 
 @query("g_prefix_acc", """
 SELECT l.doc_id, CASE WHEN starts_with(CASE WHEN d.n_chars > 1000 THEN 'yes, long' ELSE 'no' END,
-                                       CASE WHEN l.quality = 1 THEN 'yes' ELSE 'no' END) THEN 1.0 ELSE 0.0 END AS acc
+                                       CASE WHEN l.quality = 1 THEN 'yes' ELSE 'no' END) THEN 1.0 ELSE 0.0 END::DOUBLE AS acc
 FROM labels l JOIN documents d USING (doc_id)""")
 def g_prefix_acc(spark, sf):
     d = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
@@ -125,7 +125,7 @@ def g_rouge1(spark, sf):
 
 
 @query("g_contains", """
-SELECT doc_id, CASE WHEN contains(lower(text), lower(lang)) THEN 1.0 ELSE 0.0 END AS acc FROM documents""")
+SELECT doc_id, CASE WHEN contains(lower(text), lower(lang)) THEN 1.0 ELSE 0.0 END::DOUBLE AS acc FROM documents""")
 def g_contains(spark, sf):
     return table(spark, sf, "documents").select("doc_id", fs.contains_acc("lang", "text").alias("acc"))
 
@@ -329,7 +329,7 @@ _LAB_SQL = f"list_slice(list_sort(list_distinct({_tok_sql('q')})), 1, 3)"
 
 
 @query("g_reason_filter", ctes("o_pairs") + f"""
-SELECT conv_id, count(*) AS n_kept, sum(length(a)) AS kept_chars FROM (
+SELECT conv_id, count(*) AS n_kept, CAST(sum(length(a)) AS BIGINT) AS kept_chars FROM (
   SELECT conv_id, a, labs,
          len(list_filter(labs, lambda l: contains(string_split(a, 'Final Results')[-1], l))) / len(labs) AS ratio
   FROM (SELECT conv_id, a, {_LAB_SQL} AS labs FROM o_pairs) WHERE len(labs) > 0)

@@ -31,6 +31,19 @@ def norm(v):
     return str(v)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+def type_mismatches(df, description):
+    duck = {d[0]: str(d[1]) for d in description}
+    out = {}
+    for f in df.schema.fields:
+        s = SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+        if duck.get(f.name) != s:
+            out[f.name] = (s, duck.get(f.name))
+    return out
+
+
 def digest(rows, cols):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     lines = sorted("|".join(norm(r[i]) for i in order) for r in rows)
@@ -72,7 +85,10 @@ def main():
             continue
         hs, ls = digest(srows, scols)
         hd, ld = digest(drows, dcols)
-        ok = sorted(scols) == sorted(dcols) and len(srows) == len(drows) and hs == hd
+        types = type_mismatches(df, res.description)
+        ok = sorted(scols) == sorted(dcols) and len(srows) == len(drows) and hs == hd and not types
+        if types:
+            print(f"   type mismatches {key}: {types}")
         if ok:
             print(f"ok   {key}: {len(srows)} rows {ts:.1f}s")
         else:
