@@ -167,3 +167,24 @@ def test_reasoning_ratio(spark):  # golden 26
     df = spark.createDataFrame([("t", ["a1", "b2", "c3"], ["x a1 b2 y"])], "task string, labels array<string>, "
                                                                           "reasonings array<string>")
     assert so.reasoning_filter(df).count() == 0
+
+
+def test_ndc_key_padding(spark):  # golden 18
+    from tidemark.operators.lookup import ndc_key
+    df = spark.createDataFrame([("338004938.0",), ("123456789012",)], "ndc string")
+    got = [r["k"] for r in df.select(ndc_key("ndc").alias("k")).collect()]
+    assert got == ["00338004938", "123456789012"]  # longer codes are not truncated
+
+
+def test_lift_threshold_and_support(spark):  # goldens 22, 23
+    from tidemark.operators import concepts as cc
+    pairs = spark.createDataFrame([("t", "A", "B", 10), ("t", "A", "C", 4)],
+                                  "task string, target_concept string, history_concept string, n_pair long")
+    n_c = spark.createDataFrame([("t", "A", 10), ("t", "B", 20), ("t", "C", 4)], "task string, concept string, n long")
+    n_task = spark.createDataFrame([("t", 100)], "task string, n_samples long")
+    lf = {r["history_concept"]: r["lift"] for r in cc.lift(pairs, n_c, n_task, 5).collect()}
+    assert lf == {"B": 5.0}  # C dropped by support (n(h) = 4 < 5)
+    key = "subject_id long, event_idx long, task string, concept string"
+    tl_ = spark.createDataFrame([(1, 1, "t", "A")], key)
+    hist = spark.createDataFrame([(1, 1, "t", "B")], key)
+    assert cc.related_concepts(tl_, hist, cc.lift(pairs, n_c, n_task, 5), 5.0).count() == 0  # lift 5 is not > 5
