@@ -38,11 +38,12 @@ def keyed_top_n(df: DataFrame, group: list[str], score: str, n_col: str, tiebrea
     n = F.col(n_col)
     keep_all = n.isNull() | (n < 0) | (F.col("_incl") <= n)
     boundary = (F.col("_before") < n) & (F.col("_incl") > n)
+    # one pass: rank inside each (group, bucket) - a bucket holds ~1/buckets of its
+    # group - and keep whole buckets below the cut plus the head of the cut bucket
     wb = Window.partitionBy(*group, "_b").orderBy(F.col(score), *[F.col(c) for c in tiebreak])
-    inner = j.where(boundary).withColumn("_r", F.row_number().over(wb)).where(F.col("_r") <= n - F.col("_before"))
-    full = j.where(keep_all)
-    cols = df.columns
-    return full.select(*cols).unionByName(inner.select(*cols))
+    ranked = j.withColumn("_r", F.row_number().over(wb))
+    kept = ranked.where(keep_all | (boundary & (F.col("_r") <= n - F.col("_before"))))
+    return kept.select(*df.columns)
 
 
 # --- D1 / D2 ------------------------------------------------------------------
