@@ -66,7 +66,7 @@ def reward_verify(completion: Column | str, labels: Column | str, metric: Column
     comp = _c(completion)
     tail = F.substring_index(comp, "</think>", -1)
     f1 = set_prf(labels, nonblank_lines(tail))["f1"]
-    acc = prefix_acc(F.element_at(_c(labels), 1), tail)
+    acc = prefix_acc(F.try_element_at(_c(labels), F.lit(1)), tail)
     m = _c(metric)
     return (F.when(~comp.contains("</think>"), F.lit(0.0))
             .when(m.isin("em", "f1", "recall", "precision"), f1)

@@ -22,10 +22,10 @@ def case_labs(cases: DataFrame, lab_names: DataFrame, key: str = "case_id") -> D
     e = cases.select(key, F.explode("lab_tests").alias("itemid", "raw"), "range_lower", "range_upper")
     toks = F.split("raw", " ")
     two = F.size(toks) == 2
-    e = e.select(key, "itemid", F.when(two, F.element_at(toks, 1)).otherwise(F.col("raw")).alias("result"),
-                 F.when(two, F.element_at(toks, 2)).alias("unit"),
-                 F.element_at("range_lower", F.col("itemid")).alias("ref_low"),
-                 F.element_at("range_upper", F.col("itemid")).alias("ref_high"))
+    e = e.select(key, "itemid", F.when(two, F.try_element_at(toks, F.lit(1))).otherwise(F.col("raw")).alias("result"),
+                 F.when(two, F.try_element_at(toks, F.lit(2))).alias("unit"),
+                 F.try_element_at("range_lower", F.col("itemid")).alias("ref_low"),
+                 F.try_element_at("range_upper", F.col("itemid")).alias("ref_high"))
     return e.join(bounded_broadcast(lab_names.select("itemid", "label")), "itemid", "left")
 
 

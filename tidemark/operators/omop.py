@@ -95,7 +95,7 @@ def omop_context(sliced: DataFrame, code_map: DataFrame, cpt4: DataFrame, icd10p
         .alias("body"))
     g = firsts.where(F.col("omop_table") != "note").join(body, ["sample_id", "omop_table"], "left")
     is_meas = ~F.col("omop_table").isin("person") & ~F.lower("omop_table").rlike("drug|condition|procedure")
-    shown = F.coalesce(F.element_at(F.create_map(*[x for t in OMOP_TABLES for x in (F.lit(t), F.lit(t.title()))]),
+    shown = F.coalesce(F.try_element_at(F.create_map(*[x for t in OMOP_TABLES for x in (F.lit(t), F.lit(t.title()))]),
                                     F.col("omop_table")), F.initcap("omop_table"))
     title = F.concat(F.lit("## "), shown, F.lit(" ["), fmt_us(F.col("g_start")), F.lit("]"))
     text = (F.when(is_meas, F.when(F.col("body").isNotNull(), F.concat_ws("\n", title, F.lit(MEASURE_HEADER), "body")))

@@ -127,7 +127,7 @@ def reasoning_filter(df: DataFrame, labels: str = "labels", reasonings: str = "r
     'Final Results') contains >= 70 % of the labels, that never mention ground truth
     and contain neither banned heading; drop rows with none left."""
     def ok(r):
-        tail = F.element_at(F.split(r, RESULT_MARKER), -1)
+        tail = F.try_element_at(F.split(r, RESULT_MARKER), F.lit(-1))
         hits = F.size(F.filter(labels, lambda lab: tail.contains(lab)))
         ratio = hits / F.size(labels)
         banned = F.lit(False)

@@ -34,8 +34,8 @@ def pairs(spark, sf):
     u = conv.where(F.col("role") == "user").select("conv_id", F.col("turn").alias("qturn"), F.col("text").alias("q"))
     a = conv.where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("a"))
     p = a.join(u, (a.conv_id == u.conv_id) & (u.qturn == a.turn - 1)).drop(u.conv_id).drop("qturn")
-    gold = F.element_at(so.rouge_tokens("q"), 1)
-    w = F.element_at(so.rouge_tokens("a"), 1)
+    gold = F.try_element_at(so.rouge_tokens("q"), F.lit(1))
+    w = F.try_element_at(so.rouge_tokens("a"), F.lit(1))
     many = F.size(F.split("a", "\n")) > 3
     traj = F.when(many & w.isNotNull(), F.concat("a", F.lit(" The answer is "), w, F.lit("."))).otherwise(F.col("a"))
     think = F.when(F.size(F.split("a", "\n")) > 2,
@@ -196,7 +196,7 @@ SELECT conv_id, turn, len(parts) AS n_parts, parts[1] AS first_part FROM (
 def g_split_pred(spark, sf):
     c = table(spark, sf, "conversations").where(F.col("role") == "assistant")
     parts = split_prediction("text")
-    return c.select("conv_id", "turn", F.size(parts).cast("bigint").alias("n_parts"), F.element_at(parts, 1).alias("first_part"))
+    return c.select("conv_id", "turn", F.size(parts).cast("bigint").alias("n_parts"), F.try_element_at(parts, F.lit(1)).alias("first_part"))
 
 
 @query("g_score_multi", ctes("o_scored_in") + f"""

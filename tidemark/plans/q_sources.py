@@ -40,7 +40,7 @@ def a_items_roundtrip(spark, sf):
     back = ingest.read_trajectory(spark, path)
     return back.select("subject_id", "event_idx", F.size("items").cast("bigint").alias("n_items"),
                        F.array_join(F.transform("items", lambda m: m["row_id"]), "|").alias("item_rows"),
-                       F.element_at("items", 1)["target_text"].alias("first_text"))
+                       F.try_element_at("items", F.lit(1))["target_text"].alias("first_text"))
 
 
 @query("a_resume_anti", ctes("o_index") + f"""
