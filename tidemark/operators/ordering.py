@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.joins import bounded_broadcast
 from tidemark.session import materialize
 
-_PID = F.shiftright(F.col("_mono"), 33)
-
 
 def segment(df: DataFrame, group: list[str], order: list[Column], partitions: int | None = None) -> DataFrame:
     """Range-partition on (group, order), sort within partitions, tag ids, materialize."""
@@ -30,7 +28,7 @@ def segment(df: DataFrame, group: list[str], order: list[Column], partitions: in
     keys = [F.col(g) for g in group] + list(order)
     tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_mono", F.monotonically_increasing_id()))
-    return materialize(tagged).withColumn("_pid", _PID)
+    return materialize(tagged).withColumn("_pid", F.shiftright("_mono", 33))
 
 
 def _segments(tagged: DataFrame, group: list[str], extra: list[Column] = ()) -> DataFrame:
