@@ -1,11 +1,12 @@
 """Quality classifier: document evidence and site posteriors by hierarchical empirical Bayes.
 
-Two judgements, quality and toxicity, share the machinery. Document evidence is a naive
-Bayes log odds over features whose presence differs significantly between the labelled
+Two judgements, quality and toxicity, share the machinery. Document evidence is a
+logistic regression over features whose presence differs significantly between the labelled
 classes: exact words, and binned shape features of the whole text (share of symbols,
-repeated words, distinct words, length). It is fitted on a bounded
-sample of at most ``max_labelled`` labelled documents (chosen by hash of the id); the
-model is at most ``max_features`` features.
+repeated words, distinct phrases, length). It is fitted on a bounded sample of at most
+``max_labelled`` labelled documents (chosen by hash of the id, equal texts once); the
+model has at most ``max_features`` features a judgement. Its log odds less the sample's
+prior are the evidence.
 
 Site posteriors: hosts and paths (a path is a host's section; here source and, within
 it, language) have beta posteriors of their rate. A host's mean shrinks toward the global
@@ -27,8 +28,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,45 +71,71 @@ def _exploded(batches):
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *(b.column(h).take(at) for h in HEADS)], ["feature", *HEADS])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000,
-        max_features: int = 4096, least_df: int = 10, least_z: float = 6.0) -> dict[str, tuple[float, float, dict[bytes, float]]]:
-    """Per head: (prior log odds, intercept of absent features, weight per present feature)."""
+def _present(vocabulary):
+    known = {f: i for i, f in enumerate(vocabulary)}
+
+    def run(batches):
+        for b in batches:
+            found = [[known[f] for f in features(t) if f in known] for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), *(b.column(h) for h in HEADS)], ["present", *HEADS])
+    return run
+
+
+def logistic(present: list[list[int]], y: np.ndarray, n_features: int, l2: float = 0.1, rounds: int = 300) -> tuple[float, np.ndarray]:
+    """Intercept and weights of an L2-regularised logistic regression on 0/1 features (full-batch Adam)."""
+    row = np.repeat(np.arange(len(y)), [len(x) for x in present])
+    col = np.array([i for x in present for i in x], np.int64)
+    w = np.zeros(n_features + 1)
+    w[-1] = math.log(y.sum() / (len(y) - y.sum()))
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, rounds + 1):
+        z = np.clip(np.bincount(row, w[col], len(y)) + w[-1], -30, 30)
+        miss = 1 / (1 + np.exp(-z)) - y
+        g = np.append(np.bincount(col, miss[row], n_features) + l2 * w[:-1], miss.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w = w - 0.2 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-9)
+    return float(w[-1]), w[:-1]
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 10_000,
+        max_features: int = 1024, least_df: int = 4, least_z: float = 5.0) -> dict[str, tuple[float, float, dict[bytes, float]]]:
+    """Per judgement: (prior log odds, intercept, weight per feature); both 0 and no weights without both classes."""
     ship(docs.sparkSession)
-    chosen = labels.select(F.col(id_col).alias("id"), *(F.col(h).cast("int").alias(h) for h in HEADS)).where("id is not null")
-    chosen = chosen.groupBy("id").agg(*(F.max(h).alias(h) for h in HEADS)).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
+    chosen = labels.select(F.col(id_col).alias("id"), *(F.col(h).cast("int").alias(h) for h in HEADS)).dropna()
+    chosen = materialize(chosen.groupBy("id").agg(*(F.max(h).alias(h) for h in HEADS)).orderBy(F.xxhash64("id"), "id").limit(max_labelled))
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # max_labelled rows
-    sample = sample.groupBy("id").agg(F.max("text").alias("text"), *(F.first(h).alias(h) for h in HEADS))
+    sample = materialize(sample.groupBy("text").agg(*(F.max(h).alias(h) for h in HEADS)))
+    sizes = sample.agg(*(F.sum((F.col(h) == v).cast("int")).alias(f"{h}{v}") for h in HEADS for v in (0, 1))).first()
     schema = T.StructType([T.StructField("feature", T.BinaryType()), *(T.StructField(h, T.IntegerType()) for h in HEADS)])
-    sizes = chosen.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi").agg(
-        *(F.sum((F.col(h) == v).cast("int")).alias(f"{h}{v}") for h in HEADS for v in (0, 1))).first()
     counts = sample.mapInArrow(_exploded, schema).groupBy("feature").agg(
-        *(F.sum((F.col(h) == v).cast("int")).alias(f"{h}{v}") for h in HEADS for v in (0, 1)))
-    model = {}
-    counts = materialize(counts.where(sum((F.coalesce(f"{h}{v}", F.lit(0)) for h in HEADS[:1] for v in (0, 1)), F.lit(0)) >= least_df))
-    for h in HEADS:
-        n0, n1 = sizes[f"{h}0"] or 0, sizes[f"{h}1"] or 0
-        if not n0 or not n1:
-            model[h] = (0.0, 0.0, {})
-            continue
-        p0, p1 = F.coalesce(f"{h}0", F.lit(0)) / F.lit(n0), F.coalesce(f"{h}1", F.lit(0)) / F.lit(n1)
-        both = (F.coalesce(f"{h}0", F.lit(0)) + F.coalesce(f"{h}1", F.lit(0))) / F.lit(n0 + n1)
+        F.count(F.lit(1)).alias("df"), *(F.sum((F.col(h) == v).cast("int")).alias(f"{h}{v}") for h in HEADS for v in (0, 1)))
+    counts = materialize(counts.where(F.col("df") >= least_df))
+    usable = [h for h in HEADS if sizes[f"{h}0"] and sizes[f"{h}1"]]
+    vocabulary: list[bytes] = []
+    of: dict[str, set[bytes]] = {}
+    for h in usable:
+        n0, n1 = sizes[f"{h}0"], sizes[f"{h}1"]
+        p0, p1, both = F.col(f"{h}0") / F.lit(n0), F.col(f"{h}1") / F.lit(n1), F.col("df") / F.lit(n0 + n1)
         z = F.abs(p1 - p0) / F.sqrt(F.greatest(both * (1 - both), F.lit(1e-9)) * F.lit(1 / n0 + 1 / n1))
-        top = counts.select("feature", F.coalesce(f"{h}0", F.lit(0)).alias("a"), F.coalesce(f"{h}1", F.lit(0)).alias("b"), z.alias("z"))
-        rows = top.where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(max_features).collect()
-        weights, absent = {}, 0.0
-        for r in rows:
-            q0, q1 = (r["a"] + 0.5) / (n0 + 1), (r["b"] + 0.5) / (n1 + 1)
-            none = math.log((1 - q1) / (1 - q0)) if q0 < 1 and q1 < 1 else 0.0
-            weights[bytes(r["feature"])] = math.log(q1 / q0) - none
-            absent += none
-        model[h] = (math.log(n1 / n0), absent, weights)
+        rows = counts.select("feature", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(max_features).collect()
+        of[h] = {bytes(r["feature"]) for r in rows}
+        vocabulary += sorted(of[h].difference(vocabulary))
+    schema = T.StructType([T.StructField("present", T.ArrayType(T.IntegerType())), *schema.fields[1:]])
+    rows = sample.mapInArrow(_present(vocabulary), schema).collect() if usable else []  # at most max_labelled
+    model = {h: (0.0, 0.0, {}) for h in HEADS}
+    for h in usable:
+        y = np.array([r[h] for r in rows], float)
+        mine = [i for i, f in enumerate(vocabulary) if f in of[h]]
+        at = {i: k for k, i in enumerate(mine)}
+        bias, w = logistic([[at[i] for i in r["present"] if i in at] for r in rows], y, len(mine))
+        model[h] = (math.log(y.sum() / (len(y) - y.sum())), bias, {vocabulary[i]: float(x) for i, x in zip(mine, w)})
     return model
 
 
 def evidence(present: set[bytes], head: tuple[float, float, dict[bytes, float]]) -> float:
-    """Log likelihood ratio of the document, without the prior."""
-    _, absent, weights = head
-    return absent + sum(weights[f] for f in present if f in weights)
+    """Log odds of the document less the sample's prior."""
+    prior, bias, weights = head
+    return bias - prior + sum(weights[f] for f in present if f in weights)
 
 
 def _scored(model):
