@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -37,14 +38,25 @@ from pyspark.sql import types as T
 from tidemark.llm.common import ship
 from tidemark.session import materialize
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+#: Latin letters with a composed lower case of their own, then ASCII marks that no contraction starts with.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The printable character that byte-level models write for each byte (published with them)."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class WordTokenizer:
-    """Token ids of a text as little-endian 32-bit bytes, from a tokenizer that never looks across white space.
+    """Token ids of a text as little-endian 32-bit bytes, from a lower-casing tokenizer that never looks across white space.
 
     Its pieces never cross ASCII white space, so ids are found once per distinct
-    blank-separated word and kept in a bounded table.
+    blank-separated word and kept in a bounded table. A plain word (Latin letters, then
+    marks) is two of its pieces at most, which go to the model directly; every other word
+    goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -52,15 +64,34 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.alphabet = byte_alphabet()
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+            ids = self.pieces[piece] = array("I", [t.id for t in self.tok.model.tokenize(written)]).tobytes()
+        return ids
 
     def learn(self, words: set[bytes]) -> None:
-        new = list(words.difference(self.known))
+        new = words.difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for word, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+            self.known, new = {}, words
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces = {"": b""}
+        other = []
+        for word in new:
+            text = word.decode()
+            m = PLAIN.fullmatch(text)
+            if m:
+                self.known[word] = self.piece(m[1].lower()) + self.piece(m[2])
+            else:
+                other.append((word, text))
+        for at in range(0, len(other), 20_000):
+            part = other[at:at + 20_000]
+            for (word, _), e in zip(part, self.tok.encode_batch_fast([t for _, t in part], add_special_tokens=False)):
                 self.known[word] = array("I", e.ids).tobytes()
 
     def __call__(self, words: list[bytes]) -> bytes:
