@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import ship
+from tidemark.llm.common import hash_sample, ship
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -230,8 +230,8 @@ def learn(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", max
     """Weights from up to ``max_labelled`` pages that have exactly one article element."""
     ship(pages.sparkSession)
     marked = F.regexp_count(F.lower(F.col(html_col)), F.lit("<article[\\s>]")) == 1
-    sample = (pages.where(marked).select(F.col(html_col).alias("html"), F.xxhash64(id_col, html_col).alias("h"))
-              .orderBy("h").limit(max_labelled).select("html"))
+    sample = hash_sample(pages.where(marked).select(F.col(id_col).alias("id"), F.col(html_col).alias("html")), max_labelled, "id", "html")
+    sample = sample.select("html")
     counted = sample.mapInArrow(_count_tags, "tag string, inside long, outside long").groupBy("tag").agg(
         F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     return weights_from({r["tag"]: (r["inside"], r["outside"]) for r in counted.collect()})
