@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import ship
+from tidemark.llm.common import hash_sample, ship
 from tidemark.session import materialize
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Per judgement: (prior log odds, intercept, weight per feature); both 0 and no weights without both classes."""
     ship(docs.sparkSession)
     chosen = labels.select(F.col(id_col).alias("id"), *(F.col(h).cast("int").alias(h) for h in HEADS)).dropna()
-    chosen = materialize(chosen.groupBy("id").agg(*(F.max(h).alias(h) for h in HEADS)).orderBy(F.xxhash64("id"), "id").limit(max_labelled))
+    chosen = materialize(hash_sample(materialize(chosen.groupBy("id").agg(*(F.max(h).alias(h) for h in HEADS))), max_labelled, "id"))
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # max_labelled rows
     sample = materialize(sample.groupBy("text").agg(*(F.max(h).alias(h) for h in HEADS)))
     sizes = sample.agg(*(F.sum((F.col(h) == v).cast("int")).alias(f"{h}{v}") for h in HEADS for v in (0, 1))).first()
