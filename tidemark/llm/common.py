@@ -56,6 +56,12 @@ def hash_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.where(F.xxhash64(*keys) < F.lit(cut))
 
 
+def broadcast_up_to(df: DataFrame, max_rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has been counted to have ``max_rows`` narrow rows at most; the planner
+    and adaptive execution choose the join else."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of ``edges`` (two long columns); root is the component's smallest node.
 

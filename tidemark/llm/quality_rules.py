@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_SPACE, let
+from tidemark.llm.common import WORD_SPACE, broadcast_up_to, let
 from tidemark.session import materialize
 
 WINDOW = 8
@@ -157,6 +157,7 @@ def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
     fits = F.lit(True)
     for m, v in measures().items():
         fits = fits & (v >= F.col(f"{m}_low")) & (v <= F.col(f"{m}_high"))
+    limits = broadcast_up_to(limits, 100_000)  # one narrow row a group
     j = counted.join(limits, counted["lang"].eqNullSafe(limits["t_lang"]) & counted["source"].eqNullSafe(limits["t_source"]))
     # one condition of both sides: a filter on it stays above the join and is not evaluated on the counts again
     return j.withColumn("base_failed", base_failed()).withColumn("kept", F.when(base_failed(), F.lit(False)).otherwise(fits))
