@@ -188,3 +188,23 @@ def test_lift_threshold_and_support(spark):  # goldens 22, 23
     tl_ = spark.createDataFrame([(1, 1, "t", "A")], key)
     hist = spark.createDataFrame([(1, 1, "t", "B")], key)
     assert cc.related_concepts(tl_, hist, cc.lift(pairs, n_c, n_task, 5), 5.0).count() == 0  # lift 5 is not > 5
+
+
+def test_code_references_keep_all_after_the_first_slash(spark):
+    from tidemark.operators.omop import resolve_codes
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "code string")
+    books = spark.createDataFrame([("a", "CPT4/12/3"), ("b", "ICD10PCS/0X"), ("c", "plain / text")], "code string, description string")
+    cpt4 = spark.createDataFrame([("3", "wrong"), ("12/3", "right")], "code string, description string")
+    pcs = spark.createDataFrame([("0X", "pcs")], "code string, description string")
+    got = {r.code: r.content for r in resolve_codes(rows, books, cpt4, pcs).collect()}
+    assert got == {"a": "right", "b": "pcs", "c": "plain / text"}
+
+
+def test_neighbours_stay_within_their_task(spark):
+    from tidemark.operators.sampling import make_candidates
+    index = spark.createDataFrame([(1, "t1", "decision_making", ["x"]), (2, "t2", "decision_making", ["x"])],
+                                  "sid int, task string, task_type string, target array<string>")
+    vocab = spark.createDataFrame([(t, i) for t in ("t1", "t2") for i in ("x", "y", "z", "w")], "task string, item string")
+    similar = spark.createDataFrame([("t1", "x", "y"), ("t2", "x", "z")], "task string, item string, neighbour string")
+    got = {r.sid: r.candidates for r in make_candidates(index, vocab, similar, 7, limit=2, key=["sid", "task"]).collect()}
+    assert got == {1: ["x", "y"], 2: ["x", "z"]}

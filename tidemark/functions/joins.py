@@ -1,34 +1,15 @@
-"""Join helpers: broadcast only behind a size check."""
+"""Join helpers.
+
+No helper hints a broadcast: Catalyst's size estimate knows nothing of the fan-out of an
+``explode`` or of a Python operator, so the planner and adaptive execution choose, the latter by
+the measured size of the shuffled side.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Upper bound for a dimension we are willing to ship to every executor.
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of the optimized plan (None when unavailable)."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:
-        return None
-
-
-def bounded_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only when the estimate is known and under ``max_bytes``.
-
-    Otherwise the plain DataFrame is returned: Catalyst/AQE then choose a shuffle
-    join, or still broadcast at runtime if the shuffled side turns out small.
-    """
-    size = estimated_bytes(df)
-    if size is not None and size <= max_bytes:
-        return F.broadcast(df)
-    return df
 
 
-def lookup(df: DataFrame, dim: DataFrame, on, how: str = "left", max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """Left lookup of a dimension; broadcast when provably small."""
-    return df.join(bounded_broadcast(dim, max_bytes), on=on, how=how)
+def lookup(df: DataFrame, dim: DataFrame, on, how: str = "left") -> DataFrame:
+    """Left lookup of a dimension."""
+    return df.join(dim, on=on, how=how)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.joins import bounded_broadcast
 
 LAB_KEYS = ["Item_name", "Valuenum", "Valueuom", "Ref_range_lower", "Ref_range_upper"]
 MICRO_KEYS = ["Item_name", "Valuestr"]
@@ -26,7 +25,7 @@ def case_labs(cases: DataFrame, lab_names: DataFrame, key: str = "case_id") -> D
                  F.when(two, F.try_element_at(toks, F.lit(2))).alias("unit"),
                  F.try_element_at("range_lower", F.col("itemid")).alias("ref_low"),
                  F.try_element_at("range_upper", F.col("itemid")).alias("ref_high"))
-    return e.join(bounded_broadcast(lab_names.select("itemid", "label")), "itemid", "left")
+    return e.join(lab_names.select("itemid", "label"), "itemid", "left")
 
 
 def case_text(cases: DataFrame, labs: DataFrame, micro_names: DataFrame, key: str = "case_id") -> DataFrame:
@@ -40,7 +39,7 @@ def case_text(cases: DataFrame, labs: DataFrame, micro_names: DataFrame, key: st
                 .groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("itemid", "line"))),
                                                            lambda x: x["line"]), "\n").alias("lab_lines")))
     mic = (cases.select(key, F.explode("microbiology").alias("itemid", "res"))
-           .join(bounded_broadcast(micro_names.select("itemid", F.col("label").alias("mname"))), "itemid", "left")
+           .join(micro_names.select("itemid", F.col("label").alias("mname")), "itemid", "left")
            .select(key, "itemid", F.concat(F.lit("| "), cell("mname"), F.lit(" | "), cell("res"), F.lit(" |")).alias("line"))
            .groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("itemid", "line"))),
                                                       lambda x: x["line"]), "\n").alias("micro_lines")))

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.joins import bounded_broadcast
 
 SAMPLE = ["subject_id", "event_idx", "task"]
 
@@ -65,7 +64,7 @@ def lift(pairs: DataFrame, n_c: DataFrame, n_task: DataFrame, min_support: int =
                                                      F.col("n").alias("n_h"))
     nt = n_c.select("task", F.col("concept").alias("target_concept"), F.col("n").alias("n_t"))
     j = (pairs.join(nh, ["task", "history_concept"]).join(nt, ["task", "target_concept"])
-         .join(bounded_broadcast(n_task), "task"))
+         .join(n_task, "task"))
     return j.withColumn("lift", F.col("n_pair") * F.col("n_samples") / (F.col("n_h") * F.col("n_t")))
 
 
@@ -114,7 +113,7 @@ def text_concepts(docs: DataFrame, key: str, text: str, terms: DataFrame, max_n:
     allg = grams[0]
     for g in grams[1:]:
         allg = allg.unionByName(g)
-    hits = allg.join(bounded_broadcast(terms.select("term").distinct()), "term")
+    hits = allg.join(terms.select("term").distinct(), "term")
     covered = (hits.where(F.col("n") > 1)
                .select(key, F.col("start").alias("s2"), F.col("n").alias("n2"),
                        F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("start")))

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.joins import bounded_broadcast
 from tidemark.operators.render import fmt_us
 
 VISIT_TABLES = ("drug", "condition", "procedure")
@@ -36,11 +35,11 @@ def slice_rows(rows: DataFrame, samples: DataFrame) -> DataFrame:
 def resolve_codes(rows: DataFrame, code_map: DataFrame, cpt4: DataFrame, icd10pcs: DataFrame) -> DataFrame:
     """Code -> description; a description naming a CPT4 or ICD10PCS code
     is resolved in that book; unresolved -> NULL (dropped by the renderers)."""
-    j = rows.join(bounded_broadcast(code_map.select("code", "description")), "code", "left")
-    ref = F.substring_index(F.col("description"), "/", -1)
-    j = (j.join(bounded_broadcast(cpt4.select(F.col("code").alias("_c4"), F.col("description").alias("_d4"))),
+    j = rows.join(code_map.select("code", "description"), "code", "left")
+    ref = F.regexp_replace("description", "^[^/]*/", "")  # all after the first slash
+    j = (j.join(cpt4.select(F.col("code").alias("_c4"), F.col("description").alias("_d4")),
                 F.col("description").contains("CPT4") & (F.col("_c4") == ref), "left")
-         .join(bounded_broadcast(icd10pcs.select(F.col("code").alias("_cp"), F.col("description").alias("_dp"))),
+         .join(icd10pcs.select(F.col("code").alias("_cp"), F.col("description").alias("_dp")),
                ~F.col("description").contains("CPT4") & F.col("description").contains("ICD10PCS") & (F.col("_cp") == ref),
                "left"))
     content = (F.when(F.col("description").contains("CPT4"), F.col("_d4"))
@@ -54,9 +53,9 @@ def measurements(sliced: DataFrame, code_map: DataFrame, item_map: DataFrame, ra
     missing values skipped; only the latest row per item kept."""
     m = sliced.where(~F.col("omop_table").isin("person", "note") &
                      ~F.lower("omop_table").rlike("drug|condition|procedure"))
-    m = (m.join(bounded_broadcast(item_map.select("code", "item_name")), "code", "left")
-         .join(bounded_broadcast(code_map.select("code", F.col("description").alias("_desc"))), "code", "left")
-         .join(bounded_broadcast(ranges), "item_name", "left"))
+    m = (m.join(item_map.select("code", "item_name"), "code", "left")
+         .join(code_map.select("code", F.col("description").alias("_desc")), "code", "left")
+         .join(ranges, "item_name", "left"))
     name = F.coalesce(F.col("item_name"), F.col("_desc"))
     num = F.col("value").try_cast("double")
     mapped = F.col("item_name").isNotNull()

@@ -18,7 +18,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.joins import bounded_broadcast
 from tidemark.session import materialize
 
 
@@ -43,7 +42,7 @@ def dense_positions(df: DataFrame, group: list[str], order: list[Column], out: s
     equal to ``row_number()`` over the same window."""
     tagged = segment(df, group, order, partitions)
     seg = _segments(tagged, group)
-    j = tagged.join(bounded_broadcast(seg.select(*group, "_pid", "_m0", "_off")), [*group, "_pid"])
+    j = tagged.join(seg.select(*group, "_pid", "_m0", "_off"), [*group, "_pid"])
     return j.withColumn(out, (F.col("_off") + F.col("_mono") - F.col("_m0") + 1).cast("bigint")).drop(
         "_mono", "_pid", "_m0", "_off")
 
@@ -57,7 +56,7 @@ def positions_and_runs(df: DataFrame, group: list[str], order: list[Column], kin
     seg = _segments(tagged, group, [F.max_by(F.col(kind), F.col("_mono")).alias("_last_kind")])
     wseg = Window.partitionBy(*group).orderBy("_pid")
     seg = seg.withColumn("_prev_seg_kind", F.lag("_last_kind").over(wseg))
-    j = tagged.join(bounded_broadcast(seg.select(*group, "_pid", "_m0", "_off", "_prev_seg_kind")), [*group, "_pid"])
+    j = tagged.join(seg.select(*group, "_pid", "_m0", "_off", "_prev_seg_kind"), [*group, "_pid"])
     # windows over one segment only: (partition id, group) keys, ordered by id
     w = Window.partitionBy("_pid", *group).orderBy("_mono")
     prev = F.coalesce(F.lag(kind).over(w), F.when(F.col("_mono") == F.col("_m0"), F.col("_prev_seg_kind")))
@@ -68,6 +67,6 @@ def positions_and_runs(df: DataFrame, group: list[str], order: list[Column], kin
     seg2 = marked.groupBy(*group, "_pid").agg(F.sum("_chg").alias("_segchg"))
     w2 = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     seg2 = seg2.withColumn("_chg_off", F.coalesce(F.sum("_segchg").over(w2), F.lit(0))).drop("_segchg")
-    out = marked.join(bounded_broadcast(seg2), [*group, "_pid"])
+    out = marked.join(seg2, [*group, "_pid"])
     return (out.withColumn(run, (F.col("_chg_off") + F.col("_cum") - 1).cast("bigint"))
             .drop("_mono", "_pid", "_m0", "_off", "_prev_seg_kind", "_chg", "_cum", "_chg_off"))

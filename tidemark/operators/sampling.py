@@ -17,7 +17,6 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.joins import bounded_broadcast
 from tidemark.functions.keys import uniform
 
 SAMPLE_KEY = ["subject_id", "event_idx", "task"]
@@ -34,7 +33,7 @@ def keyed_top_n(df: DataFrame, group: list[str], score: str, n_col: str, tiebrea
     w = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("_incl", F.sum("_cnt").over(w)).withColumn("_before", F.col("_incl") - F.col("_cnt"))
     # the histogram is (groups x buckets) rows: bounded by the bucket count per group
-    j = d.join(bounded_broadcast(hist), [*group, "_b"])
+    j = d.join(hist, [*group, "_b"])
     n = F.col(n_col)
     keep_all = n.isNull() | (n < 0) | (F.col("_incl") <= n)
     boundary = (F.col("_before") < n) & (F.col("_incl") > n)
@@ -58,7 +57,7 @@ def target_weight(index: DataFrame, key: list[str] = SAMPLE_KEY) -> DataFrame:
     join keyed by (task, value); the frequency table is broadcast when small)."""
     freq = target_freq(index)
     ex = index.select(*key, F.explode("target").alias("target_value"))
-    w = (ex.join(bounded_broadcast(freq), ["task", "target_value"])
+    w = (ex.join(freq, ["task", "target_value"])
          .groupBy(*key).agg((1.0 / F.avg("n")).alias("target_weight")))
     return index.join(w, key, "left")
 
@@ -66,7 +65,7 @@ def target_weight(index: DataFrame, key: list[str] = SAMPLE_KEY) -> DataFrame:
 # --- D3 - D8: filters ----------------------------------------------------------
 def subject_split(index: DataFrame, subjects: DataFrame, col: str = "subject_id") -> DataFrame:
     """D3: keep samples of listed subjects (semi join)."""
-    return index.join(bounded_broadcast(subjects.select(col).distinct()), col, "left_semi")
+    return index.join(subjects.select(col).distinct(), col, "left_semi")
 
 
 def context_length_filter(index: DataFrame, lo: int = 10, hi: int = 100) -> DataFrame:
@@ -221,7 +220,7 @@ def make_candidates(index: DataFrame, vocab: DataFrame, similar: DataFrame, seed
     ``limit`` known items: all of them. Otherwise ``limit`` keyed-sampled entries of
     the pooled neighbour lists of the labels, plus the labels; sorted, distinct.
 
-    ``vocab``: (task, item); ``similar``: (item, neighbour)."""
+    ``vocab``: (task, item); ``similar``: (task, item, neighbour). ``key`` holds the task."""
     sizes = vocab.groupBy("task").agg(F.count(F.lit(1)).alias("_nv"))
     small = vocab.join(sizes.where(F.col("_nv") <= limit), "task").groupBy("task") \
         .agg(F.array_sort(F.collect_list("item")).alias("_all"))
@@ -233,7 +232,7 @@ def make_candidates(index: DataFrame, vocab: DataFrame, similar: DataFrame, seed
     big = idx.where(~risk & F.col("_all").isNull())
     lab = big.select(*key, F.explode("target").alias("item"))
     # pooled neighbours of all labels of a sample, then up to ``limit`` of the pool
-    pool = (lab.join(similar, "item").withColumn("_u", uniform(seed, *key, "item", "neighbour"))
+    pool = (lab.join(similar, ["task", "item"]).withColumn("_u", uniform(seed, *key, "item", "neighbour"))
             .withColumn("_lim", F.lit(limit)))
     picked = keyed_top_n(pool, key, "_u", "_lim", ["item", "neighbour"])
     cands = picked.select(*key, F.col("neighbour").alias("c")).unionByName(lab.select(*key, F.col("item").alias("c")))

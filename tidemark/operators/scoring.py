@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring as fs
-from tidemark.functions.joins import bounded_broadcast
 from tidemark.functions.text import extract_answer, split_prediction
 
 SET_METRICS = ("em", "f1", "recall", "precision")
@@ -153,12 +152,12 @@ def ordered_prefix(df: DataFrame, group: list[str], order: str, value: str, out:
         return ordered_prefix(df, ["_g0"], order, value, out, buckets).drop("_g0")
     qs = [i / buckets for i in range(1, buckets)]
     bounds = df.groupBy(*group).agg(F.percentile_approx(order, qs, 10000).alias("_bounds"))
-    d = df.join(bounded_broadcast(bounds), group)
+    d = df.join(bounds, group)
     d = d.withColumn("_bk", F.size(F.filter("_bounds", lambda x: x < F.col(order)))).drop("_bounds")
     tot = d.groupBy(*group, "_bk").agg(F.sum(value).alias("_bsum"))
     wt = Window.partitionBy(*group).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.withColumn("_boff", F.coalesce(F.sum("_bsum").over(wt), F.lit(0)))
-    d = d.join(bounded_broadcast(tot.drop("_bsum")), [*group, "_bk"])
+    d = d.join(tot.drop("_bsum"), [*group, "_bk"])
     wi = Window.partitionBy(*group, "_bk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return d.withColumn(out, F.col("_boff") + F.coalesce(F.sum(value).over(wi), F.lit(0))).drop("_bk", "_boff")
 

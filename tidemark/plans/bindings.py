@@ -165,9 +165,6 @@ def stay_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return heads.unionByName(triage).unionByName(sub), stays
 
 
-# Subjects kept for the task index by event count (inclusive).
-EVENTS_MIN, EVENTS_MAX = 1, 1200
-
 # Decision tasks whose target key the bound rows carry (in ``target_text``).
 BOUND_TASKS = ("admissions", "labevents", "diagnoses_icd", "discharge")
 
@@ -181,7 +178,8 @@ def marked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(order_and_mark_auto(decoded_rows(spark, sf_dir)))
 
 
-def task_index_parts(spark: SparkSession, sf_dir: str, marked: DataFrame | None = None):
+def task_index_parts(spark: SparkSession, sf_dir: str, marked: DataFrame | None = None,
+                     max_events: int | None = None):
     """(prepared events, per-event targets) for the C/L/D queries.
 
     Stage boundaries are materialized: the run-marked row table (read by both the
@@ -193,9 +191,8 @@ def task_index_parts(spark: SparkSession, sf_dir: str, marked: DataFrame | None
     from tidemark.operators.timeline import event_count_filter
     marked = marked if marked is not None else marked_rows(spark, sf_dir)
     ev = eventize(marked, extra_first=("end_us", "dod_us"), marked=True)
-    # B15 with the reference's defaults: only subjects with 1..1200 events enter the
-    # index; this also bounds every subject-keyed window below
-    ev = event_count_filter(ev, EVENTS_MIN, EVENTS_MAX)
+    if max_events is not None:  # B15 is a choice of the caller, not a bound of the plan
+        ev = event_count_filter(ev, 1, max_events)
     prepared = materialize(lb.prepare(ev))
     targets = lb.extract_targets(marked, lb.task_event_map(spark), BOUND_TASKS)
     return prepared, targets

@@ -125,8 +125,7 @@ cte("o_ev", ("o_events",), """
          CASE WHEN file_name = 'diagnoses_icd'
               THEN lag(starttime_us) OVER (PARTITION BY subject_id ORDER BY event_idx) ELSE starttime_us END AS t_back,
          starttime_us AS t_fwd
-  FROM o_events e
-  WHERE subject_id IN (SELECT subject_id FROM o_events GROUP BY subject_id HAVING count(*) BETWEEN 1 AND 1200)""")
+  FROM o_events e""")
 
 cte("o_prep0", ("o_ev",), """
   SELECT a.*,

@@ -155,10 +155,10 @@ cte("o_obooks", (), """
 cte("o_ocontent", ("o_oslice", "o_obooks"), """
   SELECT x.*, CASE WHEN contains(b.description, 'CPT4')
                    THEN (SELECT 'procedure ' || s_name FROM supplier WHERE s_nationkey < 10
-                         AND CAST(s_suppkey AS VARCHAR) = split_part(b.description, '/', -1))
+                         AND CAST(s_suppkey AS VARCHAR) = regexp_replace(b.description, '^[^/]*/', ''))
                    WHEN contains(b.description, 'ICD10PCS')
                    THEN (SELECT 'pcs ' || p_brand FROM part WHERE p_size > 45
-                         AND CAST(p_partkey AS VARCHAR) = split_part(b.description, '/', -1))
+                         AND CAST(p_partkey AS VARCHAR) = regexp_replace(b.description, '^[^/]*/', ''))
                    ELSE b.description END AS content, b.description AS raw_desc
   FROM o_oslice x LEFT JOIN o_obooks b USING (code)""")
 cte("o_omeas", ("o_ocontent",), """

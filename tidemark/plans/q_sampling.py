@@ -269,6 +269,6 @@ def d_candidates(spark, sf):
     ranked = order_within(vocab, ["task"], [F.col("item")], "vpos")
     nxt = ranked.select("task", F.col("vpos").alias("_p"), F.col("item").alias("neighbour"))
     similar = (ranked.select("task", "item", F.explode(F.sequence(F.col("vpos") + 1, F.col("vpos") + 5)).alias("_p"))
-               .join(nxt, ["task", "_p"]).select("item", "neighbour").distinct())
+               .join(nxt, ["task", "_p"]).select("task", "item", "neighbour").distinct())
     c = sm.make_candidates(idx, vocab, similar, SEED)
     return c.select(*KEY, F.array_join("candidates", "|").alias("candidates"))

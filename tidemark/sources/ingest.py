@@ -62,8 +62,7 @@ def read_sample_list(spark: SparkSession, path: str) -> DataFrame:
 def read_sample_config(spark: SparkSession, config: str | dict) -> DataFrame:
     """Task -> sample count (-1 = all) as a small DataFrame (broadcast later)."""
     if isinstance(config, str):
-        with open(config) as fh:
-            config = json.load(fh)
+        config = json.loads(spark.read.text(config, wholetext=True).first()[0])
     return spark.createDataFrame([(k, int(v)) for k, v in config.items()], "task string, quota bigint")
 
 
