@@ -79,4 +79,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_url_filters, op2_html_extraction, op3_quality_rules, op4_chat_formatting, op5_line_dedup, op6_warc,
     op7_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_classifier, op10_best_fit_packing, pipeline)}
 
-ORACLES: dict[str, str] = {}
+_SPACE = r"[\x20\x09-\x0D]"
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+ORACLES: dict[str, str] = {
+    "op1_url_filters": f"""
+WITH rules(r_host, r_path, r_verdict) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+parts AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {_LOWER}), '') AS host,
+                 coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+fits AS (SELECT p.*, r_host || r_path AS rule, r_verdict FROM parts p LEFT JOIN rules
+         ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path))
+SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM fits
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) = 1""",
+    "op4_chat_formatting": r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+c AS (SELECT conv_id, list({'r': role, 'x': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns,
+             string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10), ''
+                        ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS chat FROM t GROUP BY conv_id),
+inner_ AS (SELECT DISTINCT turns[1:k] AS prefix FROM (SELECT turns, unnest(range(1, len(turns))) AS k FROM c)),
+whole AS (SELECT min(conv_id) AS conv_id, len(turns) AS n_turns, count(*) AS n_copies, any_value(chat) AS chat, turns FROM c GROUP BY turns)
+SELECT conv_id, n_turns, n_copies, chat FROM whole WHERE NOT EXISTS (SELECT 1 FROM inner_ WHERE prefix = turns)""",
+    "op5_line_dedup": rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(regexp_replace(line, '^{_SPACE}+|{_SPACE}+$', '', 'g'), {_LOWER}) AS key FROM l),
+s AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+j AS (SELECT k.*, s.last IS NOT NULL AND k.doc_id <> s.last AS gone FROM k LEFT JOIN s USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+         (CAST('0x' || substr(hex, CAST(i // 8 * 10 + 1 AS INTEGER), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31) AS INTEGER), 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (html)""",
+    "op7_benchmark_decontamination": rf"""
+WITH i AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_ALNUM}') AS w FROM benchmark),
+n AS (SELECT item, w, least(10, len(w)) AS m FROM i WHERE len(w) > 0),
+p AS (SELECT DISTINCT item, m, w[k:k + m - 1] AS win FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS k FROM n)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_ALNUM}') AS w FROM documents),
+dw AS (SELECT doc_id, m, k, w[k:k + m - 1] AS win FROM (
+  SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d JOIN (SELECT DISTINCT m FROM p) ON len(w) >= m)),
+h AS (SELECT doc_id, k, dw.m, item FROM dw JOIN p ON dw.win = p.win AND dw.m = p.m),
+x AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + m)) AS spot FROM h) GROUP BY doc_id),
+s AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256,
+       n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN x USING (doc_id) LEFT JOIN s USING (doc_id)""",
+}
