@@ -93,6 +93,38 @@ fits AS (SELECT p.*, r_host || r_path AS rule, r_verdict FROM parts p LEFT JOIN
          ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path))
 SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM fits
 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) = 1""",
+    "op3_quality_rules": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+             list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
+win AS (SELECT r, k, count(*) OVER (PARTITION BY r, w[k:k + 7]) AS n FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS k FROM t)),
+rep AS (SELECT r, count(DISTINCT spot) AS n FROM (SELECT r, unnest(range(k, k + 8)) AS spot FROM win WHERE n > 1) GROUP BY r),
+c AS (SELECT r, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+             len(ls) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words FROM t LEFT JOIN rep USING (r)),
+slack(measure, slack, two_sided) AS (VALUES {", ".join(f"('{m}', {s}, {m in quality_rules.TWO_SIDED})" for m, s in quality_rules.MEASURES.items())}),
+m AS (SELECT r, lang, source, 'symbols' AS measure, n_symbols * 1000 // greatest(n_words, 1) AS v FROM c
+      UNION ALL SELECT r, lang, source, 'dup_lines', n_dup_lines * 1000 // greatest(n_lines, 1) FROM c
+      UNION ALL SELECT r, lang, source, 'word_length', word_chars * 1000 // greatest(n_words, 1) FROM c
+      UNION ALL SELECT r, lang, source, 'repeats', n_repeat_words * 1000 // greatest(n_words, 1) FROM c),
+b AS (SELECT *, v - v % CAST(pow(2, greatest(length(bin(v)) - 6, 0)) AS BIGINT) AS bucket FROM m),
+g AS (SELECT grouping(lang, source) AS level, lang, source, measure, count(*) AS n,
+             quantile_disc(bucket, 0.25) AS q25, quantile_disc(bucket, 0.5) AS q50, quantile_disc(bucket, 0.75) AS q75
+      FROM b GROUP BY GROUPING SETS ((lang, source, measure), (lang, measure), (measure))),
+e AS (SELECT g.*, q50 + greatest(slack, (q75 - q50) * 6) AS high,
+             CASE WHEN two_sided THEN q50 - greatest(slack, (q50 - q25) * 6) ELSE -1 END AS low FROM g JOIN slack USING (measure)),
+f AS (SELECT o.lang, o.source, o.measure, o.n >= 50 AND o.q75 <= CASE WHEN l.n >= 50 THEN l.high ELSE a.high END AS own,
+             o.low AS o_low, o.high AS o_high, CASE WHEN l.n >= 50 THEN l.low ELSE a.low END AS w_low,
+             CASE WHEN l.n >= 50 THEN l.high ELSE a.high END AS w_high
+      FROM (SELECT * FROM e WHERE level = 0) o
+      JOIN (SELECT * FROM e WHERE level = 1) l ON l.measure = o.measure AND l.lang IS NOT DISTINCT FROM o.lang
+      JOIN (SELECT * FROM e WHERE level = 3) a ON a.measure = o.measure),
+odd AS (SELECT DISTINCT r FROM m JOIN f ON f.measure = m.measure AND f.lang IS NOT DISTINCT FROM m.lang
+        AND f.source IS NOT DISTINCT FROM m.source
+        WHERE v > CASE WHEN own THEN o_high ELSE w_high END OR v < CASE WHEN own THEN o_low ELSE w_low END)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND r NOT IN (SELECT r FROM odd) AS kept FROM c""",
     "op4_chat_formatting": r"""
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 c AS (SELECT conv_id, list({'r': role, 'x': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns,
