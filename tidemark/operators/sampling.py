@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.buckets import bucket_of, quantile_bounds
 from tidemark.functions.keys import uniform
 
 SAMPLE_KEY = ["subject_id", "event_idx", "task"]
@@ -24,10 +25,11 @@ CODE_TASKS = ("procedures_icd", "procedures_ccs", "diagnoses_icd", "diagnoses_cc
 
 
 def keyed_top_n(df: DataFrame, group: list[str], score: str, n_col: str, tiebreak: list[str],
-                buckets: int = 1024) -> DataFrame:
-    """Rows with the ``n`` smallest ``score`` (in [0, 1)) per group; ``n`` is a column
-    (NULL or negative = keep all). Exact; ties broken by ``tiebreak``."""
-    b = F.least(F.floor(F.col(score) * buckets), F.lit(buckets - 1)).cast("int")
+                buckets: int = 1024, bucket: Column | None = None) -> DataFrame:
+    """Rows with the ``n`` smallest ``score`` per group; ``n`` is a column (NULL or
+    negative = keep all). Exact; ties broken by ``tiebreak``. Equal slices of [0, 1)
+    are the buckets unless ``bucket``, a number that rises with the score, is given."""
+    b = bucket if bucket is not None else F.least(F.floor(F.col(score) * buckets), F.lit(buckets - 1)).cast("int")
     d = df.withColumn("_b", b)
     hist = d.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
@@ -37,10 +39,10 @@ def keyed_top_n(df: DataFrame, group: list[str], score: str, n_col: str, tiebrea
     n = F.col(n_col)
     keep_all = n.isNull() | (n < 0) | (F.col("_incl") <= n)
     boundary = (F.col("_before") < n) & (F.col("_incl") > n)
-    # one pass: rank inside each (group, bucket) - a bucket holds ~1/buckets of its
-    # group - and keep whole buckets below the cut plus the head of the cut bucket
+    # one pass: buckets beyond the cut go before anything is sorted; the rest is ranked
+    # inside its (group, bucket) - ~1/buckets of the group - and the cut bucket's head stays
     wb = Window.partitionBy(*group, "_b").orderBy(F.col(score), *[F.col(c) for c in tiebreak])
-    ranked = j.withColumn("_r", F.row_number().over(wb))
+    ranked = j.where(keep_all | boundary).withColumn("_r", F.row_number().over(wb))
     kept = ranked.where(keep_all | (boundary & (F.col("_r") <= n - F.col("_before"))))
     return kept.select(*df.columns)
 
@@ -129,10 +131,15 @@ def weighted_score(u, w):
 
 def sample_weighted(index: DataFrame, quota: DataFrame, seed: int = 42, weight: str = "target_weight",
                     key: list[str] = SAMPLE_KEY) -> DataFrame:
-    """Weighted sampling without replacement (keyed exponential trick)."""
+    """Weighted sampling without replacement (keyed exponential trick). The scores of
+    a hot label's equal weights crowd together, so the buckets are quantiles of the scores."""
+    buckets = 1024
     d = (index.join(F.broadcast(quota.select("task", "n_take")), "task")
          .withColumn("_s", weighted_score(uniform(seed, *key), F.col(weight))))
-    return keyed_top_n(d, ["task"], "_s", "n_take", key, buckets=4096).drop("_s", "n_take")
+    # one row for each task of the sampling configuration
+    bounds = F.broadcast(d.groupBy("task").agg(quantile_bounds("_s", buckets).alias("_bounds")))
+    return keyed_top_n(d.join(bounds, "task").withColumn("_bk", bucket_of("_s", "_bounds", buckets)).drop("_bounds"),
+                       ["task"], "_s", "n_take", key, bucket=F.col("_bk")).drop("_s", "_bk", "n_take")
 
 
 def sample_balanced(index: DataFrame, quota: DataFrame, seed: int = 42, key: list[str] = SAMPLE_KEY) -> DataFrame:

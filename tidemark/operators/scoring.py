@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.buckets import bucket_of, quantile_bounds
 from tidemark.functions import scoring as fs
 from tidemark.functions.text import extract_answer, split_prediction
 
@@ -150,10 +151,9 @@ def ordered_prefix(df: DataFrame, group: list[str], order: str, value: str, out:
     if not group:  # one global order: a constant key keeps every join an equi-join
         df = df.withColumn("_g0", F.lit(0))
         return ordered_prefix(df, ["_g0"], order, value, out, buckets).drop("_g0")
-    qs = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(*group).agg(F.percentile_approx(order, qs, 10000).alias("_bounds"))
+    bounds = df.groupBy(*group).agg(quantile_bounds(order, buckets).alias("_bounds"))
     d = df.join(bounds, group)
-    d = d.withColumn("_bk", F.size(F.filter("_bounds", lambda x: x < F.col(order)))).drop("_bounds")
+    d = d.withColumn("_bk", bucket_of(order, "_bounds", buckets)).drop("_bounds")
     tot = d.groupBy(*group, "_bk").agg(F.sum(value).alias("_bsum"))
     wt = Window.partitionBy(*group).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.withColumn("_boff", F.coalesce(F.sum("_bsum").over(wt), F.lit(0)))

@@ -33,7 +33,7 @@ def rows(spark, sf):
                       F.lit(0).cast("bigint").alias("k1"), F.lit(0).alias("k2"))
     tbl = (F.when(F.col("l_linestatus") == "F", F.lit("measurement"))
            .when(F.col("l_returnflag") == "R", F.lit("condition_occurrence")).otherwise(F.lit("drug_exposure")))
-    code = (F.when(F.col("l_linestatus") == "F", F.concat(F.lit("LOINC/"), (F.col("l_partkey") % 40 + 1).cast("string")))
+    code = (F.when(F.col("l_linestatus") == "F", F.concat(F.lit("LOINC/"), F.col("l_suppkey").cast("string")))
             .when(F.col("l_returnflag") == "R", F.concat(F.lit("ICD10CM/"), F.col("l_suppkey").cast("string")))
             .otherwise(F.concat(F.lit("RxNorm/"), F.col("l_partkey").cast("string"))))
     meas = F.col("l_linestatus") == "F"
@@ -85,9 +85,8 @@ def books(spark, sf):
     p, s, c = table(spark, sf, "part"), table(spark, sf, "supplier"), table(spark, sf, "customer")
     code_map = (c.select(F.concat(F.lit("SEG/"), "c_mktsegment").alias("code"),
                          F.concat(F.lit("segment "), F.lower("c_mktsegment")).alias("description")).distinct()
-                .unionByName(p.where(F.col("p_partkey") <= 40).select(
-                    F.concat(F.lit("LOINC/"), F.col("p_partkey").cast("string")).alias("code"),
-                    F.col("p_name").alias("description")))
+                .unionByName(s.select(F.concat(F.lit("LOINC/"), F.col("s_suppkey").cast("string")).alias("code"),
+                                      F.concat(F.lit("lab "), "s_name").alias("description")))
                 .unionByName(p.select(F.concat(F.lit("RxNorm/"), F.col("p_partkey").cast("string")).alias("code"),
                                       F.when(F.col("p_size") > 40, F.concat(F.lit("ICD10PCS/"), F.col("p_partkey").cast("string")))
                                       .otherwise(F.concat_ws(" ", F.lower("p_type"), F.col("p_name"))).alias("description")))
@@ -98,8 +97,8 @@ def books(spark, sf):
                                                       F.concat(F.lit("procedure "), F.col("s_name")).alias("description"))
     pcs = p.where(F.col("p_size") > 45).select(F.col("p_partkey").cast("string").alias("code"),
                                                F.concat(F.lit("pcs "), F.col("p_brand")).alias("description"))
-    item_map = p.where(F.col("p_partkey") <= 20).select(
-        F.concat(F.lit("LOINC/"), F.col("p_partkey").cast("string")).alias("code"), F.col("p_name").alias("item_name"))
+    item_map = s.where(F.col("s_acctbal") >= 2500).select(  # the other lab codes keep their description
+        F.concat(F.lit("LOINC/"), F.col("s_suppkey").cast("string")).alias("code"), F.concat(F.lit("item "), "s_name").alias("item_name"))
     ranges = item_map.select("item_name").distinct().select(
         "item_name", F.lit("10").alias("ref_low"), F.lit("40").alias("ref_high"), F.lit("mg").alias("ref_unit"))
     return code_map, cpt4, pcs, item_map, ranges
@@ -120,7 +119,7 @@ cte("o_orows", (), f"""
     SELECT o_custkey,
            CASE WHEN l_linestatus = 'F' THEN 'measurement' WHEN l_returnflag = 'R' THEN 'condition_occurrence'
                 ELSE 'drug_exposure' END,
-           CASE WHEN l_linestatus = 'F' THEN 'LOINC/' || CAST(l_partkey % 40 + 1 AS VARCHAR)
+           CASE WHEN l_linestatus = 'F' THEN 'LOINC/' || CAST(l_suppkey AS VARCHAR)
                 WHEN l_returnflag = 'R' THEN 'ICD10CM/' || CAST(l_suppkey AS VARCHAR) ELSE 'RxNorm/' || CAST(l_partkey AS VARCHAR) END,
            CASE WHEN l_linestatus = 'F' AND l_discount <> 0 THEN printf('%.1f', l_quantity) END,
            CASE WHEN l_linestatus = 'F' THEN 'mg' END, epoch_us(l_shipdate), l_orderkey, l_linenumber
@@ -145,7 +144,7 @@ cte("o_oslice", ("o_osamples",), """
     ON r.patient_id = s.patient_id AND r.pos BETWEEN s.period_begin AND s.period_end""")
 cte("o_obooks", (), """
   SELECT DISTINCT 'SEG/' || c_mktsegment AS code, 'segment ' || lower(c_mktsegment) AS description FROM customer
-  UNION ALL SELECT 'LOINC/' || CAST(p_partkey AS VARCHAR), p_name FROM part WHERE p_partkey <= 40
+  UNION ALL SELECT 'LOINC/' || CAST(s_suppkey AS VARCHAR), 'lab ' || s_name FROM supplier
   UNION ALL SELECT 'RxNorm/' || CAST(p_partkey AS VARCHAR),
                    CASE WHEN p_size > 40 THEN 'ICD10PCS/' || CAST(p_partkey AS VARCHAR) ELSE lower(p_type) || ' ' || p_name END
             FROM part
@@ -165,17 +164,17 @@ cte("o_omeas", ("o_ocontent",), """
   SELECT * FROM (
     SELECT sample_id, omop_table, ord, name, value, flag, line,
            row_number() OVER (PARTITION BY sample_id, omop_table, name ORDER BY ord DESC) AS rk FROM (
-      SELECT x.*, coalesce(im.p_name, x.raw_desc) AS name,
-             CASE WHEN im.p_name IS NOT NULL THEN
+      SELECT x.*, coalesce(im.item_name, x.raw_desc) AS name,
+             CASE WHEN im.item_name IS NOT NULL THEN
                CASE WHEN TRY_CAST(value AS DOUBLE) >= 10 AND TRY_CAST(value AS DOUBLE) <= 40 THEN 'normal' ELSE 'abnormal' END
              END AS flag,
-             '| ' || CASE WHEN im.p_name IS NOT NULL
-                 THEN im.p_name || ' | ' || value || ' | mg | 10 | 40 | ' ||
+             '| ' || CASE WHEN im.item_name IS NOT NULL
+                 THEN im.item_name || ' | ' || value || ' | mg | 10 | 40 | ' ||
                       CASE WHEN TRY_CAST(value AS DOUBLE) >= 10 AND TRY_CAST(value AS DOUBLE) <= 40 THEN 'normal' ELSE 'abnormal' END
                  ELSE x.raw_desc || ' | ' || value || ' | ' || coalesce(unit, 'None') || ' | nan | nan | nan' END || ' |' AS line,
-             im.p_name IS NOT NULL AS mapped
-      FROM o_ocontent x LEFT JOIN (SELECT 'LOINC/' || CAST(p_partkey AS VARCHAR) AS code, p_name FROM part
-                                   WHERE p_partkey <= 20) im USING (code)
+             im.item_name IS NOT NULL AS mapped
+      FROM o_ocontent x LEFT JOIN (SELECT 'LOINC/' || CAST(s_suppkey AS VARCHAR) AS code, 'item ' || s_name AS item_name FROM supplier
+                                   WHERE s_acctbal >= 2500) im USING (code)
       WHERE omop_table NOT IN ('person', 'note') AND NOT regexp_matches(lower(omop_table), 'drug|condition|procedure'))
     WHERE name IS NOT NULL AND value IS NOT NULL AND (NOT mapped OR TRY_CAST(value AS DOUBLE) IS NOT NULL))
   WHERE rk = 1""")

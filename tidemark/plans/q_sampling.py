@@ -88,9 +88,9 @@ def d_semi_subject(spark, sf):
 
 @query("d_ctx_len", ctes("o_index") + """
 SELECT subject_id, event_idx, task, target FROM o_index
-WHERE context_end - context_begin > 10 AND context_end - context_begin < 100""")
+WHERE context_end - context_begin > 2 AND context_end - context_begin < 5""")
 def d_ctx_len(spark, sf):
-    return _flat(sm.context_length_filter(_index(spark, sf)))
+    return _flat(sm.context_length_filter(_index(spark, sf), 2, 5))
 
 
 @query("d_admit_cover", ctes("o_index") + """
@@ -126,9 +126,9 @@ def d_semi_label(spark, sf):
 
 @query("d_label_len", ctes("o_index") + """
 SELECT subject_id, event_idx, task, target FROM o_index
-WHERE task <> 'chartevents' OR len(string_split(target, '|')) < 10""")
+WHERE task NOT IN ('labevents', 'diagnoses_icd') OR len(string_split(target, '|')) < 2""")
 def d_label_len(spark, sf):
-    return _flat(sm.label_len_filter(_index(spark, sf)))
+    return _flat(sm.label_len_filter(_index(spark, sf), ("labevents", "diagnoses_icd"), 2))
 
 
 @query("d_quota", ctes("o_quota") + "SELECT * FROM o_quota")
@@ -215,11 +215,11 @@ SELECT source, subject_id, event_idx, task, round(t, 9) AS t FROM (
   FROM (SELECT *, {uniform_sql(SEED, "source || ':' || " + KEY_SQL)} AS u,
                greatest(0.0, 1.0 - 2.0 * (count(*) FILTER (WHERE source = 'b') OVER ())
                                     / (count(*) FILTER (WHERE source = 'a') OVER ())) AS theta
-        FROM (SELECT *, CASE WHEN task IN ({RISK_SQL}) THEN 'a' ELSE 'b' END AS source FROM o_index)))""")
+        FROM (SELECT *, CASE WHEN task IN ('discharge', 'diagnoses_icd') THEN 'b' ELSE 'a' END AS source FROM o_index)))""")
 def d_curriculum_mix(spark, sf):
     idx = _index(spark, sf).select(*KEY)
-    a = idx.where(F.col("task").isin(*RISK))
-    bb = idx.where(~F.col("task").isin(*RISK))
+    late = F.col("task").isin("discharge", "diagnoses_icd")
+    a, bb = idx.where(~late), idx.where(late)
     return sm.curriculum_mix(a, bb, SEED, KEY).select("source", *KEY, F.round("t", 9).alias("t"))
 
 

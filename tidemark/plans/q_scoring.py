@@ -189,14 +189,14 @@ def g_score_dispatch(spark, sf):
 
 
 @query("g_split_pred", """
-SELECT conv_id, turn, len(parts) AS n_parts, parts[1] AS first_part FROM (
+SELECT conv_id, turn, len(parts) AS n_parts, array_to_string(parts, '|') AS all_parts FROM (
   SELECT conv_id, turn, list_transform(CASE WHEN contains(text, '\\n') THEN string_split(text, '\\n')
                                              ELSE string_split(text, chr(10)) END, lambda x: trim(x)) AS parts
   FROM conversations WHERE role = 'assistant')""")
 def g_split_pred(spark, sf):
     c = table(spark, sf, "conversations").where(F.col("role") == "assistant")
     parts = split_prediction("text")
-    return c.select("conv_id", "turn", F.size(parts).cast("bigint").alias("n_parts"), F.try_element_at(parts, F.lit(1)).alias("first_part"))
+    return c.select("conv_id", "turn", F.size(parts).cast("bigint").alias("n_parts"), F.array_join(parts, "|").alias("all_parts"))
 
 
 @query("g_score_multi", ctes("o_scored_in") + f"""
@@ -325,20 +325,24 @@ def g_split_think(spark, sf):
     return p.select(*KEYP, s["reasoning"].alias("reasoning"), s["answer"].alias("answer"))
 
 
-_LAB_SQL = f"list_slice(list_sort(list_distinct({_tok_sql('q')})), 1, 3)"
+_LAB_SQL = f"list_sort(list_distinct({_tok_sql('q')}))"
+
+#: An answer longer than its question closes by restating it, so that some answers hold their labels and others don't.
+_RECAP_SQL = "CASE WHEN length(a) > length(q) THEN a || ' Final Results ' || lower(q) ELSE a END"
 
 
 @query("g_reason_filter", ctes("o_pairs") + f"""
 SELECT conv_id, count(*) AS n_kept, CAST(sum(length(a)) AS BIGINT) AS kept_chars FROM (
   SELECT conv_id, a, labs,
          len(list_filter(labs, lambda l: contains(string_split(a, 'Final Results')[-1], l))) / len(labs) AS ratio
-  FROM (SELECT conv_id, a, {_LAB_SQL} AS labs FROM o_pairs) WHERE len(labs) > 0)
+  FROM (SELECT conv_id, {_RECAP_SQL} AS a, {_LAB_SQL} AS labs FROM o_pairs) WHERE len(labs) > 0)
 WHERE ratio >= 0.7 AND NOT contains(lower(a), 'ground truth')
   AND NOT contains(a, 'Extraction and Analysis') AND NOT contains(a, 'Reasoning and Summary')
 GROUP BY conv_id""")
 def g_reason_filter(spark, sf):
-    p = pairs(spark, sf).where(F.size(so.rouge_tokens("q")) > 0)
-    rows = p.select("conv_id", "turn", F.slice(F.array_sort(F.array_distinct(so.rouge_tokens("q"))), 1, 3).alias("labels"),
+    recap = F.when(F.length("a") > F.length("q"), F.concat("a", F.lit(" Final Results "), F.lower("q"))).otherwise(F.col("a"))
+    p = pairs(spark, sf).where(F.size(so.rouge_tokens("q")) > 0).withColumn("a", recap)
+    rows = p.select("conv_id", "turn", F.array_sort(F.array_distinct(so.rouge_tokens("q"))).alias("labels"),
                     F.array("a").alias("reasonings"), F.lit("conv").alias("task"), "a")
     kept = so.reasoning_filter(rows)
     return kept.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_kept"), F.sum(F.length("a")).cast("bigint").alias("kept_chars"))
@@ -346,7 +350,7 @@ def g_reason_filter(spark, sf):
 
 _NB = "list_filter(list_transform(string_split({x}, chr(10)), lambda s: trim(s)), lambda s: s <> '')"
 _TAIL = "split_part(completion, '</think>', -1)"
-_RV_P, _RV_R, _RV_F = _prf_sql(_lower_list(f"list_slice({_NB.format(x='a')}, 1, 2)"), _lower_list(_NB.format(x=_TAIL)))
+_RV_P, _RV_R, _RV_F = _prf_sql(_lower_list(_NB.format(x='a')), _lower_list(_NB.format(x=_TAIL)))
 
 
 @query("g_reward_verify", ctes("o_pairs") + f"""
@@ -355,7 +359,7 @@ FROM o_pairs""")
 def g_reward_verify(spark, sf):
     from tidemark.functions.text import nonblank_lines
     p = pairs(spark, sf)
-    labels = F.slice(nonblank_lines("a"), 1, 2)
+    labels = nonblank_lines("a")
     return p.select(*KEYP, F.round(fs.reward_verify("completion", labels, F.lit("em")), 6).alias("reward"))
 
 

@@ -27,7 +27,7 @@ def _scratch(spark, name):
 @query("a_items_roundtrip", ctes("o_marked") + """
 SELECT subject_id, event_idx, count(*) AS n_items,
        string_agg(CAST(row_id AS VARCHAR), '|' ORDER BY pos) AS item_rows,
-       first(coalesce(target_text, '') ORDER BY pos) AS first_text
+       string_agg(coalesce(target_text, ''), '|' ORDER BY pos) AS item_texts
 FROM o_marked GROUP BY subject_id, event_idx""")
 def a_items_roundtrip(spark, sf):
     items = tl.run_items(b.marked_rows(spark, sf), ["row_id", "target_text"], marked=True)
@@ -40,7 +40,90 @@ def a_items_roundtrip(spark, sf):
     back = ingest.read_trajectory(spark, path)
     return back.select("subject_id", "event_idx", F.size("items").cast("bigint").alias("n_items"),
                        F.array_join(F.transform("items", lambda m: m["row_id"]), "|").alias("item_rows"),
-                       F.try_element_at("items", F.lit(1))["target_text"].alias("first_text"))
+                       F.array_join(F.transform("items", lambda m: m["target_text"]), "|").alias("item_texts"))
+
+
+_CSV_SCHEMA = "subject_id bigint, order_id bigint, priority string, price double"
+
+
+@query("a_scan_events", """
+SELECT o_custkey AS subject_id, o_orderkey AS order_id, CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority END AS priority,
+       CAST(o_totalprice AS DOUBLE) AS price, 'orders' AS file_name FROM orders""")
+def a_scan_events(spark, sf):
+    path = _scratch(spark, "orders-csv")
+    o = table(spark, sf, "orders")
+    missing = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit("nan")).otherwise(F.col("o_orderpriority"))
+    o.select(F.col("o_custkey").alias("subject_id"), F.col("o_orderkey").alias("order_id"), missing.alias("priority"),
+             F.col("o_totalprice").cast("double").alias("price")).write.option("header", True).csv(path)
+    return ingest.scan_events(spark, path, "orders", _CSV_SCHEMA)
+
+
+@query("a_select_unify", """
+SELECT c_custkey AS subject_id, c_mktsegment AS segment, CAST(NULL AS BIGINT) AS order_id, 0 AS source_rank FROM customer
+UNION ALL SELECT o_custkey, NULL, o_orderkey, 1 FROM orders""")
+def a_select_unify(spark, sf):
+    subject = F.col("c_custkey").alias("subject_id")
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("subject_id"), F.col("o_orderkey").alias("order_id"))
+    tables = {"hosp": table(spark, sf, "customer").select(subject, F.col("c_mktsegment").alias("segment")), "icu": orders,
+              "detail": orders, "d_items": table(spark, sf, "part")}
+    return ingest.unify_sources(ingest.select_event_tables(tables, exclude=("detail",)), {"hosp": 0, "icu": 1})
+
+
+_ROWS_SQL = "SELECT subject_id, event_idx, task, target FROM o_index"
+
+
+def _index_rows(spark, sf):
+    return b.task_index(spark, sf).select(*KEY, F.array_join("target", "|").alias("target"))
+
+
+@query("a_by_patient", ctes("o_index") + _ROWS_SQL)
+def a_by_patient(spark, sf):
+    path = _scratch(spark, "by-patient")
+    sinks.write_by_patient(_index_rows(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+@query("a_task_index_files", ctes("o_index") + f"SELECT 'task' AS layout, * FROM ({_ROWS_SQL}) UNION ALL SELECT 'patient', * FROM ({_ROWS_SQL})")
+def a_task_index_files(spark, sf):
+    rows, back = _index_rows(spark, sf), []
+    for by in ("task", "patient"):
+        path = _scratch(spark, f"index-{by}")
+        sinks.write_task_index(rows, path, by)
+        back.append(spark.read.parquet(path).select(F.lit(by).alias("layout"), *KEY, "target"))
+    return back[0].unionByName(back[1])
+
+
+@query("a_sample_list", ctes("o_index") + f"""
+SELECT CAST(subject_id AS VARCHAR) AS subject_id, CAST(event_idx AS VARCHAR) AS event_idx, task FROM o_index
+UNION ALL SELECT CAST(subject_id AS VARCHAR), CAST(event_idx AS VARCHAR), task FROM o_index WHERE subject_id IN {_SPLIT_SQL}""")
+def a_sample_list(spark, sf):
+    rows = b.task_index(spark, sf).select(F.col("subject_id").cast("string"), F.col("event_idx").cast("string"), "task")
+    seg = table(spark, sf, "customer").where(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").cast("string").alias("subject_id"))
+    folder = _scratch(spark, "samples")
+    rows.write.option("header", True).csv(f"{folder}/all.csv")
+    rows.join(seg, "subject_id", "left_semi").write.json(f"{folder}/some.jsonl")
+    return ingest.read_sample_list(spark, f"{folder}/all.csv").unionByName(ingest.read_sample_list(spark, f"{folder}/some.jsonl"))
+
+
+@query("a_sample_config", ctes("o_index") + "SELECT task, CAST(count(*) // 2 AS BIGINT) AS quota FROM o_index GROUP BY task")
+def a_sample_config(spark, sf):
+    path = _scratch(spark, "config")
+    half = b.task_index(spark, sf).groupBy("task").agg(F.floor(F.count(F.lit(1)) / 2).alias("quota"))
+    entries = F.map_from_entries(F.collect_list(F.struct("task", "quota")))  # one entry a task
+    half.agg(F.to_json(entries).alias("value")).coalesce(1).write.text(path)
+    return ingest.read_sample_config(spark, path)
+
+
+@query("a_scored_log", ctes("o_index") + "SELECT task, count(*) AS n_scored, count(*) FILTER (score = 1) AS n_right FROM "
+       "(SELECT task, CASE WHEN target = 'no' THEN 1 ELSE 0 END AS score FROM o_index) GROUP BY task")
+def a_scored_log(spark, sf):
+    path = _scratch(spark, "scored")
+    rows = _index_rows(spark, sf).withColumn("score", (F.col("target") == "no").cast("int"))
+    late = F.col("event_idx") >= 30
+    for part in (rows.where(~late), rows.where(late)):  # two appends to one log
+        sinks.write_scored_log(part, path)
+    log = spark.read.schema("task string, score int").json(path)
+    return log.groupBy("task").agg(F.count(F.lit(1)).alias("n_scored"), F.count_if(F.col("score") == 1).alias("n_right"))
 
 
 @query("a_resume_anti", ctes("o_index") + f"""

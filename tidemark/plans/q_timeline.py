@@ -186,7 +186,7 @@ def b_merge_stays(spark, sf):
 
 
 @query("b_len_filter", ctes("o_events") + """
-SELECT subject_id, count(*) AS n_events FROM o_events GROUP BY subject_id HAVING count(*) BETWEEN 1 AND 1200""")
+SELECT subject_id, count(*) AS n_events FROM o_events GROUP BY subject_id HAVING count(*) BETWEEN 50 AND 70""")
 def b_len_filter(spark, sf):
-    ev = tl.event_count_filter(b.events(spark, sf))
+    ev = tl.event_count_filter(b.events(spark, sf), 50, 70)
     return ev.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_events"))

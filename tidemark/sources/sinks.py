@@ -20,12 +20,15 @@ def write_trajectory(events: DataFrame, path: str, items: str = "items") -> None
 
 
 def write_task_index(index: DataFrame, path: str, by: str = "task") -> None:
-    """One directory per task (``partitionBy``) or per subject bucket."""
+    """One directory per task (``partitionBy``), or files clustered by subject.
+
+    The rebalance hint leaves file count and size to the data: adaptive execution splits a
+    task or subject with many rows over several writers and merges small ones."""
     if by == "task":
-        index.repartition("task").write.mode("overwrite").partitionBy("task").parquet(path)
+        index.hint("rebalance", "task").write.mode("overwrite").partitionBy("task").parquet(path)
     else:
-        (index.withColumn("bucket", F.pmod(F.xxhash64("subject_id"), F.lit(256)))
-         .repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path))
+        (index.hint("rebalance", "subject_id").sortWithinPartitions("subject_id")
+         .write.mode("overwrite").parquet(path))
 
 
 def write_scored_log(scored: DataFrame, path: str) -> DataFrame:
