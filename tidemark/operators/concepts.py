@@ -98,27 +98,20 @@ def word_tokens(text):
 
 
 def text_concepts(docs: DataFrame, key: str, text: str, terms: DataFrame, max_n: int = 3) -> DataFrame:
-    """n-grams (1..max_n words) of each text joined with a term dictionary;
-    a match inside a longer match is dropped (longest match wins). Row-local
-    n-gram generation, a size-checked broadcast of the dictionary, and an
-    equi-join on (key, position) for the containment test."""
+    """n-grams (1..max_n words) of each text joined with a term dictionary; a match
+    inside a longer match is dropped (longest match wins). The texts are read once, the
+    n-grams are row-local, and one window per document finds the matches inside others:
+    in order of start, then longest first, an earlier match reaches at least as far."""
     toks = docs.select(key, word_tokens(F.col(text)).alias("_w"))
-    grams = []
-    for n in range(1, max_n + 1):
-        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(
-            F.array().cast("array<int>"))
-        g = toks.select(key, F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("_w", i, n), " ")))
-                        .alias("start", "term"))
-        grams.append(g.withColumn("n", F.lit(n)))
-    allg = grams[0]
-    for g in grams[1:]:
-        allg = allg.unionByName(g)
-    hits = allg.join(terms.select("term").distinct(), "term")
-    covered = (hits.where(F.col("n") > 1)
-               .select(key, F.col("start").alias("s2"), F.col("n").alias("n2"),
-                       F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("start")))
-    dominated = (hits.join(covered, [key, "start"])
-                 .where((F.col("n2") > F.col("n")) & (F.col("s2") + F.col("n2") >= F.col("start") + F.col("n")))
-                 .select(key, "start", "n").distinct())
-    kept = hits.join(dominated, [key, "start", "n"], "left_anti")
+    size = F.size("_w")
+    sizes = F.array(*(F.lit(n) for n in range(1, max_n + 1)))
+    starts = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+    grams = F.flatten(F.transform(starts, lambda i: F.transform(
+        F.filter(sizes, lambda n: i + n - 1 <= size),
+        lambda n: F.struct(i.alias("start"), n.alias("n"), F.array_join(F.slice("_w", i, n), " ").alias("term")))))
+    hits = toks.select(key, F.explode(grams).alias("_g")).select(key, "_g.*").join(terms.select("term").distinct(), "term")
+    end = F.col("start") + F.col("n") - 1
+    earlier = (Window.partitionBy(key).orderBy(F.col("start").cast("bigint") * (max_n + 1) - F.col("n"))
+               .rangeBetween(Window.unboundedPreceding, -1))
+    kept = hits.withColumn("_reach", F.max(end).over(earlier)).where(F.col("_reach").isNull() | (F.col("_reach") < end))
     return kept.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n_hits"))

@@ -1,10 +1,10 @@
-"""bounded shortest paths on an edge table by iterative frontier joins.
+"""shortest paths between wanted pairs of an edge table by iterative frontier joins.
 
-Single-source BFS from the distinct sources of the pair set, ``max_hops`` rounds.
-Each round joins the frontier with the edges, keeps only nodes not reached
-before (anti join on the visited set) and one predecessor per (source, node)
-(the smallest), then checkpoints to cut lineage. The visited set is bounded by
-sources x nodes; no path enumeration.
+Breadth-first search from the distinct sources of the pairs. Each round joins the
+frontier with the edges and keeps only nodes not reached before (anti join on the
+visited set), then checkpoints to cut lineage. A pair with an end outside the graph is
+never searched for, a source whose pairs are all found leaves the frontier, and the
+search ends when no wanted pair is open or the frontier is empty.
 """
 
 from __future__ import annotations
@@ -20,24 +20,28 @@ def undirected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).where(F.col("u") != F.col("v")).distinct()
 
 
-def bfs_hops(sources: DataFrame, edges: DataFrame, max_hops: int = 4) -> DataFrame:
-    """(src, node, hops) for every node within ``max_hops`` of a source."""
+def shortest_hops(pairs: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(src, dst, hops) for the requested pairs; hops NULL where no path joins them
+    (or, with ``max_hops``, none that short)."""
     adj = materialize(undirected(edges))
-    visited = sources.select(F.col("src"), F.col("src").alias("node"), F.lit(0).alias("hops")).distinct()
-    frontier = visited
-    for hop in range(1, max_hops + 1):
-        nxt = (frontier.join(adj, frontier.node == adj.u).select("src", F.col("v").alias("node"))
-               .distinct().join(visited.select("src", "node"), ["src", "node"], "left_anti")
-               .withColumn("hops", F.lit(hop)))
-        nxt = materialize(nxt)
+    nodes = adj.select(F.col("u").alias("node")).distinct()
+    wanted = pairs.select("src", "dst").distinct()
+    inside = (wanted.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi")
+              .join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+    found = wanted.where(F.col("src") == F.col("dst")).select("src", "dst", F.lit(0).alias("hops"))
+    left = materialize(inside.where(F.col("src") != F.col("dst")))
+    visited = frontier = left.select("src", F.col("src").alias("node")).distinct()
+    hop = 0
+    while (max_hops is None or hop < max_hops) and not left.isEmpty():
+        hop += 1
+        nxt = materialize(frontier.join(adj, frontier["node"] == adj["u"]).select("src", F.col("v").alias("node"))
+                          .distinct().join(visited, ["src", "node"], "left_anti"))
         if nxt.isEmpty():
             break
-        visited = materialize(visited.unionByName(nxt))
-        frontier = nxt
-    return visited
-
-
-def shortest_hops(pairs: DataFrame, edges: DataFrame, max_hops: int = 4) -> DataFrame:
-    """(src, dst, hops) for the requested pairs; hops NULL when farther than max_hops."""
-    reach = bfs_hops(pairs.select("src").distinct(), edges, max_hops)
-    return pairs.join(reach.withColumnRenamed("node", "dst"), ["src", "dst"], "left")
+        reached = nxt.withColumnRenamed("node", "dst")
+        found = found.unionByName(left.join(reached, ["src", "dst"], "left_semi").select("src", "dst", F.lit(hop).alias("hops")))
+        left = materialize(left.join(reached, ["src", "dst"], "left_anti"))
+        open_sources = left.select("src").distinct()
+        visited = materialize(visited.unionByName(nxt).join(open_sources, "src", "left_semi"))
+        frontier = materialize(nxt.join(open_sources, "src", "left_semi"))
+    return pairs.join(found, ["src", "dst"], "left")

@@ -16,7 +16,7 @@ LIST_TASKS = ("admissions", "labevents", "diagnoses_icd")
 SAMPLE_TASKS = LIST_TASKS + ("next_event",)
 LT_SQL = ", ".join(f"'{t}'" for t in LIST_TASKS)
 ST_SQL = ", ".join(f"'{t}'" for t in SAMPLE_TASKS)
-MIN_SUPPORT, THRESHOLD, TOPK, MAX_HOPS = 5, 5.0, 20, 4
+MIN_SUPPORT, THRESHOLD, TOPK = 5, 5.0, 20
 
 
 def parts(spark, sf):
@@ -182,10 +182,11 @@ cte("o_paths", ("o_related",), f"""
   LEFT JOIN (
     WITH RECURSIVE e AS (SELECT a AS u, b AS v FROM ({EDGES_SQL}) WHERE a <> b
                          UNION SELECT b, a FROM ({EDGES_SQL}) WHERE a <> b),
-    bfs(src, node, hops) AS (
+    bfs(src, node, hops) USING KEY (src, node) AS (
       SELECT DISTINCT target_concept, target_concept, 0 FROM o_related
       UNION
-      SELECT bfs.src, e.v, bfs.hops + 1 FROM bfs JOIN e ON e.u = bfs.node WHERE bfs.hops < {MAX_HOPS})
+      SELECT DISTINCT bfs.src, e.v, bfs.hops + 1 FROM bfs JOIN e ON e.u = bfs.node
+      WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs seen WHERE seen.src = bfs.src AND seen.node = e.v))
     SELECT src, node, min(hops) AS hops FROM bfs GROUP BY src, node) r ON r.src = p.src AND r.node = p.dst
   GROUP BY p.src, p.dst""")
 
@@ -193,7 +194,7 @@ cte("o_paths", ("o_related",), f"""
 def _paths(spark, sf, rel=None):
     rel = rel if rel is not None else related(spark, sf)
     pairs = rel.select(F.col("target_concept").alias("src"), F.col("history_concept").alias("dst")).distinct()
-    return gr.shortest_hops(pairs, _edges(spark, sf), MAX_HOPS)
+    return gr.shortest_hops(pairs, _edges(spark, sf))
 
 
 @query("f_paths", ctes("o_paths") + "SELECT src, dst, hops FROM o_paths")
