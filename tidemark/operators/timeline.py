@@ -134,9 +134,9 @@ def eventize(timeline: DataFrame, spec: TimelineSpec = DEFAULT, extra_first: tup
     ``marked=True`` means the input already carries ``event_idx`` (:func:`mark_runs`).
     """
     s = spec
-    # a materialized input has lost its partitioning: hash it by subject once, which
-    # serves this aggregation and every subject-keyed window downstream
-    marked = timeline.repartition(s.subject) if marked else mark_runs(timeline, s, split_on_visit)
+    # rows with run ids are combined before they are shuffled, by (subject, run): a
+    # subject with a third of the rows is not brought to one task
+    marked = timeline if marked else mark_runs(timeline, s, split_on_visit)
     pos = F.col(s.pos)
     t = F.col(s.time_us)
     first = lambda c: F.min_by(F.col(c), pos)

@@ -164,5 +164,4 @@ WHERE rk // size = 3""")
 def a_shard(spark, sf):
     idx = b.task_index(spark, sf)
     pos = F.coalesce(*[F.when(F.col("task") == t, F.lit(i)) for t, i in _TASK_POS.items()])
-    order = (F.col("subject_id") * 1_000_000 + F.col("event_idx") * 64 + pos).cast("double")
-    return ingest.shard(idx.withColumn("_o", order), 8, 3, "_o").select(*KEY)
+    return ingest.shard(idx, 8, 3, [F.col("subject_id"), F.col("event_idx"), pos]).select(*KEY)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,14 +82,11 @@ def cache_valid(current: DataFrame, cached: DataFrame, cols: list[str]) -> DataF
         "n_current", "n_cached", ((F.col("n_current") == F.col("n_cached")) & (F.col("n_missing") == 0)).alias("valid"))
 
 
-def shard(df: DataFrame, n: int, i: int, order: str) -> DataFrame:
-    """The i-th contiguous slice (``len // n + 1`` rows each) in ``order``.
-
-    The global rank comes from a bucketed prefix count (no single-partition
-    window); ``order`` must be a unique numeric column."""
-    from tidemark.operators.scoring import ordered_prefix
+def shard(df: DataFrame, n: int, i: int, order: list[Column]) -> DataFrame:
+    """The i-th contiguous slice (``len // n + 1`` rows each) in ``order``, a total
+    order. The global position comes from range-partitioned segments, never one task."""
+    from tidemark.operators.ordering import dense_positions
     total = df.select(F.count(F.lit(1)).alias("_n"))
-    ranked = ordered_prefix(df.withColumn("_one", F.lit(1)), [], order, "_one", "_rank")
-    sized = ranked.crossJoin(F.broadcast(total)).withColumn("_size", F.floor(F.col("_n") / n) + 1)
-    return (sized.withColumn("shard", F.floor(F.col("_rank") / F.col("_size")).cast("int"))
-            .where(F.col("shard") == i).drop("_one", "_rank", "_n", "_size"))
+    ranked = dense_positions(df.withColumn("_g0", F.lit(0)), ["_g0"], order, "_rank")
+    size = F.floor(F.col("_n") / n) + 1
+    return ranked.crossJoin(F.broadcast(total)).where(F.floor((F.col("_rank") - 1) / size) == i).select(*df.columns)
