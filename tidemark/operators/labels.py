@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.time import US_PER_HOUR
 from tidemark.operators import context as cx
-from tidemark.spec import EVENT_DISPLAY_NAMES, TASKS, TaskSpec, task_frame
+from tidemark.spec import EVENT_DISPLAY_NAMES, TASKS, UNTIMED_KINDS, TaskSpec, task_frame
 
 # Kinds with a registered converter ("any" expands to these; drg/hcpcs are disabled).
 CONFIGURED_KINDS = tuple(k for k in EVENT_DISPLAY_NAMES if k not in ("hcpcsevents", "drgcodes"))
@@ -191,6 +191,34 @@ def extract_targets(marked_rows: DataFrame, task_map: DataFrame, bound_tasks: tu
             .where(F.col("target").isNotNull()))
 
 
+def task_targets(rows: DataFrame, item_col: str = "item", time_col: str = "ts_us") -> DataFrame:
+    """E5 for every decision task: (subject_id, event_idx, task, target) from rows (subject_id,
+    event_idx, file_name, pos, time, ``item``: map of the record's fields).
+
+    Each task reads its own target key. Transfers name the care unit, or the event type where
+    there is none; a radiology field is a JSON list, of which every entry counts; discharge is
+    one untrimmed text and nothing when the event has several; next_event is the kind of a
+    timed event. Only distinct values of an event are gathered, combined before the shuffle."""
+    def present(v):
+        return v.isNotNull() & (F.trim(v) != "") & ~v.isin("nan", "NaN", "None")
+
+    tasks = task_event_map(rows.sparkSession).where(F.col("task_type") == "decision_making")
+    j = rows.join(F.broadcast(tasks.select("file_name", "task", "target_key")), "file_name")
+    item, task = F.col(item_col), F.col("task")
+    unit = item["careunit"]
+    values = (F.when(task == "transfers", F.array(F.when(present(unit), unit).otherwise(item["eventtype"])))
+              .when(task == "radiology", F.from_json(item["exam_name"], "array<string>"))
+              .when(task == "next_event", F.array(F.when(F.col(time_col).isNotNull() & ~F.col("file_name").isin(*UNTIMED_KINDS),
+                                                         F.col("file_name"))))
+              .otherwise(F.array(F.try_element_at(item, F.col("target_key")))))
+    v = F.col("_v")
+    found = (j.select("subject_id", "event_idx", "task", F.explode(values).alias("_v")).where(present(v))
+             .groupBy("subject_id", "event_idx", "task")
+             .agg(F.array_sort(F.collect_set(F.trim(v))).alias("_vals"), F.count(F.lit(1)).alias("_n"), F.min(v).alias("_text")))
+    target = F.when(task != "discharge", F.col("_vals")).when(F.col("_n") == 1, F.array("_text"))
+    return found.select("subject_id", "event_idx", "task", target.alias("target")).where(F.col("target").isNotNull())
+
+
 def decision_samples(prepared: DataFrame, targets: DataFrame, with_next_event: bool = True) -> DataFrame:
     """One row per (event, decision task) with a target and a 24 h backward context."""
     ev = prepared.where(F.col("ctx_begin").isNotNull())

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.time import hours_between
+from tidemark.functions.time import epoch_us, hours_between
 from tidemark.operators import labels as lb
 from tidemark.plans import bindings as b
 from tidemark.plans.oracle import ctes
 from tidemark.plans.registry import query
+from tidemark.sources.tables import table
+from tidemark.spec import TASKS, UNTIMED_KINDS
 
 KEY = ["subject_id", "event_idx"]
 INDEX_OUT = ["subject_id", "hadm_id", "task", "event", "event_idx", "context_begin", "context_end", "target",
@@ -93,6 +95,50 @@ def c_decision_targets(spark, sf):
     return t.select(*KEY, "task", F.array_join("target", "|").alias("target"))
 
 
+# Every decision task on its own kind of event: an order's line items of one kind are an event,
+# their fields come from the part.
+_DECISION = [t for t in TASKS if t.task_type == "decision_making" and t.event != "any"]
+_KINDS = sorted({t.event for t in _DECISION})
+_KEYS = sorted({t.target_key for t in _DECISION} - {"CCS Type", "ATC Type", "exam_name", "eventtype"})
+
+
+def _field_rows(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_returnflag", "l_shipdate")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("subject_id"))
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type")
+    at = (F.col("l_partkey") % len(_KINDS)).cast("int")
+    main = F.when(F.col("l_discount") == 0, F.lit("nan")).otherwise(F.concat(F.lit(" "), "p_name"))
+    fields = {k: main for k in _KEYS} | {
+        "CCS Type": F.col("p_brand"), "ATC Type": F.col("p_brand"), "exam_name": F.to_json(F.array("p_brand", "p_type")),
+        "eventtype": F.col("p_type"), "careunit": F.when(F.col("l_returnflag") == "R", F.lit("nan")).otherwise(F.col("p_brand"))}
+    item = F.create_map(*(x for k, v in fields.items() for x in (F.lit(k), v)))
+    return li.join(o, "l_orderkey").join(p, "l_partkey").select(
+        "subject_id", (F.col("l_orderkey").cast("bigint") * 100 + at).alias("event_idx"),
+        F.get(F.array(*map(F.lit, _KINDS)), at).alias("file_name"), F.col("l_linenumber").alias("pos"),
+        epoch_us("l_shipdate").alias("ts_us"), item.alias("item"))
+
+
+@query("c_task_targets", f"""
+WITH k(file_name, k_pos) AS (VALUES {", ".join(f"('{k}', {i})" for i, k in enumerate(_KINDS))}),
+t(task, file_name, target_key) AS (VALUES {", ".join(f"('{t.task}', '{t.event}', '{t.target_key}')" for t in _DECISION)}),
+r AS (SELECT o_custkey AS subject_id, CAST(o_orderkey AS BIGINT) * 100 + k_pos AS event_idx, file_name,
+             CASE WHEN l_discount = 0 THEN 'nan' ELSE ' ' || p_name END AS main, p_brand, p_type, l_returnflag
+      FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey JOIN k ON k_pos = l_partkey % {len(_KINDS)}),
+v AS (SELECT subject_id, event_idx, task,
+             unnest(CASE WHEN task = 'radiology' THEN [p_brand, p_type]
+                         WHEN task = 'transfers' THEN [CASE WHEN l_returnflag = 'R' THEN p_type ELSE p_brand END]
+                         WHEN target_key IN ('CCS Type', 'ATC Type') THEN [p_brand] ELSE [main] END) AS v FROM r JOIN t USING (file_name))
+SELECT subject_id, event_idx, task, target FROM (
+  SELECT subject_id, event_idx, task, CASE WHEN task <> 'discharge' THEN string_agg(DISTINCT trim(v), '|' ORDER BY trim(v))
+                                           WHEN count(*) = 1 THEN min(v) END AS target
+  FROM v WHERE v <> 'nan' GROUP BY subject_id, event_idx, task) WHERE target IS NOT NULL
+UNION ALL
+SELECT DISTINCT subject_id, event_idx, 'next_event', file_name FROM r
+WHERE file_name NOT IN ({", ".join(f"'{k}'" for k in UNTIMED_KINDS)}) AND file_name IN ({", ".join(f"'{k}'" for k in lb.CONFIGURED_KINDS)})""")
+def c_task_targets(spark, sf):
+    return lb.task_targets(_field_rows(spark, sf)).select(*KEY, "task", F.array_join("target", "|").alias("target"))
+
+
 @query("c_decision_samples", ctes("o_decision") + "SELECT * FROM o_decision WHERE task <> 'next_event'")
 def c_decision_samples(spark, sf):
     p, t = b.task_index_parts(spark, sf)
