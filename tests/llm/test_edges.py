@@ -276,6 +276,19 @@ def test_html_long_pages():
     assert html_extract.main_text("<div>" * 20_000 + "word", weights) == "word"
 
 
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', "style=overflow:hidden", 'title="The hidden valley"', 'data-hidden="false"', 'data-id="comments"',
+                                        'style = "overflow: hidden" id=wrap', "data-x='a \"b\" hidden'", 'aria-hidden="false"', "href=/a?id=comments&hidden"])
+def test_html_names_inside_other_attributes(attributes):
+    weights = html_extract.weights_from({})
+    assert html_extract.main_text(f"<body><div {attributes}><p>all the text</p></div></body>", weights) == "all the text"
+    assert html_extract.main_text(f"<article><p>one</p><p {attributes}>two</p><a {attributes}><p>three</p></a></article>", weights) == "one two three"
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'hidden=""', "class=x hidden", 'title="a"hidden', "HIDDEN", "aria-hidden=true", "style='x' class=\"ad\"", "data-a=b role = 'navigation'"])
+def test_html_names_read_after_other_attributes(attributes):
+    assert html_extract.main_text(f"<article><p>one</p><div {attributes}><p>no</p></div></article>", html_extract.weights_from({})) == "one"
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "http://a", "same"), (2, "http://b", "same"), (3, None, None), (4, "u", ""), (5, "u\r\nX: y", "é" * 3000), (None, "n", "same"), (None, "n", "lone"),
              (2, "http://b", "same"), (6, "v", "x" * 100_000), (1, "http://a2", "same")]

@@ -34,7 +34,8 @@ from pyspark.sql import types as T
 from tidemark.llm.common import hash_sample, ship
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute: its name, then its value if it has one. Read in order, so that no value is taken for a name.
+ATTRIBUTE = re.compile(r"""([^\s>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
 #: Elements without an end tag, and those whose start ends an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset(("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -72,7 +73,7 @@ def _furniture(tag: str, attributes: str) -> bool:
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value.strip("\"'").lower() == "true":
             return True
-        if any(w in NAMES for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
+        if name in ("class", "id", "role") and any(w in NAMES for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
             return True
     return False
 
