@@ -289,6 +289,22 @@ def test_html_names_read_after_other_attributes(attributes):
     assert html_extract.main_text(f"<article><p>one</p><div {attributes}><p>no</p></div></article>", html_extract.weights_from({})) == "one"
 
 
+LONG = " ".join(["word"] * 400)
+
+
+@pytest.mark.parametrize("page", [
+    "<body><section>{lead}</section><aside>{side}</aside><section>{rest}</section></body>",
+    "<body><p>{lead}</p><aside>{side}</aside><p>{rest}</p></body>",
+    "<body><p>{rest}</p><aside>{side}</aside><p>{lead}</p></body>",
+    "<p>{lead}</p><nav><ul><li><a>n</a><li><a>n</a></ul></nav><p>{rest}</p><aside>{side}</aside><p>end</p>",
+])
+def test_html_text_around_furniture(page):
+    lead = " ".join(f"lead{k}" for k in range(20))
+    text = html_extract.main_text(page.format(lead=lead, side="side " * 50, rest=LONG), html_extract.weights_from({}))
+    assert lead in text and LONG in text and "side" not in text
+    assert "<p>end" not in page or text.endswith(" end")
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "http://a", "same"), (2, "http://b", "same"), (3, None, None), (4, "u", ""), (5, "u\r\nX: y", "é" * 3000), (None, "n", "same"), (None, "n", "lone"),
              (2, "http://b", "same"), (6, "v", "x" * 100_000), (1, "http://a2", "same")]

@@ -7,10 +7,10 @@ adverts, forms, reader comments, scripts and styles. A word scores positive, a t
 negative; the weights are log odds learnt from labelled pages, the pages that mark their
 own main text with exactly one ``article`` element, on a sample of at most ``max_labelled``
 of them (chosen by hash of the page). One linear scan finds the contiguous
-run of blocks with the largest sum. The run is then completed to its container (the
-enclosing article or main element, else the innermost section, div or cell that holds all
-of it, else the neighbouring text blocks), so that short blocks at its ends are not lost;
-furniture inside is left out.
+run of blocks with the largest sum; the words of furniture score nothing, its tags as others.
+The run is then completed to its container (the enclosing article or main element, else the
+innermost section, div or cell that holds all of it, else the page's body), so that short
+blocks at its ends, and beyond furniture, are not lost; furniture inside is left out.
 
 Scale: one pass over the pages without a shuffle; the tag counts of the sample
 are aggregated before they reach the driver (one row per known tag name).
@@ -154,8 +154,7 @@ def blocks(page: str) -> list[Block]:
 
 
 def _score(block: Block, weights: dict[str, float]) -> float:
-    word = weights[""]
-    return block.words * (-word if block.out else word)
+    return 0.0 if block.out else block.words * weights[""]
 
 
 def region(found: list[Block], weights: dict[str, float]) -> list[Block]:
@@ -185,11 +184,7 @@ def region(found: list[Block], weights: dict[str, float]) -> list[Block]:
             break
     if common and common[-1][0] != "body":
         return [b for b in found if not b.out and b.path[:len(common)] == common]
-    while i > 0 and not found[i - 1].out:
-        i -= 1
-    while j + 1 < len(found) and not found[j + 1].out:
-        j += 1
-    return [b for b in found[i:j + 1] if not b.out]
+    return [b for b in found if not b.out]
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
