@@ -2,6 +2,7 @@
 empty table and through its hot-group path, against the brute-force versions."""
 
 import os
+import re
 import sys
 import zlib
 from collections import defaultdict
@@ -305,6 +306,36 @@ def test_html_text_around_furniture(page):
     assert "<p>end" not in page or text.endswith(" end")
 
 
+PROSE = "some words of prose, " * 12
+
+
+@pytest.mark.parametrize("inner", [
+    '<section id="discussion"><h2 id="d"><a href="#d">Discussion</a></h2><p>{}</p></section>', '<section id="related-work"><p>Short.</p><p>{}</p></section>',
+    '<h2 id="social-contract">Social contract</h2><p>{}</p>', '<h2 id="search-results" class="header">Search</h2><p>{}</p>', '<h2 id="responses">Responses</h2><p>{}</p>',
+    '<div class="modal-logic"><p>{}</p></div>', '<div class="alert" role="alert"><p>Short.</p><p>{}</p></div>', '<div id="related-work"><h3><a href="#r">Related</a></h3><p>Short.</p></div><p>{}</p>',
+    '<div class="section" id="comments"><p>{}</p></div>', '<fieldset><legend>Note</legend><p>{}</p></fieldset>', '<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p><p>{}</p>',
+    '<div class="paywall">{} <a href="/x">link</a></div>'])
+def test_html_names_that_mark_no_furniture(inner):
+    inner = inner.format(PROSE)
+    words = re.sub(r"\s+", " ", re.sub(r"<(?!/?m)[^>]*>", " ", re.sub(r"</?m[^>]*>", "", inner))).strip()
+    for page in (f"<article><p>Before.</p>{inner}<p>After.</p></article>", f"<body><nav><a>no</a></nav><div><p>Before.</p>{inner}<p>After.</p></div></body>"):
+        assert html_extract.main_text(page, html_extract.weights_from({})) == f"Before. {words} After."
+
+
+@pytest.mark.parametrize("inner", [
+    '<div class="share-bar"><ul><li><a>no</a><li><a>no</a></ul></div>', '<section class="related-stories"><ul><li><a>no no no</a><li><a>no no</a></ul></section>',
+    '<div id="commentsArea"><a>no</a></div>', '<div class="x ad_slot">no no no no no no</div>', '<div role="complementary"><p>no no no no no</p></div>', '<div class="comments">no no no</div>',
+    '<math><mi>x</mi><annotation encoding="t">no</annotation></math>'])
+def test_html_names_that_mark_furniture(inner):
+    page = f"<article><p>{PROSE}</p>{inner}<p>After.</p></article>"
+    assert html_extract.main_text(page, html_extract.weights_from({})).replace(" x ", " ") == f"{PROSE.strip()} After."
+
+
+def test_html_deep_names():
+    page = '<div class="x-menu">' * 3000 + "<a>no</a>" + "</div>" * 3000 + f"<p>{PROSE}</p>"
+    assert html_extract.main_text(page, html_extract.weights_from({})) == PROSE.strip()
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "http://a", "same"), (2, "http://b", "same"), (3, None, None), (4, "u", ""), (5, "u\r\nX: y", "é" * 3000), (None, "n", "same"), (None, "n", "lone"),
              (2, "http://b", "same"), (6, "v", "x" * 100_000), (1, "http://a2", "same")]

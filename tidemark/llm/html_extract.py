@@ -2,8 +2,11 @@
 
 A page becomes blocks of text (runs between block-level tags), each with its number of
 words, the tags before it, its open containers and whether it lies in page furniture:
-elements and class, id or role names for menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments, scripts and styles. A word scores positive, a tag
+elements and roles for menus, headers, footers, sidebars, dialogs, forms, scripts and styles,
+hidden elements, and whole class or id names that mean nothing else (menus, sidebars, adverts,
+reader comments). Where only a part of a name says so ("modal-logic", "header", "alert"), the
+element is furniture if it has links or buttons and its words and tags sum to less than
+nothing. Headings and sections are never judged by their ids, headings not by class either. A word scores positive, a tag
 negative; the weights are log odds learnt from labelled pages, the pages that mark their
 own main text with exactly one ``article`` element, on a sample of at most ``max_labelled``
 of them (chosen by hash of the page). One linear scan finds the contiguous
@@ -25,6 +28,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,72 +43,119 @@ ATTRIBUTE = re.compile(r"""([^\s>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*
 #: Elements without an end tag, and those whose start ends an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset(("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure "
-                    "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre search section "
+                    "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section "
                     "summary table tbody td tfoot th thead title tr ul").split())
 #: Text inside is never read as markup.
-RAW = frozenset("script style textarea title xmp noembed noframes iframe noscript template svg math".split())
+RAW = frozenset("script style textarea title xmp noembed noframes iframe noscript template svg annotation annotation-xml".split())
 CONTAINERS = frozenset("article body div main section td".split())
-FURNITURE = frozenset(("aside button dialog datalist fieldset footer form head header iframe input label legend math menu nav noembed noframes "
+FURNITURE = frozenset(("aside button dialog datalist footer form head header iframe input label menu nav noembed noframes "
                        "noscript object optgroup option script search select style svg template textarea title xmp").split())
-#: Parts of class, id and role names (split at non-letters) that mark furniture.
-NAMES = frozenset(("ad ads adv advert adverts advertisement advertising adsbygoogle alert alertdialog banner breadcrumb breadcrumbs comment comments "
-                   "complementary consent contentinfo cookie cookies dialog disclaimer discussion disqus footer gdpr header "
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ROLES = frozenset("alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
+#: Whole class and id names that mark furniture, and ids of elements that carry no generated slugs.
+NAMES = frozenset("ad ads adv advert adverts advertisement advertisements adsbygoogle breadcrumb breadcrumbs comments comment-form comment-list comments-area "
+                  "comments-list cookie-banner cookie-consent cookie-notice disqus disqus-thread masthead menubar nav navbar navigation "
+                  "newsletter-signup outbrain pagination related-articles related-posts share-buttons sharing-buttons sidebar skip-link social-links "
+                  "social-share sponsored taboola".split()) | {
+    f"{a}-{b}" for a in ("ad", "ads", "advert", "advertisement")
+    for b in "area banner block box container holder label placeholder slot space unit wrap wrapper zone".split()}
+WITH_IDS = frozenset("div ul ol dl table td".split())
+#: Parts of class and id names (split at non-letters) that mark furniture where links and tags outweigh the words.
+PARTS = frozenset(("ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent "
+                   "contentinfo cookie cookies dialog disclaimer discussion disqus footer gdpr header "
                    "masthead menu menubar menus modal nav navbar navigation newsletter notice notices notification outbrain overlay pagination paywall "
                    "popup promo promotion promoted recommended related replies respond responses search share sharing sidebar signup skip social "
                    "sponsor sponsored sponsors subscribe subscription taboola teaser toolbar warning widget widgets").split())
+LINKS = frozenset("a button input option select".split())
 #: Weights used until pages with a label have been seen, and the limits of learnt ones.
 WORD_WEIGHT, TAG_WEIGHT, LINK_WEIGHT = 1.0, -0.3, -3.0
 LINKISH = frozenset("a li ul nav footer header aside form option select button".split())
 
 
 class Block:
-    __slots__ = ("text", "words", "tags", "path", "out", "article")
+    __slots__ = ("text", "words", "tags", "path", "out", "article", "spans")
 
-    def __init__(self, text, words, tags, path, out, article):
-        self.text, self.words, self.tags, self.path, self.out, self.article = text, words, tags, path, out, article
+    def __init__(self, text, words, tags, path, out, article, spans):
+        self.text, self.words, self.tags, self.path, self.out, self.article, self.spans = text, words, tags, path, out, article, spans
 
 
-def _furniture(tag: str, attributes: str) -> bool:
+class Span:
+    """An element that is furniture if its links and tags outweigh its words: the places of its tags in the page's, and its words."""
+    __slots__ = ("tags", "first", "last", "words")
+
+    def __init__(self, tags, first, words):
+        self.tags, self.first, self.last, self.words = tags, first, None, -words
+
+    def end(self, last, words):
+        self.last, self.words = last, self.words + words
+
+
+def _furniture(tag: str, attributes: str) -> bool | None:
+    """True: furniture; None: furniture if its links and tags outweigh its words."""
     if tag in FURNITURE:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
+    read: dict[str, str] = {}
     for name, value in ATTRIBUTE.findall(attributes):
-        name = name.lower()
-        if name == "hidden" or name == "aria-hidden" and value.strip("\"'").lower() == "true":
-            return True
-        if name in ("class", "id", "role") and any(w in NAMES for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
-            return True
-    return False
+        read.setdefault(name.lower(), value.strip("\"'"))
+    if "hidden" in read or read.get("aria-hidden", "").lower() == "true":
+        return True
+    if tag in HEADINGS:
+        return False
+    if any(r in ROLES for r in read.get("role", "").lower().split()):
+        return True
+    classes = _tokens(read.get("class", ""))
+    names = classes + (_tokens(read.get("id", "")) if tag in WITH_IDS and "section" not in classes else [])
+    if tag != "section" and any(n in NAMES for n in names):
+        return True
+    return None if any(w in PARTS for n in names for w in re.split(r"[^a-z]+", n)) else False
+
+
+def _tokens(value: str) -> list[str]:
+    return re.sub(r"[-_]+", "-", re.sub(r"([a-z])([A-Z])", r"\1-\2", value)).lower().split()
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order; ``tags`` are the names of the tags since the last block."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, furniture, number
-    n_out = n_articles = number = 0
+    stack: list[tuple[str, bool, int, Span | None]] = []  # open elements: name, furniture, number, what may be furniture
+    n_out = n_articles = n_math = n_headings = n_words = number = 0
     pieces: list[str] = []
     tags: list[str] = []
+    all_tags: list[str] = []  # without those of headings, whose links lead to themselves
+    spans: list[Span] = []  # those that are open
+
+    def add_tag(tag):
+        if not n_math:  # a formula's inner tags stand for no layout
+            tags.append(tag)
+            if not n_headings and tag not in HEADINGS:
+                all_tags.append(tag)
 
     def text(raw):
         if raw:
             pieces.append(html.unescape(raw) if "&" in raw else raw)
 
     def end_block():
-        nonlocal pieces, tags
+        nonlocal pieces, tags, n_words
         words = "".join(pieces).split()
         if words:
-            path = tuple((name, k) for name, _, k in stack if name in CONTAINERS)
-            out.append(Block(" ".join(words), len(words), tags, path, n_out > 0, n_articles))
+            path = tuple((name, k) for name, _, k, _ in stack if name in CONTAINERS)
+            out.append(Block(" ".join(words), len(words), tags, path, n_out > 0, n_articles, tuple(spans)))
             tags = []
+            n_words += len(words)
         pieces = []
 
     def pop_to(depth):
-        nonlocal n_out, n_articles
+        nonlocal n_out, n_articles, n_math, n_headings
         while len(stack) > depth:
-            name, furniture, _ = stack.pop()
+            name, furniture, _, span = stack.pop()
             n_out -= furniture
             n_articles -= name == "article"
+            n_math -= name == "math"
+            n_headings -= name in HEADINGS
+            if span:
+                spans.pop().end(len(all_tags), n_words)
 
     at, end = 0, len(page)
     while at < end:
@@ -121,7 +172,7 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag in BLOCKS:
                 end_block()
-            tags.append(tag)
+            add_tag(tag)
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
                     pop_to(depth)
@@ -138,27 +189,47 @@ def blocks(page: str) -> list[Block]:
                     break
                 if name in CONTAINERS or name in ("ul", "ol", "dl", "table", "select"):
                     break
-        tags.append(tag)
+        add_tag(tag)
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = close.end() if close else end
-            tags.append(tag)
+            add_tag(tag)
         elif tag not in VOID and not m[3].endswith("/"):
             furniture = _furniture(tag, m[3])
+            span = Span(all_tags, len(all_tags) - 1, n_words) if furniture is None else None
+            if span:
+                spans.append(span)
             number += 1
-            stack.append((tag, furniture, number))
-            n_out += furniture
+            stack.append((tag, bool(furniture), number, span))
+            n_out += bool(furniture)
             n_articles += tag == "article"
+            n_math += tag == "math"
+            n_headings += tag in HEADINGS
     end_block()
+    pop_to(0)
     return out
 
 
+def _judge(found: list[Block], weights: dict[str, float]) -> None:
+    """Blocks in spans with links, whose words and tags sum to less than nothing, are furniture."""
+    spans = {s for b in found for s in b.spans}
+    if not spans:
+        return
+    tags = next(iter(spans)).tags
+    sums = list(accumulate((weights.get(t, weights["*"]) for t in tags), initial=0.0))
+    links = list(accumulate((t in LINKS for t in tags), initial=0))
+    out = {s for s in spans if links[s.last] > links[s.first] and s.words * weights[""] + sums[s.last] - sums[s.first] < 0}
+    for b in found:
+        b.out = b.out or any(s in out for s in b.spans)
+
+
 def _score(block: Block, weights: dict[str, float]) -> float:
     return 0.0 if block.out else block.words * weights[""]
 
 
 def region(found: list[Block], weights: dict[str, float]) -> list[Block]:
     """The blocks of the main text."""
+    _judge(found, weights)
     best, run, start, chosen = 0.0, 0.0, 0, None
     for i, b in enumerate(found):
         between = sum(weights.get(t, weights["*"]) for t in b.tags) if run > 0 else 0.0
@@ -206,7 +277,7 @@ def weights_from(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     return weights
 
 
-_KNOWN = BLOCKS | VOID | RAW | FURNITURE | frozenset("a b i u em strong span small font code abbr cite q sub sup img".split())
+_KNOWN = BLOCKS | VOID | RAW | FURNITURE | frozenset("a b i u math em strong span small font code abbr cite q sub sup img".split())
 
 
 def _count_tags(batches):
