@@ -6,7 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.functions.buckets import bucket_of
-from tidemark.operators import graph, labels, sampling
+from tidemark.operators import graph, labels, render, sampling
+from tidemark.spec import DETAILED_LAYOUTS, INFO_KEYS
 
 
 def test_task_targets_rules(spark):  # E5
@@ -29,6 +30,42 @@ def test_task_targets_rules(spark):  # E5
     assert got[(5, "next_event")] == ["labevents"] and (4, "next_event") not in got
 
 
+ITEM = "subject_id long, event_idx long, file_name string, pos int, ts_us long, item map<string,string>"
+
+
+def test_every_configured_kind_renders(spark):  # E7, E8
+    assert set(INFO_KEYS) == set(DETAILED_LAYOUTS) == set(labels.CONFIGURED_KINDS) and len(INFO_KEYS) == 28
+    rows = [(1, i, k, n, 0, {f: f"{f}{n}" for f in keys}) for i, (k, keys) in enumerate(INFO_KEYS.items()) for n in (1, 2)]
+    df = spark.createDataFrame(rows, ITEM)
+    texts = {r["file_name"]: r["text"] for r in render.render_events(df, render.record_specs()).collect()}
+    for k, keys in INFO_KEYS.items():
+        assert texts[k].startswith("## ") and all(f"{f}{n}" in texts[k] for f in keys for n in (1, 2)), k
+    detailed = {r["file_name"]: r["text"] for r in render.render_detailed(df).collect()}
+    assert all(t.startswith("## ") for t in detailed.values()) and len(detailed) == 28
+    assert {k for k, t in detailed.items() if "\n" not in t} == {"edstays", "icustays"}
+
+
+def test_detailed_rules(spark):  # E8
+    rows = [
+        (1, 0, "labevents", 1, 0, {"item_name": "Na", "valuenum": "nan"}),
+        (1, 0, "labevents", 2, 0, {"item_name": "K", "valuenum": "4.1", "ref_range_lower": "3", "comments": "{flag}"}),
+        (1, 1, "transfers", 1, None, {"careunit": "ICU", "eventtype": "x"}),
+        (1, 1, "transfers", 2, None, {"careunit": "nan", "eventtype": "admit"}),
+        (1, 2, "patients", 1, None, {"anchor_age": "52", "gender": "M"}),
+        (1, 3, "admissions", 1, 0, {"admission_type": "EU", "admission_location": "ER", "admission_info": '{"Plan": "rest"}'}),
+        (1, 4, "diagnosis", 1, 0, {"icd_title": "CHEST PAIN"}), (1, 4, "diagnosis", 2, 0, {"icd_title": "FEVER"}),
+        (1, 5, "drgcodes", 1, None, {"x": "y"}),
+    ]
+    got = {r["event_idx"]: r["text"] for r in render.render_detailed(spark.createDataFrame(rows, ITEM)).collect()}
+    at = "[1970-01-01 00:00:00]"
+    rule = "| ------ | ------ | ------ | ------ | ------ | ------ |"
+    assert got == {
+        0: f"## Labotary Test Events {at}\n| Item Name | Value | Unit | Range | Flag | Comments |\n{rule}\n| K | 4.1 |  | 3- | normal | {{flag}} |",
+        1: "## Transfers [None]\n- ICU\n\n- admit", 2: "## Patient Demographics\n- Age: 52\n- Gender: Male",
+        3: f"## Admissions {at}\n- Admission Type: EU\n- Admission Location: ER- Plan: rest",
+        4: f"## ED Diagnoses on International Classification of Diseases {at}\n- Chest pain \n- Fever", 5: ""}
+
+
 def test_paths_of_any_length(spark):  # F9
     edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(7)] + [("x", "y")], "a string, b string")
     pairs = spark.createDataFrame([("n0", "n7"), ("n2", "n2"), ("n0", "x"), ("n0", "gone"), ("n5", "n3")], "src string, dst string")

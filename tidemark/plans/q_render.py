@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import clean_value, truncate_left
+from tidemark.functions.time import epoch_us
 from tidemark.operators import lookup as lk
 from tidemark.operators import render as rd
 from tidemark.plans import bindings as b
@@ -12,7 +13,7 @@ from tidemark.plans.oracle import cte, ctes
 from tidemark.plans.registry import query
 from tidemark.session import materialize
 from tidemark.sources.tables import table
-from tidemark.spec import EVENT_DISPLAY_NAMES, TASKS, task_frame
+from tidemark.spec import EVENT_DISPLAY_NAMES, INFO_KEYS, TASKS, UNTIMED_KINDS, task_frame
 
 KEY = ["subject_id", "event_idx", "task"]
 NL = "chr(10)"
@@ -187,6 +188,138 @@ def e_render_detailed(spark, sf):
     return _etext(spark, sf, detailed=True).select("subject_id", "event_idx", "text")
 
 
+# Records of all 28 configured kinds: an order's line items of one kind are an event, their fields come from the part.
+_KINDS = sorted(INFO_KEYS)
+_FIELDS = sorted({k for keys in INFO_KEYS.values() for k in keys})
+
+
+def _pos():
+    """Line numbers repeat within an order."""
+    return ((F.col("l_linenumber").cast("bigint") * 100_000 + F.unix_date(F.col("l_shipdate").cast("date"))) * 10 ** 12
+            + F.col("l_partkey") * 10_000 + F.col("l_suppkey"))
+
+
+def record_rows(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", "l_shipdate")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("subject_id"))
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type")
+    at = (F.col("l_partkey") % len(_KINDS)).cast("int")
+    fields = {k: F.when((F.col("l_partkey") + i) % 11 == 0, F.lit(None)).when((F.col("l_partkey") + i) % 7 == 0, F.lit("nan"))
+              .otherwise(F.concat(F.lit(k + " "), "p_brand")) for i, k in enumerate(_FIELDS)}
+    fields |= {"gender": F.when(F.col("l_returnflag") == "R", F.lit("M")).otherwise(F.lit("F")), "text": F.concat("p_name", F.lit("\n")),
+               "exam_name": F.to_json(F.array("p_brand", "p_type")), "icd_title": F.upper("p_type"),
+               "admission_info": F.to_json(F.struct(F.col("p_brand").alias("b"), F.col("p_type").alias("a")))}
+    item = F.create_map(*(x for k, v in fields.items() for x in (F.lit(k), v)))
+    return li.join(o, "l_orderkey").join(p, "l_partkey").select(
+        "subject_id", (F.col("l_orderkey").cast("bigint") * 100 + at).alias("event_idx"),
+        F.get(F.array(*map(F.lit, _KINDS)), at).alias("file_name"), _pos().alias("pos"),
+        epoch_us("l_shipdate").alias("ts_us"), item.alias("item"))
+
+
+def _field_sql(k):
+    """The field as stored."""
+    i = _FIELDS.index(k)
+    return {"gender": "CASE l_returnflag WHEN 'R' THEN 'M' ELSE 'F' END", "text": f"p_name || {NL}", "icd_title": "upper(p_type)",
+            "exam_name": "'[' || chr(39) || p_brand || chr(39) || ', ' || chr(39) || p_type || chr(39) || ']'",
+            "admission_info": "'{\"b\":\"' || p_brand || '\",\"a\":\"' || p_type || '\"}'"}.get(
+        k, f"CASE WHEN (l_partkey + {i}) % 11 = 0 THEN NULL WHEN (l_partkey + {i}) % 7 = 0 THEN 'nan' ELSE '{k} ' || p_brand END")
+
+
+def _shown_sql(k):
+    """The field, empty if missing."""
+    return f"replace(coalesce({_field_sql(k)}, ''), 'nan', '')" if "p_name" not in _field_sql(k) and "p_type" not in _field_sql(k) else _field_sql(k)
+
+
+def _line_sql(*parts):
+    """Words and, as one-element lists, fields."""
+    return " || ".join(_shown_sql(x[0]) if isinstance(x, list) else x if x.startswith("(") else
+                       "'" + x.replace("\n", f"' || {NL} || '") + "'" for x in parts)
+
+
+def _bar_sql(*fields, end=" |"):
+    return _line_sql("| ", *[y for i, f in enumerate(fields) for y in ([" | "] if i else []) + [[f]]], end)
+
+
+def _vital_sql(*fields, tight=()):
+    return _line_sql(*[y for i, f in enumerate(fields) for y in (("\n" if i else "") + ("-" if f in tight else "- ") + f.capitalize() + ": ", [f])])
+
+
+_LINES_SQL = {
+    "patients": _line_sql("- Age: ", ["anchor_age"], "\n- Gender: ", "(CASE l_returnflag WHEN 'R' THEN 'Male' ELSE 'Female' END)"),
+    "omr": _line_sql("- ", ["result_name"], ": ", ["result_value"]),
+    "pharmacy": _bar_sql("medication", "proc_type"),
+    "prescriptions": _bar_sql("drug", "prod_strength", "dose_val_rx", "dose_unit_rx"),
+    "poe": _line_sql("- ", ["order_type"], ": ", ["order_subtype"]),
+    "procedures_icd": _line_sql("- ", ["procedures"]),
+    "services": "'- ' || coalesce(" + _field_sql("curr_service") + ", 'None')",
+    "labevents": f"CASE WHEN {_shown_sql('valuenum')} <> '' THEN " + _line_sql(
+        "| ", ["item_name"], " | ", ["valuenum"], " | ", ["valueuom"], " | ", ["ref_range_lower"], "-", ["ref_range_upper"], " | ",
+        f"(coalesce(nullif({_shown_sql('flag')}, ''), 'normal'))", " | ", ["comments"], " |") + " END",
+    "microbiologyevents": _bar_sql("test_name", "ab_name", "dilution_text", "interpretation", "comments"),
+    "admissions": _line_sql("- Admission Type: ", ["admission_type"], "\n- Admission Location: ", ["admission_location"],
+                            f"('- b: ' || p_brand || {NL} || '- a: ' || p_type || {NL})"),
+    "transfers": _line_sql("- ", f"(CASE WHEN {_shown_sql('careunit')} <> '' THEN {_shown_sql('careunit')} || {NL} ELSE {_shown_sql('eventtype')} END)"),
+    "emar": _line_sql("- ", ["medication"]),
+    "diagnoses_icd": _line_sql("- ", ["diagnoses"]),
+    "radiology": _line_sql("- Note Type: ", ["note_type"], "\n- Exam Name: ", "(p_brand || ', ' || p_type)", "\n- Report:\n", ["text"]),
+    "discharge": _line_sql("- Note Type: ", ["note_type"], "\n- Report:\n", ["text"]),
+    "triage": _vital_sql("temperature", "heartrate", "resprate", "o2sat", "sbp", "dbp", "pain", "acuity", "chiefcomplaint", tight=("o2sat", "sbp")),
+    "medrecon": _line_sql("- ", ["name"]),
+    "pyxis": _line_sql("- ", ["name"]),
+    "vitalsign": _vital_sql("temperature", "heartrate", "resprate", "o2sat", "sbp", "dbp", "pain", "rhythm"),
+    "diagnosis": "'- ' || upper(p_type[1]) || lower(p_type[2:])",
+    "chartevents": _bar_sql("item_name", "valuenum", "valueuom", "warning", end=""),
+    "ingredientevents": _bar_sql("item_name", "amount", "amountuom", "rate", "rateuom"),
+    "datetimeevents": _line_sql("- ", ["item_name"]),
+    "procedureevents": _bar_sql("item_name", "value", "valueuom", "location", "locationcategory"),
+    "inputevents": _bar_sql("item_name", "amount", "amountuom", "rate", "rateuom"),
+    "outputevents": _bar_sql("item_name", "value", "valueuom"),
+}
+_HEADS_SQL = {
+    "pharmacy": ("| Medication | Proc_type |", 2), "prescriptions": ("| Drug | Prod_Strength | Dose_Val_Rx | Dose_Unit_Rx |", 4),
+    "labevents": ("| Item Name | Value | Unit | Range | Flag | Comments |", 6),
+    "microbiologyevents": ("| Item Name | AB Name | Dilution Text | Interpretation | Comments |", 6),
+    "chartevents": ("| Item Name | Value | Unit | Warning |", 4), "ingredientevents": ("| Item Name | Amount | Unit | Rate | Unit |", 5),
+    "procedureevents": ("| Item Name | Value | Unit | Location | Location Category |", 5),
+    "inputevents": ("| Item Name | Amount | Unit | Rate | Unit |", 5), "outputevents": ("| Item Name | Value | Unit |", 3),
+}
+_UNTIMED_SQL = ", ".join(f"'{k}'" for k in UNTIMED_KINDS)
+_DISPLAY_SQL = "CASE file_name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_DISPLAY_NAMES.items()) + " END"
+
+
+@query("e_render_kinds", f"""
+WITH k(file_name, k_pos) AS (VALUES {", ".join(f"('{k}', {i})" for i, k in enumerate(_KINDS))}),
+c(file_name, c_pos, key, title) AS (VALUES {", ".join(f"('{k}', {i}, '{x}', '{x.title()}')" for k, keys in INFO_KEYS.items() for i, x in enumerate(keys))}),
+r AS (SELECT o_custkey AS subject_id, CAST(o_orderkey AS BIGINT) * 100 + k_pos AS event_idx, file_name, (CAST(l_linenumber AS BIGINT) * 100000 + (CAST(l_shipdate AS DATE) - DATE '1970-01-01')) * 1000000000000 + l_partkey * 10000 + l_suppkey AS pos, l_partkey, p_name,
+             p_brand, p_type, l_returnflag, strftime(CAST(l_shipdate AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS st
+      FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey JOIN k ON k_pos = l_partkey % {len(_KINDS)}),
+v AS (SELECT r.*, c_pos, title, coalesce(CASE key {" ".join(f"WHEN '{k}' THEN {_field_sql(k)}" for k in _FIELDS)} END, 'None') AS v
+      FROM r LEFT JOIN c USING (file_name)),
+l AS (SELECT subject_id, event_idx, pos, coalesce(string_agg('- ' || title || ': ' || v, {NL} ORDER BY c_pos) FILTER (WHERE c_pos IS NOT NULL), '') AS b,
+             '| ' || coalesce(string_agg(v, ' | ' ORDER BY c_pos) FILTER (WHERE c_pos IS NOT NULL), '') || ' |' AS t,
+             '| ' || coalesce(string_agg(title, ' | ' ORDER BY c_pos), '') || ' |' || {NL} || '| ' || coalesce(string_agg('------', ' | ') FILTER (WHERE c_pos IS NOT NULL), '') || ' |' AS h
+      FROM v GROUP BY ALL),
+d AS (SELECT r.*, CASE file_name {" ".join(f"WHEN '{k}' THEN {x}" for k, x in _LINES_SQL.items())} END AS d FROM r),
+e AS (SELECT subject_id, event_idx, file_name, count(*) AS n_items, first(st ORDER BY pos) AS st, first(b ORDER BY pos) AS b, first(h) AS h,
+             string_agg(t, {NL} ORDER BY pos) AS t, first(d ORDER BY pos) AS d1, string_agg(d, {NL} ORDER BY pos) AS dl,
+             string_agg(d, ' ' || {NL} ORDER BY pos) AS ds FROM d JOIN l USING (subject_id, event_idx, pos) GROUP BY ALL),
+x AS (SELECT subject_id, event_idx, file_name, n_items, '## ' || {_DISPLAY_SQL} AS name, st, b, h, t,
+             CASE file_name {" ".join(f"WHEN '{k}' THEN '{h}' || {NL} || '|{' ------ |' * n}' || {NL}" for k, (h, n) in _HEADS_SQL.items())} ELSE '' END ||
+             coalesce(CASE WHEN file_name IN ('patients', 'admissions') THEN d1 WHEN file_name IN ('triage', 'medrecon', 'pyxis', 'vitalsign', 'diagnosis') THEN ds
+                           ELSE dl END, '') AS body FROM e)
+SELECT subject_id, event_idx, file_name, n_items, 'keys' AS style, name || ' [' || CASE WHEN file_name IN ({_UNTIMED_SQL}) THEN 'None' ELSE st END || ']' || {NL} ||
+       CASE WHEN n_items = 1 THEN b ELSE h || {NL} || t END AS text FROM x
+UNION ALL
+SELECT subject_id, event_idx, file_name, n_items, 'detailed',
+       CASE WHEN file_name IN ('chartevents', 'ingredientevents', 'inputevents', 'outputevents', 'procedureevents', 'datetimeevents') THEN name || ' [' || st || ']' || {NL} || body
+            ELSE trim(name || CASE WHEN file_name = 'patients' THEN '' ELSE ' [' || st || ']' END || {NL} || body, ' ' || {NL}) END FROM x""")
+def e_render_kinds(spark, sf):
+    rows = record_rows(spark, sf)
+    out = rd.render_events(rows, rd.record_specs()).withColumn("style", F.lit("keys")).unionByName(
+        rd.render_detailed(rows).withColumn("style", F.lit("detailed")))
+    return out.select("subject_id", "event_idx", "file_name", "n_items", "style", "text")
+
+
 _HIDDEN_SQL = "'" + "', '".join(t.task for t in TASKS if "discharge" in t.bid_event) + "'"
 cte("o_ctx", ("o_index", "o_etext"), f"""
   SELECT s.subject_id, s.event_idx, s.task, s.target,

@@ -69,6 +69,92 @@ EVENT_DISPLAY_NAMES = {
     "outputevents": "Output Events",
 }
 
+# Fields shown of each configured kind's records (E7), in order.
+INFO_KEYS = {
+    "patients": ("anchor_age", "gender"),
+    "omr": ("result_name", "result_value"),
+    "pharmacy": ("medication", "proc_type", "status"),
+    "prescriptions": ("drug", "ATC Type", "prod_strength", "dose_val_rx", "dose_unit_rx"),
+    "poe": ("order_type", "order_subtype"),
+    "procedures_icd": ("procedures", "CCS Type"),
+    "services": ("curr_service",),
+    "labevents": ("item_name", "valuenum", "valueuom", "ref_range_lower", "ref_range_upper", "flag", "comments"),
+    "microbiologyevents": ("test_name", "dilution_text", "interpretation", "comments", "ab_name"),
+    "admissions": ("admission_type", "admission_location", "admission_info"),
+    "transfers": ("eventtype", "careunit"),
+    "emar": ("medication", "event_txt"),
+    "diagnoses_icd": ("diagnoses", "CCS Type"),
+    "radiology": ("note_type", "exam_name", "text"),
+    "discharge": ("note_type", "text"),
+    "edstays": ("gender", "race"),
+    "triage": ("temperature", "heartrate", "resprate", "o2sat", "sbp", "dbp", "pain", "acuity", "chiefcomplaint"),
+    "medrecon": ("name", "ATC Type"),
+    "pyxis": ("name",),
+    "vitalsign": ("temperature", "heartrate", "resprate", "o2sat", "sbp", "dbp", "pain", "rhythm"),
+    "diagnosis": ("icd_title", "CCS Type"),
+    "icustays": (),
+    "chartevents": ("item_name", "valuenum", "valueuom", "warning"),
+    "ingredientevents": ("item_name", "amount", "amountuom", "rate", "rateuom"),
+    "datetimeevents": ("item_name",),
+    "procedureevents": ("item_name", "value", "valueuom", "location", "locationcategory"),
+    "inputevents": ("item_name", "amount", "amountuom", "rate", "rateuom"),
+    "outputevents": ("item_name", "value", "valueuom"),
+}
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Detailed text of one kind (E8): a line per record with {field} slots (none: heading only)."""
+    line: str | None
+    columns: tuple = ()        # table header; empty = a list
+    rules: int | None = None   # rules under the header, as many as columns unless given
+    sep: str = "\n"
+    first_only: bool = False   # only the first record counts
+    needs: str | None = None   # records without this field are left out
+    strip: bool = True
+    timed: bool = True         # the heading shows the start
+
+
+_INPUTS = Layout("| {item_name} | {amount} | {amountuom} | {rate} | {rateuom} |", ("Item Name", "Amount", "Unit", "Rate", "Unit"), strip=False)
+# Slots that are no plain field ("gender_name", "flag_name", "unit", "exam_names", "raw_service", "title",
+# "more") are defined in operators/render.py. Spaces and rules are the reference's, its slips included.
+DETAILED_LAYOUTS = {
+    "patients": Layout("- Age: {anchor_age}\n- Gender: {gender_name}", first_only=True, timed=False),
+    "omr": Layout("- {result_name}: {result_value}"),
+    "pharmacy": Layout("| {medication} | {proc_type} |", ("Medication", "Proc_type")),
+    "prescriptions": Layout("| {drug} | {prod_strength} | {dose_val_rx} | {dose_unit_rx} |",
+                            ("Drug", "Prod_Strength", "Dose_Val_Rx", "Dose_Unit_Rx")),
+    "poe": Layout("- {order_type}: {order_subtype}"),
+    "procedures_icd": Layout("- {procedures}"),
+    "services": Layout("- {raw_service}"),
+    "labevents": Layout("| {item_name} | {valuenum} | {valueuom} | {ref_range_lower}-{ref_range_upper} | {flag_name} | {comments} |",
+                        ("Item Name", "Value", "Unit", "Range", "Flag", "Comments"), needs="valuenum"),
+    "microbiologyevents": Layout("| {test_name} | {ab_name} | {dilution_text} | {interpretation} | {comments} |",
+                                 ("Item Name", "AB Name", "Dilution Text", "Interpretation", "Comments"), rules=6),
+    "admissions": Layout("- Admission Type: {admission_type}\n- Admission Location: {admission_location}{more}", first_only=True),
+    "transfers": Layout("- {unit}"),
+    "emar": Layout("- {medication}"),
+    "diagnoses_icd": Layout("- {diagnoses}"),
+    "radiology": Layout("- Note Type: {note_type}\n- Exam Name: {exam_names}\n- Report:\n{text}"),
+    "discharge": Layout("- Note Type: {note_type}\n- Report:\n{text}"),
+    "edstays": Layout(None),
+    "triage": Layout("- Temperature: {temperature}\n- Heartrate: {heartrate}\n- Resprate: {resprate}\n-O2sat: {o2sat}\n-Sbp: {sbp}\n- Dbp: {dbp}"
+                     "\n- Pain: {pain}\n- Acuity: {acuity}\n- Chiefcomplaint: {chiefcomplaint}", sep=" \n"),
+    "medrecon": Layout("- {name}", sep=" \n"),
+    "pyxis": Layout("- {name}", sep=" \n"),
+    "vitalsign": Layout("- Temperature: {temperature}\n- Heartrate: {heartrate}\n- Resprate: {resprate}\n- O2sat: {o2sat}\n- Sbp: {sbp}\n- Dbp: {dbp}"
+                        "\n- Pain: {pain}\n- Rhythm: {rhythm}", sep=" \n"),
+    "diagnosis": Layout("- {title}", sep=" \n"),
+    "icustays": Layout(None),
+    "chartevents": Layout("| {item_name} | {valuenum} | {valueuom} | {warning}", ("Item Name", "Value", "Unit", "Warning"), strip=False),
+    "ingredientevents": _INPUTS,
+    "datetimeevents": Layout("- {item_name}", strip=False),
+    "procedureevents": Layout("| {item_name} | {value} | {valueuom} | {location} | {locationcategory} |",
+                              ("Item Name", "Value", "Unit", "Location", "Location Category"), strip=False),
+    "inputevents": _INPUTS,
+    "outputevents": Layout("| {item_name} | {value} | {valueuom} |", ("Item Name", "Value", "Unit"), strip=False),
+}
+
 # Task table: (task, event kind, target key, metric, hidden kinds, task type).
 # "any" = every event kind. Fixed values, in the reference's order.
 TASK_ROWS = [
