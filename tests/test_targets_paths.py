@@ -66,6 +66,14 @@ def test_detailed_rules(spark):  # E8
         4: f"## ED Diagnoses on International Classification of Diseases {at}\n- Chest pain \n- Fever", 5: ""}
 
 
+def test_reasoning_requests_hold_the_record(spark):  # E20
+    df = spark.createDataFrame([("the record {answer}", "list it", "flu", "a -> b"), ("r", "i", "x", None)], "c string, i string, a string, g string")
+    for kind in ("graph", "nograph", "free"):
+        first, second = [r[0] for r in df.select(render.full_reasoning_request(*(F.col(c) for c in "ciag"), kind)).collect()]
+        assert all(x in first for x in ("the record {answer}", "list it", "flu")) and ("a -> b" in first) == (kind == "graph")
+        assert (second is None) == (kind == "graph")
+
+
 def test_paths_of_any_length(spark):  # F9
     edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(7)] + [("x", "y")], "a string, b string")
     pairs = spark.createDataFrame([("n0", "n7"), ("n2", "n2"), ("n0", "x"), ("n0", "gone"), ("n5", "n3")], "src string, dst string")

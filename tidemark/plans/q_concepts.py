@@ -8,6 +8,7 @@ from tidemark.operators import concepts as cc
 from tidemark.operators import graph as gr
 from tidemark.plans import bindings as b
 from tidemark.plans.oracle import cte, ctes
+from tidemark.plans.q_render import INSTR_SQL, contexts, instructions
 from tidemark.plans.registry import query
 from tidemark.session import materialize
 from tidemark.sources.tables import table
@@ -19,9 +20,9 @@ ST_SQL = ", ".join(f"'{t}'" for t in SAMPLE_TASKS)
 MIN_SUPPORT, THRESHOLD, TOPK = 5, 5.0, 20
 
 
-def parts(spark, sf):
+def parts(spark, sf, pl=None):
     """(samples, targets_long, history, concept table) with the history materialized."""
-    pl = b.pipeline(spark, sf)
+    pl = pl or b.pipeline(spark, sf)
     targets, idx = pl.targets, pl.index
     samples = idx.where(F.col("task").isin(*SAMPLE_TASKS))
     concepts = cc.event_concepts(targets, LIST_TASKS)
@@ -30,8 +31,8 @@ def parts(spark, sf):
     return samples, tlong, history, concepts
 
 
-def lifts(spark, sf):
-    samples, tlong, history, _ = parts(spark, sf)
+def lifts(spark, sf, pl=None):
+    samples, tlong, history, _ = parts(spark, sf, pl)
     n_c, n_task = cc.concept_num(samples, tlong, history)
     lf = materialize(cc.lift(cc.coexist(tlong, history), n_c, n_task, MIN_SUPPORT))
     return samples, tlong, history, lf
@@ -227,6 +228,13 @@ def f_evidence(spark, sf):
     return agg.withColumn("n_paths", F.when(F.col("n_paths") > 0, F.col("n_paths")))
 
 
+def _graphs(rel):
+    """The related findings of a sample as text."""
+    return rel.groupBy(*cc.SAMPLE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+        "target_concept", "rank", F.concat("target_concept", F.lit(" -> "), "history_concept").alias("l")))),
+        lambda x: x["l"]), "\n").alias("graph"))
+
+
 def _tmpl_sql(kind):
     from tidemark.operators.render import REASON_TEMPLATES
     return "'" + REASON_TEMPLATES[kind].replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
@@ -248,10 +256,7 @@ SELECT subject_id, event_idx, task, kind, md5(prompt) AS prompt_md5, length(prom
 def e_reason_prompt(spark, sf):
     from tidemark.operators.render import reasoning_request
     samples, tl_, hist, lf = lifts(spark, sf)
-    rel = cc.related_concepts(tl_, hist, lf, THRESHOLD, TOPK)
-    graph = (rel.groupBy(*cc.SAMPLE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
-        "target_concept", "rank", F.concat("target_concept", F.lit(" -> "), "history_concept").alias("l")))),
-        lambda x: x["l"]), "\n").alias("graph")))
+    graph = _graphs(cc.related_concepts(tl_, hist, lf, THRESHOLD, TOPK))
     s = samples.where(F.col("task").isin(*LIST_TASKS)).join(graph, cc.SAMPLE, "left")
     ans = F.array_join("target", "\n")
     g = s.select(*cc.SAMPLE, F.lit("graph").alias("kind"), reasoning_request(F.col("task"), ans, F.col("graph"), "graph")
@@ -260,3 +265,35 @@ def e_reason_prompt(spark, sf):
                  .alias("prompt"))
     return g.unionByName(n).select(*cc.SAMPLE, "kind", F.md5("prompt").alias("prompt_md5"),
                                    F.length("prompt").cast("bigint").alias("prompt_len"))
+
+
+def _request_sql(kind):
+    from tidemark.operators.render import REQUEST_TEMPLATES
+    text = "'" + REQUEST_TEMPLATES[kind].replace("\n", "' || chr(10) || '") + "'"
+    for slot, value in (("context", "c.input"), ("graph", "g.graph"), ("answer", "replace(c.target, '|', chr(10))"), ("instruction", "i.instruction")):
+        text = text.replace("{" + slot + "}", f"' || {value} || '")
+    return text
+
+
+@query("e_reason_request", ctes("o_related", "o_ctx") + f"""
+SELECT subject_id, event_idx, task, kind, md5(prompt) AS prompt_md5, length(prompt) AS prompt_len FROM (
+  SELECT c.subject_id, c.event_idx, c.task, k.kind,
+         CASE k.kind WHEN 'graph' THEN {_request_sql("graph")} WHEN 'nograph' THEN {_request_sql("nograph")} ELSE {_request_sql("free")} END AS prompt
+  FROM o_ctx c JOIN {INSTR_SQL.replace(" ins(", " i(")} ON i.task = c.task
+  CROSS JOIN (VALUES ('graph'), ('nograph'), ('free')) k(kind)
+  LEFT JOIN (SELECT subject_id, event_idx, task, string_agg(target_concept || ' -> ' || history_concept, chr(10) ORDER BY target_concept, rank) AS graph
+             FROM o_related GROUP BY ALL) g ON g.subject_id = c.subject_id AND g.event_idx = c.event_idx AND g.task = c.task
+  WHERE c.target <> '') WHERE prompt IS NOT NULL""")
+def e_reason_request(spark, sf):
+    from tidemark.operators.render import REQUEST_TEMPLATES, full_reasoning_request
+    pl = b.pipeline(spark, sf)
+    idx, ctx = contexts(spark, sf, pl)
+    _, tl_, hist, lf = lifts(spark, sf, pl)
+    graph = _graphs(cc.related_concepts(tl_, hist, lf, THRESHOLD, TOPK))
+    s = (ctx.join(idx.select(*cc.SAMPLE, "target").where(F.size("target") > 0), cc.SAMPLE)
+         .join(F.broadcast(instructions(spark)), "task").join(graph, cc.SAMPLE, "left"))
+    requests = []
+    for kind in REQUEST_TEMPLATES:
+        p = full_reasoning_request(F.col("input"), F.col("instruction"), F.array_join("target", "\n"), F.col("graph"), kind)
+        requests.append(F.struct(F.lit(kind).alias("kind"), F.md5(p).alias("prompt_md5"), F.length(p).cast("bigint").alias("prompt_len")))
+    return s.select(*cc.SAMPLE, F.explode(F.array(*requests)).alias("r")).select(*cc.SAMPLE, "r.*").where(F.col("prompt_md5").isNotNull())

@@ -338,8 +338,8 @@ cte("o_ctx", ("o_index", "o_etext"), f"""
              GROUP BY ALL) c ON c.subject_id = s.subject_id AND c.event_idx = s.event_idx AND c.task = s.task""")
 
 
-def contexts(spark, sf):
-    pl = b.pipeline(spark, sf)
+def contexts(spark, sf, pl=None):
+    pl = pl or b.pipeline(spark, sf)
     idx = pl.index
     texts = materialize(_etext(spark, sf, marked=pl.marked))
     hidden = task_frame(spark).select("task", "bid_event")
@@ -355,22 +355,22 @@ def e_context_text(spark, sf):
                       F.col("n_context").cast("bigint").alias("n_context"))
 
 
-_INSTR_SQL = "(VALUES " + ", ".join(
+INSTR_SQL = "(VALUES " + ", ".join(
     "('{}', '{}', '{}')".format(t.task, t.instruction.replace("'", "''"), t.task_type) for t in TASKS) + \
     ") ins(task, instruction, task_type)"
 
 
-def _instructions(spark):
+def instructions(spark):
     return spark.createDataFrame([(t.task, t.instruction, t.task_type) for t in TASKS],
                                  "task string, instruction string, task_type string")
 
 
 @query("e_sample", ctes("o_ctx") + f"""
 SELECT subject_id, event_idx, task, instruction, replace(target, '|', {NL}) AS output, md5(input) AS input_md5
-FROM o_ctx JOIN {_INSTR_SQL} USING (task) WHERE target <> ''""")
+FROM o_ctx JOIN {INSTR_SQL} USING (task) WHERE target <> ''""")
 def e_sample(spark, sf):
     idx, ctx = contexts(spark, sf)
-    s = (ctx.join(idx.select(*KEY, "target"), KEY).join(F.broadcast(_instructions(spark)), "task")
+    s = (ctx.join(idx.select(*KEY, "target"), KEY).join(F.broadcast(instructions(spark)), "task")
          .where(F.size("target") > 0))
     return s.select(*KEY, "instruction", rd.sample_output("target").alias("output"), F.md5("input").alias("input_md5"))
 
@@ -382,10 +382,10 @@ _PROMPT_SQL = f"""input || {NL} || {NL} || instruction ||
 
 @query("e_prompt", ctes("o_ctx") + f"""
 SELECT subject_id, event_idx, task, md5({_PROMPT_SQL}) AS prompt_md5, length({_PROMPT_SQL}) AS prompt_len
-FROM o_ctx JOIN {_INSTR_SQL} USING (task)""")
+FROM o_ctx JOIN {INSTR_SQL} USING (task)""")
 def e_prompt(spark, sf):
     _, ctx = contexts(spark, sf)
-    s = ctx.join(F.broadcast(_instructions(spark)), "task")
+    s = ctx.join(F.broadcast(instructions(spark)), "task")
     p = rd.build_prompt(F.col("input"), F.col("instruction"), task_type=F.col("task_type"))
     return s.select(*KEY, F.md5(p).alias("prompt_md5"), F.length(p).cast("bigint").alias("prompt_len"))
 
@@ -396,10 +396,10 @@ SYSTEM_TEXT = "You are a careful clinical assistant."
 @query("e_chat", ctes("o_ctx") + f"""
 SELECT subject_id, event_idx, task, 3 AS n_messages, 'system|user|assistant' AS roles,
        md5('{SYSTEM_TEXT}' || {NL} || ({_PROMPT_SQL}) || {NL} || replace(target, '|', {NL})) AS chat_md5
-FROM o_ctx JOIN {_INSTR_SQL} USING (task)""")
+FROM o_ctx JOIN {INSTR_SQL} USING (task)""")
 def e_chat(spark, sf):
     idx, ctx = contexts(spark, sf)
-    s = ctx.join(idx.select(*KEY, "target"), KEY).join(F.broadcast(_instructions(spark)), "task")
+    s = ctx.join(idx.select(*KEY, "target"), KEY).join(F.broadcast(instructions(spark)), "task")
     prompt = rd.build_prompt(F.col("input"), F.col("instruction"), task_type=F.col("task_type"))
     chat = rd.build_chat(prompt, F.lit(SYSTEM_TEXT), rd.sample_output("target"))
     return s.select(*KEY, F.size(chat).alias("n_messages"),
