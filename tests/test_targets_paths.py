@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from conftest import SF_SMALL
 from tidemark.functions.buckets import bucket_of
 from tidemark.operators import graph, labels, render, sampling
 from tidemark.spec import DETAILED_LAYOUTS, INFO_KEYS
@@ -74,6 +75,12 @@ def test_reasoning_requests_hold_the_record(spark):  # E20
         assert (second is None) == (kind == "graph")
 
 
+def test_reason_filter_ratios_on_both_sides(spark):  # G16
+    from tidemark.plans import q_scoring
+    kept = [r["kept"] for r in q_scoring.g_reason_filter_partial(spark, SF_SMALL).collect()]
+    assert 0.2 < sum(kept) / len(kept) < 0.8
+
+
 def test_paths_of_any_length(spark):  # F9
     edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(7)] + [("x", "y")], "a string, b string")
     pairs = spark.createDataFrame([("n0", "n7"), ("n2", "n2"), ("n0", "x"), ("n0", "gone"), ("n5", "n3")], "src string, dst string")

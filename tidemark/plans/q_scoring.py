@@ -348,6 +348,26 @@ def g_reason_filter(spark, sf):
     return kept.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_kept"), F.sum(F.length("a")).cast("bigint").alias("kept_chars"))
 
 
+#: Every answer closes with the first tokens of its question, none to all of them by its length.
+_PART_SQL = f"a || ' Final Results ' || array_to_string(list_slice({_tok_sql('q')}, 1, len({_tok_sql('q')}) * (length(a) % 11) // 10), ' ')"
+
+
+@query("g_reason_filter_partial", ctes("o_pairs") + f"""
+SELECT conv_id, turn, ratio >= 0.7 AND NOT contains(lower(a), 'ground truth')
+  AND NOT contains(a, 'Extraction and Analysis') AND NOT contains(a, 'Reasoning and Summary') AS kept FROM (
+  SELECT conv_id, turn, a, len(list_filter(labs, lambda l: contains(string_split(a, 'Final Results')[-1], l))) / len(labs) AS ratio
+  FROM (SELECT conv_id, turn, {_PART_SQL} AS a, {_LAB_SQL} AS labs FROM o_pairs) WHERE len(labs) > 0)""")
+def g_reason_filter_partial(spark, sf):
+    tok = so.rouge_tokens("q")
+    part = F.slice(tok, F.lit(1), F.floor(F.size(tok) * (F.length("a") % 11) / 10).cast("int"))
+    rows = pairs(spark, sf).where(F.size(tok) > 0).select(
+        "conv_id", "turn", F.array_sort(F.array_distinct(tok)).alias("labels"), F.lit("conv").alias("task"),
+        F.array(F.concat("a", F.lit(" Final Results "), F.array_join(part, " "))).alias("reasonings"))
+    kept = so.reasoning_filter(rows).select("conv_id", "turn", F.lit(True).alias("kept"))
+    return rows.select("conv_id", "turn").join(kept, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
 _NB = "list_filter(list_transform(string_split({x}, chr(10)), lambda s: trim(s)), lambda s: s <> '')"
 _TAIL = "split_part(completion, '</think>', -1)"
 _RV_P, _RV_R, _RV_F = _prf_sql(_lower_list(_NB.format(x='a')), _lower_list(_NB.format(x=_TAIL)))
