@@ -138,3 +138,74 @@ def maximal(rows):
     for c, s in said.items():
         groups[s].append(c)
     return {min((c for c in cs if c is not None), default=None): (len(s), len(cs)) for s, cs in groups.items() if s not in inner}
+
+
+def byte_pair_ids(text, ranks, pattern):
+    """Each match merged by itself: always the pair of least rank, the leftmost first."""
+    import regex
+    out = []
+    for m in regex.finditer(pattern, text or ""):
+        parts = [bytes([b]) for b in m[0].encode()]
+        while len(parts) > 1 and m[0].encode() not in ranks:
+            least = min(range(len(parts) - 1), key=lambda i: (ranks.get(parts[i] + parts[i + 1], 1 << 60), i))
+            if parts[least] + parts[least + 1] not in ranks:
+                break
+            parts[least:least + 2] = [parts[least] + parts[least + 1]]
+        out += [ranks[m[0].encode()]] if m[0].encode() in ranks else [ranks[p] for p in parts]
+    return out
+
+
+def made_runs(doc_id, text):
+    import zlib
+    w = WORD.findall(text or "")
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not w:
+        return w
+    g, n = h // 10, len(w)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [x if i < a else w[a + (i - a) % p] for i, x in enumerate(w)]
+
+
+def runs(words, min_words=6, min_periods=4):
+    """Sorted (start, length, period): every period tried, the smallest of one stretch stays."""
+    n, found = len(words), {}
+    for q in range(1, n // min_periods + 1):
+        i = 0
+        while i + q < n:
+            s = i
+            while i + q < n and words[i] == words[i + q]:
+                i += 1
+            if i + q - s >= max(min_words, min_periods * q):
+                found.setdefault((s, i + q), q)
+            i += 1
+    return sorted((s, e - s, q) for (s, e), q in found.items())
+
+
+def collapsed(words, found):
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def run_row(doc_id, words):
+    found = runs(words)
+    top = min(found, key=lambda r: (-r[1], r[0], r[2]), default=(None, None, None))
+    rows = "".join("%d,%d,%d\n" % r for r in found)
+    return (doc_id, len(found), *top, 1000 * top[1] // top[2] if found else None, hashlib.sha256(rows.encode()).hexdigest(),
+            hashlib.sha256(collapsed(words, found).encode()).hexdigest())
+
+
+def hard_negatives(rows, is_anchor=lambda i: i % 50 == 0, label=lambda i, y: (y + 1) % 10 if i % 7 == 0 else y, n_positives=5, n_negatives=3):
+    """rows: (id, vector, label) -> (anchor, positive, rank, negative, positive score, negative score)"""
+    from math import floor, isfinite
+    part = sorted({(i, label(i, y), tuple(floor(256 * x) for x in v)) for i, v, y in rows
+                   if i is not None and y is not None and v is not None and all(x is not None and isfinite(x) for x in v)})
+    out = []
+    for a in part:
+        if not is_anchor(a[0]):
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(a[2], b[2])), b[0], b[1]) for b in part if b != a)
+        for s, p, _ in [x for x in scored if x[2] == a[1]][:n_positives]:
+            fits = [x for x in scored if x[2] != a[1] and 50 * -s <= 100 * -x[0] <= 95 * -s]
+            out += [(a[0], p, k + 1, i, -s, -t) for k, (t, i, _) in enumerate(fits[:n_negatives])]
+    return out

@@ -1,5 +1,6 @@
 """The registered queries over whole small tables against the brute-force versions."""
 
+import hashlib
 import os
 import re
 import sys
@@ -90,7 +91,6 @@ def test_op9_held_out(spark):
 def test_op10(spark, docs):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(Q.tokenizer_path())
-    tok.encode_special_tokens = True
     want = []
     for d, t in docs:
         ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
@@ -101,6 +101,27 @@ def test_op10(spark, docs):
     assert len(used) <= 1.02 * -(-sum(w[3] for w in want) // 2048) + 1
 
 
+def test_op11(spark, docs):
+    import base64
+    import public_tokenizers
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(Q.tokenizer_path("byte_bpe_50k.tiktoken"), "rb"))}
+    want = [(d, brute.byte_pair_ids(t, ranks, public_tokenizers.PATTERN), t or "") for d, t in docs]
+    same(Q.op11_byte_bpe(spark, SF).collect(), [(d, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
+                                                 hashlib.sha256(t.encode()).hexdigest()) for d, ids, t in want])
+
+
+def test_op12(spark, docs):
+    got = Q.op12_periodic_runs(spark, SF).collect()
+    same(got, [brute.run_row(d, brute.made_runs(d, t)) for d, t in docs])
+    assert sum(r.n_runs > 0 for r in got) >= len(docs) // 20
+
+
+def test_op13(spark):
+    want = brute.hard_negatives(rows("embeddings", "vec_id, embedding, label"))
+    same(Q.op13_hard_negatives(spark, SF).collect(), want)
+    assert len(want) > 100
+
+
 def test_pipeline(spark, docs):
     """run() against the stages done by hand on the brute-force versions."""
     kept = {r.doc_id for r in Q.op3_quality_rules(spark, SF).collect() if r.kept}

@@ -47,12 +47,12 @@ def let(value: Column, body) -> Column:
 
 
 def hash_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """About ``n`` rows (all, if there are no more; by four standard deviations fewer than ``n`` else), chosen by
-    the hash of ``keys``: one count and a filter, so no task or driver gathers the rows."""
+    """About ``n`` rows (all, if there are no more; by four standard deviations fewer than ``n`` else, but a quarter
+    of ``n`` at least), chosen by the hash of ``keys``: one count and a filter, so no task or driver gathers the rows."""
     total = df.count()
     if total <= n:
         return df
-    cut = int((n - 4 * n ** 0.5) / total * (1 << 64)) - (1 << 63)
+    cut = int(max(n - 4 * n ** 0.5, n / 4) / total * (1 << 64)) - (1 << 63)
     return df.where(F.xxhash64(*keys) < F.lit(cut))
 
 
