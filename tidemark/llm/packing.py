@@ -53,7 +53,7 @@ def byte_alphabet() -> dict[int, str]:
 class WordTokenizer:
     """Token ids of a text as little-endian 32-bit bytes, from a lower-casing tokenizer that never looks across white space.
 
-    Its pieces never cross ASCII white space, so ids are found once per distinct
+    Special tokens written in a text get their own ids, as the library's plain call gives them. Pieces never cross ASCII white space, so ids are found once per distinct
     blank-separated word and kept in a bounded table. A plain word (Latin letters, then
     marks) is two of its pieces at most, which go to the model directly; every other word
     goes through the whole tokenizer.
@@ -63,7 +63,6 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.alphabet = byte_alphabet()
         self.known: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {"": b""}
