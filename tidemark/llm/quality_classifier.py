@@ -5,13 +5,13 @@ logistic regression over features whose presence differs significantly between t
 classes: exact words, and binned shape features of the whole text (share of symbols,
 repeated words, distinct phrases, length). It is fitted on a bounded sample of at most
 ``max_labelled`` labelled documents (chosen by hash of the id, equal texts once); the
-model has at most ``max_features`` features a judgement. Its log odds less the sample's
-prior are the evidence.
+model has at most ``max_features`` features a judgement. Each judgement is fitted on the rows that
+have it, whatever the other says. Its log odds less the sample's prior are the evidence.
 
 Site posteriors: hosts and paths (a path is a host's section; here source and, within
 it, language) have beta posteriors of their rate. A host's mean shrinks toward the global
-mean, a path's toward its host's, with prior strengths estimated from the spread between
-sites (method of moments, over all sites). All sites' sums come from one grouped aggregation per level.
+mean, a path's toward its host's, with prior strengths estimated from the spread of hosts round the
+global mean and of paths round their own host's (method of moments, over all sites). All sites' sums come from one grouped aggregation per level.
 A document's own score is left out of its site's sum; then its evidence is combined with
 the path's posterior in place of the global prior.
 
@@ -19,9 +19,11 @@ Scale: one pass over the texts; a site with a third of all documents is one row
 partial aggregation, and the site table is joined to thin (id, site, score) rows, not to
 texts. Only the bounded model reaches the driver.
 
-Defined results: a null text has no words and is judged by its shape and its site; null sites are
-sites of their own; without labels of both classes the evidence is 0 and the prior one half;
-repeated rows are judged each; other columns are not read.
+Defined results: a null text has no words and is judged by its shape and its site; very long texts are
+read whole; null sites are sites of their own; a label without an id or without either judgement is not used;
+of clashing labels of one id, and of equal texts, the greatest counts (1 before 0), for each judgement by itself; without labels of
+both classes the evidence is 0 and the prior one half; repeated rows are judged each; an empty table gives
+no rows; other columns are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -101,21 +103,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         max_features: int = 1024, least_df: int = 4, least_z: float = 5.0) -> dict[str, tuple[float, float, dict[bytes, float]]]:
     """Per judgement: (prior log odds, intercept, weight per feature); both 0 and no weights without both classes."""
     ship(docs.sparkSession)
-    chosen = labels.select(F.col(id_col).alias("id"), *(F.col(h).cast("int").alias(h) for h in HEADS)).dropna()
+    chosen = labels.select(F.col(id_col).alias("id"), *(F.col(h).cast("int").alias(h) for h in HEADS)).dropna(subset=["id"]).dropna("all", subset=list(HEADS))
     chosen = materialize(hash_sample(materialize(chosen.groupBy("id").agg(*(F.max(h).alias(h) for h in HEADS))), max_labelled, "id"))
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # max_labelled rows
     sample = materialize(sample.groupBy("text").agg(*(F.max(h).alias(h) for h in HEADS)))
     sizes = sample.agg(*(F.sum((F.col(h) == v).cast("int")).alias(f"{h}{v}") for h in HEADS for v in (0, 1))).first()
     schema = T.StructType([T.StructField("feature", T.BinaryType()), *(T.StructField(h, T.IntegerType()) for h in HEADS)])
     counts = sample.mapInArrow(_exploded, schema).groupBy("feature").agg(
-        F.count(F.lit(1)).alias("df"), *(F.sum((F.col(h) == v).cast("int")).alias(f"{h}{v}") for h in HEADS for v in (0, 1)))
+        F.count(F.lit(1)).alias("df"), *(F.coalesce(F.sum((F.col(h) == v).cast("int")), F.lit(0)).alias(f"{h}{v}") for h in HEADS for v in (0, 1)))
     counts = materialize(counts.where(F.col("df") >= least_df))
     usable = [h for h in HEADS if sizes[f"{h}0"] and sizes[f"{h}1"]]
     vocabulary: list[bytes] = []
     of: dict[str, set[bytes]] = {}
     for h in usable:
         n0, n1 = sizes[f"{h}0"], sizes[f"{h}1"]
-        p0, p1, both = F.col(f"{h}0") / F.lit(n0), F.col(f"{h}1") / F.lit(n1), F.col("df") / F.lit(n0 + n1)
+        p0, p1, both = F.col(f"{h}0") / F.lit(n0), F.col(f"{h}1") / F.lit(n1), (F.col(f"{h}0") + F.col(f"{h}1")) / F.lit(n0 + n1)
         z = F.abs(p1 - p0) / F.sqrt(F.greatest(both * (1 - both), F.lit(1e-9)) * F.lit(1 / n0 + 1 / n1))
         rows = counts.select("feature", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(max_features).collect()
         of[h] = {bytes(r["feature"]) for r in rows}
@@ -124,10 +126,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = sample.mapInArrow(_present(vocabulary), schema).collect() if usable else []  # at most max_labelled
     model = {h: (0.0, 0.0, {}) for h in HEADS}
     for h in usable:
-        y = np.array([r[h] for r in rows], float)
+        own = [r for r in rows if r[h] is not None]
+        y = np.array([r[h] for r in own], float)
         mine = [i for i, f in enumerate(vocabulary) if f in of[h]]
         at = {i: k for k, i in enumerate(mine)}
-        bias, w = logistic([[at[i] for i in r["present"] if i in at] for r in rows], y, len(mine))
+        bias, w = logistic([[at[i] for i in r["present"] if i in at] for r in own], y, len(mine))
         model[h] = (math.log(y.sum() / (len(y) - y.sum())), bias, {vocabulary[i]: float(x) for i, x in zip(mine, w)})
     return model
 
@@ -148,15 +151,17 @@ def _scored(model):
     return run
 
 
-def _strength(mean, rates: DataFrame, weight: str, rate: str):
-    """Method of moments: prior strength of a beta from the weighted spread of site rates."""
-    row = rates.where(F.col(weight) > 0).agg(F.sum(weight).alias("n"), F.count(F.lit(1)).alias("k"),
-                                             F.sum(F.col(weight) * (F.col(rate) - F.lit(mean)) ** 2).alias("ss"),
-                                             F.sum(F.col(weight) * F.col(weight)).alias("n2")).first()
-    noise = mean * (1 - mean)
-    if not row["n"] or row["k"] < 2 or noise <= 0:
+def _strength(sites: DataFrame, size: str, total: str, group_size: str, group_total: str) -> float:
+    """Method of moments: prior strength of a beta from the weighted spread of the sites' rates round their groups'."""
+    n, group = F.col(size), F.col(group_size)
+    rate, centre = F.col(total) / n, F.col(group_total) / group
+    row = sites.where(n > 0).agg(F.sum(n).alias("n"), F.count(F.lit(1)).alias("k"), F.sum(n / group).alias("groups"),
+                                 F.sum(n * (rate - centre) ** 2).alias("ss"), F.sum(n * n / group).alias("n2"),
+                                 F.sum(n * centre * (1 - centre)).alias("noise")).first()
+    if not row["n"] or row["k"] - row["groups"] < 0.5 or row["noise"] <= 0:
         return 100.0
-    between = (row["ss"] - (row["k"] - 1) * noise) / max(1e-9, row["n"] - row["n2"] / row["n"])
+    noise = row["noise"] / row["n"]
+    between = (row["ss"] - (row["k"] - row["groups"]) * noise) / max(1e-9, row["n"] - row["n2"])
     return min(1e4, max(5.0, noise / between - 1)) if between > 0 else 1e4
 
 
@@ -174,8 +179,8 @@ def combine(scored: DataFrame, model) -> DataFrame:
     out = scored.join(sites, scored["host"].eqNullSafe(sites["p_host"]) & scored["path"].eqNullSafe(sites["p_path"]))
     for h in HEADS:
         mean = min(1 - 1e-6, max(1e-6, (total[h] or 0.0) / (total["n"] or 1.0)))
-        k_host = _strength(mean, hosts.withColumn("r", F.col(f"{h}_host_s") / F.col("host_n")), "host_n", "r")
-        k_path = _strength(mean, paths.withColumn("r", F.col(f"{h}_s") / F.col("n")), "n", "r")
+        k_host = _strength(hosts.withColumns({"all_n": F.lit(total["n"]), "all_s": F.lit(total[h])}), "host_n", f"{h}_host_s", "all_n", "all_s")
+        k_path = _strength(sites, "n", f"{h}_s", "host_n", f"{h}_host_s")
         # the document's own score is left out of both sums
         host = (F.col(f"{h}_host_s") - F.col(f"{h}_p") + k_host * mean) / (F.col("host_n") - 1 + k_host)
         path = (F.col(f"{h}_s") - F.col(f"{h}_p") + k_path * host) / (F.col("n") - 1 + k_path)
