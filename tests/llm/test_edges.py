@@ -205,7 +205,6 @@ def test_packing(spark):
     from tokenizers import Tokenizer
     df, rows = awkward(spark)
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     want = []
     for d, t in rows:
         ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
@@ -336,6 +335,76 @@ def test_html_deep_names():
     assert html_extract.main_text(page, html_extract.weights_from({})) == PROSE.strip()
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<p>Hello <button>Subscribe now</button> world</p>", "Hello world"), ("<p>Hello <label>Name</label><select><option>opt one</select> world</p>", "Hello world"),
+    ("<p>Hi <span hidden>secret</span> there <span class='ad'>Buy now</span> you</p>", "Hi there you"),
+    ("<p>Hello <a title=it's href=x>link text</a> more words don't stop</p><p>second para</p>", "Hello link text more words don't stop second para"),
+    ('<p>a <a href=foo/>b</a> c <img alt="x>y"/> d</p>', "a b c d"), ("<p>x <5 y</p><p>u <b", "x <5 y u <b"),
+    *((f"<article><p>one</p>{x}<p>two</p></article>", "one two") for x in (
+        "<div class=notice>no no</div>", "<div class=sponsored-content>no no</div>", "<div class=promo>no</div>", "<ol class=commentlist><li>no<li>no</ol>",
+        "<section id=comments><p>no</p></section>", "<p style='color:red; display: none'>no</p>", "<div style='visibility:hidden'>no</div>",
+        "<div class=x-comments><div class=comment-item>no no no</div><div class=comment-item>no</div></div>")),
+    ("<article><p>t <span class='x-promo'><a>no</a><a>no</a></span> u</p></article>", "t u")])
+def test_html_furniture_inside_text(page, text):
+    assert html_extract.main_text(page, html_extract.weights_from({})) == text
+
+
+HOSTILE = {"<a ": 0, "<div>x ": 0, '<a x="': 0, '<a x=">" ': 0, "<a x='>": 0, "<!x": 0, "<br": 0, "<": 0, "</": 0, "<ul><li>": 0, '<div class="x-menu">x ': 0, "<p =": 0,
+           "<svg>": 0, "<!--": 0, "<a x= ": 0, "<b>|</i>x": 1, "<p>|<b>|<br>x": 1, "<b>|<h1>x</h1>": 1, "<i><div>|<b>|</i>x": 1, "<div class=x-menu>|<a>x</a>": 1}
+
+
+@pytest.mark.parametrize("shape", HOSTILE)
+def test_html_is_linear(shape):
+    """A megabyte of each hostile shape, with and without an end, takes seconds at most."""
+    import time
+    n = 1 << 20
+    parts = shape.split("|") if HOSTILE[shape] else [shape]
+    page = "".join(p * (n // len(parts) // len(p)) for p in parts)
+    for whole in (page, page + ">"):
+        began = time.time()
+        html_extract.main_text(whole, html_extract.weights_from({}))
+        assert time.time() - began < 6
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_html_best_run_is_the_greatest(seed):
+    """The linear scan against every contiguous run."""
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(0, 25))
+    scores, between = rng.integers(0, 6, n).astype(float).tolist(), (-rng.integers(0, 8, n)).astype(float).tolist()
+    sums = {(i, j): sum(scores[i:j + 1]) + sum(between[i + 1:j + 1]) for i in range(n) for j in range(i, n)}
+    found = html_extract.best_run(scores, between)
+    assert (found is None) == (max(sums.values(), default=0) <= 0)
+    assert found is None or sums[found] == max(sums.values())
+
+
+def test_html_container_of_random_pages():
+    """The run's container holds the same blocks as the longest common path of open containers, for random nesting."""
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        page, depth, k = "<body>", 0, 0
+        for _ in range(40):
+            step = rng.integers(3)
+            if step == 0:
+                page, depth = page + "<div>", depth + 1
+            elif step == 1 and depth:
+                page, depth = page + "</div>", depth - 1
+            else:
+                page, k = page + f"<p>w{k}</p>", k + 1
+        blocks = html_extract.read_page(page).blocks
+        for i in range(len(blocks)):
+            for j in range(i, len(blocks)):
+                paths = []
+                for b in blocks[i:j + 1]:
+                    at, path = b.at, []
+                    while at:
+                        path, at = [id(at), *path], at.up
+                    paths.append(path)
+                common = os.path.commonprefix(paths)
+                low = min([blocks[i].at.depth, *(x for b in blocks[i + 1:j + 1] for x in (b.low, b.at.depth))])
+                assert low == len(common) - 1
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "http://a", "same"), (2, "http://b", "same"), (3, None, None), (4, "u", ""), (5, "u\r\nX: y", "é" * 3000), (None, "n", "same"), (None, "n", "lone"),
              (2, "http://b", "same"), (6, "v", "x" * 100_000), (1, "http://a2", "same")]
@@ -375,6 +444,70 @@ def test_classifier(spark):
     assert quality_classifier.classify(df, lab.limit(0)).count() == df.count()
 
 
+def test_heads_are_fitted_on_their_own_labels(spark):
+    """Labels with one judgement missing give the model of the other; clashing labels of one id count as the greatest."""
+    rows = [(i, "plain words %d " % (i % 3) + ("awful stuff" if i % 2 else "lovely stuff") + " end%d" % i, "en", "s") for i in range(200)]
+    df, _ = awkward(spark, rows)
+    schema = "doc_id long, quality int, toxic int"
+    labels = spark.createDataFrame([(i, 1 - i % 2, None) for i in range(200)], schema)
+    model = quality_classifier.fit(df, labels)
+    assert model["toxic"] == (0.0, 0.0, {}) and model["quality"][2][b"lovely"] > 0 > model["quality"][2][b"awful"]
+    other = labels.unionByName(spark.createDataFrame([(i, None, i % 2) for i in range(200)] + [(None, 1, 1), (5, None, None)], schema))
+    both = quality_classifier.fit(df, other)
+    assert both["quality"][2].keys() == model["quality"][2].keys() and both["toxic"][2][b"awful"] > 0
+    clash = quality_classifier.fit(df, labels.unionByName(spark.createDataFrame([(i, 0, 0) for i in range(200)], schema)))
+    assert clash["quality"] == model["quality"]
+
+
+def brute_sites(rows, priors):
+    """(quality_site, toxic_site) of every row, by plain sums."""
+    out = [[] for _ in rows]
+    for k, prior in enumerate(priors):
+        p = [1 / (1 + np.exp(-(r[2 + k] + prior))) for r in rows]
+        hosts, paths = defaultdict(list), defaultdict(list)
+        for r, x in zip(rows, p):
+            hosts[r[0]].append(x)
+            paths[r[0], r[1]].append(x)
+        mean = sum(p) / len(p)
+
+        def strength(groups):
+            n = sum(len(v) for g in groups for v in g)
+            ss = n2 = noise = k = 0
+            for g in groups:
+                size = sum(map(len, g))
+                centre = sum(map(sum, g)) / size
+                k += len(g) - 1
+                for v in g:
+                    ss += len(v) * (sum(v) / len(v) - centre) ** 2
+                    n2 += len(v) ** 2 / size
+                    noise += len(v) * centre * (1 - centre) / n
+            if k == 0:
+                return 100.0
+            between = (ss - k * noise) / max(1e-9, n - n2)
+            return min(1e4, max(5.0, noise / between - 1)) if between > 0 else 1e4
+
+        k_host = strength([list(hosts.values())])
+        k_path = strength([[v for (h, _), v in paths.items() if h == host] for host in hosts])
+        for i, (r, x) in enumerate(zip(rows, p)):
+            h, q = hosts[r[0]], paths[r[0], r[1]]
+            host = (sum(h) - x + k_host * mean) / (len(h) - 1 + k_host)
+            out[i].append((sum(q) - x + k_path * host) / (len(q) - 1 + k_path))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_site_posteriors_by_plain_sums(spark, seed):
+    rng = np.random.default_rng(seed)
+    bias = {h: rng.normal() for h in ("a", "b", "c", None)}
+    rows = [(h, str(rng.integers(1 + seed)), float(bias[h] + rng.normal()), float(rng.normal())) for h in rng.choice(list(bias), 150)]
+    priors = {"quality": 0.3, "toxic": -1.0}
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, host string, path string, quality double, toxic double")
+    got = {r.id: (r.quality_site, r.toxic_site) for r in quality_classifier.combine(df, {h: (x, 0.0, {}) for h, x in priors.items()}).collect()}
+    want = brute_sites(rows, priors.values())
+    assert len(got) == len(rows)
+    assert all(abs(x - y) < 1e-9 for i in got for x, y in zip(got[i], want[i]))
+
+
 def test_sparse_sites_shrink(spark):
     """A site with one document leans on the global prior, a large poor site keeps its own."""
     model = {h: (0.0, 0.0, {}) for h in quality_classifier.HEADS}

@@ -1,26 +1,32 @@
 """HTML extraction: the maximum-scoring subsequence of words and tags is the page's main region.
 
 A page becomes blocks of text (runs between block-level tags), each with its number of
-words, the tags before it, its open containers and whether it lies in page furniture:
+words, the tags before it and its innermost open container. Text inside page furniture is left out as it is read:
 elements and roles for menus, headers, footers, sidebars, dialogs, forms, scripts and styles,
-hidden elements, and whole class or id names that mean nothing else (menus, sidebars, adverts,
-reader comments). Where only a part of a name says so ("modal-logic", "header", "alert"), the
+hidden elements, and whole class or id names that mean nothing else (menus, sidebars, adverts, notices,
+reader comments), in the middle of a paragraph as well. Where only a part of a name says so ("modal-logic", "header", "alert"), the
 element is furniture if it has links or buttons and its words and tags sum to less than
-nothing. Headings and sections are never judged by their ids, headings not by class either. A word scores positive, a tag
+nothing, or if two or more such elements are its children (a list of comments or teasers). Headings are
+never judged by their names. A word scores positive, a tag
 negative; the weights are log odds learnt from labelled pages, the pages that mark their
 own main text with exactly one ``article`` element, on a sample of at most ``max_labelled``
 of them (chosen by hash of the page). One linear scan finds the contiguous
-run of blocks with the largest sum; the words of furniture score nothing, its tags as others.
+run of blocks with the largest sum; furniture has no words, its tags score as others.
 The run is then completed to its container (the enclosing article or main element, else the
 innermost section, div or cell that holds all of it, else the page's body), so that short
-blocks at its ends, and beyond furniture, are not lost; furniture inside is left out.
+blocks at its ends, and beyond furniture, are not lost.
+
+Every step is linear in the page: a tag ends at the first ``>`` outside closed quotes (a quote opens a value only
+right after ``=``), what can't end is text; blocks point to their container instead of holding
+a path; end tags without an open element are known from counts.
 
 Scale: one pass over the pages without a shuffle; the tag counts of the sample
 are aggregated before they reach the driver (one row per known tag name).
 
 Defined results: a null or empty page, and one without words outside furniture, gives an
 empty text; unclosed and misnested tags close with their container; an unended comment,
-script or style runs to the end of the page; other columns are not read; rows repeat as given.
+script or style runs to the end of the page; pages are taken whole at any length; an empty table gives no
+rows; other columns are not read; rows repeat as given.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from itertools import accumulate
 
 import pyarrow as pa
@@ -37,9 +44,11 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import hash_sample, ship
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+" + _VALUE + ")?+|=)*+)>")
 #: One attribute: its name, then its value if it has one. Read in order, so that no value is taken for a name.
-ATTRIBUTE = re.compile(r"""([^\s>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
+ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(" + _VALUE + "))?+")
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 #: Elements without an end tag, and those whose start ends an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset(("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -48,18 +57,22 @@ BLOCKS = frozenset(("address article aside blockquote body br center dd details
 #: Text inside is never read as markup.
 RAW = frozenset("script style textarea title xmp noembed noframes iframe noscript template svg annotation annotation-xml".split())
 CONTAINERS = frozenset("article body div main section td".split())
+#: Elements that no start or end tag inside reaches beyond, but for a block's own end tag.
+SCOPES = CONTAINERS | frozenset("dl ol select table ul".split())
+ITEMS = frozenset("dd dt li option td th tr".split())
 FURNITURE = frozenset(("aside button dialog datalist footer form head header iframe input label menu nav noembed noframes "
                        "noscript object optgroup option script search select style svg template textarea title xmp").split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 #: Whole class and id names that mark furniture, and ids of elements that carry no generated slugs.
 NAMES = frozenset("ad ads adv advert adverts advertisement advertisements adsbygoogle breadcrumb breadcrumbs comments comment-form comment-list comments-area "
-                  "comments-list cookie-banner cookie-consent cookie-notice disqus disqus-thread masthead menubar nav navbar navigation "
-                  "newsletter-signup outbrain pagination related-articles related-posts share-buttons sharing-buttons sidebar skip-link social-links "
-                  "social-share sponsored taboola".split()) | {
+                  "comments-list comments-section comment-section commentlist cookie-banner cookie-bar cookie-consent cookie-notice disqus disqus-thread "
+                  "masthead menubar nav navbar navigation newsletter newsletter-signup notice notices outbrain pagination promo promos promoted "
+                  "promoted-content reader-comments related-articles related-posts share-buttons sharing-buttons sidebar site-notice skip-link "
+                  "social-links social-share sponsored sponsored-content sponsored-post taboola user-comments".split()) | {
     f"{a}-{b}" for a in ("ad", "ads", "advert", "advertisement")
     for b in "area banner block box container holder label placeholder slot space unit wrap wrapper zone".split()}
-WITH_IDS = frozenset("div ul ol dl table td".split())
+WITH_IDS = frozenset("div section ul ol dl table td".split())
 #: Parts of class and id names (split at non-letters) that mark furniture where links and tags outweigh the words.
 PARTS = frozenset(("ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent "
                    "contentinfo cookie cookies dialog disclaimer discussion disqus footer gdpr header "
@@ -72,22 +85,40 @@ WORD_WEIGHT, TAG_WEIGHT, LINK_WEIGHT = 1.0, -0.3, -3.0
 LINKISH = frozenset("a li ul nav footer header aside form option select button".split())
 
 
-class Block:
-    __slots__ = ("text", "words", "tags", "path", "out", "article", "spans")
+class Container:
+    """An open element that can hold the main text; the blocks from ``first`` to before ``last`` are in it."""
+    __slots__ = ("name", "up", "depth", "first", "last")
 
-    def __init__(self, text, words, tags, path, out, article, spans):
-        self.text, self.words, self.tags, self.path, self.out, self.article, self.spans = text, words, tags, path, out, article, spans
+    def __init__(self, name, up, first):
+        self.name, self.up, self.depth, self.first, self.last = name, up, up.depth + 1 if up else 0, first, first
 
 
 class Span:
-    """An element that is furniture if its links and tags outweigh its words: the places of its tags in the page's, and its words."""
-    __slots__ = ("tags", "first", "last", "words")
+    """An element that may be furniture: the places of its tags in the page's, its words, its children of that kind."""
+    __slots__ = ("up", "first", "last", "words", "children", "out")
+
+    def __init__(self, up, first):
+        self.up, self.first, self.last, self.words, self.children, self.out = up, first, first, 0, 0, False
+
+
+class Block:
+    """Pieces of text with the innermost span round each; ``low`` is the least depth of containers since the block before."""
+    __slots__ = ("pieces", "text", "words", "tags", "at", "low", "article")
+
+    def __init__(self, pieces, tags, at, low, article):
+        self.pieces, self.tags, self.at, self.low, self.article = pieces, tags, at, low, article
+        self.read()
+
+    def read(self):
+        words = "".join(p for p, span in self.pieces if not (span and span.out)).split()
+        self.text, self.words = " ".join(words), len(words)
 
-    def __init__(self, tags, first, words):
-        self.tags, self.first, self.last, self.words = tags, first, None, -words
 
-    def end(self, last, words):
-        self.last, self.words = last, self.words + words
+class Page:
+    __slots__ = ("blocks", "spans", "tags")
+
+    def __init__(self):
+        self.blocks, self.spans, self.tags = [], [], []  # tags: without those of headings, whose links lead to themselves
 
 
 def _furniture(tag: str, attributes: str) -> bool | None:
@@ -99,7 +130,7 @@ def _furniture(tag: str, attributes: str) -> bool | None:
     read: dict[str, str] = {}
     for name, value in ATTRIBUTE.findall(attributes):
         read.setdefault(name.lower(), value.strip("\"'"))
-    if "hidden" in read or read.get("aria-hidden", "").lower() == "true":
+    if "hidden" in read or read.get("aria-hidden", "").lower() == "true" or UNSEEN.search(read.get("style", "")):
         return True
     if tag in HEADINGS:
         return False
@@ -107,7 +138,7 @@ def _furniture(tag: str, attributes: str) -> bool | None:
         return True
     classes = _tokens(read.get("class", ""))
     names = classes + (_tokens(read.get("id", "")) if tag in WITH_IDS and "section" not in classes else [])
-    if tag != "section" and any(n in NAMES for n in names):
+    if any(n in NAMES for n in names):
         return True
     return None if any(w in PARTS for n in names for w in re.split(r"[^a-z]+", n)) else False
 
@@ -116,150 +147,202 @@ def _tokens(value: str) -> list[str]:
     return re.sub(r"[-_]+", "-", re.sub(r"([a-z])([A-Z])", r"\1-\2", value)).lower().split()
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order; ``tags`` are the names of the tags since the last block."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, int, Span | None]] = []  # open elements: name, furniture, number, what may be furniture
-    n_out = n_articles = n_math = n_headings = n_words = number = 0
-    pieces: list[str] = []
+def read_page(page: str) -> Page:
+    """The page's text blocks in order; ``tags`` of a block are the names of the tags since the last one."""
+    found = Page()
+    root = Container("", None, 0)
+    stack: list[tuple[str, bool, Container | None, Span | None]] = []  # open elements: name, furniture, container, what may be furniture
+    inside, span, low = root, None, 0
+    n_open: Counter[str] = Counter()
+    scopes: list[Counter[str]] = [Counter()]  # open elements by name, inside each open scope
+    n_out = n_articles = n_math = n_headings = 0
+    pieces: list[tuple[str, Span | None]] = []
     tags: list[str] = []
-    all_tags: list[str] = []  # without those of headings, whose links lead to themselves
-    spans: list[Span] = []  # those that are open
 
     def add_tag(tag):
         if not n_math:  # a formula's inner tags stand for no layout
             tags.append(tag)
             if not n_headings and tag not in HEADINGS:
-                all_tags.append(tag)
+                found.tags.append(tag)
 
     def text(raw):
-        if raw:
-            pieces.append(html.unescape(raw) if "&" in raw else raw)
+        if raw and not n_out:
+            piece = html.unescape(raw) if "&" in raw else raw
+            pieces.append((piece, span))
+            if span:
+                span.words += len(piece.split())
 
     def end_block():
-        nonlocal pieces, tags, n_words
-        words = "".join(pieces).split()
-        if words:
-            path = tuple((name, k) for name, _, k, _ in stack if name in CONTAINERS)
-            out.append(Block(" ".join(words), len(words), tags, path, n_out > 0, n_articles, tuple(spans)))
-            tags = []
-            n_words += len(words)
-        pieces = []
+        nonlocal pieces, tags, low
+        if pieces:
+            block = Block(pieces, tags, inside, low, n_articles)
+            pieces = []
+            if block.words:
+                found.blocks.append(block)
+                tags, low = [], inside.depth
 
     def pop_to(depth):
-        nonlocal n_out, n_articles, n_math, n_headings
+        nonlocal n_out, n_articles, n_math, n_headings, inside, span, low
         while len(stack) > depth:
-            name, furniture, _, span = stack.pop()
+            name, furniture, container, own = stack.pop()
+            n_open[name] -= 1
+            if name in SCOPES:
+                scopes.pop()
+            scopes[-1][name] -= 1
             n_out -= furniture
             n_articles -= name == "article"
             n_math -= name == "math"
             n_headings -= name in HEADINGS
-            if span:
-                spans.pop().end(len(all_tags), n_words)
-
-    at, end = 0, len(page)
+            if container:
+                container.last = len(found.blocks)
+                inside = container.up
+                low = min(low, inside.depth)
+            if own:
+                own.last = len(found.tags)
+                if own.up:
+                    own.up.words += own.words
+                span = own.up
+
+    def pop_nearest(names):
+        depth = len(stack) - 1
+        while stack[depth][0] not in names:
+            depth -= 1
+        pop_to(depth)
+
+    at, end, last_end = 0, len(page), page.rfind(">")
     while at < end:
-        m = TOKEN.search(page, at)
-        if not m:
-            text(page[at:])
+        lt = page.find("<", at)
+        if lt < 0:
             break
-        text(page[at:m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:  # comment, doctype, processing instruction
+        if page.startswith("<!--", lt):
+            text(page[at:lt])
+            close = page.find("-->", lt + 4)
+            at = close + 3 if close >= 0 else end
+            continue
+        if lt > last_end:
+            break
+        if page[lt + 1:lt + 2] in ("!", "?"):  # doctype, processing instruction
+            text(page[at:lt])
+            at = page.find(">", lt) + 1
+            continue
+        m = TAG.match(page, lt)
+        if not m:
+            if page[lt + 1:lt + 3].lstrip("/")[:1].isalpha():  # a tag that never ends, nor does any behind it
+                break
+            text(page[at:lt + 1])
+            at = lt + 1
             continue
-        tag = tag.lower()
+        text(page[at:lt])
+        at = m.end()
+        tag = m[2].lower()
         if m[1]:
             if tag in BLOCKS:
                 end_block()
             add_tag(tag)
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    pop_to(depth)
-                    break
-                if stack[depth][0] in CONTAINERS and tag not in BLOCKS:
-                    break  # an inline end tag doesn't close what holds it
+            if n_open[tag] if tag in BLOCKS or tag in SCOPES else scopes[-1][tag]:  # an inline end tag doesn't close what holds it
+                pop_nearest((tag,))
             continue
         if tag in BLOCKS:
             end_block()
-            for depth in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph, an item the item before
-                name = stack[depth][0]
-                if name == "p" and tag != "br" or name == tag and tag in ("li", "dd", "dt", "option", "tr", "td", "th"):
-                    pop_to(depth)
-                    break
-                if name in CONTAINERS or name in ("ul", "ol", "dl", "table", "select"):
-                    break
+            # a block ends an open paragraph, an item the item before
+            ends = ([] if tag == "br" or not scopes[-1]["p"] else ["p"]) + ([tag] if tag in ITEMS and scopes[-1][tag] else [])
+            if ends:
+                pop_nearest(ends)
         add_tag(tag)
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = close.end() if close else end
             add_tag(tag)
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not _closed(m[3]):
             furniture = _furniture(tag, m[3])
-            span = Span(all_tags, len(all_tags) - 1, n_words) if furniture is None else None
-            if span:
-                spans.append(span)
-            number += 1
-            stack.append((tag, bool(furniture), number, span))
+            own = None
+            if furniture is None:
+                if stack and stack[-1][3]:
+                    stack[-1][3].children += 1
+                own = span = Span(span, len(found.tags) - 1)
+                found.spans.append(own)
+            container = None
+            if tag in CONTAINERS:
+                container = inside = Container(tag, inside, len(found.blocks))
+            stack.append((tag, bool(furniture), container, own))
+            n_open[tag] += 1
+            scopes[-1][tag] += 1
+            if tag in SCOPES:
+                scopes.append(Counter())
             n_out += bool(furniture)
             n_articles += tag == "article"
             n_math += tag == "math"
             n_headings += tag in HEADINGS
+    text(page[at:])
     end_block()
     pop_to(0)
-    return out
+    return found
 
 
-def _judge(found: list[Block], weights: dict[str, float]) -> None:
-    """Blocks in spans with links, whose words and tags sum to less than nothing, are furniture."""
-    spans = {s for b in found for s in b.spans}
-    if not spans:
-        return
-    tags = next(iter(spans)).tags
-    sums = list(accumulate((weights.get(t, weights["*"]) for t in tags), initial=0.0))
-    links = list(accumulate((t in LINKS for t in tags), initial=0))
-    out = {s for s in spans if links[s.last] > links[s.first] and s.words * weights[""] + sums[s.last] - sums[s.first] < 0}
-    for b in found:
-        b.out = b.out or any(s in out for s in b.spans)
+def _closed(attributes: str) -> bool:
+    """Whether a start tag ends with a slash that is no part of a value."""
+    if not attributes.endswith("/"):
+        return False
+    last = attributes.rsplit(None, 1)[-1]
+    return "=" not in last or last[-2] in "\"'"
 
 
-def _score(block: Block, weights: dict[str, float]) -> float:
-    return 0.0 if block.out else block.words * weights[""]
+def _judge(found: Page, weights: dict[str, float]) -> None:
+    """Spans with links whose words and tags sum to less than nothing, and those with such children, are furniture."""
+    if not found.spans:
+        return
+    sums = list(accumulate((weights.get(t, weights["*"]) for t in found.tags), initial=0.0))
+    links = list(accumulate((t in LINKS for t in found.tags), initial=0))
+    for s in found.spans:  # the outer ones come first
+        poor = links[s.last] > links[s.first] and s.words * weights[""] + sums[s.last] - sums[s.first] < 0
+        s.out = poor or s.children > 1 or bool(s.up and s.up.out)
+    for b in found.blocks:
+        if any(span and span.out for _, span in b.pieces):
+            b.read()
+
+
+def best_run(scores: list[float], between: list[float]) -> tuple[int, int] | None:
+    """First and last place of the contiguous run with the largest sum above zero of its scores and of what lies between them."""
+    best, run, start, chosen = 0.0, 0.0, 0, None
+    for i, score in enumerate(scores):
+        if run + between[i] <= 0:
+            run, start = score, i
+        else:
+            run += between[i] + score
+        if run > best:
+            best, chosen = run, (start, i)
+    return chosen
 
 
-def region(found: list[Block], weights: dict[str, float]) -> list[Block]:
+def region(found: Page, weights: dict[str, float]) -> list[Block]:
     """The blocks of the main text."""
     _judge(found, weights)
-    best, run, start, chosen = 0.0, 0.0, 0, None
-    for i, b in enumerate(found):
-        between = sum(weights.get(t, weights["*"]) for t in b.tags) if run > 0 else 0.0
-        if run + between <= 0:
-            run, start, between = 0.0, i, 0.0
-        run += between + _score(b, weights)
-        if run > best:
-            best, chosen = run, (start, i)
+    blocks = found.blocks
+    chosen = best_run([b.words * weights[""] for b in blocks], [sum(weights.get(t, weights["*"]) for t in b.tags) for b in blocks])
     if chosen is None:
         return []
     i, j = chosen
-    inside = [b for b in found[i:j + 1] if not b.out]
-    common = inside[0].path
-    for b in inside[1:]:
-        n = 0
-        while n < min(len(common), len(b.path)) and common[n] == b.path[n]:
-            n += 1
-        common = common[:n]
-    for name in ("article", "main"):
-        at = next((k for k, c in enumerate(common) if c[0] == name), None)
-        if at is not None:
-            common = common[:at + 1]
-            break
-    if common and common[-1][0] != "body":
-        return [b for b in found if not b.out and b.path[:len(common)] == common]
-    return [b for b in found if not b.out]
+    while not blocks[i].words:
+        i += 1
+    while not blocks[j].words:
+        j -= 1
+    # blocks are met on a walk over the tree: what holds all of them is as deep as the walk's highest point
+    common, depth = blocks[i].at, min([blocks[i].at.depth, *(x for b in blocks[i + 1:j + 1] for x in (b.low, b.at.depth))])
+    while common.depth > depth:
+        common = common.up
+    main: dict[str, Container] = {}
+    at = common
+    while at.up:
+        main[at.name] = at  # the outermost stays
+        at = at.up
+    common = main.get("article") or main.get("main") or common
+    if common.up and common.name != "body":
+        blocks = blocks[common.first:common.last]
+    return [b for b in blocks if b.words]
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
-    return " ".join(b.text for b in region(blocks(page or ""), weights))
+    return " ".join(b.text for b in region(read_page(page or ""), weights))
 
 
 def weights_from(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
@@ -284,7 +367,7 @@ def _count_tags(batches):
     for batch in batches:
         total: dict[str, list[int]] = {}
         for page in batch.column("html").to_pylist():
-            for b in blocks(page):
+            for b in read_page(page or "").blocks:
                 k = 0 if b.article else 1
                 total.setdefault("", [0, 0])[k] += b.words
                 for t in b.tags:
