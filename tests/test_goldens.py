@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scoring as fs
 from tidemark.functions.text import extract_answer
-from tidemark.operators import context as cx
 from tidemark.operators import labels as lb
 from tidemark.operators import sampling as sm
 from tidemark.operators import scoring as so
@@ -34,18 +33,18 @@ def labels_of(spark, rows, dod=None, extractor=None):
     return {(r["event_idx"], r["task"]): r["target"][0] for r in out.collect()}
 
 
+def begins(spark, rows):
+    return {r["event_idx"]: r["ctx_begin"] for r in lb.prepare(events(spark, rows)).collect()}
+
+
 def test_context_24h_is_strict(spark):  # goldens 1, 2
-    ev = cx.context_back(cx.with_back_time(events(spark, [
-        (1, "labevents", 7, T0, None), (2, "admissions", 7, T0 + 24 * H, None),
-        (3, "labevents", 8, T0, None), (4, "admissions", 8, T0 + 24 * H - 1_000_000, None)])), out="b")
-    got = {r["event_idx"]: r["b"] for r in ev.collect()}
+    got = begins(spark, [(1, "labevents", 7, T0, None), (2, "admissions", 7, T0 + 24 * H, None),
+                         (3, "labevents", 8, T0 + 25 * H, None), (4, "admissions", 8, T0 + 49 * H - 1_000_000, None)])
     assert got[2] is None and got[4] == 3
 
 
 def test_context_null_visits_match(spark):  # golden 3
-    ev = cx.context_back(cx.with_back_time(events(spark, [
-        (1, "discharge", None, T0, None), (2, "discharge", None, T0 + H, None)])), out="b")
-    assert {r["event_idx"]: r["b"] for r in ev.collect()}[2] == 1
+    assert begins(spark, [(1, "discharge", None, T0, None), (2, "discharge", None, T0 + H, None)])[2] == 1
 
 
 def test_ed_null_visit_never_hospitalised(spark):  # golden 4

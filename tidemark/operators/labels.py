@@ -1,13 +1,12 @@
 """Task mapping, decision samples, risk labels, task index.
 
-One wide pass of window columns over the event table (all keyed by subject, so a
-single exchange), then each extractor is a filter + projection; the 18 yes/no
-labels are unpivoted with ``stack``.
+One pass of context columns over the event table (see ``operators.context``), then each
+extractor is a filter + projection; the 18 yes/no labels are unpivoted with ``stack``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.time import US_PER_HOUR
@@ -38,62 +37,9 @@ def task_event_map(spark, tasks: list[TaskSpec] | None = None, kinds=CONFIGURED_
                      "task", "task_type", "target_key", "metric")
 
 
-def prepare(events: DataFrame) -> DataFrame:
-    """All window columns the extractors need, computed once.
-
-    Written as three projections so that every window expression sharing a
-    (partition, order, frame) spec is evaluated by one Window operator:
-    1. per-subject date of death, back/forward times (C4);
-    2. all look-ups (C1, C2 twice, C5 four times, C6, C7, C8);
-    3. the visit / direction conditions on those results."""
-    subj, visit, idx, kind = "subject_id", "hadm_id", F.col("event_idx"), F.col("file_name")
-    h24 = cx.US_PER_HOUR * 24
-    keep = [c for c in events.columns if c != "dod_us"]
-    w_idx = Window.partitionBy(subj).orderBy("event_idx")
-    st1 = events.select(
-        *keep, F.max("dod_us").over(Window.partitionBy(subj)).alias("dod_us"),
-        F.when(kind == "diagnoses_icd", F.lag("starttime_us").over(w_idx)).otherwise(F.col("starttime_us")).alias("t_back"),
-        F.col("starttime_us").alias("t_fwd"))
-    tb, tf = F.col("t_back"), F.col("t_fwd")
-    w_back = Window.partitionBy(subj, visit).orderBy("t_back").rangeBetween(-(h24 - 1), 0)
-    w_fwd = Window.partitionBy(subj, visit).orderBy("t_fwd").rangeBetween(0, h24 - 1)
-    w_vdesc = Window.partitionBy(subj, visit).orderBy(idx.desc()).rowsBetween(Window.unboundedPreceding, -1)
-    w_sdesc = Window.partitionBy(subj).orderBy(idx.desc()).rowsBetween(Window.unboundedPreceding, -1)
-    w_visit = Window.partitionBy(subj, visit)
-    w_asof = Window.partitionBy(subj).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
-
-    def it(t):
-        return F.struct(idx.alias("i"), t.alias("t"))
-
-    def first_kind(k, w):
-        return F.min(F.when(kind == k, it(tf))).over(w)
-
-    st2 = st1.select(
-        "*",
-        F.min(F.when(tb.isNotNull() & (idx >= 1), idx)).over(w_back).alias("_cb"),
-        F.max(F.when(tf.isNotNull(), it(tf))).over(w_fwd).alias("_cf"),
-        first_kind("admissions", w_vdesc).alias("_ans"), first_kind("icustays", w_vdesc).alias("_ins"),
-        first_kind("edstays", w_sdesc).alias("_en"), first_kind("admissions", w_sdesc).alias("_an"),
-        F.max(F.when(tf.isNotNull(), it(tf))).over(w_visit).alias("_lv"),
-        F.max(F.when(kind == "admissions", F.struct(idx.alias("i"), F.col(visit).alias("v")))).over(w_asof).alias("_aa"),
-        F.max(F.when(kind == "discharge", F.struct(idx.alias("i"), F.col(visit).alias("v")))).over(w_asof).alias("_da"))
-    v = F.col(visit)
-    fwd_ok = tf.isNotNull() & (F.col("_cf.i") > idx)
-    icu_ok = fwd_ok & v.isNotNull()
-    same = v.isNotNull()
-    differs = v.isNull() | F.col("_da.v").isNull() | (F.col("_da.v") != v)
-    return st2.select(
-        *keep, "dod_us", "t_back", "t_fwd",
-        F.when(tb.isNotNull() & (F.col("_cb") < idx), F.col("_cb")).alias("ctx_begin"),
-        F.when(fwd_ok, F.col("_cf.i")).alias("ctx_last"), F.when(fwd_ok, F.col("_cf.t")).alias("ctx_last_us"),
-        F.when(icu_ok, F.col("_cf.i")).alias("ctx_last_icu"), F.when(icu_ok, F.col("_cf.t")).alias("ctx_last_icu_us"),
-        F.when(same, F.col("_ans.i")).alias("adm_next_same"), F.when(same, F.col("_ans.t")).alias("adm_next_same_us"),
-        F.when(same, F.col("_ins.i")).alias("icu_next_same"), F.when(same, F.col("_ins.t")).alias("icu_next_same_us"),
-        F.col("_en.i").alias("ed_next"), F.col("_en.t").alias("ed_next_us"),
-        F.col("_an.i").alias("adm_next"), F.col("_an.t").alias("adm_next_us"),
-        F.when(same & (F.col("_lv.i") > idx), F.col("_lv.t")).alias("last_in_visit_us"),
-        F.when(F.col("_aa.v") == v, F.col("_aa.i")).alias("admissions_id"),
-        F.when(F.col("_da").isNotNull() & differs, F.col("_da.i")).alias("last_discharge_id"))
+def prepare(events: DataFrame, block_events: int = cx.BLOCK_EVENTS) -> DataFrame:
+    """All columns the extractors need (C1-C8), computed once and written; see :func:`context.with_context`."""
+    return cx.with_context(events, block_events)
 
 
 def _unpivot(df: DataFrame, labels: dict[str, object], begin, end) -> DataFrame:

@@ -1,9 +1,9 @@
 """B family: order raw rows into one timeline per subject, then group runs into events.
 
-Shuffle plan: the row table is hash-partitioned by subject once
-(``repartition(subject)``); every window below is keyed by ``subject`` or by
-``(subject, visit)`` and the run aggregation by ``(subject, run)``, so all of them
-reuse that single exchange.
+No group is ever sorted by one task: positions come from a range-partitioned order (see
+``operators.ordering``), runs from blocks of consecutive positions whose ends are
+combined, and events from partial aggregates by (subject, run). A subject with a third of all rows is
+spread like any other data.
 """
 
 from __future__ import annotations
@@ -11,116 +11,83 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordering import dense_positions, positions_and_runs
 from tidemark.spec import DEFAULT, DEMOGRAPHICS_KIND, UNTIMED_KINDS, TimelineSpec
 
+BLOCK_ROWS = 4096
+
 # tail ranks for rows placed after their visit's last timed row
 _TAIL = {"diagnoses_icd": 1, "drgcodes": 2}
 
 
-def order_within(df: DataFrame, partition: list[str], order: list, pos_col: str = "pos",
-                 max_group_rows: int | None = None) -> DataFrame:
-    """Generic B1-B4 helper: dense position per partition under a total order.
-
-    A window when the largest group fits one task (checked with one partial
-    aggregation), otherwise the segmented ordering that spreads a hot group."""
-    from tidemark.operators.ordering import dense_positions
-    limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
-    biggest = df.groupBy(*partition).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if biggest > limit:
-        cols = [F.col(c) if isinstance(c, str) else c for c in order]
-        return dense_positions(df, list(partition), cols, pos_col)
-    w = Window.partitionBy(*partition).orderBy(*order)
-    return df.withColumn(pos_col, F.row_number().over(w).cast("bigint"))
+def order_within(df: DataFrame, partition: list[str], order: list, pos_col: str = "pos") -> DataFrame:
+    """Generic B1-B4 helper: dense position per partition under a total order."""
+    return dense_positions(df, list(partition), [F.col(c) if isinstance(c, str) else c for c in order], pos_col)
 
 
-def order_timeline(rows: DataFrame, spec: TimelineSpec = DEFAULT, partitions: int | None = None) -> DataFrame:
-    """One total order per subject, exposed as ``pos`` (1-based).
+def _placed(rows: DataFrame, s: TimelineSpec) -> tuple[DataFrame, list]:
+    """Rows with their place, and the order of places in a subject (B5-B8):
 
     * demographics rows first (B8);
     * timed rows by (time, source rank, kind, row key) (B5);
     * ``diagnoses_icd`` right after the last timed row of its visit, ``drgcodes``
       after those (B6); untimed rows without a timed row in their visit, and
       timed-kind rows whose time is missing, go once to the end (B7, deliberate).
-    """
-    s = spec
-    rows = rows.repartition(partitions, s.subject) if partitions else rows.repartition(s.subject)
-    t = F.col(s.time_us)
-    kind = F.col(s.kind)
-    is_demo = kind == F.lit(DEMOGRAPHICS_KIND)
-    is_untimed_kind = kind.isin(*UNTIMED_KINDS)
-    timed = t.isNotNull() & ~is_untimed_kind
-    sort_key = F.struct(t.alias("t"), F.col(s.source_rank).alias("sr"), kind.alias("k"), F.col(s.row_key).alias("r"))
-    w_visit = Window.partitionBy(s.subject, s.visit)
-    anchor = F.max(F.when(timed, sort_key)).over(w_visit)
-    tail = F.coalesce(*[F.when(kind == F.lit(k), F.lit(v)) for k, v in _TAIL.items()], F.lit(3))
-    placed = (rows
-              .withColumn("_anchor", F.when(timed, sort_key).otherwise(F.when(kind.isin(*_TAIL), anchor)))
-              .withColumn("_grp", F.when(is_demo, F.lit(0)).when(F.col("_anchor").isNotNull(), F.lit(1)).otherwise(F.lit(2)))
-              .withColumn("_tail", F.when(timed, F.lit(0)).otherwise(tail)))
-    w = Window.partitionBy(s.subject).orderBy(
-        F.col("_grp"), F.col("_anchor"), F.col("_tail"), F.col(s.row_key), kind)
-    return placed.withColumn(s.pos, F.row_number().over(w).cast("bigint")).drop("_anchor", "_grp", "_tail")
 
-
-def order_and_mark(rows: DataFrame, spec: TimelineSpec = DEFAULT, partitions: int | None = None) -> DataFrame:
-    """B5-B9 without subject-keyed windows: same ``pos`` and ``event_idx`` as
-    :func:`order_timeline` + :func:`mark_runs`, but a subject with a huge number of
-    rows is spread over many tasks (see :mod:`tidemark.operators.ordering`).
-
-    The untimed-row anchor is an aggregate per (subject, visit) joined back with a
-    NULL-safe visit match."""
-    from tidemark.operators.ordering import positions_and_runs
-    s = spec
-    t = F.col(s.time_us)
-    kind = F.col(s.kind)
+    The untimed-row anchor is an aggregate per (subject, visit), joined back with a NULL-safe visit match."""
+    t, kind = F.col(s.time_us), F.col(s.kind)
     is_demo = kind == F.lit(DEMOGRAPHICS_KIND)
     timed = t.isNotNull() & ~kind.isin(*UNTIMED_KINDS)
     sort_key = F.struct(t.alias("t"), F.col(s.source_rank).alias("sr"), kind.alias("k"), F.col(s.row_key).alias("r"))
     anchors = (rows.where(timed).groupBy(s.subject, s.visit).agg(F.max(sort_key).alias("_va"))
                .withColumnRenamed(s.subject, "_as").withColumnRenamed(s.visit, "_av"))
-    j = rows.join(anchors, (F.col(s.subject) == F.col("_as")) & F.col(s.visit).eqNullSafe(F.col("_av")), "left")
     tail = F.coalesce(*[F.when(kind == F.lit(k), F.lit(v)) for k, v in _TAIL.items()], F.lit(3))
-    placed = (j.withColumn("_anchor", F.when(timed, sort_key).otherwise(F.when(kind.isin(*_TAIL), F.col("_va"))))
+    # only the kinds that follow their visit look for it
+    follow = rows.where(kind.isin(*_TAIL))
+    found = follow.join(anchors, (F.col(s.subject) == F.col("_as")) & F.col(s.visit).eqNullSafe(F.col("_av")), "left").drop("_as", "_av")
+    other = rows.where(~F.coalesce(kind.isin(*_TAIL), F.lit(False))).withColumn("_va", F.lit(None).cast(anchors.schema["_va"].dataType))
+    placed = (found.unionByName(other)
+              .withColumn("_anchor", F.when(timed, sort_key).otherwise(F.col("_va")))
               .withColumn("_grp", F.when(is_demo, F.lit(0)).when(F.col("_anchor").isNotNull(), F.lit(1)).otherwise(F.lit(2)))
               .withColumn("_tail", F.when(timed, F.lit(0)).otherwise(tail))
-              .drop("_as", "_av", "_va"))
-    order = [F.col("_grp"), F.col("_anchor.t"), F.col("_anchor.sr"), F.col("_anchor.k"), F.col("_anchor.r"),
-             F.col("_tail"), F.col(s.row_key), kind]
-    out = positions_and_runs(placed, [s.subject], order, s.kind, s.pos, s.event_idx, partitions)
-    return out.drop("_anchor", "_grp", "_tail")
+              .drop("_va"))
+    return placed, [F.col("_grp"), F.col("_anchor.t"), F.col("_anchor.sr"), F.col("_anchor.k"), F.col("_anchor.r"),
+                    F.col("_tail"), F.col(s.row_key), kind]
 
 
-# Largest per-subject row count we let a single task sort (windows path).
-MAX_GROUP_ROWS = 2_000_000
+def order_timeline(rows: DataFrame, spec: TimelineSpec = DEFAULT, partitions: int | None = None) -> DataFrame:
+    """One total order per subject, exposed as ``pos`` (1-based)."""
+    placed, order = _placed(rows, spec)
+    return dense_positions(placed, [spec.subject], order, spec.pos, partitions).drop("_anchor", "_grp", "_tail")
 
 
-def order_and_mark_auto(rows: DataFrame, spec: TimelineSpec = DEFAULT, max_group_rows: int = MAX_GROUP_ROWS,
-                        partitions: int | None = None) -> DataFrame:
-    """B5-B9 choosing the plan from one statistic: the largest subject's row count
-    (a partial aggregation reading only the subject column). Subject-keyed windows
-    when every subject fits one task, the segmented path otherwise."""
-    s = spec
-    biggest = rows.groupBy(s.subject).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if biggest > max_group_rows:
-        return order_and_mark(rows, s, partitions)
-    return mark_runs(order_timeline(rows, s, partitions), s)
+def order_and_mark(rows: DataFrame, spec: TimelineSpec = DEFAULT, partitions: int | None = None) -> DataFrame:
+    """B5-B9 in one go: same ``pos`` and ``event_idx`` as :func:`order_timeline`, then :func:`mark_runs`."""
+    placed, order = _placed(rows, spec)
+    return positions_and_runs(placed, [spec.subject], order, spec.kind, spec.pos, spec.event_idx, partitions).drop("_anchor", "_grp", "_tail")
 
 
-def mark_runs(timeline: DataFrame, spec: TimelineSpec = DEFAULT, split_on_visit: bool = False) -> DataFrame:
+def mark_runs(timeline: DataFrame, spec: TimelineSpec = DEFAULT, split_on_visit: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """B9 gaps-and-islands: consecutive rows of equal kind share ``event_idx`` (0-based).
 
-    The key is the kind only (a run may cross time and visit boundaries), unless
-    ``split_on_visit``.
-    """
+    The key is the kind only (a run may cross time and visit boundaries), unless ``split_on_visit``.
+    Positions are dense, so blocks of ``block_rows`` of them are marked by themselves; a block's first row
+    and number of runs then wait for what the blocks ahead of it end with."""
     s = spec
-    w = Window.partitionBy(s.subject).orderBy(s.pos)
-    prev_kind = F.lag(s.kind).over(w)
-    change = prev_kind.isNull() | (prev_kind != F.col(s.kind))
-    if split_on_visit:
-        change = change | ~F.lag(s.visit).over(w).eqNullSafe(F.col(s.visit))
-    return (timeline.withColumn("_new", change.cast("int"))
-            .withColumn(s.event_idx, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-            .drop("_new"))
+    key = F.struct(s.kind, s.visit) if split_on_visit else F.struct(s.kind)
+    rows = timeline.withColumns({"_block": F.floor(F.col(s.pos) / block_rows), "_run_of": key})
+    w = Window.partitionBy(s.subject, "_block").orderBy(s.pos)
+    before = F.lag("_run_of").over(w)
+    rows = rows.withColumn("_new", F.when(before.isNull() | before.eqNullSafe(F.col("_run_of")), 0).otherwise(1))
+    blocks = rows.groupBy(s.subject, "_block").agg(F.sum("_new").alias("_n"), F.min_by("_run_of", s.pos).alias("_f"), F.max_by("_run_of", s.pos).alias("_l"))
+    ws = Window.partitionBy(s.subject).orderBy("_block")
+    ahead = F.lag("_l").over(ws)
+    blocks = blocks.withColumn("_starts", F.when(ahead.isNotNull() & ahead.eqNullSafe(F.col("_f")), 0).otherwise(1))
+    upto = F.sum(F.col("_n") + F.col("_starts")).over(ws.rowsBetween(Window.unboundedPreceding, 0))
+    blocks = blocks.select(s.subject, "_block", (upto - F.col("_n") - 1).alias("_first"))
+    inside = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return (rows.join(blocks, [s.subject, "_block"]).withColumn(s.event_idx, (F.col("_first") + inside).cast("bigint"))
+            .drop("_block", "_run_of", "_new", "_first"))
 
 
 def eventize(timeline: DataFrame, spec: TimelineSpec = DEFAULT, extra_first: tuple[str, ...] = (),

@@ -170,12 +170,10 @@ BOUND_TASKS = ("admissions", "labevents", "diagnoses_icd", "discharge")
 
 
 def marked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with position and event id, materialized (a stage boundary). The plan
-    (subject windows or the skew-safe segmented ordering) is chosen from the
-    largest subject's row count."""
-    from tidemark.operators.timeline import order_and_mark_auto
+    """Rows with position and event id, materialized (a stage boundary)."""
+    from tidemark.operators.timeline import order_and_mark
     from tidemark.session import materialize
-    return materialize(order_and_mark_auto(decoded_rows(spark, sf_dir)))
+    return materialize(order_and_mark(decoded_rows(spark, sf_dir)))
 
 
 def task_index_parts(spark: SparkSession, sf_dir: str, marked: DataFrame | None = None,
@@ -186,14 +184,12 @@ def task_index_parts(spark: SparkSession, sf_dir: str, marked: DataFrame | None
     event aggregation and the target extraction) and the prepared event table
     (read by the five extractors)."""
     from tidemark.operators import labels as lb
-    from tidemark.operators.timeline import eventize
-    from tidemark.session import materialize
-    from tidemark.operators.timeline import event_count_filter
+    from tidemark.operators.timeline import event_count_filter, eventize
     marked = marked if marked is not None else marked_rows(spark, sf_dir)
     ev = eventize(marked, extra_first=("end_us", "dod_us"), marked=True)
     if max_events is not None:  # B15 is a choice of the caller, not a bound of the plan
         ev = event_count_filter(ev, 1, max_events)
-    prepared = materialize(lb.prepare(ev))
+    prepared = lb.prepare(ev)
     targets = lb.extract_targets(marked, lb.task_event_map(spark), BOUND_TASKS)
     return prepared, targets
 
