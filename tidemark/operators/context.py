@@ -14,7 +14,7 @@ Contexts bounded by time (24 hours back and on, the end of a stay) can reach any
 another block, a probe is put at the bound into the time order of the subject (and visit) and
 takes the neighbouring event there: rows and probes are range-partitioned and the neighbour is carried
 over partition ends (:func:`neighbours`), so a crowded day is spread as well. Only subjects with
-more than one block take part, so ordinary subjects pay one exchange and an empty join.
+more than one block take part: the summaries tell whether there are any, ordinary subjects pay one exchange.
 
 Precondition shared with the reference: start times are non-decreasing in ``event_idx`` (NULL
 times aside), which the timeline order guarantees.
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.time import US_PER_HOUR
 from tidemark.operators.ordering import segment
@@ -32,6 +33,7 @@ from tidemark.session import materialize
 BLOCK_EVENTS = 4096
 DAY_US = 24 * US_PER_HOUR
 _KEY = ["subject_id", "block"]
+_AT = T.StructType([T.StructField("i", T.LongType()), T.StructField("t", T.LongType())])
 _PAST, _TO_COME = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, -1)
 
 
@@ -140,10 +142,15 @@ def with_context(events: DataFrame, block_events: int = BLOCK_EVENTS) -> DataFra
     events = materialize(events.withColumn("block", F.floor(F.col("event_idx") / block_events)))
     keep = [c for c in events.columns if c not in ("dod_us", "block")]
     carried = materialize(_block_carries(events))
-    big = events.join(carried, _KEY)
     w_idx = Window.partitionBy(*_KEY).orderBy("event_idx")
-    big = big.withColumn("t_back", _back_time(w_idx))
-    carried = materialize(carried.join(_visit_carries(big), _KEY, "left").join(_far_bounds(big), _KEY, "left"))
+    if carried.isEmpty():  # no subject has a second block
+        far = T.MapType(T.LongType(), T.StructType([T.StructField(a, T.StructType([T.StructField(b, kind)])) for a, b, kind in (
+            ("back", "next", T.LongType()), ("on", "prev", _AT), ("until", "prev", _AT))]))
+        visits = T.MapType(T.LongType(), T.StructType([T.StructField(a, _AT) for a in ("adm", "icu", "timed")]))
+        carried = carried.withColumns({"x_visits": F.lit(None).cast(visits), "x_far": F.lit(None).cast(far)})
+    else:
+        big = events.join(carried, _KEY).withColumn("t_back", _back_time(w_idx))
+        carried = materialize(carried.join(_visit_carries(big), _KEY, "left").join(_far_bounds(big), _KEY, "left"))
 
     idx, visit, kind = F.col("event_idx"), F.col("hadm_id"), F.col("file_name")
     st1 = events.join(carried, _KEY, "left").select(

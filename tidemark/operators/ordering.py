@@ -3,48 +3,127 @@
 A window ``row_number() over (partition by g order by k)`` sends each group to a
 single task; one group holding a third of all rows would then be one giant task.
 Instead the rows are range-partitioned on (g, k) - a large group spans many
-partitions - sorted within partitions and tagged with
-``monotonically_increasing_id`` (partition id in the high bits, the position in
-the sorted partition in the low bits). A small table of segments (one row per
-(group, partition)) carries each segment's first id, size and last value; its
-cumulative sums give the offsets. Windows then only ever span one segment.
+partitions - and sorted within partitions; that is the only shuffle. One pass over each
+sorted partition then numbers the rows and the runs of each group it holds (Arrow batches,
+numpy; a window would shuffle all rows again). What a partition must add to its first group is known from the
+first and last rows of the partitions ahead: two narrow rows a partition, folded on the
+driver and joined back by the partition's number.
 
-The tagged table is materialized (reliable checkpoint) so that the ids are fixed
+The numbered rows are materialized (reliable checkpoint), so that the numbers are fixed
 for every later use.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import materialize
 
 
-def segment(df: DataFrame, group: list[str], order: list[Column], partitions: int | None = None) -> DataFrame:
-    """Range-partition on (group, order), sort within partitions, tag ids, materialize."""
+def _ranged(df: DataFrame, group: list[str], order: list[Column], partitions: int | None) -> DataFrame:
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g) for g in group] + list(order)
-    tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_mono", F.monotonically_increasing_id()))
+    return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+
+
+def segment(df: DataFrame, group: list[str], order: list[Column], partitions: int | None = None) -> DataFrame:
+    """Range-partition on (group, order), sort within partitions, tag ids, materialize: ``_pid`` is a row's
+    partition, ``_mono`` rises with the order."""
+    tagged = _ranged(df, group, order, partitions).withColumn("_mono", F.monotonically_increasing_id())
     return materialize(tagged).withColumn("_pid", F.shiftright("_mono", 33))
 
 
-def _segments(tagged: DataFrame, group: list[str], extra: list[Column] = ()) -> DataFrame:
-    seg = tagged.groupBy(*group, "_pid").agg(F.min("_mono").alias("_m0"), F.count(F.lit(1)).alias("_n"), *extra)
-    w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    return seg.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+def _numbering(group: list[str], kind: str | None):
+    """A map over a sorted partition that adds _pid, _row (place in the group), _run (run in the group) and
+    _end (1: the partition's first row, 2: its last, 3: both)."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        def differs(batch, names):
+            out = np.zeros(max(batch.num_rows - 1, 0), bool)
+            for name in names:
+                a, b = batch.column(name).slice(1), batch.column(name).slice(0, batch.num_rows - 1)
+                unlike = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+                out |= unlike | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+            return out
+
+        def at(batch, i):
+            return [batch.column(g)[i].as_py() for g in group], batch.column(kind)[i].as_py() if kind else None
+
+        part, held = TaskContext.get().partitionId(), None
+        row = number = 0
+        last = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            first = at(batch, 0)
+            fresh = last is None or first[0] != last[0]
+            new_group = np.concatenate([[fresh], differs(batch, group)])
+            new_run = np.concatenate([[fresh or first[1] != last[1]], differs(batch, [kind] if kind else [])]) | new_group
+            i, so_far = np.arange(n), np.cumsum(new_run)
+            start = np.maximum.accumulate(np.where(new_group, i, -1))
+            inside = start >= 0
+            rows = np.where(inside, i - start + 1, row + i + 1)
+            runs = np.where(inside, so_far - so_far[np.maximum(start, 0)] + 1, number + so_far)
+            row, number, last = int(rows[-1]), int(runs[-1]), at(batch, n - 1)
+            ends = np.zeros(n, np.int32)
+            ends[0] += held is None
+            if held is not None:
+                yield held[0]
+            held = pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(rows), pa.array(runs), pa.array(ends)],
+                                              [*batch.schema.names, "_pid", "_row", "_run", "_end"]), ends
+        if held is not None:
+            batch, ends = held
+            ends[-1] += 2
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ends)], batch.schema.names)
+    return run
+
+
+def _numbered(df: DataFrame, group: list[str], order: list[Column], kind: str | None, partitions: int | None) -> DataFrame:
+    """``df`` with ``_row`` and ``_run``, 1-based numbers within the group over all partitions."""
+    spark = df.sparkSession
+    schema = T.StructType([*df.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_row", T.LongType()),
+                           T.StructField("_run", T.LongType()), T.StructField("_end", T.IntegerType())])
+    tagged = materialize(_ranged(df, group, order, partitions).mapInArrow(_numbering(group, kind), schema))
+    kinds = [F.col(kind).alias("_kind")] if kind else [F.lit(None).cast("string").alias("_kind")]
+    ends: dict[int, dict[int, object]] = {}
+    # two rows of each partition
+    for r in tagged.where("_end > 0").select("_pid", "_end", "_row", "_run", F.struct(*group).alias("_group"), *kinds).collect():
+        for bit in (1, 2):
+            if r["_end"] & bit:
+                ends.setdefault(r["_pid"], {})[bit] = r
+    carried, before, rows, runs = [], None, 0, 0
+    for pid in sorted(ends):
+        first, last = ends[pid][1], ends[pid][2]
+        more = more_runs = 0
+        if before is not None and before["_group"] == first["_group"]:
+            more, more_runs = rows, runs - (before["_kind"] == first["_kind"])
+            carried.append((pid, first["_group"], more, more_runs))
+        goes_on = last["_group"] == first["_group"]
+        before, rows, runs = last, last["_row"] + more * goes_on, last["_run"] + more_runs * goes_on
+    tagged = tagged.drop("_end")
+    if not carried:
+        return tagged.drop("_pid")
+    schema = T.StructType([T.StructField("_pid", T.IntegerType()), T.StructField("_of", T.StructType([df.schema[g] for g in group])),
+                           T.StructField("_rows", T.LongType()), T.StructField("_runs", T.LongType())])
+    known = F.broadcast(spark.createDataFrame(carried, schema))  # a row for each partition that a group goes on in
+    mine = F.struct(*group).eqNullSafe(F.col("_of"))
+    return (tagged.join(known, "_pid", "left")
+            .withColumns({"_row": F.col("_row") + F.when(mine, F.col("_rows")).otherwise(0), "_run": F.col("_run") + F.when(mine, F.col("_runs")).otherwise(0)})
+            .drop("_pid", "_of", "_rows", "_runs"))
 
 
 def dense_positions(df: DataFrame, group: list[str], order: list[Column], out: str = "pos",
                     partitions: int | None = None) -> DataFrame:
     """1-based dense position within ``group`` under the total order ``order``;
-    equal to ``row_number()`` over the same window."""
-    tagged = segment(df, group, order, partitions)
-    seg = _segments(tagged, group)
-    j = tagged.join(seg.select(*group, "_pid", "_m0", "_off"), [*group, "_pid"])
-    return j.withColumn(out, (F.col("_off") + F.col("_mono") - F.col("_m0") + 1).cast("bigint")).drop(
-        "_mono", "_pid", "_m0", "_off")
+    equal to ``row_number()`` over the same window. ``group`` may be empty."""
+    return _numbered(df, group, order, None, partitions).withColumnRenamed("_row", out).drop("_run")
 
 
 def positions_and_runs(df: DataFrame, group: list[str], order: list[Column], kind: str, pos: str = "pos",
@@ -52,21 +131,5 @@ def positions_and_runs(df: DataFrame, group: list[str], order: list[Column], kin
     """Dense positions plus gaps-and-islands run ids (0-based) on ``kind``:
     consecutive rows of equal kind share a run. Same result as ``row_number`` +
     ``lag`` + running sum over the group window, without that window."""
-    tagged = segment(df, group, order, partitions)
-    seg = _segments(tagged, group, [F.max_by(F.col(kind), F.col("_mono")).alias("_last_kind")])
-    wseg = Window.partitionBy(*group).orderBy("_pid")
-    seg = seg.withColumn("_prev_seg_kind", F.lag("_last_kind").over(wseg))
-    j = tagged.join(seg.select(*group, "_pid", "_m0", "_off", "_prev_seg_kind"), [*group, "_pid"])
-    # windows over one segment only: (partition id, group) keys, ordered by id
-    w = Window.partitionBy("_pid", *group).orderBy("_mono")
-    prev = F.coalesce(F.lag(kind).over(w), F.when(F.col("_mono") == F.col("_m0"), F.col("_prev_seg_kind")))
-    marked = (j.withColumn(pos, (F.col("_off") + F.col("_mono") - F.col("_m0") + 1).cast("bigint"))
-              .withColumn("_chg", (prev.isNull() | (prev != F.col(kind))).cast("bigint")))
-    marked = marked.withColumn("_cum", F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # changes in earlier segments of the group
-    seg2 = marked.groupBy(*group, "_pid").agg(F.sum("_chg").alias("_segchg"))
-    w2 = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    seg2 = seg2.withColumn("_chg_off", F.coalesce(F.sum("_segchg").over(w2), F.lit(0))).drop("_segchg")
-    out = marked.join(seg2, [*group, "_pid"])
-    return (out.withColumn(run, (F.col("_chg_off") + F.col("_cum") - 1).cast("bigint"))
-            .drop("_mono", "_pid", "_m0", "_off", "_prev_seg_kind", "_chg", "_cum", "_chg_off"))
+    marked = _numbered(df, group, order, kind, partitions)
+    return marked.withColumnsRenamed({"_row": pos}).withColumn(run, F.col("_run") - 1).drop("_run")

@@ -170,10 +170,9 @@ BOUND_TASKS = ("admissions", "labevents", "diagnoses_icd", "discharge")
 
 
 def marked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with position and event id, materialized (a stage boundary)."""
+    """Rows with position and event id (written by the ordering: a stage boundary)."""
     from tidemark.operators.timeline import order_and_mark
-    from tidemark.session import materialize
-    return materialize(order_and_mark(decoded_rows(spark, sf_dir)))
+    return order_and_mark(decoded_rows(spark, sf_dir))
 
 
 def task_index_parts(spark: SparkSession, sf_dir: str, marked: DataFrame | None = None,
