@@ -82,14 +82,52 @@ def test_reason_filter_ratios_on_both_sides(spark):  # G16
 
 
 def test_paths_of_any_length(spark):  # F9
-    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(7)] + [("x", "y")], "a string, b string")
-    pairs = spark.createDataFrame([("n0", "n7"), ("n2", "n2"), ("n0", "x"), ("n0", "gone"), ("n5", "n3")], "src string, dst string")
-    got = {(r["src"], r["dst"]): r["hops"] for r in graph.shortest_hops(pairs, edges).collect()}
-    assert got == {("n0", "n7"): 7, ("n2", "n2"): 0, ("n0", "x"): None, ("n0", "gone"): None, ("n5", "n3"): 2}
-    short = {(r["src"], r["dst"]): r["hops"] for r in graph.shortest_hops(pairs, edges, max_hops=4).collect()}
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(7)] + [("x", "y"), ("y", None), ("x", "x")], "a string, b string")
+    pairs = spark.createDataFrame([("n0", "n7"), ("n2", "n2"), ("n0", "x"), ("n0", "gone"), ("n5", "n3"), (None, "x"), ("gone", "gone"), ("n0", "n7")],
+                                  "src string, dst string")
+    got = [tuple(r) for r in graph.shortest_paths(pairs, edges).select("src", "dst", "hops", "path").collect()]
+    assert sorted(got, key=str) == sorted([("n0", "n7", 7, [f"n{i}" for i in range(8)])] * 2 + [("n2", "n2", 0, ["n2"]), ("n0", "x", None, None), ("n0", "gone", None, None),
+                                          ("n5", "n3", 2, ["n5", "n4", "n3"]), (None, "x", None, None), ("gone", "gone", 0, ["gone"])], key=str)
+    short = {(r["src"], r["dst"]): r["hops"] for r in graph.shortest_paths(pairs, edges, max_hops=3).collect()}
     assert short[("n0", "n7")] is None and short[("n5", "n3")] == 2
 
 
+def test_paths_of_a_random_graph(spark):  # length, every edge and the tie rule
+    rng = random.Random(5)
+    names = [f"{rng.choice('abc')}{i}" for i in range(40)]
+    edges = {(rng.choice(names), rng.choice(names)) for _ in range(55)}
+    near = {n: {b for a, b in edges if a == n} | {a for a, b in edges if b == n} - {n} for n in names}
+    pairs = [(rng.choice(names), rng.choice(names)) for _ in range(80)]
+
+    def brute(src, dst):
+        layer = [[src]]
+        seen = {src}
+        while layer:
+            ends = [p for p in layer if p[-1] == dst]
+            if ends:
+                return min(ends)
+            layer = [p + [n] for p in layer for n in near[p[-1]] if n not in seen]
+            seen |= {p[-1] for p in layer}
+
+    got = graph.shortest_paths(spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame(sorted(edges), "a string, b string")).collect()
+    assert len(got) == len(pairs)
+    for r in got:
+        want = brute(r.src, r.dst) if near[r.src] or r.src == r.dst else None
+        assert r.path == want and r.hops == (len(want) - 1 if want else None)
+
+
+def test_evidence_record(spark):  # F11
+    from tidemark.operators import concepts
+    samples = spark.createDataFrame([(1, i, "t") for i in range(4)], "subject_id long, event_idx long, task string")
+    rel = spark.createDataFrame([(1, 0, "t", "b", "x", 9.0, 1), (1, 0, "t", "b", "y", 8.0, 2), (1, 0, "t", "a", "z", 6.0, 1), (1, 1, "t", "q", "r", 7.0, 1)],
+                                "subject_id long, event_idx long, task string, target_concept string, history_concept string, lift double, rank int")
+    paths = spark.createDataFrame([("b", "y", 1, ["b", "y"]), ("z", "a", 2, ["z", "m", "a"]), ("b", "x", None, None), ("q", "s", 1, ["q", "s"])],
+                                  "src string, dst string, hops int, path array<string>")
+    got = {r.event_idx: r.evidence and r.evidence.asDict(True) for r in concepts.sample_evidence(samples, rel, paths).collect()}
+    assert got == {0: {"related": [{"target": "a", "history": "z", "lift": 6.0}, {"target": "b", "history": "x", "lift": 9.0}, {"target": "b", "history": "y", "lift": 8.0}],
+                       "paths": [["b", "y"], ["z", "m", "a"]]}, 1: None, 2: None, 3: None}
+
+
 def test_bucket_of_counts_the_bounds_below(spark):
     rng = random.Random(3)
     bounds = sorted(rng.choice([0.1, 0.2, 0.2, 0.5, rng.random()]) for _ in range(15))

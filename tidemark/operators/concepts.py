@@ -85,13 +85,27 @@ def filter_paths(paths: DataFrame, related: DataFrame) -> DataFrame:
     """keep paths whose two ends are one target and one history concept of the
     sample, in either direction."""
     pairs = related.select(*SAMPLE, "target_concept", "history_concept")
-    p = paths.select("src", "dst", "hops")
+    p = paths.select("src", "dst", "hops", "path")
     fwd = pairs.join(p, (F.col("target_concept") == F.col("src")) & (F.col("history_concept") == F.col("dst")))
     rev = pairs.join(p, (F.col("target_concept") == F.col("dst")) & (F.col("history_concept") == F.col("src")))
-    cols = [*SAMPLE, "src", "dst", "hops"]
+    cols = [*SAMPLE, "src", "dst", "hops", "path"]
     return fwd.select(*cols).unionByName(rev.select(*cols)).distinct()
 
 
+def sample_evidence(samples: DataFrame, related: DataFrame, paths: DataFrame) -> DataFrame:
+    """(subject_id, event_idx, task, evidence) for every sample.
+
+    ``evidence`` is a record of ``related``, the pairs (target, history, lift) by target and rank, and ``paths``, those
+    of :func:`filter_paths` by their nodes; NULL where the sample has no related pair or no path."""
+    rel = related.groupBy(*SAMPLE).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("target_concept").alias("target"), "rank", F.col("history_concept").alias("history"), "lift"))).alias("_r"))
+    kept = filter_paths(paths.where(F.col("path").isNotNull()), related).groupBy(*SAMPLE).agg(F.array_sort(F.collect_set("path")).alias("_p"))
+    record = F.struct(F.transform("_r", lambda r: F.struct(r["target"].alias("target"), r["history"].alias("history"), r["lift"].alias("lift")))
+                      .alias("related"), F.col("_p").alias("paths"))
+    joined = samples.select(*SAMPLE).join(rel.join(kept, SAMPLE), SAMPLE, "left")
+    return joined.select(*SAMPLE, F.when(F.col("_p").isNotNull(), record).alias("evidence"))
+
+
 # --- F2: dictionary terms in free text (re-aimed matcher) ---------------------------
 def word_tokens(text):
     return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda x: x != "")

@@ -12,6 +12,7 @@ from tidemark.plans.q_render import INSTR_SQL, contexts, instructions
 from tidemark.plans.registry import query
 from tidemark.session import materialize
 from tidemark.sources.tables import table
+from tidemark.spec import TASKS, task_frame
 
 LIST_TASKS = ("admissions", "labevents", "diagnoses_icd")
 SAMPLE_TASKS = LIST_TASKS + ("next_event",)
@@ -178,54 +179,78 @@ def _edges(spark, sf):
             .distinct())
 
 
-cte("o_paths", ("o_related",), f"""
-  SELECT p.src, p.dst, min(r.hops) AS hops FROM (SELECT DISTINCT target_concept AS src, history_concept AS dst FROM o_related) p
-  LEFT JOIN (
-    WITH RECURSIVE e AS (SELECT a AS u, b AS v FROM ({EDGES_SQL}) WHERE a <> b
-                         UNION SELECT b, a FROM ({EDGES_SQL}) WHERE a <> b),
-    bfs(src, node, hops) USING KEY (src, node) AS (
-      SELECT DISTINCT target_concept, target_concept, 0 FROM o_related
+cte("o_edges", (), f"""
+  SELECT a AS u, b AS v FROM ({EDGES_SQL}) WHERE a <> b UNION SELECT b, a FROM ({EDGES_SQL}) WHERE a <> b""")
+cte("o_reach", ("o_related", "o_edges"), """
+  SELECT src AS dst, node, min(hops) AS hops FROM (
+    WITH RECURSIVE bfs(src, node, hops) USING KEY (src, node) AS (
+      SELECT DISTINCT history_concept, history_concept, 0 FROM o_related
       UNION
-      SELECT DISTINCT bfs.src, e.v, bfs.hops + 1 FROM bfs JOIN e ON e.u = bfs.node
+      SELECT DISTINCT bfs.src, e.v, bfs.hops + 1 FROM bfs JOIN o_edges e ON e.u = bfs.node
       WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs seen WHERE seen.src = bfs.src AND seen.node = e.v))
-    SELECT src, node, min(hops) AS hops FROM bfs GROUP BY src, node) r ON r.src = p.src AND r.node = p.dst
-  GROUP BY p.src, p.dst""")
+    SELECT * FROM bfs) GROUP BY ALL""")
+# from src always to the smallest neighbour that is nearer to dst
+cte("o_paths", ("o_reach",), """
+  SELECT p.src, p.dst, w.hops, w.path FROM (SELECT DISTINCT target_concept AS src, history_concept AS dst FROM o_related) p
+  LEFT JOIN (
+    WITH RECURSIVE walk(src, dst, node, path, hops, togo) AS (
+      SELECT q.src, q.dst, q.src, [q.src], r.hops, r.hops
+      FROM (SELECT DISTINCT target_concept AS src, history_concept AS dst FROM o_related) q JOIN o_reach r ON r.dst = q.dst AND r.node = q.src
+      UNION ALL
+      SELECT w.src, w.dst, n.v, list_append(w.path, n.v), w.hops, w.togo - 1
+      FROM walk w JOIN (SELECT r.dst, e.u, r.hops, min(e.v) AS v FROM o_edges e JOIN o_reach r ON r.node = e.v GROUP BY r.dst, e.u, r.hops) n
+        ON n.dst = w.dst AND n.u = w.node AND n.hops = w.togo - 1)
+    SELECT * FROM walk WHERE togo = 0) w ON w.src = p.src AND w.dst = p.dst""")
 
 
 def _paths(spark, sf, rel=None):
     rel = rel if rel is not None else related(spark, sf)
     pairs = rel.select(F.col("target_concept").alias("src"), F.col("history_concept").alias("dst")).distinct()
-    return gr.shortest_hops(pairs, _edges(spark, sf))
+    return gr.shortest_paths(pairs, _edges(spark, sf))
 
 
-@query("f_paths", ctes("o_paths") + "SELECT src, dst, hops FROM o_paths")
+@query("f_paths", ctes("o_paths") + "SELECT src, dst, hops, array_to_string(path, ' > ') AS path FROM o_paths")
 def f_paths(spark, sf):
-    return _paths(spark, sf).select("src", "dst", F.col("hops").cast("int").alias("hops"))
+    return _paths(spark, sf).select("src", "dst", "hops", F.array_join("path", " > ").alias("path"))
+
+
+cte("o_kept_paths", ("o_paths",), """
+  SELECT DISTINCT r.subject_id, r.event_idx, r.task, p.src, p.dst, p.hops, p.path
+  FROM o_related r JOIN o_paths p ON p.hops IS NOT NULL
+   AND ((p.src = r.target_concept AND p.dst = r.history_concept) OR (p.dst = r.target_concept AND p.src = r.history_concept))""")
 
 
-@query("f_filter_paths", ctes("o_paths") + """
-SELECT DISTINCT r.subject_id, r.event_idx, r.task, p.src, p.dst, p.hops
-FROM o_related r JOIN o_paths p ON p.hops IS NOT NULL
- AND ((p.src = r.target_concept AND p.dst = r.history_concept) OR (p.dst = r.target_concept AND p.src = r.history_concept))""")
+@query("f_filter_paths", ctes("o_kept_paths") + """
+SELECT subject_id, event_idx, task, src, dst, hops, array_to_string(path, ' > ') AS path FROM o_kept_paths""")
 def f_filter_paths(spark, sf):
     rel = related(spark, sf)
-    p = _paths(spark, sf, rel).where(F.col("hops").isNotNull())
-    return cc.filter_paths(p, rel).select(*cc.SAMPLE, "src", "dst", F.col("hops").cast("int").alias("hops"))
+    p = _paths(spark, sf, rel).where(F.col("path").isNotNull())
+    return cc.filter_paths(p, rel).select(*cc.SAMPLE, "src", "dst", "hops", F.array_join("path", " > ").alias("path"))
 
 
-@query("f_evidence", ctes("o_paths") + """
-SELECT subject_id, event_idx, task, count(*) AS n_related,
-       CASE WHEN count(p.hops) > 0 THEN count(p.hops) END AS n_paths
-FROM o_related r LEFT JOIN o_paths p ON p.src = r.target_concept AND p.dst = r.history_concept
-WHERE task IN ('admissions', 'labevents', 'diagnoses_icd')
-GROUP BY subject_id, event_idx, task""")
+_DECISION_SQL = ", ".join(f"'{t.task}'" for t in TASKS if t.task_type == "decision_making")
+
+
+@query("f_evidence", ctes("o_kept_paths") + f"""
+SELECT i.subject_id, i.event_idx, i.task,
+       '{{"related":[' || r.related || '],"paths":[' || k.paths || ']}}' AS evidence
+FROM (SELECT subject_id, event_idx, task FROM o_index WHERE task IN ({_DECISION_SQL})) i
+LEFT JOIN (SELECT subject_id, event_idx, task, string_agg('{{"target":' || to_json(target_concept) || ',"history":' || to_json(history_concept)
+             || ',"lift_micro":' || CAST(floor(lift * 1000000) AS BIGINT) || '}}', ',' ORDER BY target_concept, rank) AS related
+           FROM o_related GROUP BY ALL) r USING (subject_id, event_idx, task)
+LEFT JOIN (SELECT subject_id, event_idx, task, string_agg(CAST(to_json(path) AS VARCHAR), ',' ORDER BY path) AS paths
+           FROM (SELECT DISTINCT subject_id, event_idx, task, path FROM o_kept_paths) GROUP BY ALL) k USING (subject_id, event_idx, task)""")
 def f_evidence(spark, sf):
-    rel = related(spark, sf)
-    p = _paths(spark, sf, rel)
-    p = p.select("src", "dst", "hops")
-    j = rel.join(p, (F.col("target_concept") == F.col("src")) & (F.col("history_concept") == F.col("dst")), "left")
-    agg = j.groupBy(*cc.SAMPLE).agg(F.count(F.lit(1)).alias("n_related"), F.count("hops").alias("n_paths"))
-    return agg.withColumn("n_paths", F.when(F.col("n_paths") > 0, F.col("n_paths")))
+    pl = b.pipeline(spark, sf)
+    _, tlong, history, lf = lifts(spark, sf, pl)
+    rel = materialize(cc.related_concepts(tlong, history, lf, THRESHOLD, TOPK))
+    asked = pl.index.join(F.broadcast(task_frame(spark).where(F.col("task_type") == "decision_making").select("task")), "task", "left_semi")
+    found = cc.sample_evidence(asked, rel, _paths(spark, sf, rel))
+    e = F.col("evidence")
+    # the lift as a whole number: the two engines print floating-point numbers differently
+    record = F.struct(F.transform(e["related"], lambda r: F.struct(r["target"].alias("target"), r["history"].alias("history"),
+                                                                  F.floor(r["lift"] * 1000000).alias("lift_micro"))).alias("related"), e["paths"].alias("paths"))
+    return found.select(*cc.SAMPLE, F.when(e.isNotNull(), F.to_json(record)).alias("evidence"))
 
 
 def _graphs(rel):
