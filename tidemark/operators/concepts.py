@@ -104,28 +104,3 @@ def sample_evidence(samples: DataFrame, related: DataFrame, paths: DataFrame) ->
                       .alias("related"), F.col("_p").alias("paths"))
     joined = samples.select(*SAMPLE).join(rel.join(kept, SAMPLE), SAMPLE, "left")
     return joined.select(*SAMPLE, F.when(F.col("_p").isNotNull(), record).alias("evidence"))
-
-
-# --- F2: dictionary terms in free text (re-aimed matcher) ---------------------------
-def word_tokens(text):
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda x: x != "")
-
-
-def text_concepts(docs: DataFrame, key: str, text: str, terms: DataFrame, max_n: int = 3) -> DataFrame:
-    """n-grams (1..max_n words) of each text joined with a term dictionary; a match
-    inside a longer match is dropped (longest match wins). The texts are read once, the
-    n-grams are row-local, and one window per document finds the matches inside others:
-    in order of start, then longest first, an earlier match reaches at least as far."""
-    toks = docs.select(key, word_tokens(F.col(text)).alias("_w"))
-    size = F.size("_w")
-    sizes = F.array(*(F.lit(n) for n in range(1, max_n + 1)))
-    starts = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    grams = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.filter(sizes, lambda n: i + n - 1 <= size),
-        lambda n: F.struct(i.alias("start"), n.alias("n"), F.array_join(F.slice("_w", i, n), " ").alias("term")))))
-    hits = toks.select(key, F.explode(grams).alias("_g")).select(key, "_g.*").join(terms.select("term").distinct(), "term")
-    end = F.col("start") + F.col("n") - 1
-    earlier = (Window.partitionBy(key).orderBy(F.col("start").cast("bigint") * (max_n + 1) - F.col("n"))
-               .rangeBetween(Window.unboundedPreceding, -1))
-    kept = hits.withColumn("_reach", F.max(end).over(earlier)).where(F.col("_reach").isNull() | (F.col("_reach") < end))
-    return kept.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n_hits"))

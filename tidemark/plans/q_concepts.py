@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import concepts as cc
 from tidemark.operators import graph as gr
+from tidemark.operators import matching as mt
 from tidemark.plans import bindings as b
 from tidemark.plans.oracle import cte, ctes
 from tidemark.plans.q_render import INSTR_SQL, contexts, instructions
@@ -119,40 +120,56 @@ def f_topk_pairs(spark, sf):
 
 
 # Dictionary: word bigrams and trigrams of the benchmark passages, plus their words of
-# 10+ letters (benchmark passages are quoted inside some documents).
-_BW = "list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
+# 10+ letters (benchmark passages are quoted inside some documents), and the accented and other
+# non-ASCII words of the documents with the word that follows them.
+def _words_sql(text):
+    return rf"list_filter(string_split(regexp_replace(lower({text}), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
+
+
+_BW = _words_sql("text")
+_FOREIGN_SQL = r"regexp_matches(w[s + 1], '[^\x00-\x7F]')"
 TERMS_SQL = f"""
   SELECT DISTINCT term FROM (
     SELECT array_to_string(w[s + 1 : s + n], ' ') AS term
     FROM (SELECT {_BW} AS w FROM benchmark), (VALUES (2), (3)) nn(n),
          LATERAL (SELECT unnest(range(0, greatest(len(w) - n + 1, 0))) AS s)
     UNION ALL
-    SELECT t FROM (SELECT unnest({_BW}) AS t FROM benchmark) WHERE length(t) >= 10)"""
+    SELECT t FROM (SELECT unnest({_BW}) AS t FROM benchmark) WHERE length(t) >= 10
+    UNION ALL
+    SELECT array_to_string(w[s + 1 : s + n], ' ')
+    FROM (SELECT {_BW} AS w FROM documents), (VALUES (1), (2)) nn(n),
+         LATERAL (SELECT unnest(range(0, greatest(len(w) - n + 1, 0))) AS s)
+    WHERE {_FOREIGN_SQL})"""
 
 
-def _ngram_at(n):
-    return lambda i: F.array_join(F.slice("w", i, n), " ")
+def _grams(words, sizes, keep=None):
+    """The runs of ``sizes`` words, of those that start with a word that ``keep`` accepts."""
+    out = None
+    for n in sizes:
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+        if keep is not None:
+            starts = F.filter(starts, lambda i: keep(F.element_at("w", i)))
+        g = words.select(F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))).alias("term"))
+        out = g if out is None else out.unionByName(g)
+    return out
 
 
 def _terms(spark, sf):
-    bw = table(spark, sf, "benchmark").select(cc.word_tokens(F.col("text")).alias("w"))
-    grams = None
-    for n in (2, 3):
-        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
-        g = bw.select(F.explode(F.transform(starts, _ngram_at(n))).alias("term"))
-        grams = g if grams is None else grams.unionByName(g)
-    long_words = bw.select(F.explode("w").alias("term")).where(F.length("term") >= 10)
-    return grams.unionByName(long_words).distinct()
+    def words(name):
+        return table(spark, sf, name).select(F.filter(F.split(mt.words_text(F.col("text")), " "), lambda x: x != "").alias("w"))
+    bench = words("benchmark")
+    long_words = bench.select(F.explode("w").alias("term")).where(F.length("term") >= 10)
+    foreign = _grams(words("documents"), (1, 2), lambda w: w.rlike(r"[^\x00-\x7F]"))
+    return _grams(bench, (2, 3)).unionByName(long_words).unionByName(foreign).distinct()
 
 
-cte("o_words", (), """
-  SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w
-  FROM documents""")
-cte("o_hits", ("o_words",), f"""
+cte("o_terms", (), TERMS_SQL)
+cte("o_words", (), f"SELECT doc_id, {_BW} AS w FROM documents")
+cte("o_hits", ("o_words", "o_terms"), """
   SELECT g.doc_id, g.start, g.n, g.term FROM (
     SELECT doc_id, n, s.start, array_to_string(w[s.start + 1 : s.start + n], ' ') AS term
     FROM o_words, (VALUES (1), (2), (3)) nn(n), LATERAL (SELECT unnest(range(0, greatest(len(w) - n + 1, 0))) AS start) s
-  ) g JOIN ({TERMS_SQL}) d USING (term)""")
+  ) g JOIN o_terms d USING (term)""")
 
 
 @query("f_text_concepts", ctes("o_hits") + """
@@ -162,7 +179,7 @@ WHERE NOT EXISTS (SELECT 1 FROM o_hits b WHERE b.doc_id = a.doc_id AND b.n > a.n
 GROUP BY doc_id, term""")
 def f_text_concepts(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return cc.text_concepts(docs, "doc_id", "text", _terms(spark, sf))
+    return mt.text_concepts(docs, "doc_id", "text", _terms(spark, sf))
 
 
 EDGES_SQL = """
