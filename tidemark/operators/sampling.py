@@ -222,26 +222,28 @@ def random_split(df: DataFrame, seed: int, key: list[str], test_size: float = 0.
 
 
 def make_candidates(index: DataFrame, vocab: DataFrame, similar: DataFrame, seed: int = 42, limit: int = 100,
-                    key: list[str] = SAMPLE_KEY) -> DataFrame:
-    """Candidate answers per sample. Risk tasks: [no, yes]. Tasks with at most
+                    key: list[str] = SAMPLE_KEY, event_kinds: tuple[str, ...] = ()) -> DataFrame:
+    """Candidate answers per sample, sorted and distinct. Risk tasks: [no, yes]. next_event: ``event_kinds``. Tasks with at most
     ``limit`` known items: all of them. Otherwise ``limit`` keyed-sampled entries of
-    the pooled neighbour lists of the labels, plus the labels; sorted, distinct.
+    the pooled neighbour lists of the labels, plus the labels. NULL for a task without known items.
 
-    ``vocab``: (task, item); ``similar``: (task, item, neighbour). ``key`` holds the task."""
+    ``vocab``: (task, item), the known items; ``similar``: (task, item, neighbour). ``key`` holds the task."""
     sizes = vocab.groupBy("task").agg(F.count(F.lit(1)).alias("_nv"))
     small = vocab.join(sizes.where(F.col("_nv") <= limit), "task").groupBy("task") \
         .agg(F.array_sort(F.collect_list("item")).alias("_all"))
     # bounded: only tasks with <= limit items reach this table
-    idx = index.join(F.broadcast(small), "task", "left").join(sizes, "task", "left")
-    risk = F.col("task_type") == "risk_prediction"
-    direct = idx.where(risk | F.col("_all").isNotNull()).select(
-        *key, F.when(risk, F.array(F.lit("no"), F.lit("yes"))).otherwise(F.col("_all")).alias("candidates"))
-    big = idx.where(~risk & F.col("_all").isNull())
-    lab = big.select(*key, F.explode("target").alias("item"))
+    idx = index.join(F.broadcast(small), "task", "left").join(F.broadcast(sizes), "task", "left")
+    kinds = F.array_sort(F.array(*map(F.lit, event_kinds))) if event_kinds else F.lit(None).cast("array<string>")
+    whole = (F.when(F.col("task_type") == "risk_prediction", F.array(F.lit("no"), F.lit("yes")))
+             .when(F.col("task") == "next_event", kinds).otherwise(F.col("_all")))
+    idx = idx.withColumn("candidates", whole)
+    sampled = F.col("candidates").isNull() & (F.coalesce("_nv", F.lit(0)) > limit)
+    direct = idx.where(~sampled).select(*key, "candidates")
+    lab = idx.where(sampled).select(*key, F.explode("target").alias("item"))
     # pooled neighbours of all labels of a sample, then up to ``limit`` of the pool
     pool = (lab.join(similar, ["task", "item"]).withColumn("_u", uniform(seed, *key, "item", "neighbour"))
             .withColumn("_lim", F.lit(limit)))
     picked = keyed_top_n(pool, key, "_u", "_lim", ["item", "neighbour"])
     cands = picked.select(*key, F.col("neighbour").alias("c")).unionByName(lab.select(*key, F.col("item").alias("c")))
-    sampled = cands.groupBy(*key).agg(F.array_sort(F.collect_set("c")).alias("candidates"))
-    return direct.unionByName(sampled)
+    found = cands.groupBy(*key).agg(F.array_sort(F.collect_set("c")).alias("candidates"))
+    return direct.unionByName(found)

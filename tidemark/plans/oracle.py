@@ -29,7 +29,7 @@ def _order(names) -> list[str]:
 
 
 def ctes(*names: str) -> str:
-    return "WITH " + ",\n".join(f"{n} AS ({_CTE[n][1]})" for n in _order(names)) + "\n"
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({_CTE[n][1]})" for n in _order(names)) + "\n"
 
 
 cte("o_base", (), """

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import uniform_sql
 from tidemark.operators import sampling as sm
-from tidemark.operators.timeline import order_within
+from tidemark.operators.labels import CONFIGURED_KINDS
+from tidemark.operators.similar import nearest_items
 from tidemark.plans import bindings as b
 from tidemark.plans.oracle import cte, ctes
 from tidemark.plans.registry import query
@@ -252,23 +253,55 @@ def d_random_split(spark, sf):
     return sm.random_split(_index(spark, sf), SEED, KEY).select(*KEY, "split")
 
 
-@query("d_candidates", ctes("o_index") + f"""
-SELECT subject_id, event_idx, task,
-       CASE WHEN task IN ({RISK_SQL}) THEN 'no|yes' ELSE v.cands END AS candidates
-FROM o_index i LEFT JOIN (
-  SELECT task, string_agg(item, '|' ORDER BY item) AS cands, count(*) AS nv FROM (
-    SELECT DISTINCT task, unnest(string_split(target, '|')) AS item FROM o_index WHERE task NOT IN ({RISK_SQL}))
-  GROUP BY task) v USING (task)
-WHERE task IN ({RISK_SQL}) OR v.nv <= 100""")
+# Known items of the tasks (their rows of the similar-item tables): lab items and diagnosis titles, with and
+# without a brand, and the admission types; an item's vector is the embedding of its part.
+N_SIMILAR, MAX_CANDIDATES = 20, 100
+_ADMISSION_TYPES = ("EMERGENCY", "URGENT", "ELECTIVE")
+cte("o_known", (), """
+  SELECT task, item, min(p) AS p FROM (
+    SELECT 'labevents' AS task, p_name AS item, p_partkey AS p FROM part
+    UNION ALL SELECT 'labevents', p_name || ' ' || p_brand, p_partkey FROM part
+    UNION ALL SELECT 'diagnoses_icd', 'condition ' || p_name, p_partkey FROM part
+    UNION ALL SELECT 'diagnoses_icd', 'condition ' || p_name || ' ' || p_brand, p_partkey FROM part
+    UNION ALL SELECT 'diagnoses_icd', 'disorder ' || lower(p_type), p_partkey FROM part) GROUP BY task, item""")
+cte("o_vec", ("o_known",), """
+  SELECT task, item, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM o_known JOIN embeddings ON vec_id = p % (SELECT count(*) FROM embeddings)""")
+cte("o_labels", ("o_index",), f"""
+  SELECT subject_id, event_idx, task, unnest(string_split(target, '|')) AS item FROM o_index WHERE task IN ('labevents', 'diagnoses_icd')""")
+cte("o_similar", ("o_vec", "o_labels"), f"""
+  SELECT task, item, neighbour FROM (
+    SELECT a.task, a.item, b.item AS neighbour, row_number() OVER (PARTITION BY a.task, a.item ORDER BY
+             list_inner_product(a.v, a.v) + list_inner_product(b.v, b.v) - 2 * list_inner_product(a.v, b.v), b.item) AS r
+    FROM (SELECT * FROM o_vec SEMI JOIN o_labels USING (task, item)) a JOIN o_vec b ON a.task = b.task AND a.item <> b.item)
+  WHERE r <= {N_SIMILAR}""")
+cte("o_pool", ("o_labels", "o_similar"), f"""
+  SELECT subject_id, event_idx, task, neighbour AS c FROM (
+    SELECT l.*, neighbour, row_number() OVER (PARTITION BY subject_id, event_idx, task ORDER BY
+             {uniform_sql(SEED, KEY_SQL + " || ':' || item || ':' || neighbour")}, item, neighbour) AS r
+    FROM o_labels l JOIN o_similar USING (task, item)) WHERE r <= {MAX_CANDIDATES}
+  UNION ALL SELECT * FROM o_labels""")
+
+
+@query("d_candidates", ctes("o_pool") + f"""
+SELECT i.subject_id, i.event_idx, i.task,
+       CASE WHEN i.task IN ({RISK_SQL}) THEN 'no|yes' WHEN i.task = 'next_event' THEN '{"|".join(sorted(CONFIGURED_KINDS))}'
+            WHEN i.task = 'admissions' THEN '{"|".join(sorted(_ADMISSION_TYPES))}' ELSE p.cands END AS candidates
+FROM o_index i LEFT JOIN (SELECT subject_id, event_idx, task, string_agg(DISTINCT c, '|' ORDER BY c) AS cands FROM o_pool GROUP BY ALL) p
+  USING (subject_id, event_idx, task)""")
 def d_candidates(spark, sf):
     idx = _index(spark, sf).join(F.broadcast(task_frame(spark).select("task", "task_type")), "task")
-    vocab = (idx.where(F.col("task_type") == "decision_making")
-             .select("task", F.explode("target").alias("item")).distinct())
-    # the bound 'similar items' table: the next five items of the task in name order
-    # (a bounded neighbour list per item, not all pairs)
-    ranked = order_within(vocab, ["task"], [F.col("item")], "vpos")
-    nxt = ranked.select("task", F.col("vpos").alias("_p"), F.col("item").alias("neighbour"))
-    similar = (ranked.select("task", "item", F.explode(F.sequence(F.col("vpos") + 1, F.col("vpos") + 5)).alias("_p"))
-               .join(nxt, ["task", "_p"]).select("task", "item", "neighbour").distinct())
-    c = sm.make_candidates(idx, vocab, similar, SEED)
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    branded = F.concat_ws(" ", "p_name", "p_brand")
+    rows = [("labevents", F.col("p_name")), ("labevents", branded), ("diagnoses_icd", F.concat(F.lit("condition "), "p_name")),
+            ("diagnoses_icd", F.concat(F.lit("condition "), branded)), ("diagnoses_icd", F.concat(F.lit("disorder "), F.lower("p_type")))]
+    known = p.select(F.explode(F.array(*(F.struct(F.lit(t).alias("task"), i.alias("item"), F.col("p_partkey").alias("p")) for t, i in rows))).alias("k"))
+    known = known.groupBy("k.task", "k.item").agg(F.min("k.p").alias("p"))
+    emb = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    vectors = known.withColumn("vec_id", F.col("p") % F.lit(emb.count())).join(emb, "vec_id").select("task", "item", "vector")
+    labels = idx.where(F.col("task").isin("labevents", "diagnoses_icd")).select("task", F.explode("target").alias("item"))
+    similar = nearest_items(vectors, labels, N_SIMILAR).select("task", "item", "neighbour")
+    types = spark.createDataFrame([("admissions", a) for a in _ADMISSION_TYPES], "task string, item string")
+    vocab = known.select("task", "item").unionByName(types)
+    c = sm.make_candidates(idx, vocab, similar, SEED, MAX_CANDIDATES, event_kinds=CONFIGURED_KINDS)
     return c.select(*KEY, F.array_join("candidates", "|").alias("candidates"))
