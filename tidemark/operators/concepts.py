@@ -1,9 +1,9 @@
 """F family: event concepts, history concepts, co-occurrence, lift, top-k.
 
-Sizes: a sample's history is the concepts of its context events (contexts are
-bounded by the 24 h windows / the 10..100 context-length rule), so the
-target x history pairs are emitted per sample (an equi-join on the sample key,
-never a cross join) and aggregated per task right away.
+Sizes: a sample's history is the concepts of its context events. Concepts that are too
+rare for any lift are dropped from the histories before target x history pairs are
+emitted, per sample (an equi-join on the sample key, never a cross join), and pairs are
+aggregated per task right away; the second look at the pairs (F8) starts from the strong ones.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import intervals as iv
+
 
 SAMPLE = ["subject_id", "event_idx", "task"]
 
@@ -22,18 +24,23 @@ def event_concepts(targets: DataFrame, list_tasks: tuple[str, ...]) -> DataFrame
             .distinct())
 
 
-def history_events(samples: DataFrame) -> DataFrame:
-    """Event ids of a sample's history: [begin, end) plus last discharge and admission."""
-    b, e = F.col("context_begin"), F.col("context_end")
-    span = F.when(e > b, F.sequence(b, e - 1)).otherwise(F.array().cast("array<bigint>"))
-    extra = F.filter(F.array(F.col("last_discharge_id").cast("bigint"), F.col("admissions_id").cast("bigint")),
-                     lambda x: x.isNotNull())
-    return samples.select(*SAMPLE, F.explode(F.array_union(span.cast("array<bigint>"), extra)).alias("h_idx"))
-
-
 def history_concepts(samples: DataFrame, concepts: DataFrame) -> DataFrame:
-    """distinct history concepts per sample (range expanded to an equi-join)."""
-    return history_events(samples).join(concepts, ["subject_id", "h_idx"]).select(*SAMPLE, "concept").distinct()
+    """distinct history concepts per sample: of [begin, end), the last discharge and the admission.
+
+    Samples of one event share a history, which is found once by an interval join on buckets of events."""
+    asked = samples.select(*SAMPLE, F.col("context_begin").cast("bigint").alias("_b"), F.col("context_end").cast("bigint").alias("_e"),
+                           F.col("last_discharge_id").cast("bigint").alias("_d"), F.col("admissions_id").cast("bigint").alias("_a"))
+    shared = ["subject_id", "_b", "_e", "_d", "_a"]
+    ends = F.array(*(F.struct(b.alias("begin"), e.alias("end")) for b, e in ((F.col("_b"), F.col("_e")), (F.col("_d"), F.col("_d") + 1),
+                                                                          (F.col("_a"), F.col("_a") + 1))))
+    ranges = asked.select(*shared).distinct().select(*shared, F.explode(ends).alias("r"))
+    found = iv.events_in(ranges, iv.bucketed(concepts, ["concept"], idx="h_idx"), F.col("r.begin"), F.col("r.end"))
+    held = (found.select(*shared, F.explode(F.array_distinct(F.transform("found", lambda x: x["concept"]))).alias("concept")).distinct()
+            .select(*(F.col(c).alias(f"_of{c}") for c in shared), "concept"))
+    same = F.lit(True)
+    for c in shared:
+        same = same & asked[c].eqNullSafe(F.col(f"_of{c}"))
+    return asked.join(held, same).select(*SAMPLE, "concept")
 
 
 def target_concepts(samples: DataFrame, list_tasks: tuple[str, ...]) -> DataFrame:
@@ -49,6 +56,11 @@ def concept_num(samples: DataFrame, targets_long: DataFrame, history: DataFrame)
     return n_c, n_task
 
 
+def supported(history: DataFrame, n_c: DataFrame, min_support: int = 5) -> DataFrame:
+    """History concepts that enough samples of their task have: only these can have a lift."""
+    return history.join(n_c.where(F.col("n") >= min_support).select("task", "concept"), ["task", "concept"], "left_semi").select(*SAMPLE, "concept")
+
+
 def coexist(targets_long: DataFrame, history: DataFrame) -> DataFrame:
     """samples with (target t, history h), self pairs included (removed in F8)."""
     t = targets_long.withColumnRenamed("concept", "target_concept")
@@ -74,9 +86,9 @@ def related_concepts(targets_long: DataFrame, history: DataFrame, lifts: DataFra
     lift > threshold, best ``topk`` by lift (ties by concept)."""
     t = targets_long.withColumnRenamed("concept", "target_concept")
     h = history.withColumnRenamed("concept", "history_concept")
-    strong = lifts.where(F.col("lift") > threshold).select("task", "target_concept", "history_concept", "lift")
-    j = (t.join(h, SAMPLE).where(F.col("target_concept") != F.col("history_concept"))
-         .join(strong, ["task", "target_concept", "history_concept"]))
+    strong = (lifts.where((F.col("lift") > threshold) & (F.col("target_concept") != F.col("history_concept")))
+              .select("task", "target_concept", "history_concept", "lift"))
+    j = t.join(strong, ["task", "target_concept"]).join(h, [*SAMPLE, "history_concept"])
     w = Window.partitionBy(*SAMPLE, "target_concept").orderBy(F.desc("lift"), F.asc("history_concept"))
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= topk)
 

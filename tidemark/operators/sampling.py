@@ -39,12 +39,12 @@ def keyed_top_n(df: DataFrame, group: list[str], score: str, n_col: str, tiebrea
     n = F.col(n_col)
     keep_all = n.isNull() | (n < 0) | (F.col("_incl") <= n)
     boundary = (F.col("_before") < n) & (F.col("_incl") > n)
-    # one pass: buckets beyond the cut go before anything is sorted; the rest is ranked
-    # inside its (group, bucket) - ~1/buckets of the group - and the cut bucket's head stays
+    # buckets ahead of the cut stay and those beyond go, both unsorted; the cut bucket alone, about
+    # 1/buckets of its group, is ranked and its head stays
     wb = Window.partitionBy(*group, "_b").orderBy(F.col(score), *[F.col(c) for c in tiebreak])
-    ranked = j.where(keep_all | boundary).withColumn("_r", F.row_number().over(wb))
-    kept = ranked.where(keep_all | (boundary & (F.col("_r") <= n - F.col("_before"))))
-    return kept.select(*df.columns)
+    whole = j.where(keep_all)
+    head = j.where(boundary).withColumn("_r", F.row_number().over(wb)).where(F.col("_r") <= n - F.col("_before"))
+    return whole.select(*df.columns).unionByName(head.select(*df.columns))
 
 
 # --- D1 / D2 ------------------------------------------------------------------
@@ -55,13 +55,16 @@ def target_freq(index: DataFrame) -> DataFrame:
 
 
 def target_weight(index: DataFrame, key: list[str] = SAMPLE_KEY) -> DataFrame:
-    """weight = 1 / mean frequency of the sample's targets (aggregate, then a
-    join keyed by (task, value); the frequency table is broadcast when small)."""
-    freq = target_freq(index)
-    ex = index.select(*key, F.explode("target").alias("target_value"))
-    w = (ex.join(freq, ["task", "target_value"])
-         .groupBy(*key).agg((1.0 / F.avg("n")).alias("target_weight")))
-    return index.join(w, key, "left")
+    """weight = 1 / mean frequency of the sample's targets. Samples with the same list of targets have the same
+    weight, so lists are counted first (combined before the shuffle: two rows a yes/no task), and values inside the distinct lists;
+    the join back is by a hash of the list with the list itself beside it, split by adaptive execution where a list is hot."""
+    tag = F.xxhash64("task", "target")
+    lists = index.where(F.size("target") > 0).groupBy("task", "target").agg(F.count(F.lit(1)).alias("_c"))
+    values = lists.select("task", "target", "_c", F.explode("target").alias("_v"))
+    freq = values.groupBy("task", F.xxhash64("_v").alias("_vh"), "_v").agg(F.sum("_c").alias("_n"))
+    w = (values.withColumn("_vh", F.xxhash64("_v")).join(freq, ["task", "_vh", "_v"])
+         .groupBy("task", "target").agg((1.0 / F.avg("_n")).alias("target_weight")).withColumn("_tag", tag))
+    return index.withColumn("_tag", tag).join(w, ["task", "_tag", "target"], "left").drop("_tag").select(*index.columns, "target_weight")
 
 
 # --- D3 - D8: filters ----------------------------------------------------------

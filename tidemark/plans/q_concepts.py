@@ -36,7 +36,8 @@ def parts(spark, sf, pl=None):
 def lifts(spark, sf, pl=None):
     samples, tlong, history, _ = parts(spark, sf, pl)
     n_c, n_task = cc.concept_num(samples, tlong, history)
-    lf = materialize(cc.lift(cc.coexist(tlong, history), n_c, n_task, MIN_SUPPORT))
+    n_c = materialize(n_c)
+    lf = materialize(cc.lift(cc.coexist(tlong, cc.supported(history, n_c, MIN_SUPPORT)), n_c, n_task, MIN_SUPPORT))
     return samples, tlong, history, lf
 
 
