@@ -14,7 +14,7 @@ Contexts bounded by time (24 hours back and on, the end of a stay) can reach any
 another block, a probe is put at the bound into the time order of the subject (and visit) and
 takes the neighbouring event there: rows and probes are range-partitioned and the neighbour is carried
 over partition ends (:func:`neighbours`), so a crowded day is spread as well. Only subjects with
-more than one block take part: the summaries tell whether there are any, ordinary subjects pay one exchange.
+more than one block take part in what lies between blocks; ordinary subjects pay one exchange.
 
 Precondition shared with the reference: start times are non-decreasing in ``event_idx`` (NULL
 times aside), which the timeline order guarantees.
@@ -34,6 +34,13 @@ BLOCK_EVENTS = 4096
 DAY_US = 24 * US_PER_HOUR
 _KEY = ["subject_id", "block"]
 _AT = T.StructType([T.StructField("i", T.LongType()), T.StructField("t", T.LongType())])
+_ONE = {"next": T.StructType([T.StructField("next", T.LongType())]), "prev": T.StructType([T.StructField("prev", _AT)])}
+_ASOF = T.StructType([T.StructField("i", T.LongType()), T.StructField("v", T.LongType())])
+#: What the other blocks hold for a block, by column.
+_CARRIED = {"x_dod": T.LongType(), "x_prev_start": T.LongType(), "x_latest": T.LongType(), "x_earliest": T.LongType(), "x_ed": _AT, "x_adm": _AT,
+            "x_adm_asof": _ASOF, "x_dis_asof": _ASOF,
+            "x_visits": T.MapType(T.LongType(), T.StructType([T.StructField(a, _AT) for a in ("adm", "icu", "timed")])),
+            "x_far": T.MapType(T.LongType(), T.StructType([T.StructField("back", _ONE["next"]), T.StructField("on", _ONE["prev"]), T.StructField("until", _ONE["prev"])]))}
 _PAST, _TO_COME = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, -1)
 
 
@@ -139,22 +146,21 @@ def with_context(events: DataFrame, block_events: int = BLOCK_EVENTS) -> DataFra
     Adds t_back, t_fwd (C4), ctx_begin (C1), ctx_last and ctx_last_icu with their times (C2), the next event of
     a kind in the visit or at all with its time (C5), last_in_visit_us (C6), admissions_id (C7) and last_discharge_id (C8),
     and the subject's dod_us."""
-    events = materialize(events.withColumn("block", F.floor(F.col("event_idx") / block_events)))
+    events = events.withColumn("block", F.floor(F.col("event_idx") / block_events))
     keep = [c for c in events.columns if c not in ("dod_us", "block")]
-    carried = materialize(_block_carries(events))
     w_idx = Window.partitionBy(*_KEY).orderBy("event_idx")
-    if carried.isEmpty():  # no subject has a second block
-        far = T.MapType(T.LongType(), T.StructType([T.StructField(a, T.StructType([T.StructField(b, kind)])) for a, b, kind in (
-            ("back", "next", T.LongType()), ("on", "prev", _AT), ("until", "prev", _AT))]))
-        visits = T.MapType(T.LongType(), T.StructType([T.StructField(a, _AT) for a in ("adm", "icu", "timed")]))
-        carried = carried.withColumns({"x_visits": F.lit(None).cast(visits), "x_far": F.lit(None).cast(far)})
+    if events.where(F.col("event_idx") >= block_events).isEmpty():  # a filter on the events' key: no subject has a second block
+        whole = events.withColumns({c: F.lit(None).cast(t) for c, t in _CARRIED.items()})
     else:
+        events = materialize(events)
+        carried = materialize(_block_carries(events))
         big = events.join(carried, _KEY).withColumn("t_back", _back_time(w_idx))
-        carried = materialize(carried.join(_visit_carries(big), _KEY, "left").join(_far_bounds(big), _KEY, "left"))
+        carried = carried.join(_visit_carries(big), _KEY, "left").join(_far_bounds(big), _KEY, "left")
+        whole = events.join(materialize(carried.select(*_KEY, *_CARRIED)), _KEY, "left")
 
     idx, visit, kind = F.col("event_idx"), F.col("hadm_id"), F.col("file_name")
-    st1 = events.join(carried, _KEY, "left").select(
-        *keep, "block", *(c for c in carried.columns if c not in _KEY),
+    st1 = whole.select(
+        *keep, "block", *_CARRIED,
         F.coalesce("x_dod", F.max("dod_us").over(Window.partitionBy(*_KEY))).alias("dod_us"),
         _back_time(w_idx).alias("t_back"), F.col("starttime_us").alias("t_fwd"))
     tb, tf = F.col("t_back"), F.col("t_fwd")
