@@ -1,35 +1,96 @@
 """OMOP-style patient rows -> per-sample context text.
 
-Rows carry (patient_id, pos, omop_table, code, value, unit, start_us). A sample
+Rows carry (patient_id, pos, omop_table, code, value, unit, start_us), ``pos`` dense from 0. A sample
 is (sample_id, patient_id, period_begin, period_end) with an inclusive end.
-Everything is joins and per-(sample, table) aggregation; code books are
-size-checked broadcasts.
+
+No sample is expanded to the rows of its period. Samples are merged into their patient's row
+order (:func:`merge`): a row then knows how many samples end before it, a sample its place
+among them, and the state "latest row of this item" is a range of samples' places, from the
+row to the next one of its item. These ranges meet buckets of samples (``operators.intervals``), so what is
+shuffled grows with rows and result, not with samples x rows, and a busy patient is many keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import intervals as iv
+from tidemark.operators.context import neighbours
+from tidemark.operators.ordering import dense_positions
 from tidemark.operators.render import fmt_us
 
-VISIT_TABLES = ("drug", "condition", "procedure")
 # Table names whose display title is computed on the driver (Python title-casing).
 OMOP_TABLES = ("person", "measurement", "observation", "drug_exposure", "condition_occurrence",
                "procedure_occurrence", "visit_occurrence", "device_exposure", "note")
 
 
+PERIOD = ["sample_id", "patient_id", "period_begin", "period_end"]
+_VISIT = "drug|condition|procedure"
+
+
 def slice_rows(rows: DataFrame, samples: DataFrame) -> DataFrame:
     """Person rows, then rows period_begin..period_end (inclusive); a person
-    row inside the slice appears twice, as in the reference. ``ord`` keeps that order."""
-    s = samples.select("sample_id", "patient_id", "period_begin", "period_end")
-    span = F.when(F.col("period_end") >= F.col("period_begin"),
-                  F.sequence(F.col("period_begin"), F.col("period_end"))).otherwise(F.array().cast("array<bigint>"))
-    ex = s.select("sample_id", "patient_id", F.explode(span.cast("array<bigint>")).alias("pos"))
-    body = ex.join(rows, ["patient_id", "pos"]).withColumn("ord", F.col("pos") + 1)
+    row inside the slice appears twice, as in the reference. ``ord`` keeps that order.
+
+    The result itself has samples x rows; the texts of E11-E13 are made without it."""
+    s = samples.select(*PERIOD)
+    cols = ["omop_table", "code", "value", "unit", "start_us"]
+    found = iv.events_in(s, iv.bucketed(rows, cols, "patient_id", "pos"), F.col("period_begin"), F.col("period_end") + 1, "patient_id")
+    body = (found.select("sample_id", "patient_id", F.explode("found").alias("r"))
+            .select("sample_id", "patient_id", F.col("r.i").alias("pos"), (F.col("r.i") + 1).alias("ord"), *(F.col(f"r.{c}") for c in cols)))
     person = s.join(rows.where(F.col("omop_table") == "person"), "patient_id").withColumn("ord", -1000000 + F.col("pos"))
-    cols = ["sample_id", "patient_id", "pos", "ord", "omop_table", "code", "value", "unit", "start_us"]
-    return person.select(*cols).unionByName(body.select(*cols))
+    return person.select(*body.columns).unionByName(body)
+
+
+def merge(rows: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``ended``, how many of their patient's samples end before them, and samples with ``place``, their
+    0-based place by end. Both come from one order of rows and ends; written once."""
+    ends = samples.select(*PERIOD).select("patient_id", F.greatest("period_end", F.lit(-1)).alias("at"), F.lit(1).alias("kind"), F.struct(*PERIOD).alias("sample"),
+                                          F.lit(None).cast(rows.select(F.struct("*").alias("r")).schema["r"].dataType).alias("row"))
+    own = rows.select("patient_id", F.col("pos").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(ends.schema["sample"].dataType).alias("sample"),
+                      F.struct("*").alias("row"))
+    both = dense_positions(own.unionByName(ends), ["patient_id"], [F.col("at"), F.col("kind"), F.col("sample.sample_id")], "m")
+    # a row at pos is the (pos + 1)-th of its patient; a sample has the rows up to its end ahead of it
+    n_rows = rows.groupBy("patient_id").agg(F.count(F.lit(1)).alias("_n"))
+    ended = both.where("kind = 1").select("sample.*", "m", "at").join(n_rows, "patient_id", "left")
+    return (both.where("kind = 0").select("row.*", (F.col("m") - F.col("at") - 1).alias("ended")),
+            ended.select(*PERIOD, (F.col("m") - 1 - F.least(F.col("at") + 1, F.coalesce("_n", F.lit(0)))).alias("place")))
+
+
+def _matched(rows: DataFrame, samples: DataFrame, begin: Column, end: Column) -> DataFrame:
+    """``rows`` with each sample (as ``s``) whose place is in [begin, end)."""
+    buckets = iv.bucketed(samples, ["sample_id", "period_begin", "period_end"], "patient_id", "place")
+    return iv.events_in(rows, buckets, begin, end, "patient_id").withColumn("s", F.explode("found")).drop("found")
+
+
+def latest(rows: DataFrame, samples: DataFrame, item: list[str]) -> DataFrame:
+    """(sample_id, ...row): of each item the last row in each sample's period. ``rows`` and ``samples`` as merged.
+
+    Rows that no sample ends behind before the next of their item never become state: only the last of each
+    (item, number of ended samples) is carried on."""
+    own = [c for c in rows.columns if c not in ("patient_id", *item, "ended")]
+    state = rows.groupBy("patient_id", *item, "ended").agg(F.max_by(F.struct(*own), "pos").alias("_row"))
+    held = neighbours(state, ["patient_id", *item], [F.col("ended")], F.lit(None).cast("bigint"), F.col("ended"))
+    until = F.coalesce("next", F.lit((1 << 62)))
+    last = samples.groupBy("patient_id").agg((F.max("place") + 1).alias("_n"))
+    held = held.join(last, "patient_id").withColumn("_until", F.least(until, F.col("_n")))
+    found = _matched(held.select("patient_id", *item, "_row", "ended", "_until"), samples, F.col("ended"), F.col("_until"))
+    return found.where(F.col("_row.pos") >= F.col("s.period_begin")).select(F.col("s.sample_id").alias("sample_id"), "patient_id", *item, "_row.*")
+
+
+def earliest(rows: DataFrame, samples: DataFrame, item: list[str]) -> DataFrame:
+    """(sample_id, ...row): of each item the first row in each sample's period. ``rows`` and ``samples`` as merged.
+
+    A row is a sample's first if the one before it lies ahead of the period; rows behind which no sample of the
+    patient begins any more are left out before anything is matched."""
+    own = [c for c in rows.columns if c not in ("patient_id", *item, "ended")]
+    held = neighbours(rows, ["patient_id", *item], [F.col("pos")], F.col("pos"), F.lit(None).cast("bigint"))
+    last = samples.groupBy("patient_id").agg((F.max("place") + 1).alias("_n"), F.max("period_begin").alias("_begin"))
+    held = held.join(last, "patient_id").where(F.col("prev").isNull() | (F.col("prev") < F.col("_begin")))
+    found = _matched(held.select("patient_id", *item, *own, "ended", "_n", "prev"), samples, F.col("ended"), F.col("_n"))
+    first = (F.col("pos") >= F.col("s.period_begin")) & (F.col("prev").isNull() | (F.col("prev") < F.col("s.period_begin")))
+    return found.where(first).select(F.col("s.sample_id").alias("sample_id"), "patient_id", *item, *own)
 
 
 def resolve_codes(rows: DataFrame, code_map: DataFrame, cpt4: DataFrame, icd10pcs: DataFrame) -> DataFrame:
@@ -47,12 +108,11 @@ def resolve_codes(rows: DataFrame, code_map: DataFrame, cpt4: DataFrame, icd10pc
     return j.withColumn("content", content).drop("_c4", "_d4", "_cp", "_dp")
 
 
-def measurements(sliced: DataFrame, code_map: DataFrame, item_map: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Measurement lines. Name from the item map (with reference range and a
+def measurements(rows: DataFrame, samples: DataFrame, code_map: DataFrame, item_map: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Measurement lines per sample. Name from the item map (with reference range and a
     normal/abnormal flag) else from the code book (range 'nan'); non-numeric or
-    missing values skipped; only the latest row per item kept."""
-    m = sliced.where(~F.col("omop_table").isin("person", "note") &
-                     ~F.lower("omop_table").rlike("drug|condition|procedure"))
+    missing values skipped; only the latest row per item kept. ``rows`` and ``samples`` as merged."""
+    m = rows.where(~F.col("omop_table").isin("person", "note") & ~F.lower("omop_table").rlike(_VISIT))
     m = (m.join(item_map.select("code", "item_name"), "code", "left")
          .join(code_map.select("code", F.col("description").alias("_desc")), "code", "left")
          .join(ranges, "item_name", "left"))
@@ -65,35 +125,46 @@ def measurements(sliced: DataFrame, code_map: DataFrame, item_map: DataFrame, ra
     row = F.when(mapped, F.concat_ws(" | ", name, F.col("value"), F.col("ref_unit"), F.col("ref_low"), F.col("ref_high"), flag)) \
         .otherwise(F.concat_ws(" | ", name, F.col("value"), F.coalesce(F.col("unit"), F.lit("None")),
                                F.lit("nan"), F.lit("nan"), F.lit("nan")))
-    kept = m.where(ok).select("sample_id", "omop_table", "ord", name.alias("name"), "value",
+    kept = m.where(ok).select("patient_id", "omop_table", "pos", name.alias("name"), "ended", "value",
                               F.when(mapped, flag).alias("flag"), F.concat(F.lit("| "), row, F.lit(" |")).alias("line"))
-    w = Window.partitionBy("sample_id", "omop_table", "name").orderBy(F.desc("ord"))
-    return kept.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
+    return latest(kept, samples, ["omop_table", "name"]).withColumn("ord", F.col("pos") + 1).drop("pos", "patient_id")
+
+
+def visit_lines(rows: DataFrame, samples: DataFrame, code_map: DataFrame, cpt4: DataFrame, icd10pcs: DataFrame) -> DataFrame:
+    """(sample_id, omop_table, line, ord): the distinct resolved drugs, conditions and procedures of each period, at their
+    first row. ``rows`` and ``samples`` as merged."""
+    res = resolve_codes(rows.where(F.lower("omop_table").rlike(_VISIT)), code_map, cpt4, icd10pcs).where(F.col("content").isNotNull())
+    lines = res.select("patient_id", "omop_table", F.concat(F.lit("- "), "content").alias("line"), "pos", "ended")
+    return earliest(lines, samples, ["omop_table", "line"]).select("sample_id", "omop_table", "line", (F.col("pos") + 1).alias("ord"))
 
 
 MEASURE_HEADER = ("| Item_Name | Valuenum | Valueuom | Ref_Range_Lower | Ref_Range_Upper | Flag |\n"
                   "| ------ | ------ | ------ | ------ | ------ | ------ |")
 
 
-def omop_context(sliced: DataFrame, code_map: DataFrame, cpt4: DataFrame, icd10pcs: DataFrame,
+def omop_context(rows: DataFrame, samples: DataFrame, code_map: DataFrame, cpt4: DataFrame, icd10pcs: DataFrame,
                  item_map: DataFrame, ranges: DataFrame) -> DataFrame:
     """One text per sample: groups by table ordered by their first row's start
-    (then table name); notes skipped; measurement groups without a kept row skipped."""
-    firsts = (sliced.groupBy("sample_id", "omop_table")
-              .agg(F.min_by("start_us", "ord").alias("g_start")))
-    res = resolve_codes(sliced, code_map, cpt4, icd10pcs)
-    person = (res.where(F.col("omop_table") == "person")
-              .select("sample_id", "omop_table", "ord", F.concat(F.lit("- "), F.coalesce("content", F.lit("None"))).alias("line")))
-    visit = (res.where(F.lower("omop_table").rlike("drug|condition|procedure") & F.col("content").isNotNull())
-             .select("sample_id", "omop_table", "ord", F.concat(F.lit("- "), F.col("content")).alias("line"))
-             .groupBy("sample_id", "omop_table", "line").agg(F.min("ord").alias("ord")))
-    meas = measurements(sliced, code_map, item_map, ranges).select("sample_id", "omop_table", "ord", "line")
-    lines = person.unionByName(visit.select("sample_id", "omop_table", "ord", "line")).unionByName(meas)
+    (then table name); notes skipped; measurement groups without a kept row skipped. ``rows`` and ``samples`` as merged.
+
+    A patient's person rows come first, and once more where the period holds them."""
+    person = rows.where(F.col("omop_table") == "person")
+    heads = resolve_codes(person, code_map, cpt4, icd10pcs).withColumn("line", F.concat(F.lit("- "), F.coalesce("content", F.lit("None"))))
+    heads = heads.select("patient_id", "omop_table", "pos", "start_us", "line").join(samples.select(*PERIOD), "patient_id")
+    firsts = (earliest(rows.where(F.col("omop_table") != "person").select("patient_id", "omop_table", "pos", "ended", "start_us"), samples, ["omop_table"])
+              .select("sample_id", "omop_table", F.col("start_us").alias("g_start"))
+              .unionByName(heads.groupBy("sample_id", "omop_table").agg(F.min_by("start_us", "pos").alias("g_start"))))
+    twice = F.array(F.col("pos") - 1000000, F.when(F.col("pos").between(F.col("period_begin"), F.col("period_end")), F.col("pos") + 1))
+    person_lines = (heads.select("sample_id", "omop_table", "line", F.explode(F.filter(twice, lambda x: x.isNotNull())).alias("ord")))
+    visit = visit_lines(rows, samples, code_map, cpt4, icd10pcs)
+    meas = measurements(rows, samples, code_map, item_map, ranges)
+    cols = ["sample_id", "omop_table", "ord", "line"]
+    lines = person_lines.select(*cols).unionByName(visit.select(*cols)).unionByName(meas.select(*cols))
     body = lines.groupBy("sample_id", "omop_table").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n")
         .alias("body"))
     g = firsts.where(F.col("omop_table") != "note").join(body, ["sample_id", "omop_table"], "left")
-    is_meas = ~F.col("omop_table").isin("person") & ~F.lower("omop_table").rlike("drug|condition|procedure")
+    is_meas = ~F.col("omop_table").isin("person") & ~F.lower("omop_table").rlike(_VISIT)
     shown = F.coalesce(F.try_element_at(F.create_map(*[x for t in OMOP_TABLES for x in (F.lit(t), F.lit(t.title()))]),
                                     F.col("omop_table")), F.initcap("omop_table"))
     title = F.concat(F.lit("## "), shown, F.lit(" ["), fmt_us(F.col("g_start")), F.lit("]"))

@@ -17,7 +17,6 @@ from tidemark.operators import omop as om
 from tidemark.operators.timeline import order_within
 from tidemark.plans.oracle import cte, ctes
 from tidemark.plans.registry import query
-from tidemark.session import materialize
 from tidemark.sources.tables import table
 
 PERSON_START_US = 631152000000000  # 1990-01-01 00:00:00
@@ -104,10 +103,9 @@ def books(spark, sf):
     return code_map, cpt4, pcs, item_map, ranges
 
 
-def sliced(spark, sf):
-    prow = materialize(rows(spark, sf))
-    smp = samples(spark, sf, prow)
-    return smp, materialize(om.slice_rows(prow, smp))
+def merged(spark, sf):
+    prow = rows(spark, sf)
+    return om.merge(prow.drop("k1", "k2"), samples(spark, sf, prow))
 
 
 cte("o_orows", (), f"""
@@ -210,7 +208,8 @@ cte("o_octx", ("o_omeas", "o_ovisit"), """
 SELECT sample_id, count(*) AS n_rows, count(*) FILTER (WHERE omop_table = 'person') AS n_person FROM o_oslice
 GROUP BY sample_id""")
 def e_omop_slice(spark, sf):
-    _, sl = sliced(spark, sf)
+    prow = rows(spark, sf)
+    sl = om.slice_rows(prow, samples(spark, sf, prow))
     return sl.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_rows"),
                                        F.count(F.when(F.col("omop_table") == "person", 1)).alias("n_person"))
 
@@ -218,35 +217,28 @@ def e_omop_slice(spark, sf):
 @query("e_omop_code", ctes("o_ovisit") + """
 SELECT sample_id, omop_table, string_agg(line, chr(10) ORDER BY ord) AS lines FROM o_ovisit GROUP BY ALL""")
 def e_omop_code(spark, sf):
-    _, sl = sliced(spark, sf)
     code_map, cpt4, pcs, _, _ = books(spark, sf)
-    r = om.resolve_codes(sl, code_map, cpt4, pcs)
-    v = (r.where(F.lower("omop_table").rlike("drug|condition|procedure") & F.col("content").isNotNull())
-         .select("sample_id", "omop_table", "ord", F.concat(F.lit("- "), F.col("content")).alias("line"))
-         .groupBy("sample_id", "omop_table", "line").agg(F.min("ord").alias("ord")))
+    v = om.visit_lines(*merged(spark, sf), code_map, cpt4, pcs)
     return v.groupBy("sample_id", "omop_table").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("lines"))
 
 
 @query("e_omop_latest", ctes("o_omeas") + "SELECT sample_id, omop_table, name, value FROM o_omeas")
 def e_omop_latest(spark, sf):
-    _, sl = sliced(spark, sf)
     code_map, _, _, item_map, ranges = books(spark, sf)
-    return om.measurements(sl, code_map, item_map, ranges).select("sample_id", "omop_table", "name", "value")
+    return om.measurements(*merged(spark, sf), code_map, item_map, ranges).select("sample_id", "omop_table", "name", "value")
 
 
 @query("e_omop_flag", ctes("o_omeas") + "SELECT sample_id, name, flag FROM o_omeas WHERE flag IS NOT NULL")
 def e_omop_flag(spark, sf):
-    _, sl = sliced(spark, sf)
     code_map, _, _, item_map, ranges = books(spark, sf)
-    m = om.measurements(sl, code_map, item_map, ranges)
+    m = om.measurements(*merged(spark, sf), code_map, item_map, ranges)
     return m.where(F.col("flag").isNotNull()).select("sample_id", "name", "flag")
 
 
 @query("e_omop_context", ctes("o_octx") + "SELECT sample_id, md5(input) AS input_md5, length(input) AS input_len FROM o_octx")
 def e_omop_context(spark, sf):
-    _, sl = sliced(spark, sf)
-    ctx = om.omop_context(sl, *books(spark, sf))
+    ctx = om.omop_context(*merged(spark, sf), *books(spark, sf))
     return ctx.select("sample_id", F.md5("input").alias("input_md5"), F.length("input").cast("bigint").alias("input_len"))
 
 
