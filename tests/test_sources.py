@@ -67,3 +67,57 @@ def test_sinks_write_partitioned_outputs(spark):  # A4, A15, A22
     sinks.write_scored_log(idx.withColumn("score", F.lit(0.0)), os.path.join(d, "log"))
     assert spark.read.json(os.path.join(d, "log")).count() == 6
     assert {r["task"]: r["n_scored"] for r in summary.collect()} == {"labevents": 1, "admissions": 2}
+
+
+def test_subjects_are_read_from_their_buckets(spark):  # A4, A5, A6
+    from pyspark.sql import types as T
+    from tidemark.sources.sinks import subject_bucket
+    d = os.path.join(_scratch(), "store")
+    hot = spark.range(0, 60_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 500).cast("long").alias("subject_id"),
+                                        F.col("id").alias("event_idx"), F.array(F.create_map(F.lit("k"), F.sha2(F.col("id").cast("string"), 256))).alias("items"))
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128k")
+    try:
+        sinks.write_trajectory(hot.repartition(8), d, buckets=16)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    number = spark.range(1).select(F.lit(7).cast("long").alias("s")).select(subject_bucket("s", 16)).first()[0]
+    files = [f for f in os.listdir(os.path.join(d, "buckets=16", f"bucket={number}")) if f.endswith(".parquet")]
+    assert len(files) > 1  # the hot subject was written by several tasks
+    asked = spark.createDataFrame([(7,), (8,), (None,), (123456,)], "subject_id int")
+    got = ingest.read_trajectory(spark, d, asked)
+    assert got.columns == ["subject_id", "event_idx", "items"] and got.schema["subject_id"].dataType == T.LongType()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    files_read = got.select(F.input_file_name()).distinct().count()
+    assert files_read <= len(files) + 1 < spark.read.parquet(d).select(F.input_file_name()).distinct().count()
+    assert got.groupBy("subject_id").count().orderBy("subject_id").collect() == hot.where("subject_id in (7, 8)").groupBy("subject_id").count().orderBy("subject_id").collect()
+    assert got.select(F.col("items")[0]["k"]).distinct().count() == got.count()
+    assert ingest.read_subjects(spark, d, asked.limit(0)).count() == 0
+    assert ingest.read_subjects(spark, d).count() == 60_000
+
+
+def test_case_table_bad_rows(spark):  # A21
+    d = _scratch()
+    fields = ["c", "h", "line one\nline two"]
+    ok = {"lab_tests": "{'5': 'no', '50868': '16 mEq/L', '5': 'it\\'s'}", "range_lower": "{'50868': 8.0, '5': nan, '6': None}", "range_upper": "{'50868': 20}", "microbiology": "nan",
+          "radiology": "[{'exam_name': 'CT', 'report': 'a, \"b\"\\nc'}]", "diagnoses": "['flu', None]"}
+    rows = [("1", *fields, *ok.values())]
+    for i, (c, v) in enumerate((("lab_tests", "{'a': "), ("range_lower", "{'a': 'high'}"), ("radiology", "no list"), ("microbiology", "{'1': 'growth'}"), ("diagnoses", ""))):
+        rows.append((str(i + 2), *fields, *(ok | {c: v}).values()))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in (*ingest.CASE_FIELDS, *ingest.CASE_COLUMNS)))
+    df.write.option("header", True).option("escape", '"').csv(f"{d}/csv")
+    df.write.json(f"{d}/json")
+    with open(f"{d}/json/part-broken.json", "w") as fh:
+        fh.write("{broken\n")
+    for fmt in ("csv", "json"):
+        good, bad = ingest.scan_case_table(spark, f"{d}/{fmt}", fmt)
+        got = {r.case_id: r for r in good.collect()}
+        assert set(got) == {"1", "5", "6"}
+        one = got["1"]
+        assert one.lab_tests == {"50868": "16 mEq/L", "5": "it's"} and one.range_lower == {"50868": 8.0, "5": None, "6": None} and one.range_upper == {"50868": 20.0}
+        assert one.microbiology is None and one.radiology[0].report == 'a, "b"\nc' and one.diagnoses == ["flu", None] and "\n" in one.exam
+        assert got["5"].microbiology == {"1": "growth"} and got["6"].diagnoses is None
+        faults = {r.case_id: r.bad for r in bad.collect()}
+        want = {"2": ["lab_tests"], "3": ["range_lower"], "4": ["radiology"]}
+        assert faults == (want if fmt == "csv" else want | {None: ["record"]})

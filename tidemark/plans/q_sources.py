@@ -80,7 +80,57 @@ def _index_rows(spark, sf):
 def a_by_patient(spark, sf):
     path = _scratch(spark, "by-patient")
     sinks.write_by_patient(_index_rows(spark, sf), path)
-    return spark.read.parquet(path)
+    return ingest.read_subjects(spark, path)
+
+
+@query("a_subject_read", ctes("o_index") + _ROWS_SQL + f" WHERE subject_id IN {_SPLIT_SQL}")
+def a_subject_read(spark, sf):
+    path = _scratch(spark, "by-subject")
+    sinks.write_by_patient(_index_rows(spark, sf), path)
+    seg = table(spark, sf, "customer").where(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("subject_id"))
+    return ingest.read_subjects(spark, path, seg)
+
+
+# Case rows as text: every order's lines as literals; every tenth order's lab text is cut short, in another
+# tenth a range is no number.
+@query("a_case_table", """
+WITH l AS (SELECT l_orderkey AS case_id, count(DISTINCT l_partkey) AS n_labs,
+                  count(DISTINCT l_partkey) FILTER (l_linestatus = 'F') AS n_ranges, count(*) AS n_exams,
+                  sum(l_linenumber) AS exam_sum, count(DISTINCT l_suppkey) AS n_names FROM lineitem GROUP BY l_orderkey)
+SELECT case_id, CASE WHEN case_id % 10 = 3 THEN 'lab_tests' WHEN case_id % 10 = 7 AND n_ranges > 0 THEN 'range_lower' ELSE '' END AS bad,
+       CASE WHEN case_id % 10 <> 3 AND NOT (case_id % 10 = 7 AND n_ranges > 0) THEN n_labs END AS n_labs,
+       CASE WHEN case_id % 10 <> 3 AND NOT (case_id % 10 = 7 AND n_ranges > 0) THEN n_ranges * 10 END AS low_sum,
+       CASE WHEN case_id % 10 <> 3 AND NOT (case_id % 10 = 7 AND n_ranges > 0) THEN CAST(exam_sum AS BIGINT) END AS exam_sum,
+       CASE WHEN case_id % 10 <> 3 AND NOT (case_id % 10 = 7 AND n_ranges > 0) THEN n_names END AS n_names FROM l""")
+def a_case_table(spark, sf):
+    li = table(spark, sf, "lineitem")
+    case = F.col("l_orderkey")
+    low = F.when((case % 10 == 7), F.lit("'high'")).otherwise(F.lit("10.0"))
+    entries = {
+        "lab_tests": F.concat(F.lit("'"), "l_partkey", F.lit("': '"), F.col("l_quantity").cast("string"), F.lit(" it\\'s mg'")),
+        "range_lower": F.when(F.col("l_linestatus") == "F", F.concat(F.lit("'"), "l_partkey", F.lit("': "), low)),
+        "range_upper": F.when(F.col("l_linestatus") == "F", F.concat(F.lit("'"), "l_partkey", F.lit("': nan"))),
+        "radiology": F.concat(F.lit("{'exam_name': '"), "l_linenumber", F.lit("', 'report': 'shipped\\n\"well\", twice'}")),
+        "diagnoses": F.concat(F.lit("'supplier "), "l_suppkey", F.lit("'"))}
+    gather = {c: F.collect_set if c != "radiology" else F.collect_list for c in entries}
+    texts = li.groupBy(case.cast("string").alias("case_id")).agg(*(gather[c](e).alias(c) for c, e in entries.items()))
+
+    def joined(c):
+        left, right = ("[", "]") if c in ("radiology", "diagnoses") else ("{", "}")
+        whole = F.concat(F.lit(left), F.array_join(c, ", "), F.lit(right))
+        return F.when(F.col("case_id").cast("long") % 10 == 3, F.substring(whole, 1, 8)).otherwise(whole) if c == "lab_tests" else whole
+    rows = texts.select("case_id", *(F.lit(c).alias(c) for c in ("category", "history")), F.lit("line one\nline two, \"quoted\"").alias("exam"),
+                        joined("lab_tests").alias("lab_tests"), joined("range_lower").alias("range_lower"), joined("range_upper").alias("range_upper"),
+                        F.lit("nan").alias("microbiology"), joined("radiology").alias("radiology"), joined("diagnoses").alias("diagnoses"))
+    path = _scratch(spark, "cases")
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    good, bad = ingest.scan_case_table(spark, path)
+    sums = F.aggregate(F.map_values("range_lower"), F.lit(0.0), lambda a, v: a + v).cast("long")
+    exams = F.aggregate("radiology", F.lit(0).cast("long"), lambda a, x: a + x["exam_name"].cast("long"))
+    key = F.col("case_id").cast("long").alias("case_id")
+    read = good.select(key, F.lit("").alias("bad"), F.size("lab_tests").cast("long").alias("n_labs"), sums.alias("low_sum"), exams.alias("exam_sum"),
+                       F.size("diagnoses").cast("long").alias("n_names"))
+    return read.unionByName(bad.select(key, F.array_join("bad", ",").alias("bad")), allowMissingColumns=True)
 
 
 @query("a_task_index_files", ctes("o_index") + f"SELECT 'task' AS layout, * FROM ({_ROWS_SQL}) UNION ALL SELECT 'patient', * FROM ({_ROWS_SQL})")

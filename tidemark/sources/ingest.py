@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.text import MISSING_TEXTS
+from tidemark.sources.sinks import subject_bucket
 
 ITEMS_TYPE = "array<map<string,string>>"
 
@@ -43,13 +44,74 @@ def unify_sources(sources: dict[str, DataFrame], source_rank: dict[str, int]) ->
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
-def read_trajectory(spark: SparkSession, path: str, subjects: DataFrame | None = None) -> DataFrame:
-    """Event table written by ``write_trajectory``; ``items`` parsed from JSON.
-    With ``subjects``, only those subjects are read (semi join, pushed after scan)."""
+def read_subjects(spark: SparkSession, path: str, subjects: DataFrame | None = None, subject: str = "subject_id") -> DataFrame:
+    """A table written by ``sinks.write_by_patient``, of all or of the listed subjects.
+
+    The listed subjects' buckets (a number each, as many as there are directories at most) become a partition filter,
+    so other directories are not opened; the subjects themselves are a semi join on what is left."""
     df = spark.read.parquet(path)
     if subjects is not None:
-        df = df.join(subjects.select("subject_id").distinct(), "subject_id", "left_semi")
-    return df.withColumn("items", F.from_json("items", ITEMS_TYPE))
+        first = df.select("buckets").first()
+        n = first["buckets"] if first else 1
+        wanted = subjects.select(F.col(subject).cast(df.schema[subject].dataType).alias(subject)).distinct()
+        numbers = [r[0] for r in wanted.where(F.col(subject).isNotNull()).select(subject_bucket(subject, n)).distinct().collect()]
+        df = df.where(F.col("bucket").isin(numbers)).join(wanted, subject, "left_semi")
+    return df.drop("buckets", "bucket")
+
+
+def read_trajectory(spark: SparkSession, path: str, subjects: DataFrame | None = None) -> DataFrame:
+    """Event table written by ``write_trajectory``; ``items`` parsed from JSON."""
+    return read_subjects(spark, path, subjects).withColumn("items", F.from_json("items", ITEMS_TYPE))
+
+
+#: Nested columns of the case table and their types; ranges are numbers.
+CASE_COLUMNS = {"lab_tests": "map<string,string>", "range_lower": "map<string,string>", "range_upper": "map<string,string>",
+                "microbiology": "map<string,string>", "radiology": "array<struct<exam_name:string,report:string>>", "diagnoses": "array<string>"}
+RANGES = ("range_lower", "range_upper")
+CASE_FIELDS = ("case_id", "category", "history", "exam")
+_JSON = {"mode": "PERMISSIVE", "allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
+
+
+def _last_wins(entries: Column) -> Column:
+    """A map with each key once: of repeated keys in a text the last stays."""
+    keys = F.array_distinct(F.map_keys(entries))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(F.map_entries(entries), lambda e: e["key"] == k), -1)["value"]))
+
+
+def scan_case_table(spark: SparkSession, path: str, fmt: str = "csv") -> tuple[DataFrame, DataFrame]:
+    """(cases, bad rows) of a case table whose nested columns are written as text (JSON, or literals with single
+    quotes, ``None`` and ``nan``).
+
+    Cases have typed maps, lists and records, and ranges as numbers; a missing nested text is NULL. A row goes to the
+    bad rows, once, with the names of the columns at fault (``bad``) and its texts as they are, if a nested text can't be
+    read, a range is no number, or the record itself is broken (``record``). Of a key written twice the last entry stays. Fields hold line breaks in CSV, so a
+    CSV file is read by one task; JSON lines are split."""
+    columns = [*CASE_FIELDS, *CASE_COLUMNS]
+    schema = ", ".join(f"{c} string" for c in columns) + ", _record string"
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_record")
+    if fmt == "csv":
+        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
+    raw = reader.format(fmt).load(path)
+
+    def literal(c):
+        none = "None|nan" if c in RANGES else "None"
+        return F.regexp_replace(F.col(c), rf"([:,\[]\s*)(?:{none})(?=\s*[,}}\]])", "$1null")
+
+    typed = raw.select(*(F.when(F.trim(c).isin("", *MISSING_TEXTS), None).otherwise(F.col(c)).alias(c) for c in columns), "_record")
+    typed = typed.withColumns({f"_t_{c}": F.from_json(literal(c), t, _JSON) for c, t in CASE_COLUMNS.items()})
+    typed = typed.withColumns({f"_t_{c}": _last_wins(F.col(f"_t_{c}")) for c, t in CASE_COLUMNS.items() if t.startswith("map")})
+
+    def fault(c):
+        unread = F.col(c).isNotNull() & F.col(f"_t_{c}").isNull()
+        if c in RANGES:
+            unread = unread | F.coalesce(F.exists(F.map_values(f"_t_{c}"), lambda v: v.isNotNull() & v.try_cast("double").isNull()), F.lit(False))
+        return F.when(unread, F.lit(c))
+
+    faults = F.array_compact(F.array(F.when(F.col("_record").isNotNull(), F.lit("record")), *(fault(c) for c in CASE_COLUMNS)))
+    typed = typed.withColumn("bad", faults)
+    values = [F.transform_values(f"_t_{c}", lambda _, v: v.try_cast("double")) if c in RANGES else F.col(f"_t_{c}") for c in CASE_COLUMNS]
+    good = typed.where(F.size("bad") == 0).select(*CASE_FIELDS, *(v.alias(c) for c, v in zip(CASE_COLUMNS, values)))
+    return good, typed.where(F.size("bad") > 0).select(*columns, "bad")
 
 
 def read_sample_list(spark: SparkSession, path: str) -> DataFrame:
