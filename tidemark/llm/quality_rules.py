@@ -173,9 +173,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
                  spread: float = 6.0, min_rows: int = 50) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns. No text is shuffled: the counts are
-    taken once for the sketches and again where the rows are filtered."""
-    counted = docs.select(F.struct("*").alias("doc"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
-                          counts(F.col(text_col)).alias("c"))
-    limits = _limits(counted.select("lang", "source", "c"), spread, min_rows)
-    return judged(counted, limits).where("kept").select("doc.*")
+    """The rows of ``docs`` that the rules keep, with all their columns. No text is shuffled: the rows are
+    written once with their counts beside them, for the sketches and for the filter."""
+    counted = materialize(docs.select(F.struct("*").alias("doc"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
+                                      counts(F.col(text_col)).alias("c")))
+    return judged(counted, _limits(counted, spread, min_rows)).where("kept").select("doc.*")
