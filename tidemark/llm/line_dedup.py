@@ -77,9 +77,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: ``doc`` (the input row as a struct), ``kept`` (its text without the dropped
     lines), ``n_lines`` and ``n_dropped``."""
     lost = shared_line_positions(docs, id_col, text_col, min_chars, min_docs)
-    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("doc_key"), F.xxhash64(text_col).alias("text_key"),
-                       F.coalesce(text_col, F.lit("")).alias("whole"))
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("doc_key"), F.xxhash64(text_col).alias("text_key"))
     j = rows.join(lost, rows["doc_key"].eqNullSafe(lost["id"]) & (rows["text_key"] == lost["row"]), "left")
+    j = j.withColumn("whole", F.coalesce(F.col(f"doc.`{text_col}`"), F.lit("")))  # behind the join: each text moves once
     lines = F.split("whole", "\n")
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
     kept = let(lines, lambda ls: F.array_join(F.transform(keep, lambda i: F.get(ls, i)), "\n"))
