@@ -1,4 +1,4 @@
-"""Dictionary decoding through size-checked broadcast joins."""
+"""Dictionary decoding by left joins; the planner and adaptive execution choose how."""
 
 from __future__ import annotations
 

@@ -23,51 +23,67 @@ def rouge_tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " "), " "), lambda x: x != "")
 
 
+def _counted(tokens: Column) -> Column:
+    """Tokens with the number of their occurrence: two lists share as many of these as their token counts overlap."""
+    ordered = F.array_sort(tokens)
+    return F.transform(ordered, lambda t, i: F.concat_ws(" ", t, (i - F.array_position(ordered, t).cast("int")).cast("string")))
+
+
+def rouge1_scores(ref: Column, pred: Column) -> Column:
+    """G3 (unstemmed), for a row: struct of unigram overlap precision, recall and F1."""
+    overlap = F.size(F.array_intersect(_counted(rouge_tokens(ref)), _counted(rouge_tokens(pred))))
+    n_ref, n_pred = F.size(rouge_tokens(ref)), F.size(rouge_tokens(pred))
+    sizes = F.struct(F.coalesce(overlap, F.lit(0)).alias("o"), F.greatest(n_ref, F.lit(0)).alias("r"), F.greatest(n_pred, F.lit(0)).alias("p"))
+
+    def scored(x):
+        prec = F.when(x["p"] > 0, x["o"] / x["p"]).otherwise(F.lit(0.0))
+        rec = F.when(x["r"] > 0, x["o"] / x["r"]).otherwise(F.lit(0.0))
+        return F.struct(prec.alias("precision"), rec.alias("recall"), F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0)).alias("f1"))
+    return F.element_at(F.transform(F.array(sizes), scored), 1)
+
+
 def rouge1(df: DataFrame, key: list[str], ref: str, pred: str) -> DataFrame:
-    """G3 (unstemmed): unigram overlap precision / recall / F1 per row of ``df``.
-
-    Token counts per side are aggregated, joined on (key, token) and
-    ``sum(least(count_ref, count_pred))`` gives the overlap."""
-    def counts(col, name):
-        return (df.select(*key, F.explode(rouge_tokens(col)).alias("tok"))
-                .groupBy(*key, "tok").agg(F.count(F.lit(1)).alias(name)))
-    r, p = counts(ref, "cr"), counts(pred, "cp")
-    overlap = r.join(p, [*key, "tok"]).groupBy(*key).agg(F.sum(F.least("cr", "cp")).alias("overlap"))
-    sizes = df.select(*key, F.size(rouge_tokens(ref)).alias("n_ref"), F.size(rouge_tokens(pred)).alias("n_pred"))
-    j = sizes.join(overlap, key, "left").fillna(0, ["overlap"])
-    prec = F.when(F.col("n_pred") > 0, F.col("overlap") / F.col("n_pred")).otherwise(F.lit(0.0))
-    rec = F.when(F.col("n_ref") > 0, F.col("overlap") / F.col("n_ref")).otherwise(F.lit(0.0))
-    f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
-    return j.select(*key, prec.alias("precision"), rec.alias("recall"), f1.alias("f1"))
+    """G3 (unstemmed): unigram overlap precision / recall / F1 per row of ``df``."""
+    return df.select(*key, rouge1_scores(F.col(ref), F.col(pred)).alias("_s")).select(*key, "_s.*")
+
+
+SCORES = ("precision", "recall", "f1", "acc")
+
+
+def metric_scores(metric: Column, labels: Column | str, label_text: Column | str, prediction: Column, category: Column | str | None = None) -> Column:
+    """G5 + G6, for a row: struct of precision, recall, f1 and acc by metric, NULL where the metric does not define one. Set
+    metrics score the split prediction with G1; ``rouge`` uses G3; ``acc``/``aucroc`` G2; ``cdm_diagnosis`` G1 plus G4."""
+    def score(parts, acc):
+        return F.struct(*(parts[c].alias(c) for c in SCORES[:3]), acc.alias("acc"))
+
+    none = F.lit(None).cast("double")
+    text = F.col(label_text) if isinstance(label_text, str) else label_text
+    empty = {c: none for c in SCORES[:3]}
+    diagnosis = F.when(metric == "cdm_diagnosis", fs.contains_acc(category, prediction)) if category is not None else none
+    return (F.when(metric.isin(*SET_METRICS, "cdm_diagnosis"), score(fs.set_prf(labels, split_prediction(prediction)), diagnosis))
+            .when(metric.isin("acc", "aucroc"), score(empty, fs.prefix_acc(text, prediction)))
+            .when(metric == "rouge", score(rouge1_scores(text, prediction), none)))
 
 
 def score_by_metric(df: DataFrame, key: list[str], metric: str = "metric", labels: str = "labels",
                     label_text: str = "label_text", prediction: str = "prediction", category: str | None = None
                     ) -> DataFrame:
-    """G5 + G6: dispatch by metric. Set metrics score the split prediction with
-    G1; ``rouge`` uses G3; ``acc``/``aucroc`` G2; ``cdm_diagnosis`` G1 plus G4.
-    Output: precision, recall, f1, acc (NULL where a metric does not define one)."""
-    m = F.col(metric)
-    prf = fs.set_prf(labels, split_prediction(prediction))
-    acc = fs.prefix_acc(label_text, prediction)
-    base = df.select(*key, metric, labels, label_text, prediction, *([category] if category else []))
-    rouge_rows = base.where(m == "rouge")
-    rg = rouge1(rouge_rows, key, label_text, prediction)
-    set_rows = base.where(m.isin(*SET_METRICS, "cdm_diagnosis")).select(
-        *key, metric, prf["precision"].alias("precision"), prf["recall"].alias("recall"), prf["f1"].alias("f1"),
-        (fs.contains_acc(category, prediction) if category else F.lit(None).cast("double")).alias("acc"))
-    set_rows = set_rows.withColumn("acc", F.when(F.col(metric) == "cdm_diagnosis", F.col("acc")))
-    acc_rows = base.where(m.isin("acc", "aucroc")).select(
-        *key, metric, *[F.lit(None).cast("double").alias(c) for c in ("precision", "recall", "f1")], acc.alias("acc"))
-    rouge_out = rouge_rows.select(*key, metric).join(rg, key).withColumn("acc", F.lit(None).cast("double"))
-    cols = [*key, metric, "precision", "recall", "f1", "acc"]
-    return set_rows.select(*cols).unionByName(acc_rows.select(*cols)).unionByName(rouge_out.select(*cols))
-
-
-def score_multi(df: DataFrame, key: list[str], labels: str, predictions: str) -> DataFrame:
-    """One F1 per output for a list of outputs (set metrics)."""
-    return df.select(*key, F.transform(predictions, lambda p: fs.set_prf(labels, split_prediction(p))["f1"])
-                     .alias("f1_list"))
+    """G5 + G6: key, metric and the scores of :func:`metric_scores`; a row of an unknown metric is dropped. One projection."""
+    scores = metric_scores(F.col(metric), labels, label_text, F.col(prediction), category)
+    return df.select(*key, metric, scores.alias("_s")).where(F.col("_s").isNotNull()).select(*key, metric, "_s.*")
+
+
+def score_multi(df: DataFrame, key: list[str], labels: str, predictions: str, metric: str = "metric", label_text: str = "label_text",
+                category: str | None = None) -> DataFrame:
+    """For a list of outputs a list of each score of the metric, in the outputs' order; ``{score}_list`` is NULL
+    where the metric does not define the score."""
+    each = F.transform(predictions, lambda p: metric_scores(F.col(metric), labels, label_text, p, category))
+    rows = df.select(*key, metric, each.alias("_e"))
+
+    def listed(c):
+        values = F.transform("_e", lambda x: x[c])
+        return F.when(F.exists(values, lambda v: v.isNotNull()), values)
+    return rows.select(*key, metric, *(listed(c).alias(f"{c}_list") for c in SCORES))
 
 
 def majority_vote(df: DataFrame, group: list[str], pos: str, answer: str, correct: str) -> DataFrame:
@@ -138,9 +154,13 @@ def reasoning_filter(df: DataFrame, labels: str = "labels", reasonings: str = "r
     return kept.where(F.size("kept") > 0)
 
 
-def leaderboard(scores: DataFrame, group: str = "task", score: str = "score") -> DataFrame:
-    """Mean score and sample count per task."""
-    return scores.groupBy(group).agg(F.avg(score).alias("mean_score"), F.count(F.lit(1)).alias("n"))
+def leaderboard(scores: DataFrame, group: str = "task", metric: str = "metric", score: str = "score", label: str = "label",
+                probability: str = "probability") -> DataFrame:
+    """(task, metric, score, n): the mean score of a task; for ``aucroc`` tasks the AUROC of the stored probabilities
+    against 0/1 labels, NULL where a class is missing."""
+    means = scores.groupBy(group, metric).agg(F.avg(score).alias("_mean"), F.count(F.lit(1)).alias("n"))
+    areas = auroc(scores.where(F.col(metric) == "aucroc"), [group], probability, label).select(group, F.col("auroc").alias("_area"))
+    return means.join(areas, group, "left").select(group, metric, F.when(F.col(metric) == "aucroc", F.col("_area")).otherwise(F.col("_mean")).alias("score"), "n")
 
 
 def ordered_prefix(df: DataFrame, group: list[str], order: str, value: str, out: str,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.time import epoch_us, hours_between
+from tidemark.functions.time import epoch_us, hours_between, is_before, midnight_us
 from tidemark.operators import labels as lb
 from tidemark.plans import bindings as b
 from tidemark.plans.oracle import ctes
@@ -68,6 +68,17 @@ def c_hours_between(spark, sf):
     return j.select(*KEY, F.round(hours_between(F.col("_prev"), F.col("starttime_us")), 6).alias("gap_hours"))
 
 
+@query("c_is_before", ctes("o_events") + """
+SELECT a.subject_id, a.event_idx, a.starttime_us < b.starttime_us AS before_next,
+       a.endtime_us < a.starttime_us // 86400000000 * 86400000000 AS before_midnight
+FROM o_events a JOIN o_events b ON b.subject_id = a.subject_id AND b.event_idx = a.event_idx + 1""")
+def c_is_before(spark, sf):
+    ev = b.events(spark, sf).select(*KEY, "starttime_us", "endtime_us")
+    nxt = ev.select("subject_id", (F.col("event_idx") - 1).alias("event_idx"), F.col("starttime_us").alias("_next"))
+    return ev.join(nxt, KEY).select(*KEY, is_before(F.col("starttime_us"), F.col("_next")).alias("before_next"),
+                                    is_before(F.col("endtime_us"), midnight_us(F.col("starttime_us"))).alias("before_midnight"))
+
+
 @query("c_task_map", ctes("o_events") + f"""
 SELECT m.task, count(*) AS n_events FROM o_events e JOIN (
   SELECT * FROM (VALUES ('admissions', 'admissions'), ('labevents', 'labevents'),

@@ -407,6 +407,40 @@ def e_chat(spark, sf):
                     F.md5(F.array_join(F.transform(chat, lambda m: m["content"]), "\n")).alias("chat_md5"))
 
 
+# Every third conversation brings its turns as ready messages; the others are built from a question and its answer's
+# reasoning, stored as a model response (every fifth is no response at all).
+@query("e_chat_reasoning", f"""
+WITH p AS (SELECT a.conv_id, a.turn, u.text AS q, a.text AS a FROM conversations a JOIN conversations u
+           ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 AND u.role = 'user' WHERE a.role = 'assistant')
+SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'user|assistant' WHEN conv_id % 5 = 0 THEN 'system|user' ELSE 'system|user|assistant' END AS roles,
+       md5(CASE WHEN conv_id % 3 = 0 THEN q || {NL} || a
+                ELSE '{SYSTEM_TEXT}' || {NL} || q || CASE WHEN conv_id % 5 = 0 THEN '' ELSE {NL} || '<think>' || a || ' Final Results, then ' END END) AS chat_md5
+FROM p""")
+def e_chat_reasoning(spark, sf):
+    c = table(spark, sf, "conversations")
+    u = c.where(F.col("role") == "user").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("q"))
+    p = c.where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("a")).join(u, ["conv_id", "turn"])
+    said = F.struct(F.concat("a", F.lit(" Final Results, then Final Results: yes")).alias("content"))
+    response = F.to_json(F.struct(F.array(F.struct(said.alias("message"))).alias("choices")))
+    raw = F.when(F.col("conv_id") % 5 == 0, F.lit("no response")).otherwise(response)
+    ready = F.when(F.col("conv_id") % 3 == 0, F.array(F.struct(F.lit("user").alias("role"), F.col("q").alias("content")),
+                                                      F.struct(F.lit("assistant").alias("role"), F.col("a").alias("content"))))
+    chat = rd.build_chat(F.col("q"), F.lit(SYSTEM_TEXT), rd.reasoning_prefix(raw), ready)
+    return p.select("conv_id", "turn", F.array_join(F.transform(chat, lambda m: m["role"]), "|").alias("roles"),
+                    F.md5(F.array_join(F.transform(chat, lambda m: m["content"]), "\n")).alias("chat_md5"))
+
+
+# The code book of a disabled kind, from the parts: code and short description.
+@query("e_lookup_hcpcs", """
+SELECT l_orderkey, l_linenumber, 'H' || CAST(l_partkey AS VARCHAR) AS hcpcs_cd, CASE WHEN p_size <= 40 THEN p_name END AS short_description
+FROM lineitem LEFT JOIN part ON p_partkey = l_partkey""")
+def e_lookup_hcpcs(spark, sf):
+    book = table(spark, sf, "part").where(F.col("p_size") <= 40).select(
+        F.concat(F.lit("H"), F.col("p_partkey").cast("string")).alias("hcpcs_cd"), F.col("p_name").alias("short_description"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("H"), F.col("l_partkey").cast("string")).alias("hcpcs_cd"))
+    return lk.lookup_item(rows, book, "hcpcs_cd", "short_description").select("l_orderkey", "l_linenumber", "hcpcs_cd", "short_description")
+
+
 @query("e_unwrap", """
 SELECT conv_id, turn, md5(text) AS text_md5, length(text) AS text_len FROM conversations""")
 def e_unwrap(spark, sf):

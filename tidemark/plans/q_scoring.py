@@ -147,16 +147,17 @@ cte("o_scored_in", ("o_index",), f"""
 _SP = f"list_transform(string_split(prediction, {NL}), lambda x: trim(x))"
 _LB = "string_split(target, '|')"
 _SP2, _SR2, _SF2 = _prf_sql(_lower_list(_LB), _lower_list(_SP))
-cte("o_scored", ("o_scored_in",), f"""
-  SELECT subject_id, event_idx, task, metric, round({_SP2}, 6) AS precision, round({_SR2}, 6) AS recall,
+def _scored_sql(src, more=""):
+    return f"""
+  SELECT subject_id, event_idx, task{more}, metric, round({_SP2}, 6) AS precision, round({_SR2}, 6) AS recall,
          round({_SF2}, 6) AS f1, CAST(NULL AS DOUBLE) AS acc
-  FROM o_scored_in WHERE metric IN ('em', 'f1', 'recall', 'precision')
+  FROM {src} WHERE metric IN ('em', 'f1', 'recall', 'precision')
   UNION ALL
-  SELECT subject_id, event_idx, task, metric, NULL, NULL, NULL,
+  SELECT subject_id, event_idx, task{more}, metric, NULL, NULL, NULL,
          CASE WHEN starts_with(prediction, target) THEN 1.0 ELSE 0.0 END
-  FROM o_scored_in WHERE metric IN ('acc', 'aucroc')
+  FROM {src} WHERE metric IN ('acc', 'aucroc')
   UNION ALL
-  SELECT subject_id, event_idx, task, metric, round(p, 6), round(r, 6),
+  SELECT subject_id, event_idx, task{more}, metric, round(p, 6), round(r, 6),
          round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6), NULL
   FROM (SELECT *, CASE WHEN n_pred > 0 THEN ov / n_pred ELSE 0.0 END AS p,
                CASE WHEN n_ref > 0 THEN ov / n_ref ELSE 0.0 END AS r
@@ -165,13 +166,24 @@ cte("o_scored", ("o_scored_in",), f"""
                         (SELECT tok, count(*) AS cr FROM (SELECT unnest({_tok_sql('s.target')}) AS tok) GROUP BY tok) r
                         JOIN (SELECT tok, count(*) AS cp FROM (SELECT unnest({_tok_sql('s.prediction')}) AS tok) GROUP BY tok) q
                         USING (tok)), 0) AS ov
-              FROM o_scored_in s WHERE metric = 'rouge'))""")
+              FROM {src} s WHERE metric = 'rouge'))"""
+
+
+cte("o_scored", ("o_scored_in",), _scored_sql("o_scored_in"))
+cte("o_multi_in", ("o_scored_in",), """
+  SELECT subject_id, event_idx, task, metric, target, o.out_idx,
+         CASE o.out_idx WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END AS prediction
+  FROM (SELECT *, replace(coalesce(lag(target, 1) OVER w, ''), '|', chr(10)) AS p1,
+               replace(coalesce(lag(target, 2) OVER w, ''), '|', chr(10)) AS p2,
+               replace(coalesce(lag(target, 3) OVER w, ''), '|', chr(10)) AS p3
+        FROM (SELECT * EXCLUDE (prediction) FROM o_scored_in)
+        WINDOW w AS (PARTITION BY subject_id, task ORDER BY event_idx)) s, (VALUES (1), (2), (3)) o(out_idx)""")
 
 KEYI = ["subject_id", "event_idx", "task"]
 
 
-def _scored_in(spark, sf):
-    idx = b.task_index(spark, sf).join(F.broadcast(task_frame(spark).select("task", "metric")), "task")
+def _scored_in(spark, sf, idx=None):
+    idx = (idx if idx is not None else b.task_index(spark, sf)).join(F.broadcast(task_frame(spark).select("task", "metric")), "task")
     w = Window.partitionBy("subject_id", "task").orderBy("event_idx")
     return idx.select(*KEYI, "metric", F.col("target").alias("labels"),
                       F.array_join("target", "|").alias("label_text"),
@@ -199,23 +211,26 @@ def g_split_pred(spark, sf):
     return c.select("conv_id", "turn", F.size(parts).cast("bigint").alias("n_parts"), F.array_join(parts, "|").alias("all_parts"))
 
 
-@query("g_score_multi", ctes("o_scored_in") + f"""
-SELECT subject_id, event_idx, task, out_idx, round(f1, 6) AS f1 FROM (
-  SELECT subject_id, event_idx, task, o.out_idx, target,
-         CASE o.out_idx WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END AS prediction
-  FROM (SELECT *, replace(coalesce(lag(target, 1) OVER w, ''), '|', chr(10)) AS p1,
-               replace(coalesce(lag(target, 2) OVER w, ''), '|', chr(10)) AS p2,
-               replace(coalesce(lag(target, 3) OVER w, ''), '|', chr(10)) AS p3
-        FROM o_scored_in WHERE metric IN ('em', 'recall')
-        WINDOW w AS (PARTITION BY subject_id, task ORDER BY event_idx)) s, (VALUES (1), (2), (3)) o(out_idx))
-  , LATERAL (SELECT {_SF2} AS f1)""")
+@query("g_score_multi", ctes("o_multi_in") + _scored_sql("o_multi_in", ", out_idx"))
 def g_score_multi(spark, sf):
-    s = _scored_in(spark, sf).where(F.col("metric").isin("em", "recall"))
+    s = _scored_in(spark, sf)
     w = Window.partitionBy("subject_id", "task").orderBy("event_idx")
     preds = F.array(*[F.coalesce(F.array_join(F.lag("labels", k).over(w), "\n"), F.lit("")) for k in (1, 2, 3)])
     m = so.score_multi(s.withColumn("preds", preds), KEYI, "labels", "preds")
-    return m.select(*KEYI, F.posexplode("f1_list").alias("out_idx", "f1")).select(
-        *KEYI, (F.col("out_idx") + 1).alias("out_idx"), F.round("f1", 6).alias("f1"))
+    return m.select(*KEYI, "metric", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"), *(f"{c}_list" for c in so.SCORES)).select(
+        *KEYI, (F.col("i") + 1).alias("out_idx"), "metric", *(F.round(F.get(f"{c}_list", F.col("i")), 6).alias(c) for c in so.SCORES))
+
+
+_CP, _CR, _CF = _prf_sql("[lower(gold)]", f"list_transform(CASE WHEN contains(a, '\\n') THEN string_split(a, '\\n') ELSE string_split(a, {NL}) END, lambda x: lower(trim(x)))")
+
+
+@query("g_cdm_diagnosis", ctes("o_pairs") + f"""
+SELECT conv_id, turn, 'cdm_diagnosis' AS metric, round({_CP}, 6) AS precision, round({_CR}, 6) AS recall, round({_CF}, 6) AS f1,
+       CASE WHEN contains(lower(a), lower(gold)) THEN 1.0 ELSE 0.0 END::DOUBLE AS acc FROM o_pairs""")
+def g_cdm_diagnosis(spark, sf):
+    p = pairs(spark, sf).withColumns({"metric": F.lit("cdm_diagnosis"), "labels": F.array("gold")})
+    s = so.score_by_metric(p, KEYP, label_text="gold", prediction="a", category="gold")
+    return s.select(*KEYP, "metric", *(F.round(c, 6).alias(c) for c in so.SCORES))
 
 
 @query("g_extract_answer", ctes("o_pairs") + f"""
@@ -394,11 +409,25 @@ def g_reward_format(spark, sf):
     return p.select(*KEYP, fs.reward_format("completion").alias("fmt"))
 
 
-@query("g_leaderboard", ctes("o_scored") + """
-SELECT task, round(avg(coalesce(f1, acc)), 6) AS mean_score, count(*) AS n FROM o_scored GROUP BY task""")
+# The probability of yes that a model would store beside each output: the share of a context of 20 events.
+@query("g_leaderboard", ctes("o_scored", "o_index") + """
+, p AS (SELECT i.task, i.target = 'yes' AS yes, least((context_end - context_begin) / 20.0, 1.0) AS prob
+        FROM o_index i WHERE i.task IN (SELECT task FROM o_scored WHERE metric = 'aucroc')),
+g AS (SELECT task, prob, count(*) FILTER (yes) AS pos, count(*) FILTER (NOT yes) AS neg FROM p GROUP BY ALL),
+u AS (SELECT a.task, sum(a.pos * b.neg * CASE WHEN b.prob < a.prob THEN 1.0 WHEN b.prob = a.prob THEN 0.5 ELSE 0 END) AS u
+      FROM g a JOIN g b USING (task) GROUP BY a.task),
+r AS (SELECT task, sum(pos) AS pos, sum(neg) AS neg FROM g GROUP BY task)
+SELECT s.task, s.metric, CASE WHEN s.metric <> 'aucroc' THEN round(avg(coalesce(s.f1, s.acc)), 6)
+                    ELSE round(CASE WHEN any_value(r.pos) > 0 AND any_value(r.neg) > 0
+                                    THEN any_value(u.u) / (any_value(r.pos) * any_value(r.neg)) END, 6) END AS score, count(*) AS n
+FROM o_scored s LEFT JOIN u USING (task) LEFT JOIN r USING (task) GROUP BY s.task, s.metric""")
 def g_leaderboard(spark, sf):
-    s = _scored(spark, sf).withColumn("score", F.coalesce("f1", "acc"))
-    return so.leaderboard(s).select("task", F.round("mean_score", 6).alias("mean_score"), "n")
+    idx = b.task_index(spark, sf)
+    s = so.score_by_metric(_scored_in(spark, sf, idx), KEYI).withColumn("score", F.round(F.coalesce("f1", "acc"), 6))
+    prob = F.least((F.col("context_end") - F.col("context_begin")) / 20.0, F.lit(1.0))
+    told = idx.select(*KEYI, prob.alias("probability"), (F.element_at("target", 1) == "yes").cast("int").alias("label"))
+    board = so.leaderboard(s.join(told, KEYI))
+    return board.select("task", "metric", F.round("score", 6).alias("score"), "n")
 
 
 @query("g_auroc", """

@@ -206,9 +206,7 @@ TASK_ROWS = [
     ("ICU_Readmission", "icustays", None, "aucroc", [], "risk_prediction"),
 ]
 
-# Decision-task rules: the four code tasks checked against admission cover (D5),
-# tasks sampled by weight (D11), and tasks whose target is one string.
-CODE_TASKS = ("diagnoses_icd", "diagnoses_ccs", "procedures_icd", "procedures_ccs")
+# Decision-task rules: tasks sampled by weight (D11), and tasks whose target is one string.
 WEIGHTED_TASKS = ("chartevents", "emar", "next_event")
 SCALAR_TARGET_TASKS = ("discharge", "next_event")
 
