@@ -17,7 +17,7 @@ Role mapping (fixed, in one place):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.joins import lookup
@@ -200,6 +200,50 @@ def task_index(spark: SparkSession, sf_dir: str, marked: DataFrame | None = None
     return materialize(lb.task_index(prepared, targets))
 
 
+#: Kinds that the ``view`` records are dealt to, by k: with the other records, every kind that has a decision task.
+RECORD_KINDS = ("labevents", "omr", "procedures_icd", "microbiologyevents", "services", "transfers", "emar", "poe", "prescriptions", "radiology",
+                "medrecon", "pyxis", "diagnosis", "chartevents", "ingredientevents", "datetimeevents", "procedureevents", "inputevents", "outputevents")
+RECORD_SOURCE = {"radiology": 1, "medrecon": 2, "pyxis": 2, "diagnosis": 2} | {k: 3 for k in RECORD_KINDS[13:]}
+
+
+def record_fields(main, brand, kind_of_part, careunit) -> Column:
+    """A record's fields as a map, by name: every target key of the decision tasks."""
+    from tidemark.spec import TASKS
+    keys = sorted({t.target_key for t in TASKS if t.task_type == "decision_making" and t.event != "any"})
+    own = {"CCS Type": brand, "ATC Type": brand, "exam_name": F.to_json(F.array(brand, kind_of_part)), "eventtype": kind_of_part}
+    return F.create_map(*(x for k in keys for x in (F.lit(k), own.get(k, main))), F.lit("careunit"), careunit)
+
+
+def record_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every kind with a decision task, each with its record ``item`` (map of field texts)."""
+    rows = decoded_rows(spark, sf_dir)
+    kind = F.when(F.col("file_name") == "labevents", F.get(F.array(*map(F.lit, RECORD_KINDS)), F.col("k") % len(RECORD_KINDS))).otherwise(F.col("file_name"))
+    rows = rows.withColumn("file_name", kind)
+    rows = rows.withColumn("source_rank", F.coalesce(_map(F.col("file_name"), RECORD_SOURCE), "source_rank"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("k"), "p_name", "p_brand", "p_type")
+    main = F.when(F.col("value") < 10, F.lit("nan")).otherwise(F.concat(F.lit(" "), "p_name"))
+    unit = F.when(F.col("value") > 100, F.lit("nan")).otherwise(F.col("p_brand"))
+    return rows.join(part, "k", "left").withColumn("item", record_fields(main, F.col("p_brand"), F.col("p_type"), unit)).drop("p_name", "p_brand", "p_type")
+
+
+def record_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(prepared events, targets) on the rows of every kind: the records go through ordering and runs, and each decision task
+    reads its own target key from them."""
+    from tidemark.operators import labels as lb
+    from tidemark.operators.timeline import eventize, order_and_mark
+    marked = order_and_mark(record_rows(spark, sf_dir))
+    prepared = lb.prepare(eventize(marked, extra_first=("end_us", "dod_us"), marked=True))
+    targets = lb.task_targets(marked.select("subject_id", "event_idx", "file_name", "pos", "ts_us", "item"))
+    return prepared, targets.where(F.col("task") != "next_event")  # next events are sampled from the events themselves
+
+
+def record_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C14 over all 46 tasks."""
+    from tidemark.operators import labels as lb
+    from tidemark.session import materialize
+    return materialize(lb.task_index(*record_parts(spark, sf_dir)))
+
+
 class Pipeline:
     """The staged pipeline of one query: each stage built once, on first use."""
 

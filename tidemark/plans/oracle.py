@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+import re
+
 _CTE: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -248,3 +250,37 @@ cte("o_decision", ("o_prep", "o_targets"), f"""
   FROM o_prep WHERE ctx_begin IS NOT NULL AND t_back IS NOT NULL AND file_name IN ({_CONFIGURED})""")
 
 cte("o_index", ("o_decision", "o_risk"), "SELECT * FROM o_decision UNION ALL SELECT * FROM o_risk")
+
+
+# --- the same chain on rows of every configured kind that has a decision task (see bindings.record_rows) ---
+from tidemark.plans.bindings import RECORD_KINDS, RECORD_SOURCE  # noqa: E402
+from tidemark.spec import TASKS  # noqa: E402
+
+_CHAIN = ("o_drows", "o_tpos", "o_timeline", "o_marked", "o_events", "o_ev", "o_prep0", "o_prep", "o_targets", "o_risk", "o_decision", "o_index")
+
+
+def recorded(sql: str) -> str:
+    """The text with the chain's blocks replaced by those on all kinds."""
+    return re.sub(rf"\b({'|'.join(_CHAIN)})\b", r"\1_rec", sql)
+
+
+_KIND = "[" + ", ".join(f"'{k}'" for k in RECORD_KINDS) + f"][k % {len(RECORD_KINDS)} + 1]"
+cte("o_drows_rec", ("o_drows",), f"""
+  SELECT * REPLACE (CASE {" ".join(f"WHEN file_name = '{k}' THEN {n}" for k, n in RECORD_SOURCE.items())} ELSE source_rank END AS source_rank)
+  FROM (SELECT * REPLACE (CASE WHEN file_name = 'labevents' THEN {_KIND} ELSE file_name END AS file_name) FROM o_drows)""")
+for _name in _CHAIN[1:]:
+    if _name != "o_targets":
+        cte(f"{_name}_rec", tuple(recorded(d) for d in _CTE[_name][0]), recorded(_CTE[_name][1]))
+cte("o_targets_rec", ("o_marked_rec",), f"""
+  SELECT subject_id, event_idx, task, target FROM (
+    SELECT subject_id, event_idx, task, CASE WHEN task <> 'discharge' THEN string_agg(DISTINCT trim(v), '|' ORDER BY trim(v))
+                                             WHEN count(*) = 1 THEN min(v) END AS target
+    FROM (SELECT subject_id, event_idx, task, unnest(
+            CASE WHEN task = 'radiology' THEN [p_brand, p_type]
+                 WHEN task = 'transfers' THEN [CASE WHEN value > 100 THEN p_type ELSE p_brand END]
+                 WHEN target_key IN ('CCS Type', 'ATC Type') THEN [p_brand]
+                 ELSE [CASE WHEN value < 10 THEN 'nan' ELSE ' ' || p_name END] END) AS v
+          FROM o_marked_rec JOIN part ON p_partkey = k
+          JOIN (VALUES {", ".join(f"('{t.task}', '{t.event}', '{t.target_key}')" for t in TASKS if t.task_type == "decision_making" and t.event != "any")})
+               t(task, file_name, target_key) USING (file_name))
+    WHERE v <> 'nan' GROUP BY subject_id, event_idx, task) WHERE target IS NOT NULL""")

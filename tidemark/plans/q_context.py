@@ -100,9 +100,9 @@ def c_task_map(spark, sf):
     return ev.join(m, "file_name").groupBy("task").agg(F.count(F.lit(1)).alias("n_events"))
 
 
-@query("c_decision_targets", ctes("o_targets") + "SELECT subject_id, event_idx, task, target FROM o_targets")
+@query("c_decision_targets", ctes("o_targets_rec") + "SELECT subject_id, event_idx, task, target FROM o_targets_rec")
 def c_decision_targets(spark, sf):
-    t = b.pipeline(spark, sf).targets
+    t = b.record_parts(spark, sf)[1]
     return t.select(*KEY, "task", F.array_join("target", "|").alias("target"))
 
 
@@ -110,7 +110,6 @@ def c_decision_targets(spark, sf):
 # their fields come from the part.
 _DECISION = [t for t in TASKS if t.task_type == "decision_making" and t.event != "any"]
 _KINDS = sorted({t.event for t in _DECISION})
-_KEYS = sorted({t.target_key for t in _DECISION} - {"CCS Type", "ATC Type", "exam_name", "eventtype"})
 
 
 def _field_rows(spark, sf):
@@ -119,10 +118,7 @@ def _field_rows(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type")
     at = (F.col("l_partkey") % len(_KINDS)).cast("int")
     main = F.when(F.col("l_discount") == 0, F.lit("nan")).otherwise(F.concat(F.lit(" "), "p_name"))
-    fields = {k: main for k in _KEYS} | {
-        "CCS Type": F.col("p_brand"), "ATC Type": F.col("p_brand"), "exam_name": F.to_json(F.array("p_brand", "p_type")),
-        "eventtype": F.col("p_type"), "careunit": F.when(F.col("l_returnflag") == "R", F.lit("nan")).otherwise(F.col("p_brand"))}
-    item = F.create_map(*(x for k, v in fields.items() for x in (F.lit(k), v)))
+    item = b.record_fields(main, F.col("p_brand"), F.col("p_type"), F.when(F.col("l_returnflag") == "R", F.lit("nan")).otherwise(F.col("p_brand")))
     return li.join(o, "l_orderkey").join(p, "l_partkey").select(
         "subject_id", (F.col("l_orderkey").cast("bigint") * 100 + at).alias("event_idx"),
         F.get(F.array(*map(F.lit, _KINDS)), at).alias("file_name"), F.col("l_linenumber").alias("pos"),
@@ -150,15 +146,15 @@ def c_task_targets(spark, sf):
     return lb.task_targets(_field_rows(spark, sf)).select(*KEY, "task", F.array_join("target", "|").alias("target"))
 
 
-@query("c_decision_samples", ctes("o_decision") + "SELECT * FROM o_decision WHERE task <> 'next_event'")
+@query("c_decision_samples", ctes("o_decision_rec") + "SELECT * FROM o_decision_rec WHERE task <> 'next_event'")
 def c_decision_samples(spark, sf):
-    p, t = b.task_index_parts(spark, sf)
+    p, t = b.record_parts(spark, sf)
     return _flat(lb.decision_samples(p, t, with_next_event=False))
 
 
-@query("c_next_event", ctes("o_decision") + "SELECT * FROM o_decision WHERE task = 'next_event'")
+@query("c_next_event", ctes("o_decision_rec") + "SELECT * FROM o_decision_rec WHERE task = 'next_event'")
 def c_next_event(spark, sf):
-    p, t = b.task_index_parts(spark, sf)
+    p, t = b.record_parts(spark, sf)
     return _flat(lb.decision_samples(p, t).where(F.col("task") == "next_event"))
 
 
@@ -167,9 +163,9 @@ def c_risk_samples(spark, sf):
     return _flat(lb.risk_samples(_prepared(spark, sf)))
 
 
-@query("c_task_index", ctes("o_index") + "SELECT * FROM o_index")
+@query("c_task_index", ctes("o_index_rec") + "SELECT * FROM o_index_rec")
 def c_task_index(spark, sf):
-    return _flat(b.task_index(spark, sf))
+    return _flat(b.record_index(spark, sf))
 
 
 _LABEL_KEYS = {

@@ -36,6 +36,10 @@ def _index(spark, sf):
     return b.task_index(spark, sf)
 
 
+def _all_tasks(spark, sf):
+    return b.record_index(spark, sf)
+
+
 def _flat(df, cols=None):
     cols = cols or ["subject_id", "event_idx", "task"]
     out = df.select(*cols, F.array_join("target", "|").alias("target")) if "target" in df.columns else df.select(*cols)
@@ -50,6 +54,9 @@ def _quota(spark, idx):
 cte("o_freq", ("o_index",), """
   SELECT task, v AS target_value, count(*) AS n
   FROM (SELECT task, unnest(string_split(target, '|')) AS v FROM o_index) GROUP BY task, v""")
+cte("o_freq_rec", ("o_index_rec",), """
+  SELECT task, v AS target_value, count(*) AS n
+  FROM (SELECT task, unnest(string_split(target, '|')) AS v FROM o_index_rec) GROUP BY task, v""")
 cte("o_weighted", ("o_freq",), """
   SELECT i.*, w.target_weight FROM o_index i JOIN (
     SELECT subject_id, event_idx, task, 1.0 / avg(f.n) AS target_weight
@@ -62,9 +69,9 @@ cte("o_quota", ("o_index",), f"""
   FROM (SELECT task, count(*) AS n_available FROM o_index GROUP BY task) c JOIN {CONFIG_SQL} USING (task)""")
 
 
-@query("d_target_freq", ctes("o_freq") + "SELECT * FROM o_freq")
+@query("d_target_freq", ctes("o_freq_rec") + "SELECT * FROM o_freq_rec")
 def d_target_freq(spark, sf):
-    return sm.target_freq(_index(spark, sf))
+    return sm.target_freq(_all_tasks(spark, sf))
 
 
 @query("d_target_weight", ctes("o_weighted") +
@@ -81,25 +88,25 @@ def _split_subjects(spark, sf):
             .select(F.col("c_custkey").alias("subject_id")))
 
 
-@query("d_semi_subject", ctes("o_index") + f"""
-SELECT subject_id, event_idx, task, target FROM o_index WHERE subject_id IN {_SPLIT_SQL}""")
+@query("d_semi_subject", ctes("o_index_rec") + f"""
+SELECT subject_id, event_idx, task, target FROM o_index_rec WHERE subject_id IN {_SPLIT_SQL}""")
 def d_semi_subject(spark, sf):
-    return _flat(sm.subject_split(_index(spark, sf), _split_subjects(spark, sf)))
+    return _flat(sm.subject_split(_all_tasks(spark, sf), _split_subjects(spark, sf)))
 
 
-@query("d_ctx_len", ctes("o_index") + """
-SELECT subject_id, event_idx, task, target FROM o_index
+@query("d_ctx_len", ctes("o_index_rec") + """
+SELECT subject_id, event_idx, task, target FROM o_index_rec
 WHERE context_end - context_begin > 2 AND context_end - context_begin < 5""")
 def d_ctx_len(spark, sf):
-    return _flat(sm.context_length_filter(_index(spark, sf), 2, 5))
+    return _flat(sm.context_length_filter(_all_tasks(spark, sf), 2, 5))
 
 
-@query("d_admit_cover", ctes("o_index") + """
-SELECT subject_id, event_idx, task, target FROM o_index
+@query("d_admit_cover", ctes("o_index_rec") + """
+SELECT subject_id, event_idx, task, target FROM o_index_rec
 WHERE task NOT IN ('procedures_icd', 'procedures_ccs', 'diagnoses_icd', 'diagnoses_ccs')
    OR admissions_id IS NULL OR admissions_id > context_begin""")
 def d_admit_cover(spark, sf):
-    return _flat(sm.admission_cover_filter(_index(spark, sf)))
+    return _flat(sm.admission_cover_filter(_all_tasks(spark, sf)))
 
 
 @query("d_anti_known", ctes("o_index") + f"""
@@ -180,20 +187,20 @@ def d_sample_balanced(spark, sf):
     return _flat(sm.sample_balanced(idx.where(F.col("task").isin(*RISK)), q, SEED))
 
 
-@query("d_index_project", ctes("o_index") + """
+@query("d_index_project", ctes("o_index_rec") + """
 SELECT subject_id, hadm_id, task, event, context_begin AS period_begin, context_end AS period_end,
-       admissions_id, last_discharge_id, target FROM o_index""")
+       admissions_id, last_discharge_id, target FROM o_index_rec""")
 def d_index_project(spark, sf):
-    idx = _index(spark, sf)
+    idx = _all_tasks(spark, sf)
     dec = idx.where(~F.col("task").isin(*RISK))
     risk = idx.where(F.col("task").isin(*RISK))
     return sm.project_index(dec, risk).withColumn("target", F.array_join("target", "|"))
 
 
-@query("d_task_report", ctes("o_index") + """
-SELECT coalesce(task, 'TOTAL') AS task, count(*) AS n_samples FROM o_index GROUP BY ROLLUP (task)""")
+@query("d_task_report", ctes("o_index_rec") + """
+SELECT coalesce(task, 'TOTAL') AS task, count(*) AS n_samples FROM o_index_rec GROUP BY ROLLUP (task)""")
 def d_task_report(spark, sf):
-    return sm.task_report(_index(spark, sf))
+    return sm.task_report(_all_tasks(spark, sf))
 
 
 @query("d_shuffle_mix", ctes("o_index") + f"""
