@@ -44,12 +44,23 @@ STAGES = [("quality_rules", quality), ("line_dedup", lines), ("simhash_near_dedu
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
     """Every stage on all that the one before kept; each result is written and read again, so that no stage
-    is computed twice and a lost executor repeats one stage at most."""
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    is computed twice and a lost executor repeats one stage at most.
+
+    With a ``name`` a lost driver loses one stage at most as well: a run of that name goes on behind the last stage that
+    was written whole (without one, every run is its own). A stage's folder goes as soon as the next one
+    is written; the last stage's is the result."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{name or uuid.uuid4().hex}"
+    paths = [f"{folder}/{k}-{stage_name}" for k, (stage_name, _) in enumerate(STAGES)]
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    files = path_of(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [k for k, path in enumerate(paths) if files.exists(path_of(f"{path}/_SUCCESS"))]
+    start = done[-1] + 1 if done else 0
+    docs = spark.read.parquet(paths[start - 1]) if start else table(spark, sf_dir, "documents")
+    for k in range(start, len(STAGES)):
+        STAGES[k][1](spark, docs, sf_dir).write.mode("overwrite").parquet(paths[k])
+        docs = spark.read.parquet(paths[k])
+        if k:
+            files.delete(path_of(paths[k - 1]), True)
     return docs
