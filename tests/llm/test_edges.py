@@ -527,3 +527,27 @@ def test_stages_keep_columns_and_take_awkward_rows(spark):
         assert empty.count() == 0 and empty.columns == columns, name
     name, last = corpus_pipeline.STAGES[-1]
     assert last(spark, docs, "").select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_pipeline_goes_on_behind_the_last_written_stage(spark, monkeypatch):
+    """A run that stops in its third stage leaves the second's result; the next run of that name starts there and ends with one folder."""
+    from tidemark.session import ensure_checkpoint_dir
+    calls = []
+
+    def stage(k, fail=False):
+        def run(spark, docs, sf_dir):
+            calls.append(k)
+            if fail:
+                raise RuntimeError("lost")
+            return docs.limit(100 - k)
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage(0)), ("b", stage(1)), ("c", stage(2, True)), ("d", stage(3))])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, "/root/testdata/sf0.001", "resumed")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage(0)), ("b", stage(1)), ("c", stage(2)), ("d", stage(3))])
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001", "resumed")
+    assert calls == [0, 1, 2, 2, 3] and got.count() == 97
+    folder = ensure_checkpoint_dir(spark).replace("file:", "").replace("//", "/") + "/pipeline-resumed"
+    assert os.listdir(folder) == ["3-d"]
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001", "resumed").count() == 97 and len(calls) == 5
