@@ -17,7 +17,7 @@ returned as one row anyway.
 
 Defined results: exactly repeated rows are one turn; turns are ordered by (turn, role,
 text), nulls first, and a tie in ``turn`` is two turns; a null role or text is rendered
-empty and differs from an empty one; rows with a null conv_id are one conversation; other
+empty and differs from an empty one; rows with a null conv_id are one conversation; texts are taken whole at any length; other
 columns are not read; an empty table gives no rows.
 """
 

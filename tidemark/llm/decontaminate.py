@@ -15,7 +15,8 @@ between them.
 
 Defined results: a null text has no words; an item without words never occurs; null item
 ids count as the text "null"; items that share an id count once; repeated documents are
-judged one by one; other columns are carried unread, whatever their names.
+judged one by one; texts are taken whole at any length; an empty document table gives no rows, an empty
+benchmark leaves every document clean; other columns are carried unread, whatever their names.
 """
 
 from __future__ import annotations

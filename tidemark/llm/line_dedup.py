@@ -13,7 +13,8 @@ its lines. The texts move once, for the join on the id.
 
 Defined results: a null or empty text is one empty line; a null id never counts as a
 document nor as the largest holder, and its lines go as any other's; rows that share an
-id count as one document; other columns are carried unread, whatever their names.
+id count as one document; texts are taken whole at any length; an empty table gives no rows; other
+columns are carried unread, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ stay distributed: a piece's rank among those of its length is its position in it
 partition plus an offset per (length, partition), so no length is ever ranked by one task.
 
 Defined results: a null or empty text is the closing id alone; repeated rows and ids are
-packed as separate pieces; an empty table gives no rows; other columns are not read.
+packed as separate pieces; very long texts are cut into pieces, none is dropped; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

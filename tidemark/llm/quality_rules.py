@@ -16,7 +16,7 @@ upper quartile is above the language's limit (a source that is mostly junk must
 its own standard), takes the language's threshold, a small language the corpus's.
 
 Defined results: a null text has no words and counts of 0; null languages and sources are
-groups of their own; repeated rows count once each; an empty table gives no rows; other
+groups of their own; repeated rows count once each; texts are taken whole at any length; an empty table gives no rows; other
 columns are carried unread, whatever their names.
 """
 

@@ -18,7 +18,9 @@ keeps every component. Components are found on the links of distinct fingerprint
 
 Defined results: null and empty texts have fingerprint zero, linked like any other; rows
 of one id count as one document for the smallest id, each with its own fingerprint; a
-null id is never a component's smallest id unless the component has no other.
+null id is never a component's smallest id unless the component has no other; texts are taken whole at any
+length; an empty table gives no rows; other columns are not read by ``near_duplicates`` and stay as they
+were in ``drop_near_duplicates``, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ when the best rule is picked, after partial aggregation.
 
 Defined results: no "://" or a null url gives an empty host and path, no rule and the
 default verdict; rules with a null or empty host fit nothing, a null path is the empty one;
-repeated rows are judged alike; other columns are not read.
+repeated rows are judged alike; urls are read whole at any length; an empty table gives no rows,
+an empty rule table the default verdict for all; other columns are not read.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ attempts that Spark committed, so a repeated or lost task leaves nothing wrong b
 
 Defined results: a null page is an empty payload; a null url is an empty target; rows that
 share the smallest page_id of a payload are all responses; a null page_id is never the smallest unless there is
-no other; other columns are not read; an empty table writes no bundle.
+no other; pages are taken whole at any length; repeated rows are written each; other columns are not read; an empty table writes no bundle.
 """
 
 from __future__ import annotations
