@@ -121,3 +121,18 @@ def test_case_table_bad_rows(spark):  # A21
         faults = {r.case_id: r.bad for r in bad.collect()}
         want = {"2": ["lab_tests"], "3": ["range_lower"], "4": ["radiology"]}
         assert faults == (want if fmt == "csv" else want | {None: ["record"]})
+
+
+def test_code_books_keep_codes_as_text(spark):  # A7-A11
+    from tidemark.sources import dimensions as dm
+    d = _scratch()
+    with open(f"{d}/icd.csv", "w") as fh:
+        fh.write('icd_code,icd_version,long_title\n0010,9,"Cholera, ""classic"""\n0010,10,Other\n0010,9,Cholera\n,9,no code\nA1,10,nan\n')
+    got = {(r.icd_version, r.icd_code): r.long_title for r in dm.load_icd_dim(spark, f"{d}/icd.csv").collect()}
+    assert got == {("9", "0010"): "Cholera", ("10", "0010"): "Other", ("10", "A1"): None}
+    with open(f"{d}/atc.jsonl", "w") as fh:
+        fh.write('{"ndc_code": "00012345678", "atc_name": "first"}\n{"ndc_code": "00012345678", "atc_name": "last"}\n{"ndc_code": "7"}\n')
+    assert {r.ndc_code: r.atc_name for r in dm.load_atc_dim(spark, f"{d}/atc.jsonl", "json").collect()} == {"00012345678": "last", "7": None}
+    with open(f"{d}/rad.csv", "w") as fh:
+        fh.write("note_id,subject_id,field_name,field_value,field_ordinal\nn1,1,exam_name,CT,1\nn1,1,exam_name,CT,2\nn1,1,exam_code,C7,1\nn1,1,exam_name,AB,3\nn2,1,exam_name,,1\n")
+    assert {r.note_id: r["values"] for r in dm.load_radiology_dim(spark, f"{d}/rad.csv").collect()} == {"n1": ["AB", "CT"]}

@@ -12,6 +12,7 @@ from tidemark.plans import bindings as b
 from tidemark.plans.oracle import ctes
 from tidemark.plans.registry import query
 from tidemark.session import ensure_checkpoint_dir
+from tidemark.sources import dimensions as dm
 from tidemark.sources import ingest, sinks
 from tidemark.sources.tables import table
 from tidemark.spec import TASKS
@@ -91,6 +92,39 @@ def a_subject_read(spark, sf):
     return ingest.read_subjects(spark, path, seg)
 
 
+# Code books of the parts and line items as files: versioned titles, drug classes (each code twice, the last wins), items and the
+# exams of a note.
+@query("a_code_books", """
+SELECT 'icd' AS book, '9:' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') AS code, CASE WHEN p_size % 7 <> 0 THEN p_name END AS label FROM part
+UNION ALL SELECT 'atc', lpad(CAST(p_partkey AS VARCHAR), 11, '0'), p_brand FROM part
+UNION ALL SELECT 'hcpcs', 'H' || CAST(p_partkey AS VARCHAR), p_type FROM part
+UNION ALL SELECT 'item', CAST(s_suppkey AS VARCHAR), s_name FROM supplier
+UNION ALL SELECT 'radiology', CAST(l_orderkey AS VARCHAR), string_agg(DISTINCT 'exam ' || CAST(l_partkey % 50 AS VARCHAR), '|' ORDER BY 'exam ' || CAST(l_partkey % 50 AS VARCHAR))
+FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_orderkey""")
+def a_code_books(spark, sf):
+    p, folder = table(spark, sf, "part"), _scratch(spark, "books")
+    key = F.col("p_partkey").cast("string")
+
+    def written(df, name):
+        df.write.option("header", True).option("escape", '"').csv(f"{folder}/{name}")
+        return f"{folder}/{name}"
+    icd = dm.load_icd_dim(spark, written(p.select(F.lit("9").alias("icd_version"), F.lpad(key, 5, "0").alias("icd_code"), F.when(F.col("p_size") % 7 != 0, F.col("p_name")).otherwise(
+        F.lit("nan")).alias("long_title")), "icd"))
+    twice = p.select(F.lpad(key, 11, "0").alias("ndc_code"), F.explode(F.array(F.lower("p_type"), "p_brand")).alias("atc_name"))
+    atc = dm.load_atc_dim(spark, written(twice, "atc"))
+    hcpcs = dm.load_hcpcs_dim(spark, written(p.select(F.concat(F.lit("H"), key).alias("code"), F.col("p_type").alias("short_description")), "hcpcs"))
+    item = dm.load_item_dim(spark, written(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("itemid"), F.col("s_name").alias("label")), "item"))
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("note_id"), F.when(F.col("l_linestatus") == "O", F.lit("exam_name")).otherwise(F.lit("cpt_code"))
+                                             .alias("field_name"), F.concat(F.lit("exam "), F.col("l_partkey") % 50).alias("field_value"))
+    notes = dm.load_radiology_dim(spark, written(li, "radiology"))
+
+    def rows(name, df, code, label):
+        return df.select(F.lit(name).alias("book"), code.alias("code"), label.alias("label"))
+    return (rows("icd", icd, F.concat_ws(":", "icd_version", "icd_code"), F.col("long_title")).unionByName(rows("atc", atc, F.col("ndc_code"), F.col("atc_name")))
+            .unionByName(rows("hcpcs", hcpcs, F.col("hcpcs_cd"), F.col("short_description"))).unionByName(rows("item", item, F.col("itemid"), F.col("label")))
+            .unionByName(rows("radiology", notes, F.col("note_id"), F.array_join("values", "|"))))
+
+
 # Case rows as text: every order's lines as literals; every tenth order's lab text is cut short, in another
 # tenth a range is no number.
 @query("a_case_table", """
