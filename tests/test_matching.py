@@ -48,3 +48,13 @@ def test_empty_sides(spark):
     none = spark.createDataFrame([], "term string")
     assert matching.text_concepts(docs, "id", "body", none).count() == 0
     assert matching.text_concepts(docs.limit(0), "id", "body", spark.createDataFrame([("a",)], "term string")).count() == 0
+
+
+def test_texts_are_read_once(spark):
+    """A dictionary of many times ``block_bytes`` costs one pass over the texts, with the same matches."""
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(300))), (2, "w1 w2 w9 w9 w9")], "id long, body string")
+    dictionary = spark.createDataFrame([(f"w{i}",) for i in range(300)] + [("w1 w2",), ("w9 w9",)], "term string")
+    found = matching.text_concepts(docs, "id", "body", dictionary, block_bytes=500)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {(r.id, r.term): r.n_hits for r in found.collect()}
+    assert got == {(1, f"w{i}"): 1 for i in range(300) if i not in (1, 2)} | {(1, "w1 w2"): 1, (2, "w1 w2"): 1, (2, "w9 w9"): 2}

@@ -6,11 +6,12 @@ dropped on the way, since an earlier match that reaches as far is known by then.
 leaves the scan, terms may have any number of words, and a text costs one step a word plus the
 words of its matches.
 
-The trie is built in blocks of at most ``block_bytes`` of terms, by a hash of the term: each block is collected,
-broadcast and run over the texts in Arrow batches. One block, which holds some hundred thousand terms, settles
-everything in the scan. Of several blocks the matches (not the texts) are brought together per
-row to drop those inside a match of another block; the words of the texts are written once
-before and read for each block.
+A dictionary of up to ``block_bytes``, some hundred thousand terms, is collected, broadcast as a trie and settles
+everything in one scan. A larger one stays distributed: a bitmap of hashes of the terms and of their beginnings,
+of at most ``SIEVE_BITS`` bits, is broadcast instead and says which runs of words may be terms. Those
+few are joined with the dictionary by the term, and the matches (not the texts) are brought
+together per row to drop those inside a longer one. The texts are read once for a dictionary of any size; more terms
+than the bitmap can tell apart let more runs through to the join, but change no result.
 
 Words are maximal runs of letters, marks and digits of any script, lower-cased.
 """
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.session import materialize
 
 BLOCK_BYTES = 16 << 20
+SIEVE_BITS = 1 << 29
 BETWEEN_WORDS = r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -31,13 +33,13 @@ def words_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), BETWEEN_WORDS, " "))
 
 
-def _scan(trie, counted: bool):
-    """Matches of a block's trie: (row, term, n_hits) if ``counted``, else (row, start, n, term)."""
+def _scan(trie):
+    """Matches of the whole dictionary's trie: (row, term, n_hits)."""
     def run(batches):
         import pyarrow as pa
         first, steps, ends = trie.value
         for batch in batches:
-            rows, starts, sizes, terms = [], [], [], []
+            rows, sizes, terms = [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 words, reach, hits = (text or "").split(" "), 0, {}
                 for start, word in enumerate(words):
@@ -53,23 +55,59 @@ def _scan(trie, counted: bool):
                     if end > reach:  # else there is none, or it lies inside an earlier one
                         reach = end
                         term = " ".join(words[start:end])
-                        if counted:
-                            hits[term] = hits.get(term, 0) + 1
-                        else:
-                            rows.append(row)
-                            starts.append(start)
-                            sizes.append(end - start)
-                            terms.append(term)
-                if counted:
-                    rows += [row] * len(hits)
-                    terms += hits
-                    sizes += hits.values()
+                        hits[term] = hits.get(term, 0) + 1
+                rows += [row] * len(hits)
+                terms += hits
+                sizes += hits.values()
             keys = batch.column(0).take(pa.array(rows, pa.int64()))
-            if counted:
-                yield pa.RecordBatch.from_arrays([keys, pa.array(terms, pa.string()), pa.array(sizes, pa.int64())], ["row", "term", "n_hits"])
-            else:
-                yield pa.RecordBatch.from_arrays([keys, pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(terms, pa.string())],
-                                                 ["row", "start", "n", "term"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(terms, pa.string()), pa.array(sizes, pa.int64())], ["row", "term", "n_hits"])
+    return run
+
+
+def _sieve(known: DataFrame, n_bits: int) -> bytes:
+    """A bitmap of ``n_bits`` (a power of two) with the hash of every term, and of every beginning of one with a blank behind it."""
+    words = F.split("term", " ")
+    inner = F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+    begun = F.transform(inner, lambda i: F.concat(F.array_join(F.slice(words, 1, i), " "), F.lit(" ")))
+    bits = known.select(F.explode(F.concat(F.array("term"), begun)).alias("k")).select(F.crc32(F.col("k").cast("binary")).bitwiseAND(n_bits - 1).alias("bit"))
+    # the functions count bits from 1; a bucket holds 32768
+    bits = bits.select(F.bitmap_bucket_number(F.col("bit") + 1).alias("bucket"), F.bitmap_bit_position(F.col("bit") + 1).alias("at"))
+    maps = bits.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("map")).collect()
+    out = bytearray(n_bits >> 3)
+    for r in maps:
+        out[(r["bucket"] - 1) * 4096:r["bucket"] * 4096] = r["map"]
+    return bytes(out)
+
+
+def _sifted(sieve, n_bits: int):
+    """The runs of words that may be terms, by term: (row, n, term, starts)."""
+    def run(batches):
+        from zlib import crc32
+
+        import pyarrow as pa
+        bits, mask = sieve.value, n_bits - 1
+        for batch in batches:
+            rows, sizes, terms, starts = [], [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                words, hits = (text or "").encode().split(b" "), {}
+                for start, word in enumerate(words):
+                    at, h = start + 1, crc32(word)
+                    while True:
+                        bit = h & mask
+                        if bits[bit >> 3] >> (bit & 7) & 1:
+                            hits.setdefault((b" ".join(words[start:at]), at - start), []).append(start)
+                        h = crc32(b" ", h)
+                        bit = h & mask
+                        if at == len(words) or not bits[bit >> 3] >> (bit & 7) & 1:
+                            break
+                        h, at = crc32(words[at], h), at + 1
+                rows += [row] * len(hits)
+                terms += (term.decode() for term, _ in hits)
+                sizes += (n for _, n in hits)
+                starts += hits.values()
+            keys = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(sizes, pa.int32()), pa.array(terms, pa.string()), pa.array(starts, pa.list_(pa.int32()))],
+                                             ["row", "n", "term", "starts"])
     return run
 
 
@@ -96,25 +134,20 @@ def text_concepts(docs: DataFrame, key: str, text: str, terms: DataFrame, block_
     known = terms.select(words_text(F.col("term")).alias("term")).where(F.length("term") > 0).distinct()
     known = materialize(known)
     size = known.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
-    n_blocks = max(1, -(-size // block_bytes))
     read = docs.select(F.col(key).alias("row"), words_text(F.col(text)).alias("text"))
     row_type = read.schema["row"].dataType.simpleString()
-
-    def block(k: int):
-        mine = known.where(F.pmod(F.xxhash64("term"), F.lit(n_blocks)) == k).select("term").collect()  # about block_bytes
-        return context.broadcast(_trie([r[0] for r in mine]))
-
-    if n_blocks == 1:
-        hits = read.mapInArrow(_scan(block(0), True), f"row {row_type}, term string, n_hits bigint")
+    if size <= block_bytes:
+        trie = context.broadcast(_trie([r[0] for r in known.collect()]))
+        hits = read.mapInArrow(_scan(trie), f"row {row_type}, term string, n_hits bigint")
         return hits.groupBy(F.col("row").alias(key), "term").agg(F.sum("n_hits").alias("n_hits"))
-    read = materialize(read.withColumn("id", F.monotonically_increasing_id()).select(F.struct("id", "row").alias("row"), "text"))
+    n_bits = min(SIEVE_BITS, max(1 << 20, 1 << int(size).bit_length()))  # some 30 bits a term
+    sieve = context.broadcast(_sieve(known, n_bits))
+    read = read.withColumn("id", F.monotonically_increasing_id()).select(F.struct("id", "row").alias("row"), "text")
     row_type = read.schema["row"].dataType.simpleString()
-    hits = None
-    for k in range(n_blocks):
-        found = read.mapInArrow(_scan(block(k), False), f"row {row_type}, start bigint, n bigint, term string")
-        hits = found if hits is None else hits.unionByName(found)
+    maybe = read.mapInArrow(_sifted(sieve, n_bits), f"row {row_type}, n int, term string, starts array<int>")
+    hits = maybe.join(known, "term", "left_semi").select("row.id", "row.row", "n", "term", F.explode("starts").alias("start"))
     # in order of start, the longest first, an earlier match reaches as far as any that holds a later one
     end = F.col("start") + F.col("n")
-    earlier = Window.partitionBy("row").orderBy("start", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("id").orderBy("start", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     kept = hits.withColumn("reach", F.max(end).over(earlier)).where(F.col("reach").isNull() | (F.col("reach") < end))
-    return kept.groupBy(F.col("row.row").alias(key), "term").agg(F.count(F.lit(1)).alias("n_hits"))
+    return kept.groupBy(F.col("row").alias(key), "term").agg(F.count(F.lit(1)).alias("n_hits"))
