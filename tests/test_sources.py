@@ -123,6 +123,13 @@ def test_case_table_bad_rows(spark):  # A21
         assert faults == (want if fmt == "csv" else want | {None: ["record"]})
 
 
+def test_case_table_texts_are_parsed_once(spark):  # A21
+    d = _scratch()
+    spark.createDataFrame([("1", *"abc", *["{}"] * 4, "[]", "[]")], ", ".join(f"{c} string" for c in (*ingest.CASE_FIELDS, *ingest.CASE_COLUMNS))).write.json(f"{d}/json")
+    for df in ingest.scan_case_table(spark, f"{d}/json", "json"):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == len(ingest.CASE_COLUMNS)
+
+
 def test_code_books_keep_codes_as_text(spark):  # A7-A11
     from tidemark.sources import dimensions as dm
     d = _scratch()

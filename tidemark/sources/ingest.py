@@ -75,7 +75,14 @@ _JSON = {"mode": "PERMISSIVE", "allowSingleQuotes": "true", "allowBackslashEscap
 def _last_wins(entries: Column) -> Column:
     """A map with each key once: of repeated keys in a text the last stays."""
     keys = F.array_distinct(F.map_keys(entries))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(F.map_entries(entries), lambda e: e["key"] == k), -1)["value"]))
+    last = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(F.map_entries(entries), lambda e: e["key"] == k), -1)["value"]))
+    return F.when(F.size(keys) == F.size(entries), entries).otherwise(last)
+
+
+def _computed_once(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """``df`` with further columns, none of which is computed again in a filter or column above: a generator is not merged
+    with what reads it."""
+    return df.select("*", F.inline(F.array(F.struct(*(v.alias(c) for c, v in values.items())))))
 
 
 def scan_case_table(spark: SparkSession, path: str, fmt: str = "csv") -> tuple[DataFrame, DataFrame]:
@@ -95,11 +102,13 @@ def scan_case_table(spark: SparkSession, path: str, fmt: str = "csv") -> tuple[D
 
     def literal(c):
         none = "None|nan" if c in RANGES else "None"
-        return F.regexp_replace(F.col(c), rf"([:,\[]\s*)(?:{none})(?=\s*[,}}\]])", "$1null")
+        has_none = F.col(c).contains("None") | F.col(c).contains("nan")
+        return F.when(has_none, F.regexp_replace(F.col(c), rf"([:,\[]\s*)(?:{none})(?=\s*[,}}\]])", "$1null")).otherwise(F.col(c))
 
-    typed = raw.select(*(F.when(F.trim(c).isin("", *MISSING_TEXTS), None).otherwise(F.col(c)).alias(c) for c in columns), "_record")
-    typed = typed.withColumns({f"_t_{c}": F.from_json(literal(c), t, _JSON) for c, t in CASE_COLUMNS.items()})
-    typed = typed.withColumns({f"_t_{c}": _last_wins(F.col(f"_t_{c}")) for c, t in CASE_COLUMNS.items() if t.startswith("map")})
+    # texts are parsed once a row: the faults and the values below read the parsed columns
+    texts = raw.select(*(F.when(F.trim(c).isin("", *MISSING_TEXTS), None).otherwise(F.col(c)).alias(c) for c in columns), "_record")
+    typed = _computed_once(texts, {f"_p_{c}": F.from_json(literal(c), t, _JSON) for c, t in CASE_COLUMNS.items()})
+    typed = _computed_once(typed, {f"_t_{c}": _last_wins(F.col(f"_p_{c}")) if t.startswith("map") else F.col(f"_p_{c}") for c, t in CASE_COLUMNS.items()})
 
     def fault(c):
         unread = F.col(c).isNotNull() & F.col(f"_t_{c}").isNull()
