@@ -52,3 +52,28 @@ def test_matched_rows_stay_near_the_result(spark):
                       spark.createDataFrame(samples, "sample_id int, patient_id int, period_begin long, period_end long"))
     assert omop.latest(r, s, ["omop_table", "name"]).count() == 599
     assert omop.earliest(r, s, ["omop_table", "name"]).select(F.sum(F.col("pos"))).first()[0] == 299
+
+
+def _joins_over(df, column):
+    """How many joins stand above the leaf that holds ``column``."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = [next((i for i, c in enumerate(x) if c.isalpha()), 0) for x in lines]
+    at = next(i for i in reversed(range(len(lines))) if "LogicalRDD" in lines[i] and column in lines[i])
+    joins, d = 0, depth[at]
+    for i in reversed(range(at)):
+        if depth[i] < d:
+            joins, d = joins + lines[i][depth[i]:].startswith("Join"), depth[i]
+    return joins
+
+
+def test_rows_meet_the_books_by_code_only(spark):
+    """Descriptions are resolved in the book: rows are not joined by reference, which many of them lack."""
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(["A/1", "A/1", "B/2", "C/3", "D/4", None])], "marker long, code string")
+    book = spark.createDataFrame([("A/1", "plain"), ("A/1", "again"), ("B/2", "CPT4/x/y"), ("C/3", "ICD10PCS/7"), ("D/4", "CPT4/ICD10PCS"), (None, "none")],
+                                 "code string, description string")
+    cpt4 = spark.createDataFrame([("x/y", "proc"), ("x/y", "proc two"), ("7", "no")], "code string, description string")
+    pcs = spark.createDataFrame([("7", "pcs"), ("ICD10PCS", "no")], "code string, description string")
+    out = omop.resolve_codes(rows, book, cpt4, pcs)
+    assert _joins_over(out, "marker") == 1
+    want = [(0, "again"), (0, "plain"), (1, "again"), (1, "plain"), (2, "proc"), (2, "proc two"), (3, "pcs"), (4, None), (5, None)]
+    assert sorted(map(tuple, out.select("marker", "content").collect()), key=str) == sorted(want, key=str)

@@ -96,16 +96,14 @@ def earliest(rows: DataFrame, samples: DataFrame, item: list[str]) -> DataFrame:
 def resolve_codes(rows: DataFrame, code_map: DataFrame, cpt4: DataFrame, icd10pcs: DataFrame) -> DataFrame:
     """Code -> description; a description naming a CPT4 or ICD10PCS code
     is resolved in that book; unresolved -> NULL (dropped by the renderers)."""
-    j = rows.join(code_map.select("code", "description"), "code", "left")
+    # all of it is known from the book: the rows take part in one join, by their code
     ref = F.regexp_replace("description", "^[^/]*/", "")  # all after the first slash
-    j = (j.join(cpt4.select(F.col("code").alias("_c4"), F.col("description").alias("_d4")),
-                F.col("description").contains("CPT4") & (F.col("_c4") == ref), "left")
-         .join(icd10pcs.select(F.col("code").alias("_cp"), F.col("description").alias("_dp")),
-               ~F.col("description").contains("CPT4") & F.col("description").contains("ICD10PCS") & (F.col("_cp") == ref),
-               "left"))
-    content = (F.when(F.col("description").contains("CPT4"), F.col("_d4"))
-               .when(F.col("description").contains("ICD10PCS"), F.col("_dp")).otherwise(F.col("description")))
-    return j.withColumn("content", content).drop("_c4", "_d4", "_cp", "_dp")
+    is_cpt4, is_pcs = F.col("description").contains("CPT4"), F.col("description").contains("ICD10PCS")
+    book = (code_map.select("code", "description")
+            .join(cpt4.select(F.col("code").alias("_c4"), F.col("description").alias("_d4")), is_cpt4 & (F.col("_c4") == ref), "left")
+            .join(icd10pcs.select(F.col("code").alias("_cp"), F.col("description").alias("_dp")), ~is_cpt4 & is_pcs & (F.col("_cp") == ref), "left"))
+    content = F.when(is_cpt4, F.col("_d4")).when(is_pcs, F.col("_dp")).otherwise(F.col("description"))
+    return rows.join(book.select("code", "description", content.alias("content")), "code", "left")
 
 
 def measurements(rows: DataFrame, samples: DataFrame, code_map: DataFrame, item_map: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -113,9 +111,9 @@ def measurements(rows: DataFrame, samples: DataFrame, code_map: DataFrame, item_
     normal/abnormal flag) else from the code book (range 'nan'); non-numeric or
     missing values skipped; only the latest row per item kept. ``rows`` and ``samples`` as merged."""
     m = rows.where(~F.col("omop_table").isin("person", "note") & ~F.lower("omop_table").rlike(_VISIT))
-    m = (m.join(item_map.select("code", "item_name"), "code", "left")
-         .join(code_map.select("code", F.col("description").alias("_desc")), "code", "left")
-         .join(ranges, "item_name", "left"))
+    # ranges meet the items in the book: rows without an item have no name, and would all go to one task
+    items = item_map.select("code", "item_name").join(ranges, "item_name", "left")
+    m = m.join(items, "code", "left").join(code_map.select("code", F.col("description").alias("_desc")), "code", "left")
     name = F.coalesce(F.col("item_name"), F.col("_desc"))
     num = F.col("value").try_cast("double")
     mapped = F.col("item_name").isNotNull()
