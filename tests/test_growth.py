@@ -4,8 +4,6 @@ import random
 import time
 from collections import Counter
 
-from pyspark.sql import functions as F
-
 from tidemark.operators import scoring as so
 
 
@@ -21,3 +19,46 @@ def test_rouge1_of_long_texts_is_linear(spark):
         n = sum((Counter(q.split()) & Counter(a.split())).values())
         assert abs(found[k]["precision"] - n / len(a.split())) < 1e-12 and abs(found[k]["recall"] - n / len(q.split())) < 1e-12
     assert found[4]["f1"] == 0 and found[6]["f1"] == 0
+
+
+def test_records_are_made_behind_the_ordering(spark):
+    from conftest import SF_SMALL
+    from tidemark.plans import bindings as b
+    rows = b.record_rows(spark, SF_SMALL)
+    assert "item" not in rows.columns  # the map of a row's fields was sorted and written with it
+    item = b.with_record(rows.where("file_name <> 'patients' and value > 100 and p_name is not null").withColumn("was", rows["p_name"])).select("item", "was").first()
+    assert item["item"]["medication"] == " " + item["was"] and item["item"]["careunit"] == "nan"
+
+
+def test_context_windows_keep_their_partitions(spark):
+    from tidemark.operators import context as cx
+    events = spark.createDataFrame([(s, i, k, s * 10, i * 10 ** 9, i * 10 ** 9 + 5, None) for s in range(40) for i, k in enumerate(["admissions", "labevents"])],
+                                   "subject_id long, event_idx long, file_name string, hadm_id long, starttime_us long, end_us long, dod_us long")
+    found = cx.with_context(events)
+    # small partitions were put together, and one task sorted all of them for every window
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and found.count() == 80
+
+
+def test_context_text_takes_columns_along(spark):
+    from tidemark.operators import render as rd
+    samples = spark.createDataFrame([(1, 2, "a", 1, 2, None, None, ["x", "y"]), (1, 2, "b", 1, 2, None, None, ["z"])],
+                                    "subject_id long, event_idx long, task string, context_begin long, context_end long, last_discharge_id long, "
+                                    "admissions_id long, target array<string>")
+    texts = spark.createDataFrame([(1, 0, "patients", "P"), (1, 1, "labevents", "L")], "subject_id long, event_idx long, file_name string, text string")
+    hidden = spark.createDataFrame([("a", []), ("b", ["labevents"])], "task string, bid_event array<string>")
+    found = {r["task"]: r for r in rd.context_text(samples, texts, hidden, carry=("target",)).collect()}
+    assert found["a"]["target"] == ["x", "y"] and found["a"]["input"] == "P\n\n\n\n\n\nL"
+    assert found["b"]["target"] == ["z"] and found["b"]["input"] == "P\n\n\n\n"
+
+
+def test_tasks_taken_whole_are_not_scored(spark, monkeypatch):
+    from tidemark.operators import sampling as sm
+    index = spark.createDataFrame([(s, 0, t, 1.0 if s % 2 else 3.0) for s in range(60) for t in ("all", "some")] + [(99, 0, "all", None)],
+                                  "subject_id long, event_idx long, task string, target_weight double")
+    quota = spark.createDataFrame([("all", None), ("some", 7)], "task string, n_take long")
+    scored = []
+    written = sm.materialize
+    monkeypatch.setattr(sm, "materialize", lambda df: scored.append(written(df)) or scored[-1])
+    found = sm.sample_weighted(index, quota).groupBy("task").count().collect()
+    assert {r["task"]: r["count"] for r in found} == {"all": 61, "some": 7}
+    assert {r["task"] for r in scored[-1].collect()} == {"some"}
