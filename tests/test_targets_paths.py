@@ -46,6 +46,24 @@ def test_every_configured_kind_renders(spark):  # E7, E8
     assert {k for k, t in detailed.items() if "\n" not in t} == {"edstays", "icustays"}
 
 
+def test_fields_as_columns_render_like_a_map(spark):  # E7, E8: no map of all fields is made for a row that shows a few of them
+    from pyspark.sql import functions as F
+    fields = sorted({f for keys in INFO_KEYS.values() for f in keys})
+    kinds = [*INFO_KEYS, "drgcodes"]
+    rows = [(1, i, k, n, n if n % 2 else None, i + n) for i, k in enumerate(kinds) for n in range(1, 1 + i % 4)]
+    df = spark.createDataFrame(rows, "subject_id long, event_idx long, file_name string, pos int, ts_us long, x int")
+    cols = {f: F.when((F.col("x") + i) % 5 == 0, F.lit(None)).when((F.col("x") + i) % 5 == 1, F.lit("nan")).otherwise(F.concat(F.lit(f), F.col("x").cast("string")))
+            for i, f in enumerate(fields)} | {"exam_name": F.to_json(F.array(F.lit("a"), F.col("x").cast("string")))}
+    whole = df.withColumn("item", F.create_map(*(x for k, v in cols.items() for x in (F.lit(k), v))))
+    for by_map, by_column in ((render.render_events(whole, render.record_specs()), render.render_events(df, render.record_specs(cols.__getitem__))),
+                              (render.render_detailed(whole), render.render_detailed(df, item_col=cols.__getitem__))):
+        got = sorted(map(tuple, by_column.collect()))
+        assert got == sorted(map(tuple, by_map.collect())) and len(got) == len({r[1] for r in rows})
+    texts = {(r["event_idx"]): r["text"] for r in render.render_events(df, render.record_specs(cols.__getitem__)).collect()}
+    at = kinds.index("icustays")  # a kind without fields
+    assert texts[at] == "## ICUstays [1970-01-01 00:00:00]\n" + ("" if at % 4 == 1 else "|  |\n|  |" + "\n|  |" * (at % 4))
+
+
 def test_detailed_rules(spark):  # E8
     rows = [
         (1, 0, "labevents", 1, 0, {"item_name": "Na", "valuenum": "nan"}),

@@ -16,8 +16,8 @@ def _c(x: Column | str) -> Column:
 def clean_value(x: Column | str, empty_as_null: bool = False) -> Column:
     """Number -> text; 'nan'/'NaN'/'None'/NULL -> '' (or NULL)."""
     s = _c(x).cast("string")
-    missing = s.isNull() | s.isin(*MISSING_TEXTS)
-    return F.when(missing, F.lit(None).cast("string") if empty_as_null else F.lit("")).otherwise(s)
+    known = F.when(~s.isin(*MISSING_TEXTS), s)
+    return known if empty_as_null else F.coalesce(known, F.lit(""))
 
 
 def truncate_left(text: Column | str, n: int) -> Column:
