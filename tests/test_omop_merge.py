@@ -44,6 +44,21 @@ def test_state_as_of_samples(spark, seed):
     assert sorted(map(tuple, sl.select("sample_id", "value").collect())) == sorted((sid, v) for sid, p, b, e in samples for q, i, _, _, v in rows if p == q and b <= i <= e)
 
 
+def test_slice_takes_the_columns_that_are_read(spark, monkeypatch):
+    """Rows without values are sliced as well, in as many partitions as there are rows for."""
+    monkeypatch.setattr(omop, "SLICE_ROWS", 5)
+    rows, samples = tables(spark, 5)
+    r = spark.createDataFrame([x[:3] for x in rows], "patient_id int, pos long, omop_table string")
+    s = spark.createDataFrame(samples, "sample_id int, patient_id int, period_begin long, period_end long")
+    sl = omop.slice_rows(r, s)
+    assert set(sl.columns) == {"sample_id", "patient_id", "pos", "ord", "omop_table"}
+    want = [(sid, i, i + 1, t) for sid, p, b, e in samples for q, i, t, *_ in rows if p == q and b <= i <= e]
+    want += [(sid, i, i - 1000000, t) for sid, p, b, e in samples for q, i, t, *_ in rows if p == q and t == "person"]
+    assert sorted(tuple(x) for x in sl.select("sample_id", "pos", "ord", "omop_table").collect()) == sorted(want)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-len(rows) // 5))
+    assert f", {n}), REPARTITION_BY_NUM" in sl._jdf.queryExecution().toString()
+
+
 def test_matched_rows_stay_near_the_result(spark):
     """Many samples, few items: what the interval join emits is the result, not samples x rows."""
     rows = [(1, i, "T", "ab"[i % 2], str(i)) for i in range(300)]

@@ -25,6 +25,7 @@ OMOP_TABLES = ("person", "measurement", "observation", "drug_exposure", "conditi
                "procedure_occurrence", "visit_occurrence", "device_exposure", "note")
 
 
+SLICE_ROWS = 250_000  # of a task of slice_rows
 PERIOD = ["sample_id", "patient_id", "period_begin", "period_end"]
 _VISIT = "drug|condition|procedure"
 
@@ -33,10 +34,13 @@ def slice_rows(rows: DataFrame, samples: DataFrame) -> DataFrame:
     """Person rows, then rows period_begin..period_end (inclusive); a person
     row inside the slice appears twice, as in the reference. ``ord`` keeps that order.
 
-    The result itself has samples x rows; the texts of E11-E13 are made without it."""
+    The result itself has samples x rows; the texts of E11-E13 are made without it. Of the columns those go along that
+    ``rows`` has: nothing prunes them inside the buckets, so a caller leaves out what it doesn't read."""
     s = samples.select(*PERIOD)
-    cols = ["omop_table", "code", "value", "unit", "start_us"]
-    found = iv.events_in(s, iv.bucketed(rows, cols, "patient_id", "pos"), F.col("period_begin"), F.col("period_end") + 1, "patient_id")
+    cols = [c for c in ("omop_table", "code", "value", "unit", "start_us") if c in rows.columns]
+    # a task holds its rows and ranges sorted: with more rows there are more tasks, and adaptive execution leaves them as they are
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // SLICE_ROWS))
+    found = iv.events_in(s, iv.bucketed(rows, cols, "patient_id", "pos", partitions=n), F.col("period_begin"), F.col("period_end") + 1, "patient_id")
     body = (found.select("sample_id", "patient_id", F.explode("found").alias("r"))
             .select("sample_id", "patient_id", F.col("r.i").alias("pos"), (F.col("r.i") + 1).alias("ord"), *(F.col(f"r.{c}") for c in cols)))
     person = s.join(rows.where(F.col("omop_table") == "person"), "patient_id").withColumn("ord", -1000000 + F.col("pos"))

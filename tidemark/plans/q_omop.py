@@ -209,7 +209,7 @@ SELECT sample_id, count(*) AS n_rows, count(*) FILTER (WHERE omop_table = 'perso
 GROUP BY sample_id""")
 def e_omop_slice(spark, sf):
     prow = rows(spark, sf)
-    sl = om.slice_rows(prow, samples(spark, sf, prow))
+    sl = om.slice_rows(prow.select("patient_id", "pos", "omop_table"), samples(spark, sf, prow))
     return sl.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_rows"),
                                        F.count(F.when(F.col("omop_table") == "person", 1)).alias("n_person"))
 
