@@ -62,3 +62,29 @@ def test_tasks_taken_whole_are_not_scored(spark, monkeypatch):
     found = sm.sample_weighted(index, quota).groupBy("task").count().collect()
     assert {r["task"]: r["count"] for r in found} == {"all": 61, "some": 7}
     assert {r["task"] for r in scored[-1].collect()} == {"some"}
+
+
+def test_context_windows_share_their_sorts(spark, monkeypatch):
+    from tidemark.operators import context as cx
+    events = spark.createDataFrame([(1, i, "admissions", 7, i * 10 ** 9, i * 10 ** 9 + 5, None) for i in range(5)],
+                                   "subject_id long, event_idx long, file_name string, hadm_id long, starttime_us long, end_us long, dod_us long")
+    monkeypatch.setattr(cx, "materialize", lambda df: df)
+    plan = cx.with_context(events)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lstrip(" +-:").startswith("Window ") for line in plan.splitlines()) == 5  # seven, each with its own sort
+
+
+def test_only_coded_rows_look_up_titles(spark):
+    from conftest import SF_SMALL
+    from tidemark.plans import bindings as b
+    lines = b.decoded_rows(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    union = next(i for i, line in enumerate(lines) if "Union" in line)
+    titles = [i for i, line in enumerate(lines) if "Join" in line and "icd_code" in line]
+    assert titles and min(titles) > union  # every row went to the join of titles, most of them under a null key
+
+
+def test_targets_read_beside_the_index_are_written(spark):
+    from conftest import SF_SMALL
+    from tidemark.plans import bindings as b
+    pl = b.pipeline(spark, SF_SMALL, keep_targets=True)
+    assert pl.targets is pl.targets and "Aggregate" not in pl.targets._jdf.queryExecution().optimizedPlan().toString()
+    assert pl.targets.exceptAll(b.pipeline(spark, SF_SMALL).targets).isEmpty() and pl.targets.count()
