@@ -1,11 +1,12 @@
 """Latest and earliest rows as of a sample, against the samples' whole periods."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import omop
+from tidemark.operators import omop, ordering
 
 
 def tables(spark, seed, n_patients=4):
@@ -92,3 +93,47 @@ def test_rows_meet_the_books_by_code_only(spark):
     assert _joins_over(out, "marker") == 1
     want = [(0, "again"), (0, "plain"), (1, "again"), (1, "plain"), (2, "proc"), (2, "proc two"), (3, "pcs"), (4, None), (5, None)]
     assert sorted(map(tuple, out.select("marker", "content").collect()), key=str) == sorted(want, key=str)
+
+
+def _spread(spark, seed):
+    rng = random.Random(seed)
+    return [(rng.choice([0, 0, 0, 1, 2, None]), k // rng.choice([1, 7]), k) for k in range(400)]
+
+
+@pytest.mark.parametrize("partitions", [1, 5, 40])
+def test_heads_of_runs_over_partition_ends(spark, partitions):
+    """One group holds half of the rows, and a run can be longer than a partition."""
+    rows = [(g, r // 90, k) for g, r, k in _spread(spark, partitions)]
+    df = spark.createDataFrame(rows, "g int, r int, k int")
+    got = ordering.run_heads(df.repartition(3), ["g"], "r", [F.col("r"), F.col("k")], "k", partitions).collect()
+    want, ahead = [], None
+    for g in (None, 0, 1, 2):
+        ahead = None
+        for r in sorted({x[1] for x in rows if x[0] == g}):
+            k = min(x[2] for x in rows if x[:2] == (g, r))
+            want.append((g, r, k, ahead))
+            ahead = k
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("partitions", [1, 5, 40])
+def test_running_sums_of_rows_that_are_not_written(spark, partitions):
+    rows = _spread(spark, partitions)
+    df = spark.createDataFrame(rows, "g int, r int, k int").repartition(3)
+    found = ordering.running_sums(df, ["g"], [F.col("k")], {"odd": F.col("k") % 2 == 1, "total": F.col("r")}, F.col("k") % 5 == 0, partitions)
+    assert sorted(map(tuple, found.select("g", "k", "odd", "total").collect()), key=str) == sorted(
+        ((g, k, sum(h == g and j <= k and j % 2 for h, _, j in rows), sum(x for h, x, j in rows if h == g and j <= k)) for g, _, k in rows if k % 5 == 0), key=str)
+
+
+def test_stages_of_a_query_are_compressed_files_and_go(spark):
+    """Rows are kept as columns, once: what they were made of is deleted, with the shuffles behind it."""
+    from conftest import SF_SMALL
+    from tidemark.plans import q_omop
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    root = root.removeprefix("file:")
+    there = {root: set(os.listdir(root)), os.path.dirname(root): set(os.listdir(os.path.dirname(root)))}
+    rows, samples = q_omop.merged(spark, SF_SMALL, "value", where=omop.is_measurement())
+    new = [f"{d}/{x}" for d, old in there.items() for x in set(os.listdir(d)) - old]
+    assert len(new) == 1 and "stage-" in new[0]  # were five checkpoints of all rows
+    assert rows.columns == ["patient_id", "pos", "omop_table", "code", "value", "ended", "begun", "n_samples"]
+    assert {r[0] for r in rows.select("omop_table").distinct().collect()} == {"measurement"} and samples.count() == 1500

@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import intervals as iv
-from tidemark.operators.context import neighbours
-from tidemark.operators.ordering import dense_positions
+from tidemark.operators.ordering import run_heads, running_sums
 from tidemark.operators.render import fmt_us
 
 # Table names whose display title is computed on the driver (Python title-casing).
@@ -47,54 +46,71 @@ def slice_rows(rows: DataFrame, samples: DataFrame) -> DataFrame:
     return person.select(*body.columns).unionByName(body)
 
 
-def merge(rows: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with ``ended``, how many of their patient's samples end before them, and samples with ``place``, their
-    0-based place by end. Both come from one order of rows and ends; written once."""
-    ends = samples.select(*PERIOD).select("patient_id", F.greatest("period_end", F.lit(-1)).alias("at"), F.lit(1).alias("kind"), F.struct(*PERIOD).alias("sample"),
-                                          F.lit(None).cast(rows.select(F.struct("*").alias("r")).schema["r"].dataType).alias("row"))
-    own = rows.select("patient_id", F.col("pos").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(ends.schema["sample"].dataType).alias("sample"),
-                      F.struct("*").alias("row"))
-    both = dense_positions(own.unionByName(ends), ["patient_id"], [F.col("at"), F.col("kind"), F.col("sample.sample_id")], "m")
-    # a row at pos is the (pos + 1)-th of its patient; a sample has the rows up to its end ahead of it
-    n_rows = rows.groupBy("patient_id").agg(F.count(F.lit(1)).alias("_n"))
-    ended = both.where("kind = 1").select("sample.*", "m", "at").join(n_rows, "patient_id", "left")
-    return (both.where("kind = 0").select("row.*", (F.col("m") - F.col("at") - 1).alias("ended")),
-            ended.select(*PERIOD, (F.col("m") - 1 - F.least(F.col("at") + 1, F.coalesce("_n", F.lit(0)))).alias("place")))
-
-
-def _matched(rows: DataFrame, samples: DataFrame, begin: Column, end: Column) -> DataFrame:
-    """``rows`` with each sample (as ``s``) whose place is in [begin, end)."""
-    buckets = iv.bucketed(samples, ["sample_id", "period_begin", "period_end"], "patient_id", "place")
-    return iv.events_in(rows, buckets, begin, end, "patient_id").withColumn("s", F.explode("found")).drop("found")
+_COUNTS = ["ended", "begun", "n_samples"]  # what merge adds to a row
 
 
-def latest(rows: DataFrame, samples: DataFrame, item: list[str]) -> DataFrame:
-    """(sample_id, ...row): of each item the last row in each sample's period. ``rows`` and ``samples`` as merged.
+def merge(rows: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``ended`` and ``begun``, how many of their patient's samples end before them and how many of the begins of periods
+    lie at or before them, and ``n_samples``; samples with ``place``, their 0-based place by end. All come from one order of rows
+    and samples; written once. ``rows`` can be a part of the patient's rows: ``pos`` need not be dense."""
+    s = samples.select(*PERIOD)
+    own = rows.withColumns({"_at": F.col("pos").cast("bigint"), "_kind": F.lit(0)})
+    ends = s.select("patient_id", F.greatest("period_end", F.lit(-1)).cast("bigint").alias("_at"), F.lit(1).alias("_kind"),
+                    *(F.col(c).alias(f"_{c}") for c in PERIOD if c != "patient_id"))
+    begins = s.select("patient_id", F.col("period_begin").cast("bigint").alias("_at")).dropna(subset="_at").distinct().withColumn("_kind", F.lit(-1))
+    heads = s.groupBy("patient_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_kind", F.lit(-2))  # without a place: ahead of all
+    both = own
+    for more in (ends, begins, heads):
+        both = both.unionByName(more, allowMissingColumns=True)
+    kind = F.col("_kind")
+    both = running_sums(both, ["patient_id"], [F.col("_at"), kind, F.col("_sample_id")],
+                        {"ended": kind == 1, "begun": kind == -1, "n_samples": F.when(kind == -2, F.col("_n"))}, kind >= 0)
+    return (both.where("_kind = 0").select(*rows.columns, *_COUNTS),
+            both.where("_kind = 1").select(*(F.col(c if c == "patient_id" else f"_{c}").alias(c) for c in PERIOD), (F.col("ended") - 1).alias("place")))
+
+
+def _latest_held(rows: DataFrame, item: list[str]) -> DataFrame:
+    """(patient_id, ...row, ended, until, prev): of each item the rows that are its latest for the samples with a place in
+    [ended, until).
 
     Rows that no sample ends behind before the next of their item never become state: only the last of each
     (item, number of ended samples) is carried on."""
-    own = [c for c in rows.columns if c not in ("patient_id", *item, "ended")]
-    state = rows.groupBy("patient_id", *item, "ended").agg(F.max_by(F.struct(*own), "pos").alias("_row"))
-    held = neighbours(state, ["patient_id", *item], [F.col("ended")], F.lit(None).cast("bigint"), F.col("ended"))
-    until = F.coalesce("next", F.lit((1 << 62)))
-    last = samples.groupBy("patient_id").agg((F.max("place") + 1).alias("_n"))
-    held = held.join(last, "patient_id").withColumn("_until", F.least(until, F.col("_n")))
-    found = _matched(held.select("patient_id", *item, "_row", "ended", "_until"), samples, F.col("ended"), F.col("_until"))
-    return found.where(F.col("_row.pos") >= F.col("s.period_begin")).select(F.col("s.sample_id").alias("sample_id"), "patient_id", *item, "_row.*")
+    held = run_heads(rows.where("ended < n_samples"), ["patient_id", *item], "ended", [F.desc("ended"), F.desc("pos")], "ended")
+    return held.withColumns({"until": F.least("ahead", "n_samples"), "prev": F.lit(None).cast("bigint")}).drop("ahead", "begun", "n_samples")
 
 
-def earliest(rows: DataFrame, samples: DataFrame, item: list[str]) -> DataFrame:
-    """(sample_id, ...row): of each item the first row in each sample's period. ``rows`` and ``samples`` as merged.
+def _earliest_held(rows: DataFrame, item: list[str]) -> DataFrame:
+    """(patient_id, ...row, ended, until, prev): of each item the rows that are its first for those samples with a place in
+    [ended, until) whose period begins behind ``prev``.
+
+    Of the rows between two begins of periods only the first can be one, and none ahead of all begins or behind all ends."""
+    held = run_heads(rows.where("ended < n_samples and begun > 0"), ["patient_id", *item], "begun", [F.col("begun"), F.col("pos")], "pos")
+    return held.withColumns({"until": F.col("n_samples"), "prev": F.col("ahead")}).drop("ahead", "begun", "n_samples")
+
+
+def _in_period(pos: Column, prev: Column, begin: Column) -> Column:
+    return (pos >= begin) & (prev.isNull() | (prev < begin))
 
-    A row is a sample's first if the one before it lies ahead of the period; rows behind which no sample of the
-    patient begins any more are left out before anything is matched."""
-    own = [c for c in rows.columns if c not in ("patient_id", *item, "ended")]
-    held = neighbours(rows, ["patient_id", *item], [F.col("pos")], F.col("pos"), F.lit(None).cast("bigint"))
-    last = samples.groupBy("patient_id").agg((F.max("place") + 1).alias("_n"), F.max("period_begin").alias("_begin"))
-    held = held.join(last, "patient_id").where(F.col("prev").isNull() | (F.col("prev") < F.col("_begin")))
-    found = _matched(held.select("patient_id", *item, *own, "ended", "_n", "prev"), samples, F.col("ended"), F.col("_n"))
-    first = (F.col("pos") >= F.col("s.period_begin")) & (F.col("prev").isNull() | (F.col("prev") < F.col("s.period_begin")))
-    return found.where(first).select(F.col("s.sample_id").alias("sample_id"), "patient_id", *item, *own)
+
+def _sample_buckets(samples: DataFrame, *more: str) -> DataFrame:
+    return iv.bucketed(samples, ["sample_id", "period_begin", *more], "patient_id", "place")
+
+
+def _matched(held: DataFrame, samples: DataFrame) -> DataFrame:
+    """(sample_id, ...row) for the samples whose state the rows are."""
+    found = iv.events_in(held, _sample_buckets(samples), F.col("ended"), F.col("until"), "patient_id").withColumn("s", F.explode("found"))
+    found = found.where(_in_period(F.col("pos"), F.col("prev"), F.col("s.period_begin")))
+    return found.select(F.col("s.sample_id").alias("sample_id"), *(c for c in held.columns if c not in ("ended", "until", "prev")))
+
+
+def latest(rows: DataFrame, samples: DataFrame, item: list[str]) -> DataFrame:
+    """(sample_id, ...row): of each item the last row in each sample's period. ``rows`` and ``samples`` as merged."""
+    return _matched(_latest_held(rows, item), samples)
+
+
+def earliest(rows: DataFrame, samples: DataFrame, item: list[str]) -> DataFrame:
+    """(sample_id, ...row): of each item the first row in each sample's period. ``rows`` and ``samples`` as merged."""
+    return _matched(_earliest_held(rows, item), samples)
 
 
 def resolve_codes(rows: DataFrame, code_map: DataFrame, cpt4: DataFrame, icd10pcs: DataFrame) -> DataFrame:
@@ -110,11 +126,18 @@ def resolve_codes(rows: DataFrame, code_map: DataFrame, cpt4: DataFrame, icd10pc
     return rows.join(book.select("code", "description", content.alias("content")), "code", "left")
 
 
-def measurements(rows: DataFrame, samples: DataFrame, code_map: DataFrame, item_map: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Measurement lines per sample. Name from the item map (with reference range and a
-    normal/abnormal flag) else from the code book (range 'nan'); non-numeric or
-    missing values skipped; only the latest row per item kept. ``rows`` and ``samples`` as merged."""
-    m = rows.where(~F.col("omop_table").isin("person", "note") & ~F.lower("omop_table").rlike(_VISIT))
+def is_visit() -> Column:
+    """Rows of E12: drugs, conditions and procedures."""
+    return F.lower("omop_table").rlike(_VISIT)
+
+
+def is_measurement() -> Column:
+    """Rows of E11."""
+    return ~F.col("omop_table").isin("person", "note") & ~is_visit()
+
+
+def _measured(rows: DataFrame, code_map: DataFrame, item_map: DataFrame, ranges: DataFrame, shown: tuple[str, ...]) -> DataFrame:
+    m = rows.where(is_measurement()).where("ended < n_samples")
     # ranges meet the items in the book: rows without an item have no name, and would all go to one task
     items = item_map.select("code", "item_name").join(ranges, "item_name", "left")
     m = m.join(items, "code", "left").join(code_map.select("code", F.col("description").alias("_desc")), "code", "left")
@@ -126,17 +149,30 @@ def measurements(rows: DataFrame, samples: DataFrame, code_map: DataFrame, item_
         .otherwise(F.lit("abnormal"))
     row = F.when(mapped, F.concat_ws(" | ", name, F.col("value"), F.col("ref_unit"), F.col("ref_low"), F.col("ref_high"), flag)) \
         .otherwise(F.concat_ws(" | ", name, F.col("value"), F.coalesce(F.col("unit"), F.lit("None")),
-                               F.lit("nan"), F.lit("nan"), F.lit("nan")))
-    kept = m.where(ok).select("patient_id", "omop_table", "pos", name.alias("name"), "ended", "value",
-                              F.when(mapped, flag).alias("flag"), F.concat(F.lit("| "), row, F.lit(" |")).alias("line"))
+                               F.lit("nan"), F.lit("nan"), F.lit("nan"))) if "line" in shown else None
+    values = {"value": F.col("value"), "flag": F.when(mapped, flag)} | ({"line": F.concat(F.lit("| "), row, F.lit(" |"))} if "line" in shown else {})
+    return m.where(ok).select("patient_id", "omop_table", "pos", name.alias("name"), *_COUNTS, *(values[c].alias(c) for c in shown))
+
+
+def measurements(rows: DataFrame, samples: DataFrame, code_map: DataFrame, item_map: DataFrame, ranges: DataFrame,
+                 shown: tuple[str, ...] = ("value", "flag", "line")) -> DataFrame:
+    """Measurement lines per sample. Name from the item map (with reference range and a
+    normal/abnormal flag) else from the code book (range 'nan'); non-numeric or
+    missing values skipped; only the latest row per item kept. ``rows`` and ``samples`` as merged. ``shown``: which
+    of value, flag and line are wanted; what is not is neither made nor written."""
+    kept = _measured(rows, code_map, item_map, ranges, shown)
     return latest(kept, samples, ["omop_table", "name"]).withColumn("ord", F.col("pos") + 1).drop("pos", "patient_id")
 
 
+def _visited(rows: DataFrame, code_map: DataFrame, cpt4: DataFrame, icd10pcs: DataFrame) -> DataFrame:
+    res = resolve_codes(rows.where(is_visit()).where("ended < n_samples and begun > 0"), code_map, cpt4, icd10pcs).where(F.col("content").isNotNull())
+    return res.select("patient_id", "omop_table", F.concat(F.lit("- "), "content").alias("line"), "pos", *_COUNTS)
+
+
 def visit_lines(rows: DataFrame, samples: DataFrame, code_map: DataFrame, cpt4: DataFrame, icd10pcs: DataFrame) -> DataFrame:
     """(sample_id, omop_table, line, ord): the distinct resolved drugs, conditions and procedures of each period, at their
     first row. ``rows`` and ``samples`` as merged."""
-    res = resolve_codes(rows.where(F.lower("omop_table").rlike(_VISIT)), code_map, cpt4, icd10pcs).where(F.col("content").isNotNull())
-    lines = res.select("patient_id", "omop_table", F.concat(F.lit("- "), "content").alias("line"), "pos", "ended")
+    lines = _visited(rows, code_map, cpt4, icd10pcs)
     return earliest(lines, samples, ["omop_table", "line"]).select("sample_id", "omop_table", "line", (F.col("pos") + 1).alias("ord"))
 
 
@@ -153,7 +189,7 @@ def omop_context(rows: DataFrame, samples: DataFrame, code_map: DataFrame, cpt4:
     person = rows.where(F.col("omop_table") == "person")
     heads = resolve_codes(person, code_map, cpt4, icd10pcs).withColumn("line", F.concat(F.lit("- "), F.coalesce("content", F.lit("None"))))
     heads = heads.select("patient_id", "omop_table", "pos", "start_us", "line").join(samples.select(*PERIOD), "patient_id")
-    firsts = (earliest(rows.where(F.col("omop_table") != "person").select("patient_id", "omop_table", "pos", "ended", "start_us"), samples, ["omop_table"])
+    firsts = (earliest(rows.where(F.col("omop_table") != "person").select("patient_id", "omop_table", "pos", *_COUNTS, "start_us"), samples, ["omop_table"])
               .select("sample_id", "omop_table", F.col("start_us").alias("g_start"))
               .unionByName(heads.groupBy("sample_id", "omop_table").agg(F.min_by("start_us", "pos").alias("g_start"))))
     twice = F.array(F.col("pos") - 1000000, F.when(F.col("pos").between(F.col("period_begin"), F.col("period_end")), F.col("pos") + 1))

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.time import epoch_us
 from tidemark.operators import omop as om
+from tidemark.operators.ordering import running_sums
 from tidemark.operators.timeline import order_within
 from tidemark.plans.oracle import cte, ctes
 from tidemark.plans.registry import query
+from tidemark.session import drop_stages, staged, stages_written
 from tidemark.sources.tables import table
 
 PERSON_START_US = 631152000000000  # 1990-01-01 00:00:00
@@ -45,18 +47,20 @@ def rows(spark, sf):
         F.col("o_custkey").alias("patient_id"), F.lit("note").alias("omop_table"), F.lit("NOTE").alias("code"),
         F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("unit"),
         epoch_us("o_orderdate").alias("start_us"), F.col("o_orderkey").alias("k1"), F.lit(0).alias("k2"))
-    allr = person.unionByName(items).unionByName(notes)
+    before = stages_written()
+    allr = staged(person.unionByName(items).unionByName(notes))  # the shuffles of the join go before those of the ordering come
     order = [F.col("start_us"), F.col("omop_table"), F.col("code"), F.col("value").asc_nulls_first(), F.col("k1"),
              F.col("k2")]
-    return order_within(allr, ["patient_id"], order).withColumn("pos", F.col("pos") - 1)
+    ordered = order_within(allr, ["patient_id"], order, write=staged, drop=("k1", "k2")).withColumn("pos", F.col("pos") - 1)
+    drop_stages(spark, before, ordered)
+    return ordered
 
 
 def samples(spark, sf, prow):
     """Orders as samples; period_end = (rows at or before the order date) - 1.
 
-    In the merged time order (rows before probes at equal times) a probe's position
-    is (rows at or before it) + (probes before it) + 1, so the row count is the
-    difference of two positions - both from the adaptive, skew-safe ordering."""
+    In the merged time order (rows before probes at equal times) the rows ahead of a probe are counted;
+    only the probes are written."""
     o = table(spark, sf, "orders")
     probes = o.select(F.col("o_custkey").alias("patient_id"), epoch_us("o_orderdate").alias("t"),
                       F.lit(1).alias("probe"), F.col("o_orderkey").alias("sample_id"),
@@ -66,16 +70,15 @@ def samples(spark, sf, prow):
                       F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("prio"))
     cands = prow.select("patient_id", F.col("start_us").alias("t"), F.lit(0).alias("probe"),
                         (-F.col("pos") - 1).alias("sample_id"))
-    merged = order_within(probes.unionByName(cands, allowMissingColumns=True), ["patient_id"],
-                          [F.col("t"), F.col("probe"), F.col("sample_id")], "_mpos").where(F.col("probe") == 1)
-    ranked = order_within(merged, ["patient_id"], [F.col("t"), F.col("sample_id")], "_ppos")
+    ranked = running_sums(probes.unionByName(cands, allowMissingColumns=True), ["patient_id"], [F.col("t"), F.col("probe"), F.col("sample_id")],
+                          {"n_rows": F.col("probe") == 0}, F.col("probe") == 1)
     lab = F.col("task_name").startswith("lab_")
     low = F.col("price") < 150000
     return ranked.select(
         "sample_id", "patient_id", "task_name",
         F.when(lab, F.when(low, F.lit("normal")).otherwise(F.lit("abnormal")))
          .otherwise(F.when(low, F.lit("True")).otherwise(F.lit("False"))).alias("label"),
-        F.lit(0).cast("bigint").alias("period_begin"), (F.col("_mpos") - F.col("_ppos") - 1).cast("bigint").alias("period_end"),
+        F.lit(0).cast("bigint").alias("period_begin"), (F.col("n_rows") - 1).alias("period_end"),
         F.when(F.col("prio") == "5-LOW", F.lit("val")).when(F.col("prio") == "4-NOT SPECIFIED", F.lit(None))
          .otherwise(F.lit("train")).alias("split"))
 
@@ -103,9 +106,16 @@ def books(spark, sf):
     return code_map, cpt4, pcs, item_map, ranges
 
 
-def merged(spark, sf):
+def merged(spark, sf, *cols, where=None):
+    """Rows, all or those ``where`` holds, with the columns ``cols`` beside their place and code, and samples, as merged. What was
+    written for them is deleted."""
+    before = stages_written()
     prow = rows(spark, sf)
-    return om.merge(prow.drop("k1", "k2"), samples(spark, sf, prow))
+    asked = samples(spark, sf, prow)
+    mine = prow if where is None else prow.where(where)
+    out = om.merge(mine.select("patient_id", "pos", "omop_table", "code", *cols), asked)
+    drop_stages(spark, before, *out)
+    return out
 
 
 cte("o_orows", (), f"""
@@ -218,7 +228,7 @@ def e_omop_slice(spark, sf):
 SELECT sample_id, omop_table, string_agg(line, chr(10) ORDER BY ord) AS lines FROM o_ovisit GROUP BY ALL""")
 def e_omop_code(spark, sf):
     code_map, cpt4, pcs, _, _ = books(spark, sf)
-    v = om.visit_lines(*merged(spark, sf), code_map, cpt4, pcs)
+    v = om.visit_lines(*merged(spark, sf, where=om.is_visit()), code_map, cpt4, pcs)
     return v.groupBy("sample_id", "omop_table").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("lines"))
 
@@ -226,19 +236,20 @@ def e_omop_code(spark, sf):
 @query("e_omop_latest", ctes("o_omeas") + "SELECT sample_id, omop_table, name, value FROM o_omeas")
 def e_omop_latest(spark, sf):
     code_map, _, _, item_map, ranges = books(spark, sf)
-    return om.measurements(*merged(spark, sf), code_map, item_map, ranges).select("sample_id", "omop_table", "name", "value")
+    rows_ = merged(spark, sf, "value", where=om.is_measurement())
+    return om.measurements(*rows_, code_map, item_map, ranges, ("value",)).select("sample_id", "omop_table", "name", "value")
 
 
 @query("e_omop_flag", ctes("o_omeas") + "SELECT sample_id, name, flag FROM o_omeas WHERE flag IS NOT NULL")
 def e_omop_flag(spark, sf):
     code_map, _, _, item_map, ranges = books(spark, sf)
-    m = om.measurements(*merged(spark, sf), code_map, item_map, ranges)
+    m = om.measurements(*merged(spark, sf, "value", where=om.is_measurement()), code_map, item_map, ranges, ("flag",))
     return m.where(F.col("flag").isNotNull()).select("sample_id", "name", "flag")
 
 
 @query("e_omop_context", ctes("o_octx") + "SELECT sample_id, md5(input) AS input_md5, length(input) AS input_len FROM o_octx")
 def e_omop_context(spark, sf):
-    ctx = om.omop_context(*merged(spark, sf), *books(spark, sf))
+    ctx = om.omop_context(*merged(spark, sf, "value", "unit", "start_us"), *books(spark, sf))
     return ctx.select("sample_id", F.md5("input").alias("input_md5"), F.length("input").cast("bigint").alias("input_len"))
 
 
