@@ -137,3 +137,67 @@ def test_stages_of_a_query_are_compressed_files_and_go(spark):
     assert len(new) == 1 and "stage-" in new[0]  # were five checkpoints of all rows
     assert rows.columns == ["patient_id", "pos", "omop_table", "code", "value", "ended", "begun", "n_samples"]
     assert {r[0] for r in rows.select("omop_table").distinct().collect()} == {"measurement"} and samples.count() == 1500
+
+
+def context_of(rows, samples, content, names, sid):
+    """The text of the samples with an id, from the rows of their periods."""
+    groups, lines, persons = [], [], []
+    for s, p, b, e in samples:
+        if s != sid:
+            continue
+        mine = sorted((x for x in rows if x[0] == p and x[2] != "person" and b <= x[1] <= e), key=lambda x: x[1])
+        seen, last = set(), {}
+        for _, i, t, c, v, start in mine:
+            if t not in seen:
+                groups.append((start, t))
+            seen.add(t)
+            if "drug" in t and content.get(c) and (t, content[c]) not in seen:
+                seen.add((t, content[c]))
+                lines.append((t, i + 1, f"- {content[c]}"))
+            if t == "measurement" and c in names and v is not None:
+                last[t, c] = (t, i + 1, f"| {names[c]} | {v} | None | nan | nan | nan |")
+        lines += last.values()
+        for _, i, t, c, _, start in (x for x in rows if x[0] == p and x[2] == "person"):
+            persons.append((i, start))
+            lines += [("person", o, f"- {content.get(c)}") for o in ([i - 1000000, i + 1] if b <= i <= e else [i - 1000000])]
+    if persons:
+        groups.append((min(persons)[1], "person"))
+    out = []
+    for start, t in sorted(groups):
+        body = "\n".join(x for _, _, x in sorted(x for x in lines if x[0] == t))
+        title = f"## {t.title()} [1970-01-01 00:00:{start:02d}]"
+        if t != "measurement":
+            out.append(f"{title}\n{body}" if body else title)
+        elif body:
+            out.append(f"{title}\n{omop.MEASURE_HEADER}\n{body}")
+    return "\n\n".join(out)
+
+
+def test_contexts_are_made_where_their_lines_are(spark):
+    """Texts of periods that begin anywhere, of busy patients and of samples that share an id; no line is shuffled for each of its samples."""
+    rng = random.Random(4)
+    rows, samples = [], []
+    for p in range(5):
+        n = 55 if p == 0 else rng.randrange(1, 12)
+        rows += [(p, i, *(("person", "P") if i == 0 and p != 3 else (rng.choice(["drug_exposure", "measurement"]), rng.choice("ABCD"))), rng.choice([None, "1.0", "2.5"]), i)
+                 for i in range(n)]
+        for _ in range(50 if p == 0 else 4):
+            samples.append((len(samples) // (1 if p else 2), p, rng.choice([0, 0, 3, 9]), rng.randrange(-1, n + 2)))
+    samples = [(s, p, b, e) for s, p, b, e in samples] + [(900, 77, 0, 5), (901, 3, 400, 500)]
+    r, s = omop.merge(spark.createDataFrame([(*x[:5], None, x[5] * 1000000) for x in rows], "patient_id int, pos long, omop_table string, code string, value string, unit string, "
+                                            "start_us long"),
+                      spark.createDataFrame(samples, "sample_id int, patient_id int, period_begin long, period_end long"))
+    pair = "code string, description string"
+    book = spark.createDataFrame([("A", "aa"), ("B", "bb"), ("C", "aa"), ("P", "pp")], pair)
+    none = spark.createDataFrame([], pair)
+    out = omop.omop_context(r, s, book, none, none, spark.createDataFrame([], "code string, item_name string"),
+                            spark.createDataFrame([], "item_name string, ref_low string, ref_high string, ref_unit string"))
+    content = {"A": "aa", "B": "bb", "C": "aa", "P": "pp"}
+    names = {"A": "aa", "B": "bb"}  # codes of one name are one item
+    rows = [(p, i, t, "A" if t == "measurement" and c == "C" else c, v, at) for p, i, t, c, v, at in rows]
+    got = {x.sample_id: x.input for x in out.collect()}
+    want = {sid: context_of(rows, samples, content, names, sid) for sid in {x[0] for x in samples}}
+    assert got == {k: v for k, v in want.items() if v}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    ids = [line for line in plan.splitlines() if line.lstrip(" +-:").startswith("Aggregate") and "sample_id" in line.split("],")[0]]
+    assert len(ids) == 1  # the samples that share an id; each line of each sample was grouped by it

@@ -12,7 +12,7 @@ shuffled grows with rows and result, not with samples x rows, and a busy patient
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import intervals as iv
@@ -180,38 +180,91 @@ MEASURE_HEADER = ("| Item_Name | Valuenum | Valueuom | Ref_Range_Lower | Ref_Ran
                   "| ------ | ------ | ------ | ------ | ------ | ------ |")
 
 
+#: What a sample's text can be made of, by part: its groups, their lines, a person's lines.
+_PARTS = {"groups": ["omop_table", "pos", "start_us", "prev", "ended", "until"], "lines": ["omop_table", "pos", "line", "prev", "ended", "until"],
+          "persons": ["omop_table", "pos", "line", "start_us"]}
+_TYPES = {"omop_table": "string", "line": "string"}
+_NO_PART = {part: f"struct<{', '.join(f'{c}: {_TYPES.get(c, "bigint")}' for c in cols)}>" for part, cols in _PARTS.items()}
+
+
+def _candidates(held: DataFrame, part: str) -> DataFrame:
+    """(patient_id, ended, until, part, ...row)"""
+    return held.select("patient_id", "ended", "until", *(F.struct(*(F.col(x).cast(_TYPES.get(x, "bigint")).alias(x) for x in cols)).alias(c) if c == part else F.lit(None).cast(_NO_PART[c]).alias(c) for c, cols in _PARTS.items()))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once (a lambda variable), however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _context_parts(candidates: DataFrame, samples: DataFrame) -> DataFrame:
+    """(sample_id, groups, lines, persons) for each sample: the candidates meet buckets of samples, and a bucket's samples choose
+    among them in place, so that no line is shuffled for each of its samples."""
+    cut = candidates.where("until > ended").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("ended") / iv.WIDTH), F.floor((F.col("until") - 1) / iv.WIDTH))))
+    held = cut.groupBy("patient_id", "bucket").agg(*(F.collect_list(c).alias(c) for c in _PARTS))
+    asked = held.join(_sample_buckets(samples, "period_end"), ["patient_id", "bucket"])
+
+    def line(c, at):
+        return F.struct(c["omop_table"].alias("omop_table"), at.cast("bigint").alias("ord"), c["line"].alias("line"))
+
+    def chosen(part, s):
+        return F.filter(part, lambda c: (c["ended"] <= s["i"]) & (s["i"] < c["until"]) & _in_period(c["pos"], c["prev"], s["period_begin"]))
+
+    def parts(s):
+        again = F.filter("persons", lambda c: c["pos"].between(s["period_begin"], s["period_end"]))
+        return F.struct(
+            s["sample_id"].alias("sample_id"),
+            F.transform(chosen("groups", s), lambda c: F.struct(c["start_us"].alias("g_start"), c["omop_table"].alias("omop_table"))).alias("groups"),
+            F.concat(F.transform(chosen("lines", s), lambda c: line(c, c["pos"] + 1)), F.transform("persons", lambda c: line(c, c["pos"] - 1000000)),
+                     F.transform(again, lambda c: line(c, c["pos"] + 1))).alias("lines"),
+            F.transform("persons", lambda c: F.struct(c["pos"].alias("pos"), c["start_us"].alias("start_us"))).alias("persons"))
+    return asked.select(F.explode(F.transform("found", parts)).alias("p")).select("p.*")
+
+
 def omop_context(rows: DataFrame, samples: DataFrame, code_map: DataFrame, cpt4: DataFrame, icd10pcs: DataFrame,
                  item_map: DataFrame, ranges: DataFrame) -> DataFrame:
     """One text per sample: groups by table ordered by their first row's start
     (then table name); notes skipped; measurement groups without a kept row skipped. ``rows`` and ``samples`` as merged.
 
     A patient's person rows come first, and once more where the period holds them."""
-    person = rows.where(F.col("omop_table") == "person")
-    heads = resolve_codes(person, code_map, cpt4, icd10pcs).withColumn("line", F.concat(F.lit("- "), F.coalesce("content", F.lit("None"))))
-    heads = heads.select("patient_id", "omop_table", "pos", "start_us", "line").join(samples.select(*PERIOD), "patient_id")
-    firsts = (earliest(rows.where(F.col("omop_table") != "person").select("patient_id", "omop_table", "pos", *_COUNTS, "start_us"), samples, ["omop_table"])
-              .select("sample_id", "omop_table", F.col("start_us").alias("g_start"))
-              .unionByName(heads.groupBy("sample_id", "omop_table").agg(F.min_by("start_us", "pos").alias("g_start"))))
-    twice = F.array(F.col("pos") - 1000000, F.when(F.col("pos").between(F.col("period_begin"), F.col("period_end")), F.col("pos") + 1))
-    person_lines = (heads.select("sample_id", "omop_table", "line", F.explode(F.filter(twice, lambda x: x.isNotNull())).alias("ord")))
-    visit = visit_lines(rows, samples, code_map, cpt4, icd10pcs)
-    meas = measurements(rows, samples, code_map, item_map, ranges)
-    cols = ["sample_id", "omop_table", "ord", "line"]
-    lines = person_lines.select(*cols).unionByName(visit.select(*cols)).unionByName(meas.select(*cols))
-    body = lines.groupBy("sample_id", "omop_table").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n")
-        .alias("body"))
-    g = firsts.where(F.col("omop_table") != "note").join(body, ["sample_id", "omop_table"], "left")
-    is_meas = ~F.col("omop_table").isin("person") & ~F.lower("omop_table").rlike(_VISIT)
-    shown = F.coalesce(F.try_element_at(F.create_map(*[x for t in OMOP_TABLES for x in (F.lit(t), F.lit(t.title()))]),
-                                    F.col("omop_table")), F.initcap("omop_table"))
-    title = F.concat(F.lit("## "), shown, F.lit(" ["), fmt_us(F.col("g_start")), F.lit("]"))
-    text = (F.when(is_meas, F.when(F.col("body").isNotNull(), F.concat_ws("\n", title, F.lit(MEASURE_HEADER), "body")))
-            .otherwise(F.concat_ws("\n", title, F.col("body"))))
-    groups = g.withColumn("gtext", text).where(F.col("gtext").isNotNull())
-    return (groups.groupBy("sample_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("g_start", "omop_table", "gtext"))), lambda x: x["gtext"]), "\n\n")
-        .alias("input")))
+    live = rows.where("ended < n_samples")
+    person = resolve_codes(rows.where("omop_table = 'person' and n_samples > 0").select("patient_id", "omop_table", "pos", "code", "start_us", "n_samples"),
+                           code_map, cpt4, icd10pcs)
+    person = person.withColumns({"line": F.concat(F.lit("- "), F.coalesce("content", F.lit("None"))), "ended": F.lit(0).cast("bigint"), "until": F.col("n_samples")})
+    # rows of a table between the same begins: only the first can be the first of a period, and few are left to be ordered
+    first = F.min_by(F.struct("pos", "start_us", "ended", "n_samples"), "pos")
+    firsts = (live.where("begun > 0").where(~F.col("omop_table").isin("person", "note")).groupBy("patient_id", "omop_table", "begun")
+              .agg(first.alias("_r")).select("patient_id", "omop_table", "begun", "_r.*"))
+    found = [_candidates(_earliest_held(firsts, ["omop_table"]), "groups"),
+             _candidates(_earliest_held(_visited(rows, code_map, cpt4, icd10pcs), ["omop_table", "line"]), "lines"),
+             _candidates(_latest_held(_measured(rows, code_map, item_map, ranges, ("line",)), ["omop_table", "name"]), "lines"),
+             _candidates(person, "persons")]
+    candidates = found[0]
+    for more in found[1:]:
+        candidates = candidates.unionByName(more)
+    # samples that share an id share a text; all others are whole as they are
+    repeats = F.count(F.lit(1)).over(Window.partitionBy("sample_id"))
+    asked = samples.withColumn("_same", repeats)
+    arrays = ["groups", "lines", "persons"]
+    whole = _context_parts(candidates, asked.where("_same = 1")).select("sample_id", *arrays).unionByName(
+        _context_parts(candidates, asked.where("_same > 1")).groupBy("sample_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in arrays)))
+    own = F.when(F.size("persons") > 0, F.array(F.struct(F.array_min("persons")["start_us"].alias("g_start"), F.lit("person").alias("omop_table"))))
+    shown = F.create_map(*[F.lit(x) for t in OMOP_TABLES for x in (t, t.title())])
+
+    def is_meas(g):
+        return (g["omop_table"] != "person") & ~F.lower(g["omop_table"]).rlike(_VISIT)
+
+    def text(g):
+        name = F.coalesce(F.try_element_at(shown, g["omop_table"]), F.initcap(g["omop_table"]))
+        title = F.concat(F.lit("## "), name, F.lit(" ["), fmt_us(g["g_start"]), F.lit("]"))
+        mine = F.sort_array(F.transform(F.filter("lines", lambda x: x["omop_table"] == g["omop_table"]), lambda x: F.struct(x["ord"], x["line"].alias("line"))))
+        made = _let(mine, lambda xs: F.when(F.size(xs) > 0, F.concat_ws("\n", title, F.when(is_meas(g), F.lit(MEASURE_HEADER)), F.array_join(F.transform(xs, lambda x: x["line"]), "\n")))
+                    .when(~is_meas(g), F.concat_ws("\n", title)))
+        return F.struct(g["g_start"].alias("g_start"), g["omop_table"].alias("omop_table"), made.alias("gtext"))
+    groups = F.filter(F.transform(F.concat("groups", F.coalesce(own, F.slice("groups", 1, 0))), text), lambda x: x["gtext"].isNotNull())
+    # every line has its group
+    some = whole.where((F.size("lines") > 0) | F.exists("groups", lambda g: ~is_meas(g)))
+    return some.select("sample_id", F.array_join(F.transform(F.sort_array(groups), lambda x: x["gtext"]), "\n\n").alias("input"))
 
 
 def omop_label(samples: DataFrame) -> DataFrame:

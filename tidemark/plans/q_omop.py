@@ -249,7 +249,7 @@ def e_omop_flag(spark, sf):
 
 @query("e_omop_context", ctes("o_octx") + "SELECT sample_id, md5(input) AS input_md5, length(input) AS input_len FROM o_octx")
 def e_omop_context(spark, sf):
-    ctx = om.omop_context(*merged(spark, sf, "value", "unit", "start_us"), *books(spark, sf))
+    ctx = om.omop_context(*merged(spark, sf, "value", "unit", "start_us", where=F.col("omop_table") != "note"), *books(spark, sf))
     return ctx.select("sample_id", F.md5("input").alias("input_md5"), F.length("input").cast("bigint").alias("input_len"))
 
 
