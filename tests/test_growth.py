@@ -88,3 +88,30 @@ def test_targets_read_beside_the_index_are_written(spark):
     pl = b.pipeline(spark, SF_SMALL, keep_targets=True)
     assert pl.targets is pl.targets and "Aggregate" not in pl.targets._jdf.queryExecution().optimizedPlan().toString()
     assert pl.targets.exceptAll(b.pipeline(spark, SF_SMALL).targets).isEmpty() and pl.targets.count()
+
+
+def test_records_are_rendered_where_their_order_lies(spark):
+    from conftest import SF_SMALL
+    from tidemark.plans import q_render
+    plan = q_render.e_render_kinds(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [next((i for i, c in enumerate(x) if c.isalpha()), 0) for x in plan]
+    grouped = [i for i, x in enumerate(plan) if "ObjectHashAggregate(" in x]
+    assert len(grouped) == 4
+    above = [i for i, x in enumerate(plan) if "Exchange " in x and any(depth[i] < depth[g] and i < g for g in grouped)
+             and not any(g < i and depth[g] < depth[i] for g in grouped)]
+    assert not above and not any("Exchange hashpartitioning(subject_id" in x for x in plan)  # every rendered row was shuffled, for each style
+
+
+def test_kinds_that_show_a_field(spark):
+    """Where a field is left out, no text of the kind changes."""
+    from tidemark.operators import render as rd
+    from tidemark.spec import INFO_KEYS
+    fields = sorted({f for keys in INFO_KEYS.values() for f in keys})
+    record = {f: '["x"]' if f == "exam_name" else '{"a": "x"}' if f == "admission_info" else "x" for f in fields}
+    rows = [(1, i, k, 1, 0, {g: v for g, v in record.items() if g != f}) for f in [None, *fields] for i, k in enumerate(INFO_KEYS)]
+    rows = [(j // len(INFO_KEYS), *r[1:]) for j, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "subject_id long, event_idx long, file_name string, pos int, ts_us long, item map<string,string>")
+    texts = [{(r["subject_id"], r["file_name"]): r["text"] for r in found.collect()} for found in (rd.render_events(df, rd.record_specs()), rd.render_detailed(df))]
+    for n, f in enumerate(fields, 1):
+        assert {k for t in texts for k in INFO_KEYS if t[n, k] != t[0, k]} <= {*rd.kinds_with(f)}, f
+    assert {*rd.kinds_with("text")} == {"radiology", "discharge"} and "radiology" in rd.kinds_with("exam_name") and "admissions" in rd.kinds_with("admission_info")
