@@ -93,6 +93,15 @@ def test_reasoning_requests_hold_the_record(spark):  # E20
         assert (second is None) == (kind == "graph")
 
 
+def test_reason_prompts_hold_the_whole_record(spark):  # E20
+    from tidemark.plans import catalog
+    q = catalog.queries()
+    size = {(r["subject_id"], r["event_idx"], r["task"]): r["input_len"] for r in q["e_context_text"](spark, SF_SMALL).collect()}
+    prompts = q["e_reason_prompt"](spark, SF_SMALL).collect()
+    assert {r["kind"] for r in prompts} == {"graph", "nograph", "free"} and any(size.values())
+    assert all(r["prompt_len"] > size[r["subject_id"], r["event_idx"], r["task"]] for r in prompts)  # they held the task's name and the answer only
+
+
 def test_reason_filter_ratios_on_both_sides(spark):  # G16
     from tidemark.plans import q_scoring
     kept = [r["kept"] for r in q_scoring.g_reason_filter_partial(spark, SF_SMALL).collect()]
